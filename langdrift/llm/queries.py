@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitplane, bitslice, licenses, mixing, packing, toxicity, warc
+from . import ann, bitplane, bitslice, jaccard, katz, licenses, mixing, packing, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_licence_scan(spark, sf_dir):
     return licenses.scan_licences(table(spark, sf_dir, "documents"), licenses.train_licence_model(spark, negatives=table(spark, sf_dir, "benchmark")))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), shingle=5, percent=75)
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
@@ -45,6 +49,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ChainModel:
     return toxicity.fit_chain(docs, toxicity.category_labels(docs, labels), [*toxicity.CATEGORY_WORDS, "toxic"])
 
 
+def op7_katz_scores(spark, sf_dir):
+    return katz.score_documents(table(spark, sf_dir, "documents"), folds=5, held=1)
+
+
 def op8_bit_sliced_top_k(spark, sf_dir):
     return bitslice.exact_top_k(table(spark, sf_dir, "embeddings"), k=20, query_step=20)
 
@@ -58,7 +66,7 @@ def op10_bitplane_ids(spark, sf_dir):
     return bitplane.bitplane_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path(), planes="byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_warc_revisits, op3_licence_scan, op5_best_fit_packing, op6_toxicity_chain, op8_bit_sliced_top_k, op9_temperature_mixing, op10_bitplane_ids)}
+QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_warc_revisits, op3_licence_scan, op4_jaccard_join, op5_best_fit_packing, op6_toxicity_chain, op7_katz_scores, op8_bit_sliced_top_k, op9_temperature_mixing, op10_bitplane_ids)}
 
 ORACLE_SQL = {
     "op2_warc_revisits": """
