@@ -1,8 +1,9 @@
 """Token ids of whole texts with a tokenizer file of the ``tokenizers`` library.
 
 Texts repeat their words, and neither the normaliser nor the pre-tokeniser of a
-word-level BPE looks across white space, so ids are looked up word by word in
-bounded caches of the Python worker and only unseen words go to the library.
+word-level BPE looks beyond the pieces it splits a text into, so ids are looked up
+piece by piece in a bounded cache of the Python worker and only unseen pieces go to
+the library.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-#: Words of these characters are split here as the tokenizer file's own pattern splits them; all others go to the library whole.
-PLAIN_WORD = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+import numpy as np
+
+#: Texts of these characters are split here as the tokenizer file's own pattern splits them; of others, words go to the library.
+PLAIN_TEXT = re.compile(r"[ \t\r\n!-~À-ÖØ-öø-ÿ]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\r\na-zß-öø-ÿ0-9]+")
 #: Unseen pieces given to the library in one call.
 PIECES_A_CALL = 500
 
@@ -21,57 +24,50 @@ class WordCachedTokenizer:
     """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     Holds for tokenizer files that drop white space, lower-case, and split with
-    the word pattern above (``word_bpe_49k.json``); ``words`` and ``pieces``
-    bound the two caches, which are emptied when full.
+    the pattern above (``word_bpe_49k.json``); ``pieces`` and ``words`` bound the
+    caches of pieces and of words with other characters, which are emptied when full.
     """
 
-    def __init__(self, path: str, words: int = 300_000, pieces: int = 400_000):
+    def __init__(self, path: str, pieces: int = 600_000, words: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.word_limit, self.piece_limit = words, pieces
-        self.words: dict[str, bytes] = {"": b""}
+        self.piece_limit, self.word_limit = pieces, words
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), PIECES_A_CALL):
             part = new[at : at + PIECES_A_CALL]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids: list[list[int]] = [[] for _ in part]
-            if max(found.word_ids, default=-1) != len(part) - 1:
-                ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in part]
-            else:
-                for word, token in zip(found.word_ids, found.ids):
-                    ids[word].append(token)
-            self.pieces.update(zip(part, map(self._bytes, ids)))
-
-    def _learn(self, new: set[str]) -> None:
-        split: dict[str, list[str]] = {}
-        for word in new:
-            if PLAIN_WORD.fullmatch(word) and "<|" not in word:
-                split[word] = PLAIN_PIECE.findall(word.lower())
+            word = np.array(found.word_ids, np.int64)
+            ends = np.searchsorted(word, np.arange(len(part)), "right") * 4
+            if len(word) and word[-1] == len(part) - 1:
+                raw, begins = np.array(found.ids, "<u4").tobytes(), [0, *ends[:-1].tolist()]
+                self.pieces.update(zip(part, [raw[a:b] for a, b in zip(begins, ends.tolist())]))
             else:
-                self.words[word] = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(self.pieces) > self.piece_limit:
-            self.pieces.clear()
-        self._learn_pieces(list({p for ps in split.values() for p in ps} - self.pieces.keys()))
-        get = self.pieces.__getitem__
-        for word, parts in split.items():
-            self.words[word] = b"".join(map(get, parts))
+                self.pieces.update((x, self._encode(x)) for x in part)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _by_words(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
         if len(self.words) > self.word_limit:
             self.words = {"": b""}
-        if new := set().union(*split) - self.words.keys():
-            self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for w in set(words) - self.words.keys():
+            self.words[w] = self._encode(w)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
+        split = [PIECE.findall(t.lower()) if PLAIN_TEXT.fullmatch(t) and "<|" not in t else None for t in (t or "" for t in texts)]
+        if len(self.pieces) > self.piece_limit:
+            self.pieces = {}
+        if new := set().union(*filter(None, split)) - self.pieces.keys():
+            self._learn(list(new))
+        get = self.pieces.__getitem__
+        return [self._by_words(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
