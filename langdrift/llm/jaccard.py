@@ -5,9 +5,9 @@
 2. A class can only be linked when at least the threshold's share of its tokens also
    occurs in other classes. Tokens are counted in packed blocks, one row for each
    block of documents and token bucket; all other classes are done.
-3. The others are partitioned into groups of similar classes: classes with the same
-   minimum hash are compared in bounded blocks, and verified links merge them into
-   groups; the groups' leaders go on to the next hash.
+3. The others are partitioned into groups of similar classes: for a few seeds, classes
+   with the same minimum hash are compared in bounded blocks, and verified links merge
+   them into groups.
 4. Token-group matrix: for each token the groups whose union holds it. Only tokens
    that occur in two groups can link classes of different groups. A class whose
    number of such tokens is below the threshold is done; for the others the overlap
@@ -280,53 +280,59 @@ def linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bo
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def link_block(names: list[int], sizes: list[int], sets: list[np.ndarray], percent: int, tries: int = 4) -> list[int]:
+def link_block(names: list[int], sizes: list[int], sets: list[np.ndarray], percent: int, tries: int = 64) -> list[int]:
     """For each class of a bounded block its group's leader: groups of verified links.
 
-    A class is compared with a few members of each group so far; what that misses is
-    found by the exact steps.
+    The most typical classes (whose tokens most others of the block have) come first
+    and lead: copies of one text that differ from each other more than from that text
+    meet through it. A class is compared with the first members of each group so
+    far; what that misses is found by the exact steps.
     """
+    tokens = np.concatenate(sets)
+    _, index, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    typical = np.bincount(own, weights=count[index], minlength=len(sets)) / np.maximum([len(s) for s in sets], 1)
     groups: list[list[int]] = []
-    order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
-    for i in order:
-        hits = [g for g in groups if any(linked(sets[i], sizes[i], sets[j], sizes[j], percent) for j in (g[:1] + g[-tries + 1 :]))]
-        groups = [g for g in groups if g not in hits] + [[j for g in hits for j in g] + [i]]
+    for i in sorted(range(len(names)), key=lambda i: (-typical[i], names[i])):
+        hits = [g for g in groups if any(linked(sets[i], sizes[i], sets[j], sizes[j], percent) for j in g[:tries])]
+        merged = [j for g in hits for j in g] + [i]
+        groups = [g for g in groups if g not in hits]
+        groups.insert(0, merged) if len(merged) > 1 else groups.append(merged)
     leaders = [0] * len(names)
     for g in groups:
-        leader = min(names[j] for j in g)
         for j in g:
-            leaders[j] = leader
+            leaders[j] = names[g[0]]
     return leaders
 
 
-def group_classes(classes: DataFrame, percent: int, rounds: int, block: int = 256) -> DataFrame:
-    """Groups of similar classes by verified links: class, group (the class that leads it).
+def group_classes(classes: DataFrame, percent: int, seeds: int, block: int = 256) -> DataFrame:
+    """Groups of similar classes by verified links: class, group (its least class).
 
-    Each round takes the groups' leaders, and links those with the same minimum hash
-    in blocks of about ``block``.
+    For each seed, classes with the same minimum hash are compared in blocks of about
+    ``block``. Classes of a hash that needs several blocks are dealt out twice, so that
+    the groups of its blocks meet in one another's members.
     """
-    groups = classes.select("class", F.col("class").alias("group"))
-    for seed in range(rounds):
-        salt = F.lit(f"{seed}")
-        least = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, salt)))
-        leaders = classes if seed == 0 else classes.join(groups.select(F.col("group").alias("class")).distinct(), "class", "left_semi")
-        keyed = leaders.select("class", least.alias("key"))
-        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-        keyed = join_small_values(keyed, counts, "key", "copies", max(1, keyed.count())).filter(F.col("copies").isNotNull())
-        keyed = keyed.withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("copies") / block)))
-        blocks = leaders.join(keyed.select("class", "key", "part"), "class")
-
-        def link(key, pdf):
-            import pandas as pd
-
-            leaders = link_block(pdf["class"].tolist(), pdf["n"].tolist(), [np.asarray(t) for t in pdf["tokens"]], percent)
-            return pd.DataFrame({"group": pdf["class"], "leader": leaders})
-
-        moved = blocks.select("class", "n", "tokens", "key", "part").groupBy("key", "part").applyInPandas(link, "group long, leader long").filter("group <> leader")
-        moved = written(moved, "leaders")
-        groups = groups.join(moved, "group", "left").select("class", F.coalesce("leader", "group").alias("group"))
-        groups = written(groups, "groups")
-    return groups
+    hashes = F.array(*[F.struct(F.lit(s).alias("seed"), F.array_min(F.transform("tokens", _seeded(s))).alias("least")) for s in range(seeds)])
+    keyed = written(classes.select("class", F.explode(hashes).alias("key")).select("class", "key.seed", "key.least"), "minimum-hashes").withColumn("key", F.xxhash64("seed", "least"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    keyed = join_small_values(keyed, counts, "key", "copies", max(1, keyed.count())).filter(F.col("copies").isNotNull())
+    deals = F.when(F.col("copies") > block, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    keyed = keyed.withColumn("deal", F.explode(deals)).withColumn("part", F.pmod(F.xxhash64("class", "deal"), F.ceil(F.col("copies") / block)))
+    blocks = classes.join(keyed.select("class", "key", "deal", "part"), "class")
+
+    def link(key, pdf):
+        import pandas as pd
+
+        leaders = link_block(pdf["class"].tolist(), pdf["n"].tolist(), [np.asarray(t) for t in pdf["tokens"]], percent)
+        return pd.DataFrame({"a": pdf["class"], "b": leaders})
+
+    edges = written(blocks.select("class", "n", "tokens", "key", "deal", "part").groupBy("key", "deal", "part").applyInPandas(link, "a long, b long").filter("a <> b").distinct(), "leaders")
+    roots = components(edges)
+    return written(classes.select("class").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("group")), "groups")
+
+
+def _seeded(seed: int):
+    return lambda t: F.xxhash64(t, F.lit(seed))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -361,10 +367,13 @@ def cross_links(classes: DataFrame, groups: DataFrame, percent: int) -> DataFram
     left = written(left, "cross-classes")
     if left.isEmpty():
         return left.select(F.col("group").alias("a"), F.col("group").alias("b")).limit(0)
-    # rarest tokens first: a linked pair shares one of the first size - threshold + 1
-    prefix = left.select("class", "group", "n", F.explode(F.slice("shared", 1, (F.size("shared") - threshold + 1).cast("int"))).alias("s")).select("class", "group", "n", F.col("s.token").alias("token"))
+    # rarest tokens first: a linked pair shares one of the first size - threshold + 1; from the first
+    # token that a pair shares on, each must have as many left as the pair has to share
+    size = F.size("shared")
+    prefix = left.select("class", "group", "n", size.alias("c"), F.posexplode(F.slice("shared", 1, (size - threshold + 1).cast("int"))).alias("at", "s")).select("class", "group", "n", (F.col("c") - F.col("at")).alias("left"), F.col("s.token").alias("token"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group"))
+    enough = F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    near = enough & (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group"))
     pairs = x.join(y, near).select(F.col("x.class").alias("x"), F.col("y.class").alias("y"), F.col("x.group").alias("a"), F.col("y.group").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     # the bound: how much of a class the union of a group holds
@@ -383,7 +392,7 @@ def cross_links(classes: DataFrame, groups: DataFrame, percent: int) -> DataFram
     return verified.filter(F.col("common") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("common")) * percent).select("a", "b").distinct()
 
 
-def link_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, seeds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of the documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Result, a row for each row of ``docs``: doc_id, n_shingles (size of the set),
@@ -402,7 +411,7 @@ def link_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, rounds:
     found = written(counted.mapInArrow(gather_classes(percent), CLASSES), "classes")
     members = found.filter(F.col("tokens").isNull()).select("doc_id", "n", "class")
     classes = found.filter(F.col("tokens").isNotNull()).select("class", "n", "tokens")
-    groups = group_classes(classes, percent, rounds)
+    groups = group_classes(classes, percent, seeds)
     edges = written(cross_links(classes, groups, percent), "cross-links")
     if not edges.isEmpty():
         roots = components(edges)
