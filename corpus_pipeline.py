@@ -12,7 +12,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject; no shuffle of texts."""
     model = queries.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     p = toxicity.chain_probabilities(model, spark, F.col("text"))
-    return docs.withColumn("_p", p).filter(F.col("_p")[len(model.categories) - 1] < 0.5).select(*docs.columns)
+    return docs.withColumn("_p", p).filter(F.col("_p")[len(model.categories) - 1] < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
