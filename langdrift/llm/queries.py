@@ -107,4 +107,34 @@ WITH e AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_temperature_mixing": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents
+), n AS (
+  SELECT source, CAST(sum(tokens) AS BIGINT) AS n FROM t GROUP BY source
+), sh AS (
+  SELECT source, n, n / sum(n) OVER () AS p, 0.95 * ln(count(*) OVER ()) AS wanted FROM n WHERE n > 0
+), h0 AS (
+  SELECT -sum(p * ln(p)) >= any_value(wanted) AS met FROM sh
+), b AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN f THEN lo ELSE m END, CASE WHEN f THEN m ELSE hi END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS m, ln(sum(pow(p, 1 - (lo + hi) / 2))) - (1 - (lo + hi) / 2) * sum(pow(p, 1 - (lo + hi) / 2) * ln(p)) / sum(pow(p, 1 - (lo + hi) / 2)) >= any_value(wanted) AS f
+    FROM b, sh WHERE i < 60 GROUP BY i, lo, hi)
+), x AS (
+  SELECT greatest(CASE WHEN (SELECT met FROM h0) THEN 1 ELSE 1 - (SELECT hi FROM b WHERE i = 60) END,
+    CASE WHEN max(p) / min(p) <= 2 THEN 0 ELSE 1 - ln(2) / ln(max(p) / min(p)) END) AS e FROM sh
+), w AS (
+  SELECT source, n, pow(p, e) / sum(pow(p, e)) OVER () AS weight, round(greatest(1, pow(max(p) OVER () / p, 1 - e)), 9) AS epochs FROM sh, x
+), plan AS (
+  SELECT n.source, coalesce(weight, 0) AS weight, CAST(floor(coalesce(epochs, 1)) AS BIGINT) AS whole, CAST(floor((coalesce(epochs, 1) - floor(coalesce(epochs, 1))) * n.n) AS BIGINT) AS rest FROM n LEFT JOIN w ON w.source IS NOT DISTINCT FROM n.source
+), k AS (
+  SELECT t.*, weight, whole, rest, substr(md5(concat_ws('|', '17', CAST(whole AS VARCHAR), CAST(doc_id AS VARCHAR))), 1, 16) AS key FROM t JOIN plan ON plan.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES), 0) - tokens AS before FROM k
+), draws AS (
+  SELECT doc_id, source, weight, unnest(range(0, whole + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END)) AS block FROM c
+)
+SELECT doc_id, source, round(weight, 6) AS weight, CAST(block AS INTEGER) AS block, substr(md5(concat_ws('|', '17', CAST(block AS VARCHAR), CAST(doc_id AS VARCHAR))), 1, 16) AS order_key FROM draws""",
 }
