@@ -33,7 +33,7 @@ from .token_ids import by_size
 
 FINGERPRINT = 40
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-BATCH_CHARACTERS = 4_000_000
+BATCH_CHARACTERS = 3_000_000
 
 
 def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:

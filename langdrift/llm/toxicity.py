@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ from .common import written
 WORD = re.compile(r"[^\W\d_]+")
 #: A document is rejected from this probability of the last category on.
 THRESHOLD = 0.3
+#: Words whose features a task keeps.
+WORDS_KEPT = 150_000
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = (3, 4, 5, 6)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def features_of_word(word: str) -> tuple[str, ...]:
     """A word and its beginnings, which also catch unseen inflections of a stem."""
     return (word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n))
@@ -51,6 +55,10 @@ class ChainModel:
     rows: int = 0
     _words: dict = field(default_factory=dict, repr=False)
 
+    def forget(self) -> None:
+        """Empties what a task kept of words."""
+        self._words.clear()
+
     def probabilities(self, texts) -> np.ndarray:
         """Probabilities of each text in each category; every link sees the earlier ones' probabilities."""
         get, cache = self.vocabulary.get, self._words
@@ -61,7 +69,7 @@ class ChainModel:
             for word in set(WORD.findall((text or "").lower())):
                 ids = cache.get(word)
                 if ids is None:
-                    if len(cache) > 300_000:
+                    if len(cache) > WORDS_KEPT:
                         cache.clear()
                     ids = cache[word] = tuple(x for f in features_of_word(word) if (x := get(f)) is not None)
                 present.update(ids)
@@ -123,8 +131,6 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     n_categories = len(categories)
 
     def count(frames):
-        import pandas as pd
-
         every, positive = Counter(), [Counter() for _ in range(n_categories)]
         for pdf in frames:
             for text, y in zip(pdf["text"], pdf["y"]):
@@ -134,11 +140,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
                     if y[c]:
                         positive[c].update(found)
             if len(every) > 500_000:
-                yield made(every, positive, pd)
+                yield made(every, positive)
                 every, positive = Counter(), [Counter() for _ in range(n_categories)]
-        yield made(every, positive, pd)
+        features_of_word.cache_clear()
+        yield made(every, positive)
 
-    def made(every, positive, pd):
+    def made(every, positive):
         return pd.DataFrame({"feature": list(every), "n": list(every.values())} | {f"n{c}": [positive[c][f] for f in every] for c in range(n_categories)})
 
     sums = ["n", *(f"n{c}" for c in range(n_categories))]
@@ -158,8 +165,6 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
                 vocabulary.setdefault(r[0], len(vocabulary))
 
     def encode(frames):
-        import pandas as pd
-
         for pdf in frames:
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "present": [sorted({vocabulary[f] for f in features_of_text(t) if f in vocabulary}) for t in pdf["text"]]})
 
@@ -186,13 +191,12 @@ def chain_probabilities(model: ChainModel, spark, text: str | Column = "text") -
     """A column: array with the probability of each category for whole texts. Null and empty texts have no features."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def probabilities(texts):
-        import pandas as pd
-
-        return pd.Series(list(shared.value.probabilities(texts.tolist())))
+    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(shared.value.probabilities(texts.tolist())))
+        shared.value.forget()
 
-    return probabilities(text)
+    return F.pandas_udf(probabilities, "array<double>")(text)
 
 
 def score_toxicity(docs: DataFrame, model: ChainModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
