@@ -51,20 +51,25 @@ class BoundedBestFit:
             self.n_open += 1
         return found, self.capacity - free
 
-    def still_open(self) -> set[int]:
-        return {b for bins in self.by_free.values() for b in bins}
+    def still_open(self, most: int | None = None) -> set[int]:
+        """The open bins, or ``most`` of them with the most free space."""
+        return set([b for free in sorted(self.by_free, reverse=True) for b in self.by_free[free]][:most])
 
 
 def repack(capacity: int, open_bins: int, last: bool):
-    """Packs one group of carried pieces, longest first; all are placed for good when it is the last."""
+    """Packs one group of carried pieces, longest first; all are placed for good when it is the last.
+
+    All bins of the group stay open until it ends, for the short pieces that fill
+    them come last; then the ``open_bins`` emptiest are carried on.
+    """
 
     def pack(table):
         import pyarrow as pa
 
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        fit = BoundedBestFit(capacity, open_bins)
+        fit = BoundedBestFit(capacity, table.num_rows)
         places = [fit.place(n) for n in table["length"].to_pylist()]
-        still = set() if last else fit.still_open()
+        still = set() if last else fit.still_open(open_bins)
         new = {"bin": pa.array([b for b, _ in places], pa.int64()), "offset": pa.array([o for _, o in places], pa.int64()), "carried": pa.array([b in still for b, _ in places], pa.bool_())}
         for name, column in new.items():
             table = table.set_column(table.schema.get_field_index(name), name, column)
@@ -86,7 +91,8 @@ def pack_documents(
     its own pieces with ``BoundedBestFit`` while they stream by: nothing is
     shuffled, memory is ``open_bins`` bins. The pieces of bins still open at the end
     (at most ``open_bins`` a task) are packed again, longest first, ``fan_in`` tasks'
-    at a time, until one group is left; so only the last group leaves bins unfilled.
+    at a time and with all of a group's bins (at most ``fan_in * open_bins``) open,
+    until one group is left; each group carries its ``open_bins`` emptiest bins on.
 
     Result per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset
     and, if asked for, ids. Null and empty texts are the end id alone; rows that

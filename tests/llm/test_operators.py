@@ -111,6 +111,21 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, PATH).count() == 0
 
 
+@pytest.mark.parametrize("fan_in", [4, 64])
+def test_packing_of_many_tasks_fills_sequences(spark, fan_in):
+    rng = random.Random(5)
+    words = [40, 40, 40, 40, 24, 24, 24, 24]  # every second task has the short texts that fill the other's bins
+    rows = [(k, "a " * (n - rng.choice([1, 1, 2]))) for k, n in enumerate(words * 12)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 24), "doc_id long, text string")
+    got = packing.pack_documents(docs, PATH, capacity=64, open_bins=4, fan_in=fan_in).collect()
+    assert len(got) == len(rows)
+    used = collections.Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 64
+    assert len(used) <= 1.03 * math.ceil(sum(used.values()) / 64)
+
+
 def test_best_fit_takes_the_fullest_bin_that_fits():
     fit = packing.BoundedBestFit(10, 2)
     assert [fit.place(n) for n in (6, 5, 4, 3, 8, 2)] == [(0, 0), (1, 0), (0, 6), (1, 5), (2, 0), (2, 8)]
