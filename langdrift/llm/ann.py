@@ -20,6 +20,7 @@ class ListIndex:
     probes: int
     sample: np.ndarray
     sample_ids: np.ndarray
+    sample_lists: np.ndarray
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -49,12 +50,28 @@ def fit_lists(ids: np.ndarray, sample: np.ndarray, n_rows: int, k: int, recall:
     far[np.arange(len(asked)), asked] = np.inf
     k = min(k, n - 1)
     if k < 1 or n_lists == 1:
-        return ListIndex(rotation, centres, n_lists, sample, ids)
+        return ListIndex(rotation, centres, n_lists, sample, ids, own)
     true = np.argpartition(far, k - 1, axis=1)[:, :k]
     order = np.argsort(np.argsort((centres**2).sum(1)[None] - 2 * sample[asked] @ centres.T, axis=1), axis=1)
     ranks = np.take_along_axis(order, own[true], axis=1).ravel()
     need = int(np.quantile(ranks, recall, method="higher")) + 1
-    return ListIndex(rotation, centres, min(n_lists, need + -(-n_lists // 10)), sample, ids)
+    return ListIndex(rotation, centres, min(n_lists, need + -(-n_lists // 10)), sample, ids, own)
+
+
+def first_bound(fit: ListIndex, probed: np.ndarray, query_id: int, query: np.ndarray, k: int) -> float:
+    """Squared distance within which ``k`` sample rows of the probed lists lie; infinite where there are fewer.
+
+    The rows are chosen in single precision and measured by differences in double.
+    """
+    asked = np.zeros(len(fit.centres), bool)
+    asked[probed] = True
+    usable = asked[fit.sample_lists] & (fit.sample_ids != query_id)
+    if usable.sum() < k:
+        return np.inf
+    far = np.einsum("ij,ij->i", fit.sample, fit.sample) - 2 * fit.sample @ query.astype(np.float32)
+    far[~usable] = np.inf
+    near = fit.sample[np.argpartition(far, k - 1)[:k]].astype(np.float64)
+    return float(((near - query) ** 2).sum(1).max())
 
 
 def adaptive_scan(query: np.ndarray, rotated_query: np.ndarray, exact: np.ndarray, blocks: list[np.ndarray], ids: np.ndarray, k: int, bound: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +119,9 @@ def nearest_neighbours(
     indexed. Lists are cut into blocks of about ``block_rows`` rows, so that a list
     with a third of all rows is many tasks' work; a query goes to each block of its
     probed lists, is scanned there by ``adaptive_scan``, and brings back at most
-    ``k`` rows a block.
+    ``k`` rows a block. The first bound comes from sample rows of the probed lists;
+    queries that are left with fewer than ``k`` rows all the same (a candidate may be
+    abandoned by chance) are compared with every row of their lists.
 
     Result: query_id, rank (from 1), vec_id, score (Euclidean distance on the
     original vectors in double precision); ties to the smaller vec_id. A query has
@@ -135,7 +154,7 @@ def nearest_neighbours(
     sizes = np.zeros(len(fitted.centres), np.int64)
     for r in listed.groupBy("list").count().collect():  # at most 4096 lists
         sizes[r["list"]] = r["count"]
-    n_blocks = -(-sizes // block_rows)
+    n_rows, n_blocks = int(sizes.sum()), -(-sizes // block_rows)
     probes = fitted.probes
 
     def probe(frames):
@@ -145,20 +164,18 @@ def nearest_neighbours(
                 continue
             q = np.stack(pdf["v"].to_numpy()).astype(np.float32)
             order = np.argsort((fit.centres**2).sum(1)[None] - 2 * q @ fit.centres.T, axis=1, kind="stable")
-            far = (q**2).sum(1)[:, None] + (fit.sample**2).sum(1)[None] - 2 * q @ fit.sample.T
-            far[pdf["vec_id"].to_numpy()[:, None] == fit.sample_ids[None]] = np.inf
-            bounds = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(q), np.inf)
             out = []
-            for i, (vec, query) in enumerate(zip(pdf["vec_id"].tolist(), pdf["v"].tolist())):
-                enough = int(np.searchsorted(np.cumsum(sizes[order[i]]), k + 1)) + 1
-                for lst in order[i][: max(probes, enough)].tolist():
-                    out += [(vec, query, lst, b, float(bounds[i]) * (1 + 1e-4) + 1e-5) for b in range(n_blocks[lst])]
+            for i, (vec, query, own) in enumerate(zip(pdf["vec_id"].tolist(), pdf["v"].tolist(), pdf["own"].tolist())):
+                enough = int(np.searchsorted(np.cumsum(sizes[order[i]]), k + own)) + 1
+                probed = order[i][: max(probes, enough)]
+                bound = first_bound(fit, probed, vec, np.array(query), k) * (1 + 1e-4) + 1e-5
+                out += [(vec, query, lst, b, bound) for lst in probed.tolist() for b in range(n_blocks[lst])]
             import pandas as pd
 
             yield pd.DataFrame(out, columns=["query_id", "q", "list", "block", "bound"])
 
-    queries = listed.filter(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"]).select("vec_id", "v").repartition(partitions(spark))
-    asked = queries.mapInPandas(probe, "query_id long, q array<double>, list int, block int, bound double")
+    queries = listed.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("own"))
+    queries = written(queries.repartition(partitions(spark)), "ann-queries")
     blocks = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in n_blocks]), F.col("list") + 1)
     stored = listed.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
 
@@ -178,6 +195,29 @@ def nearest_neighbours(
                 out += [(query_id, v, s) for v, s in zip(got.tolist(), np.sqrt(far).tolist())]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = stored.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scan_all(key, store, ask):
+        import pandas as pd
+
+        out = []
+        if len(store) and len(ask):
+            exact, ids = np.stack(store["v"].to_numpy()).astype(np.float64), store["vec_id"].to_numpy()
+            for query_id, q in zip(ask["query_id"].tolist(), ask["q"]):
+                other = ids != query_id
+                got, far = best(ids[other], ((exact[other] - q) ** 2).sum(1), k)
+                out += [(query_id, v, s) for v, s in zip(got.tolist(), np.sqrt(far).tolist())]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    def ranked(queries, stored, how):
+        asked = queries.mapInPandas(probe, "query_id long, q array<double>, list int, block int, bound double")
+        found = stored.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(how, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = written(ranked(queries, stored, scan), "ann-found")
+    have = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("have"))
+    short = queries.join(have, "vec_id", "left").filter(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), n_rows - F.col("own"))).drop("have")
+    short = written(short, "ann-short")
+    if short.isEmpty():
+        return found
+    whole = ranked(short.repartition(partitions(spark)), stored, scan_all)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(whole)

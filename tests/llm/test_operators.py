@@ -193,6 +193,16 @@ def test_nearest_neighbours(spark):
     assert sorted(r["vec_id"] for r in few) == [21, 22]
 
 
+def test_every_query_has_k_neighbours(spark):
+    rng = np.random.default_rng(11)
+    points = rng.standard_normal((600, 16)) + 3 * rng.standard_normal((12, 16))[rng.integers(0, 12, 600)]
+    rows = [(min(i, 580), v.tolist()) for i, v in enumerate(points)]  # the last id has 20 rows
+    rows += [(1000 + i, (v / 100 + 3000).tolist()) for i, v in enumerate(points[:100])]  # close together, far from zero
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter(r["query_id"] for r in ann.nearest_neighbours(df, k=10, query_step=1, block_rows=64, column_block=4).collect())
+    assert got == {i: 10 for i, _ in rows}
+
+
 def test_bit_slices(spark):
     df = vectors(spark, dims=6)
     got = sorted(tuple(r) for r in bitslice.exact_top_k(df, k=20, query_step=20, block_rows=100, query_rows=7).select("query_id", "rank", "vec_id", "score").collect())
