@@ -216,6 +216,19 @@ def tokenise(spark, d):
     return rows.select("uid", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
+@query()
+def clean_text_all(spark, d):
+    """All documents, with other than ASCII characters and without a text too."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("uid"), F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
+
+
+@query()
+def tokenise_all(spark, d):
+    """All documents, with other than ASCII characters and without a text too."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("uid"), T.tokenise(F.col("text")).alias("t"))
+    return rows.select("uid", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
+
+
 @query("""SELECT s_suppkey AS member, s_name AS name, position(' ' IN s_name) = 0 AS single FROM supplier""")
 def display_name(spark, d):
     s = table(spark, d, "supplier").withColumn("n", F.concat(F.element_at(F.array(F.lit("Mr "), F.lit("Dr. "), F.lit("Rt Hon Sir "), F.lit("")), (F.col("s_suppkey") % 4 + 1).cast("int")), F.col("s_name")))

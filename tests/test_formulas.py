@@ -1,7 +1,10 @@
 """Hand-computed cases of the formulas."""
 
 import datetime as dt
+import hashlib
 import math
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from langdrift.functions import tails, text
 from langdrift.operators import clusters, collocates, corpus, counts, models, sampling, significance, statistics, windows
+from langdrift.plans.queries import QUERIES
 
 
 def rows(df, *columns):
@@ -161,6 +165,27 @@ def test_fuzzy_names_match_once(spark):
     assert rows(corpus.match_fuzzy(left, right, "place", "code"), "id", "code") == [(1, 7), (2, 7)]
 
 
+def cleaned_by_hand(t):
+    t = re.sub(r"[0-9]+([.,][0-9]+)*", "NUMBER", t.lower().strip(" "))
+    t = re.sub(r"([.,!?:;]+)([A-Za-z0-9_])", r"\1 \2", re.sub(r"[\r\n]", " ", t))
+    return re.sub(" +", " ", unicodedata.normalize("NFKD", t))
+
+
+def tokens_by_hand(t):
+    t = re.sub(r"([!-/:-@\[-`{-~])[!-,./:-@\[-`{-~]+", r"\1 ", cleaned_by_hand(t))
+    return [m[0] for m in re.finditer(r"[A-Za-z0-9_À-ɏ]+(?:['-][A-Za-z0-9_À-ɏ]+)*-?|[^\sA-Za-z0-9_À-ɏ]", t)]
+
+
+def test_all_documents_are_cleaned_and_tokenised(spark, tmp_path):
+    texts_ = {1: "plain, text!! 1,234.5", 2: "L'été à Nîmes; c’est l'œuvre…", 3: "Größe: 12 µm  ﬁne ｆｕｌｌ", 4: "¿Dónde está\nel Año?", 5: "日本語 テキスト", 6: "", 7: None}
+    spark.createDataFrame(list(texts_.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    want = sorted((i, md5(t if t is None else cleaned_by_hand(t))) for i, t in texts_.items())
+    assert rows(QUERIES["clean_text_all"](spark, str(tmp_path)), "uid", "cleaned") == want
+    want = sorted((i, None if t is None else len(tokens_by_hand(t)), md5(t if t is None else " ".join(tokens_by_hand(t)))) for i, t in texts_.items())
+    assert rows(QUERIES["tokenise_all"](spark, str(tmp_path)), "uid", "n_tokens", "tokens") == want
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Hello,World!! It's 1,234.5\nno- ﬁne ",), (None,), ("",)], "t string")
     found = [r[0] for r in df.select(text.tokenise(F.col("t"))).collect()]
