@@ -68,6 +68,12 @@ _SAMPLED = f"""{TOKENS}, sam0 AS (SELECT CAST(run AS INTEGER) AS run, year(date)
   sb AS (SELECT run, window_no, "group", uid, role, unnest(list_zip(list_prepend(chr(2), tokens), list_append(tokens, chr(2)))) AS b FROM sam0), sam AS (SELECT run, window_no, "group", uid, role, b[1] AS w1, b[2] AS w2 FROM sb)"""
 
 
+def sampled_all(spark, d) -> DataFrame:
+    """Texts of every party and year in two runs, with their role."""
+    rows = sampling.with_runs(token_texts(spark, d).withColumn("window_no", F.year("date")).withColumn("group", F.col("party")), 2)
+    return rows.withColumn("role", F.when((F.col("member") + F.col("run")) % 5 < 3, "snapshot").otherwise("test"))
+
+
 def sampled(spark, d) -> DataFrame:
     rows = token_texts(spark, d).filter(F.col("party").isin(_PARTIES)).withColumn("window_no", F.year("date")).filter("window_no between 1996 and 1998").withColumn("group", F.col("party"))
     rows = sampling.with_runs(rows, 2)
@@ -151,6 +157,65 @@ def sample_meta(spark, d):
     return sampling.sample_meta(sampled(spark, d))
 
 
+# The same over all groups, windows and runs; the SQL of the queries above names two parties and three years.
+
+
+@query()
+def bigram_model_all(spark, d):
+    return models.train_bigrams(sampled_all(spark, d).filter("role = 'snapshot'"), ["run", "window_no", "group"])
+
+
+@query()
+def ce_matrix_all(spark, d):
+    return rounded(models.ce_matrix(sampled_all(spark, d)), "ce")
+
+
+@query()
+def ce_fluctuation_all(spark, d):
+    return rounded(models.ce_fluctuation(sampled_all(spark, d)), "ce")
+
+
+@query()
+def kld_matrix_all(spark, d):
+    return rounded(models.kld_matrix(sampled_all(spark, d)), "kld")
+
+
+@query()
+def kld_fluctuation_all(spark, d):
+    return rounded(models.kld_fluctuation(sampled_all(spark, d)), "kld").withColumnRenamed("group", "grp")
+
+
+@query()
+def snapshot_cross_entropy_all(spark, d):
+    """Each run's test texts under its own snapshot of the year before; a run and year is one snapshot number."""
+    number = lambda back: F.col("run") * 10000 + F.col("window_no") - back
+    rows = sampled_all(spark, d)
+    tests = rows.filter("role = 'test'").withColumn("snapshot_no", number(1))
+    found = models.snapshot_cross_entropy(tests, rows.filter("role = 'snapshot'").withColumn("window_no", number(0)))
+    return rounded(found.select(F.floor(F.col("snapshot_no") / 10000).cast("int").alias("run"), (F.col("snapshot_no") % 10000).alias("snapshot_no"), "uid", "ce"), "ce")
+
+
+@query()
+def ace_run_means_all(spark, d):
+    return rounded(models.run_means(models.ce_matrix(sampled_all(spark, d))), "mean_ce", "std_ce")
+
+
+@query()
+def ace_mean_std_all(spark, d):
+    return rounded(models.mean_std(models.run_means(models.ce_matrix(sampled_all(spark, d)))), "mean", "std")
+
+
+@query()
+def ace_difference_all(spark, d):
+    """The two named groups in every window."""
+    return rounded(models.ace_difference(models.run_means(models.ce_matrix(sampled_all(spark, d))), *_PARTIES), "difference")
+
+
+@query()
+def sample_meta_all(spark, d):
+    return sampling.sample_meta(sampled_all(spark, d))
+
+
 @query()
 def ace_chunks_job(spark, d):
     """The whole job over chunks: groups, windows, repeated balanced splits, cross-entropy, means."""
@@ -358,6 +423,15 @@ def word2vec_groups(spark, d):
     return vectors.top_vocabulary(found, 150).select("party", "word", "n", F.size("vector").alias("dims"))
 
 
+@query()
+def word2vec_groups_all(spark, d):
+    """Vectors of every party's texts, whole vocabularies."""
+    texts = token_texts(spark, d)
+    parties = sorted(r["party"] for r in texts.select("party").distinct().collect())
+    found = vectors.train_vectors(texts, "party", parties, size=16, min_count=2)
+    return found.select("party", "word", "n", F.size("vector").alias("dims"))
+
+
 # L: clusters
 
 
@@ -390,6 +464,13 @@ def results_roundtrip(spark, d):
     return files.read_results(files.nested_results(flat)).select("run", "snap_group", "test_group", "window_start", "uid", "ce")
 
 
+@query()
+def results_roundtrip_all(spark, d):
+    """Flat results of all groups and windows to the nested JSON view and back."""
+    flat = rounded(models.ce_matrix(sampled_all(spark, d)), "ce").withColumn("window_start", F.make_date("window_no", F.lit(1), F.lit(1)))
+    return files.read_results(files.nested_results(flat)).select("run", "snap_group", "test_group", "window_start", "uid", "ce")
+
+
 @query(f"""WITH {TOKENS} SELECT uid, md5(array_to_string(list_transform(tokens, lambda t: 'P' || len(t)), ' ')) AS pos FROM texts""")
 def tagged_tokens(spark, d):
     """Token lines as JSON and back; the parts of speech as a token stream."""
