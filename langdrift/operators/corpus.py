@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import similarity
+from ..functions.tails import common_subsequence, similarity
 from ..functions.text import lean
 
 
@@ -89,22 +90,69 @@ def match_fuzzy(left: DataFrame, right: DataFrame, key: str, result: str, name:
     """``left`` with ``result`` of the row of ``right`` whose ``key`` is equal or else most similar; unmatched rows are dropped.
 
     A similar key must exceed ``least`` with a similar name, or ``least_alone`` where
-    there is no name to compare. Only rows without an equal key are compared, and only
-    with keys of the same first letter, by an equi-join on it.
+    there is no name to compare. Only rows without an equal key are compared, each
+    distinct key with all keys of ``right`` that can be similar enough (``similar_keys``).
     """
     r = right.select(F.col(key).alias("_key"), F.col(result), *([F.col(name).alias("_name")] if name else [])).dropDuplicates(["_key"])
     joined = left.join(r.select("_key", result), F.col(key) == F.col("_key"), "left")
     equal = joined.filter(F.col("_key").isNotNull()).drop("_key")
-    block = lambda c: F.lower(F.substring(F.trim(c), 1, 1))
-    rest = left.join(r, F.col(key) == F.col("_key"), "left_anti").withColumn("_row", F.xxhash64(*left.columns)).withColumn("_block", block(key))
-    close = rest.join(r.withColumn("_block", block("_key")), "_block").withColumn("_s", similarity(F.col(key), F.col("_key")))
+    rest = left.join(r, F.col(key) == F.col("_key"), "left_anti").withColumn("_row", F.xxhash64(*left.columns))
+    pairs = similar_keys(rest.select(F.col(key).alias("_own")), r.select("_key"), min(least, least_alone) if name else least)
+    close = rest.join(pairs, F.col(key) == F.col("_own")).drop("_own").join(r, "_key")
     if name:
         close = close.withColumn("_n", similarity(F.col(name), F.col("_name"))).filter(((F.col("_s") > least) & (F.col("_n") > least_name)) | (F.col("_s") > least_alone))
-    else:
-        close = close.filter(F.col("_s") > least)
     return equal.unionByName(first_by(close, ["_row"], F.desc("_s"), F.col("_key")).select(*left.columns, result))
 
 
+def similar_keys(own: DataFrame, keys: DataFrame, least: int, block: int = 4096) -> DataFrame:
+    """_own, _key, _s of all pairs of ``_own`` and ``_key`` whose similarity exceeds ``least`` (50 or more).
+
+    Similar keys have lengths within a ratio, so they fall into equal or neighbouring
+    length classes. Blocks of about ``block`` keys of such classes meet in a task, where
+    two bounds that no similar pair misses come before the comparison: a common
+    subsequence isn't longer than the characters that both have, and one of length L
+    keeps at least L - 1 pairs of neighbours but for one for each character left over.
+    The bounds are matrix work that grows with the product of both sides.
+    """
+    share = (least + 0.5) / 200
+    ratio = math.log(1 / share - 1) + 1e-9
+    klass = lambda c: F.floor(F.log(F.length(c)) / ratio).cast("int")
+    own, keys = (df.filter(F.length(c) > 0).select(c).distinct().withColumn("_class", klass(F.col(c))) for df, c in ((own, "_own"), (keys, "_key")))
+    a, b = (max(1, -(-df.count() // block)) for df in (own, keys))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = own.withColumn("_class", F.explode(F.array(*[F.col("_class") + i for i in (-1, 0, 1)]))).withColumn("_a", F.pmod(F.xxhash64("_own"), F.lit(a)).cast("int")).withColumn("_b", every(b))
+    keys = keys.withColumn("_b", F.pmod(F.xxhash64("_key"), F.lit(b)).cast("int")).withColumn("_a", every(a))
+
+    def compare(mine, theirs):
+        import numpy as np
+        import pandas as pd
+
+        def shape(texts):
+            single, double = np.zeros((len(texts), 64), np.uint16), np.zeros((len(texts), 256), np.uint16)
+            for i, t in enumerate(texts):
+                codes = np.fromiter(map(ord, t), np.int64, len(t))
+                np.add.at(single[i], codes % 64, 1)
+                np.add.at(double[i], (codes[:-1] * 31 + codes[1:]) % 256, 1)
+            return np.array([len(t) for t in texts], np.int64), single, double
+
+        out, others = [], theirs["_key"].tolist()
+        if len(mine) and others:
+            sizes, singles, doubles = shape(others)
+            for text, size, single, double in zip(mine["_own"].tolist(), *shape(mine["_own"].tolist())):
+                need = np.ceil(share * (size + sizes) - 1e-6)
+                at = np.flatnonzero(np.minimum(size, sizes) >= need)
+                at = at[np.minimum(singles[at], single).sum(1) >= need[at]]
+                at = at[np.minimum(doubles[at], double).sum(1) >= 3 * need[at] - size - sizes[at] - 1]
+                for i in at.tolist():
+                    s = round(200 * common_subsequence(text, others[i]) / (size + len(others[i])))
+                    if s > least:
+                        out.append((text, others[i], s))
+        return pd.DataFrame(out, columns=["_own", "_key", "_s"])
+
+    by = ["_class", "_a", "_b"]
+    return own.groupBy(*by).cogroup(keys.groupBy(*by)).applyInPandas(compare, "_own string, _key string, _s int")
+
+
 def merge_stances(*sources: DataFrame, member: str = "member") -> DataFrame:
     """Full outer join of stance sources on the member."""
     return reduce(lambda a, b: a.join(b, member, "full"), sources)

@@ -89,9 +89,9 @@ def stance_full_merge(spark, d):
 
 @query()
 def fuzzy_match(spark, d):
-    """Part names with a letter changed find the name they came from."""
+    """Part names with a letter changed, the first one among them, find the name they came from."""
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    spelt = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("p_name", "a", "e")).otherwise(F.col("p_name")).alias("name"))
+    spelt = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("p_name", "a", "e")).when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Q"), F.substring("p_name", 2, 1000))).otherwise(F.col("p_name")).alias("name"))
     right = p.groupBy("p_name").agg(F.min("p_partkey").alias("found")).withColumnRenamed("p_name", "name")
     return corpus.match_fuzzy(spelt, right, "name", "found")
 

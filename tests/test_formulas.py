@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import math
+import random
 import re
 import unicodedata
 
@@ -165,6 +166,25 @@ def test_fuzzy_names_match_once(spark):
     assert rows(corpus.match_fuzzy(left, right, "place", "code"), "id", "code") == [(1, 7), (2, 7)]
 
 
+def test_fuzzy_names_match_as_by_comparing_all(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcé ") for _ in range(rng.choice([1, 2, 5, 7, 8, 12, 20, 30]))) + str(i) for i in range(150)]
+    left = [(0, "Ýnys Môn Isle"), (1, ""), (2, None)]
+    for i, n in enumerate(names):  # letters changed, left out and added anywhere, the first one too
+        at = rng.choice([0, 0, rng.randrange(len(n))])
+        left.append((i + 3, n[:at] + rng.choice(["", "x", "xy"]) + n[at + rng.choice([0, 1]) :]))
+    right = [(n, i) for i, n in enumerate([*names, "Ynys Môn Isle"])]
+    equal = dict(right)
+    want = []
+    for i, own in left:
+        scores = [] if not own else [(-round(200 * tails.common_subsequence(own, n) / (len(own) + len(n))), n, k) for n, k in right]
+        found = [(0, own, equal[own])] if own in equal else [x for x in scores if x[0] < -85]
+        want += [(i, min(found)[2])] if found else []
+    args = spark.createDataFrame(left, "id long, place string"), spark.createDataFrame(right, "place string, code long")
+    assert rows(corpus.match_fuzzy(*args, "place", "code"), "id", "code") == sorted(want)
+    assert (0, 150) in want
+
+
 def cleaned_by_hand(t):
     t = re.sub(r"[0-9]+([.,][0-9]+)*", "NUMBER", t.lower().strip(" "))
     t = re.sub(r"([.,!?:;]+)([A-Za-z0-9_])", r"\1 \2", re.sub(r"[\r\n]", " ", t))
