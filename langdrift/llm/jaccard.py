@@ -1,23 +1,26 @@
 """Exact n-gram Jaccard join of whole texts through a token-group matrix.
 
-1. Texts become sets of 46-bit shingle tokens. Equal sets are one class, named by a
+1. Texts become sets of 64-bit shingle tokens. Equal sets are one class, named by a
    63-bit digest; all that follows works on classes, so copies cost one row each.
 2. A class can only be linked when at least the threshold's share of its tokens also
    occurs in other classes. Tokens are counted in packed blocks, one row for each
    block of documents and token bucket; all other classes are done.
 3. The others are partitioned into groups of similar classes: for a few seeds, classes
-   with the same minimum hash are compared in bounded blocks, and verified links merge
-   them into groups.
-4. Token-group matrix: for each token the groups whose union holds it. Only tokens
-   that occur in two groups can link classes of different groups. A class whose
-   number of such tokens is below the threshold is done; for the others the overlap
-   with a group's union bounds the overlap with each of its members, and only groups
-   that reach the threshold are opened. Their members are compared where they share a
-   token among the rarest ones that any qualifying pair must share.
-5. Verified links between groups join groups to components.
-
-Steps 2 and 4 are exact filters, step 3 only decides in which groups classes are; so
-no link is lost, whatever the minimum hashes do.
+   with the same minimum hash are compared in bounded blocks. Pairs that reach the
+   threshold join a cluster, pairs of some likeness a family; families are cut into
+   groups of bounded size that keep clusters together. A cluster too large for that is a
+   group of its own, kept in several parts.
+4. Members of one group that no cluster joins yet are compared inside it.
+5. Token-group matrix: for each token the groups whose token union holds it. Only tokens
+   of two groups can link classes of different groups. A class with fewer of them than
+   the threshold needs is done; the others ask for the groups that hold one of the rarest
+   tokens that any linked class must share. A pair of groups that ask for one another is
+   a candidate: there a class's overlap with the union of each part bounds its overlap
+   with every member, and members are only opened for classes that reach the threshold.
+6. Verified links join clusters to components.
+
+Steps 2, 4 and 5 are exact, step 3 only decides which classes are in a group; so no
+link is lost, whatever the minimum hashes do.
 """
 
 from __future__ import annotations
@@ -25,15 +28,22 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small_values, partitions, written
+from .common import give_back, join_small_values, partitions, written
 from .token_ids import by_size
 
-FINGERPRINT = 40
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BATCH_CHARACTERS = 3_000_000
+#: Least number of token buckets: what is left of a token in its bucket then fits 7 bytes.
+LEAST_BUCKETS = 256
+#: Text bytes for each partition of the token and class buckets, which tasks hold whole.
+BUCKET_BYTES = 64 << 20
+#: Classes and tokens of a block or part, which a task holds whole.
+PART_CLASSES, PART_TOKENS = 512, 1_000_000
+#: Percentage of Jaccard similarity from which classes are of one family.
+FAMILY = 30
 
 
 def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -91,140 +101,162 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(values)))
 
 
-BLOCKS = "dest int, kind int, owners binary, counts binary, tokens binary, marks binary"
+def split_by(keys: np.ndarray):
+    """(key, positions) for each distinct key, positions in order."""
+    order = np.argsort(keys, kind="stable")
+    first, n = runs(keys[order])
+    for f, k in zip(first.tolist(), n.tolist()):
+        yield int(keys[order[f]]), order[f : f + k]
+
+
+BLOCKS = "dest int, kind int, bucket int, owners binary, counts binary, tokens binary, marks binary"
 POSTINGS, KNOWN, SHARED, MEMBERS, SIZES = range(5)
 
 
+class Buckets:
+    """Token buckets: equal ranges of 64-bit tokens, ``a_partition`` of them in each of ``width`` partitions."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.n = width * -(-LEAST_BUCKETS // width)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        return (((tokens >> np.uint64(32)) * np.uint64(self.n)) >> np.uint64(32)).astype(np.int64)
+
+    def start(self, bucket: int) -> np.uint64:
+        """The least token of a bucket."""
+        return np.uint64((-(-(bucket << 32) // self.n)) << 32)
+
+    def pack(self, bucket: int, tokens: np.ndarray) -> tuple[bytes, bytes]:
+        """Tokens of a bucket in 7 bytes each."""
+        rest = tokens - self.start(bucket)
+        return (rest & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (rest >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+    def unpack(self, bucket: int, tokens: bytes, marks: bytes) -> np.ndarray:
+        high = np.zeros((len(marks) // 3, 4), np.uint8)
+        high[:, :3] = np.frombuffer(marks, np.uint8).reshape(-1, 3)
+        return np.frombuffer(tokens, "<u4").astype(np.uint64) + (high.view("<u4").ravel().astype(np.uint64) << np.uint64(32)) + self.start(bucket)
+
+
 class Blocks:
     """Rows of ``BLOCKS``: postings as owners, the number of tokens of each, and the tokens."""
 
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def add(self, dest: int, kind: int, owners=b"", counts=b"", tokens=b"", marks=b"") -> None:
-        self.rows.append((dest, kind, owners, counts, tokens, marks))
+    def add(self, dest: int, kind: int, bucket: int = -1, owners=b"", counts=b"", tokens=b"", marks=b"") -> None:
+        self.rows.append((dest, kind, bucket, owners, counts, tokens, marks))
 
-    def postings(self, dest: int, kind: int, owners: np.ndarray, tokens: np.ndarray) -> None:
-        """``owners`` in order; tokens of ``POSTINGS`` are packed in 5 bytes, as their bucket is known."""
+    def postings(self, dest: int, kind: int, bucket: int, owners: np.ndarray, tokens: bytes, marks: bytes = b"") -> None:
+        """``owners`` in order, one for each token."""
         first, n = runs(owners)
-        packed = (tokens & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (tokens >> np.uint64(32)).astype(np.uint8).tobytes()
-        if kind in (SHARED, SIZES):
-            packed = tokens.astype("<u8").tobytes(), b""
-        self.add(dest, kind, owners[first].astype("<i8").tobytes(), n.astype("<u4").tobytes(), *packed)
+        self.add(dest, kind, bucket, owners[first].astype("<i8").tobytes(), n.astype("<u4").tobytes(), tokens, marks)
 
     def batch(self):
         import pyarrow as pa
 
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        names = ["dest", "kind", "owners", "counts", "tokens", "marks"]
+        types = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        names = ["dest", "kind", "bucket", "owners", "counts", "tokens", "marks"]
         out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows), types)], names)
         self.rows = []
         return out
 
 
-def packed_tokens(tokens: bytes, marks: bytes) -> np.ndarray:
-    low = np.frombuffer(tokens, "<u4").astype(np.uint64)
-    return low | (np.frombuffer(marks, np.uint8).astype(np.uint64) << np.uint64(32))
-
-
-def split_by(keys: np.ndarray):
-    """(key, positions) for each distinct key, positions in order."""
-    order = np.argsort(keys, kind="stable")
-    first, n = runs(keys[order])
-    for f, k in zip(first.tolist(), n.tolist()):
-        yield int(keys[order[f]]), order[f : f + k]
+def repeated(owners: bytes, counts: bytes) -> np.ndarray:
+    return np.repeat(np.frombuffer(owners, "<i8"), np.frombuffer(counts, "<u4"))
 
 
 def to_blocks(size: int, width: int):
-    """Documents to blocks: their tokens to token buckets, sizes and members to class buckets."""
+    """Documents to blocks: their tokens to token buckets, sizes and members to class buckets.
+
+    The tokens of a class go out once in each task.
+    """
+    buckets = Buckets(width)
 
-    def emit(blocks: Blocks, ids: list, texts: list, spread: int) -> None:
+    def emit(blocks: Blocks, ids: list, texts: list, spread: int, seen: set) -> None:
         sets = shingle_sets(texts, size)
         classes = np.array([class_of(s) if len(s) else -1 for s in sets], np.int64)
         sizes = np.array([len(s) for s in sets], np.int64)
         known = np.array([i is not None for i in ids], np.uint8)
-        blocks.add(spread, MEMBERS, classes.tobytes(), sizes.astype("<i8").tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes())
+        blocks.add(spread, MEMBERS, -1, classes.tobytes(), sizes.astype("<i8").tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes())
         names, first = np.unique(classes, return_index=True)
-        first = first[names >= 0]
+        first = np.array([i for c, i in zip(names.tolist(), first.tolist()) if c >= 0 and c not in seen], int)
+        seen.update(names.tolist())
         if not len(first):
             return
         owners = np.repeat(classes[first], sizes[first])
         tokens = np.concatenate([sets[i] for i in first])
-        bucket = ((tokens >> np.uint64(FINGERPRINT)) % np.uint64(width)).astype(np.int64)
-        tokens = tokens & np.uint64((1 << FINGERPRINT) - 1)
         for dest, at in split_by(classes[first] % width):
-            blocks.postings(spread, SIZES, classes[first][at], sizes[first][at].astype(np.uint64))
-            blocks.rows[-1] = (spread, SIZES, *blocks.rows[-1][2:5], int(dest).to_bytes(4, "little"))
+            blocks.postings(spread, SIZES, dest, classes[first][at], sizes[first][at].astype("<u8").tobytes())
         # tokens of several classes of this block are shared already: the bucket needs them once
-        order = np.lexsort((tokens, bucket))
-        whole = (bucket.astype(np.uint64) << np.uint64(FINGERPRINT)) | tokens
-        start, n = runs(whole[order])
+        order = np.lexsort((owners, tokens))
+        start, n = runs(tokens[order])
         here = np.zeros(len(tokens), bool)
         here[order] = np.repeat(n > 1, n)
+        bucket = buckets.of(tokens)
         alone = np.flatnonzero(~here)
-        for dest, at in split_by(bucket[alone]):
-            blocks.postings(dest, POSTINGS, owners[alone[at]], tokens[alone[at]])
+        for b, at in split_by(bucket[alone]):
+            blocks.postings(b % width, POSTINGS, b, owners[alone[at]], *buckets.pack(b, tokens[alone[at]]))
         several = order[start[n > 1]]
-        for dest, at in split_by(bucket[several]):
-            t = tokens[several[at]]
-            blocks.add(dest, KNOWN, b"", b"", (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (t >> np.uint64(32)).astype(np.uint8).tobytes())
+        for b, at in split_by(bucket[several]):
+            blocks.add(b % width, KNOWN, b, b"", b"", *buckets.pack(b, tokens[several[at]]))
         both = np.flatnonzero(here)
         for dest, at in split_by(owners[both] % width):
-            blocks.postings(spread, SHARED, owners[both[at]], whole[both[at]])
-            blocks.rows[-1] = (spread, SHARED, *blocks.rows[-1][2:5], int(dest).to_bytes(4, "little"))
+            blocks.postings(spread, SHARED, dest, owners[both[at]], tokens[both[at]].astype("<u8").tobytes())
 
     def run(batches):
         from pyspark import TaskContext
 
-        blocks, number = Blocks(), TaskContext.get().partitionId()
+        blocks, number, seen = Blocks(), TaskContext.get().partitionId(), set()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for cut in by_size(texts, BATCH_CHARACTERS):
                 number += 1
-                emit(blocks, ids[cut], texts[cut], number % width)
+                emit(blocks, ids[cut], texts[cut], number % width, seen)
                 yield blocks.batch()
+        give_back()
 
     return run
 
 
 def count_tokens(width: int):
     """Token buckets to class buckets: keeps the postings of tokens that two classes have."""
+    buckets = Buckets(width)
 
     def run(batches):
         out = Blocks()
         groups: dict[int, list] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kind"] == POSTINGS:
-                    groups.setdefault(r["dest"], [[], [], []])
-                    owners, tokens, known = groups[r["dest"]]
-                    owners.append(np.repeat(np.frombuffer(r["owners"], "<i8"), np.frombuffer(r["counts"], "<u4")))
-                    tokens.append(packed_tokens(r["tokens"], r["marks"]))
-                elif r["kind"] == KNOWN:
-                    groups.setdefault(r["dest"], [[], [], []])[2].append(packed_tokens(r["tokens"], r["marks"]))
-                elif r["kind"] == MEMBERS:
-                    out.add(r["dest"], MEMBERS, r["owners"], r["counts"], r["tokens"], r["marks"])
+                if r["kind"] == MEMBERS:
+                    out.add(r["dest"], MEMBERS, -1, r["owners"], r["counts"], r["tokens"], r["marks"])
+                elif r["kind"] in (SIZES, SHARED):
+                    out.add(r["bucket"], r["kind"], -1, r["owners"], r["counts"], r["tokens"])
                 else:
-                    out.add(int.from_bytes(r["marks"], "little"), r["kind"], r["owners"], r["counts"], r["tokens"])
+                    groups.setdefault(r["bucket"], []).append((r["kind"], r["owners"], r["counts"], r["tokens"], r["marks"]))
             if out.rows:
                 yield out.batch()
-        for bucket, (owners, tokens, known) in groups.items():
-            empty = [np.zeros(0, np.uint64)]
-            once, seen = np.concatenate(tokens + empty), np.unique(np.concatenate(known + empty))
-            owner = np.concatenate(owners + [np.zeros(0, np.int64)])
+        while groups:
+            bucket, own = groups.popitem()
+            none = [np.zeros(0, np.uint64)]
+            once = np.concatenate([buckets.unpack(bucket, *r[3:]) for r in own if r[0] == POSTINGS] + none)
+            seen = np.unique(np.concatenate([buckets.unpack(bucket, *r[3:]) for r in own if r[0] == KNOWN] + none))
+            owner = np.concatenate([repeated(*r[1:3]) for r in own if r[0] == POSTINGS] + [np.zeros(0, np.int64)])
+            del own
             order = np.lexsort((owner, once))
             start, n = runs(once[order])
             # two classes: the first and the last owner of a token differ
             several = owner[order[start]] != owner[order[start + n - 1]] if len(start) else np.zeros(0, bool)
             several |= np.isin(once[order[start]], seen)
             keep = order[np.repeat(several, n)]
-            found = once[keep] | (np.uint64(bucket) << np.uint64(FINGERPRINT))
-            by_owner = np.lexsort((found, owner[keep]))
-            owner, found = owner[keep][by_owner], found[by_owner]
+            owner, found = owner[keep], once[keep]
+            by_owner = np.lexsort((found, owner))
+            owner, found = owner[by_owner], found[by_owner]
             for dest, at in split_by(owner % width):
-                out.postings(dest, SHARED, owner[at], found[at])
-        if out.rows:
-            yield out.batch()
+                out.postings(dest, SHARED, -1, owner[at], found[at].astype("<u8").tobytes())
+            if out.rows:
+                yield out.batch()
+        give_back()
 
     return run
 
@@ -250,100 +282,131 @@ def gather_classes(percent: int):
                     names.append(np.frombuffer(r["owners"], "<i8"))
                     sizes.append(np.frombuffer(r["tokens"], "<u8").astype(np.int64))
                 else:
-                    owners.append(np.repeat(np.frombuffer(r["owners"], "<i8"), np.frombuffer(r["counts"], "<u4")))
+                    owners.append(repeated(r["owners"], r["counts"]))
                     tokens.append(np.frombuffer(r["tokens"], "<u8").astype(np.int64))
-        if not owners:
-            return
-        owner, token = np.concatenate(owners), np.concatenate(tokens)
-        order = np.lexsort((token, owner))
-        owner, token = owner[order], token[order]
-        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])])
-        owner, token = owner[new], token[new]
-        name, at = np.unique(np.concatenate(names), return_index=True)
-        size = np.concatenate(sizes)[at]
-        start, n = runs(owner)
-        n_of = size[np.searchsorted(name, owner[start])]
-        rows = [(int(owner[s]), int(z), token[s : s + k]) for s, k, z in zip(start.tolist(), n.tolist(), n_of.tolist()) if k >= needed(z, percent)]
-        for a in range(0, len(rows), 2000):
-            part = rows[a : a + 2000]
-            columns = [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.list_(pa.int64())), pa.nulls(len(part), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        if owners:
+            owner, token = np.concatenate(owners), np.concatenate(tokens)
+            del owners, tokens
+            order = np.lexsort((token, owner))
+            owner, token = owner[order], token[order]
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])])
+            owner, token = owner[new], token[new]
+            name, at = np.unique(np.concatenate(names), return_index=True)
+            size = np.concatenate(sizes)[at]
+            start, n = runs(owner)
+            n_of = size[np.searchsorted(name, owner[start])]
+            rows = [(int(owner[s]), int(z), token[s : s + k]) for s, k, z in zip(start.tolist(), n.tolist(), n_of.tolist()) if k >= needed(z, percent)]
+            for a in range(0, len(rows), 2000):
+                part = rows[a : a + 2000]
+                columns = [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.list_(pa.int64())), pa.nulls(len(part), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        give_back()
 
     return run
 
 
-def linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
-    """Whether two sets are linked; ``a`` and ``b`` hold at least all tokens that both have, sorted."""
-    if needed(max(n_a, n_b), percent) > min(n_a, n_b):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (n_a + n_b - common)
+def overlaps(asked: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each of ``asked`` with each of ``members``."""
+    tokens = np.concatenate([*members, np.zeros(0, np.int64)])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(members)), [len(m) for m in members])[order]
+    out = np.zeros((len(asked), len(members)), np.int64)
+    for i, own in enumerate(asked):
+        low = np.searchsorted(tokens, own, "left")
+        n = np.searchsorted(tokens, own, "right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[i] = np.bincount(owner[at], minlength=len(members))
+    return out
 
 
-def link_block(names: list[int], sizes: list[int], sets: list[np.ndarray], percent: int, tries: int = 64) -> list[int]:
-    """For each class of a bounded block its group's leader: groups of verified links.
+def similar(common: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs have a Jaccard similarity of ``percent`` / 100."""
+    return (common > 0) & (100 * common >= percent * (n_a[:, None] + n_b[None] - common))
 
-    The most typical classes (whose tokens most others of the block have) come first
-    and lead: copies of one text that differ from each other more than from that text
-    meet through it. A class is compared with the first members of each group so
-    far; what that misses is found by the exact steps.
-    """
-    tokens = np.concatenate(sets)
-    _, index, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    typical = np.bincount(own, weights=count[index], minlength=len(sets)) / np.maximum([len(s) for s in sets], 1)
-    groups: list[list[int]] = []
-    for i in sorted(range(len(names)), key=lambda i: (-typical[i], names[i])):
-        hits = [g for g in groups if any(linked(sets[i], sizes[i], sets[j], sizes[j], percent) for j in g[:tries])]
-        merged = [j for g in hits for j in g] + [i]
-        groups = [g for g in groups if g not in hits]
-        groups.insert(0, merged) if len(merged) > 1 else groups.append(merged)
-    leaders = [0] * len(names)
-    for g in groups:
-        for j in g:
-            leaders[j] = names[g[0]]
-    return leaders
-
-
-def group_classes(classes: DataFrame, percent: int, seeds: int, block: int = 256) -> DataFrame:
-    """Groups of similar classes by verified links: class, group (its least class).
-
-    For each seed, classes with the same minimum hash are compared in blocks of about
-    ``block``. Classes of a hash that needs several blocks are dealt out twice, so that
-    the groups of its blocks meet in one another's members.
+
+def stars(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the first member of each component of a symmetric relation to its others."""
+    left, out = np.ones(len(near), bool), []
+    for i in range(len(near)):
+        if left[i]:
+            left[i], front = False, [i]
+            while len(front):
+                front = np.flatnonzero(near[front].any(axis=0) & left)
+                left[front] = False
+                out += [(i, int(j)) for j in front]
+    return out
+
+
+def sets_of(pdf) -> tuple[list[np.ndarray], np.ndarray]:
+    """(token arrays, set sizes) of rows."""
+    return [np.asarray(t, np.int64) for t in pdf["tokens"]], pdf["n"].to_numpy()
+
+
+def pieces(classes: Column, tokens: Column) -> Column:
+    """In how many parts so many classes with so many tokens are held."""
+    return F.ceil(F.greatest(classes / PART_CLASSES, tokens / PART_TOKENS, F.lit(1)))
+
+
+def similar_pairs(classes: DataFrame, percent: int, seeds: int) -> DataFrame:
+    """Edges a, b, linked between classes with an equal minimum hash: linked ones, and others of a family.
+
+    Classes of a hash that needs several blocks are dealt out twice, so that what its
+    blocks hold meets in one another's members.
     """
     hashes = F.array(*[F.struct(F.lit(s).alias("seed"), F.array_min(F.transform("tokens", _seeded(s))).alias("least")) for s in range(seeds)])
-    keyed = written(classes.select("class", F.explode(hashes).alias("key")).select("class", "key.seed", "key.least"), "minimum-hashes").withColumn("key", F.xxhash64("seed", "least"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    size = F.size("tokens").alias("size")
+    keyed = written(classes.select("class", size, F.explode(hashes).alias("key")).select("class", "size", F.xxhash64("key.seed", "key.least").alias("key")), "minimum-hashes")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("all")).filter("copies > 1")
     keyed = join_small_values(keyed, counts, "key", "copies", max(1, keyed.count())).filter(F.col("copies").isNotNull())
-    deals = F.when(F.col("copies") > block, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    keyed = keyed.withColumn("deal", F.explode(deals)).withColumn("part", F.pmod(F.xxhash64("class", "deal"), F.ceil(F.col("copies") / block)))
-    blocks = classes.join(keyed.select("class", "key", "deal", "part"), "class")
+    blocks = pieces(2 * F.col("copies"), F.col("all"))
+    keyed = keyed.withColumn("deal", F.explode(F.when(blocks > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("class", "deal"), blocks))
+    held = classes.join(keyed.select("class", "key", "deal", "part"), "class")
 
-    def link(key, pdf):
+    def link(pdf):
         import pandas as pd
 
-        leaders = link_block(pdf["class"].tolist(), pdf["n"].tolist(), [np.asarray(t) for t in pdf["tokens"]], percent)
-        return pd.DataFrame({"a": pdf["class"], "b": leaders})
+        pdf = pdf.sort_values("class")
+        sets, n = sets_of(pdf)
+        names, common = pdf["class"].tolist(), overlaps(sets, sets)
+        found = [(names[i], names[j], k) for k, limit in ((True, percent), (False, FAMILY)) for i, j in stars(similar(common, n, n, limit))]
+        return pd.DataFrame(found, columns=["a", "b", "linked"])
 
-    edges = written(blocks.select("class", "n", "tokens", "key", "deal", "part").groupBy("key", "deal", "part").applyInPandas(link, "a long, b long").filter("a <> b").distinct(), "leaders")
-    roots = components(edges)
-    return written(classes.select("class").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("group")), "groups")
+    return written(held.groupBy("key", "deal", "part").applyInPandas(link, "a long, b long, linked boolean").distinct(), "similar-pairs")
 
 
 def _seeded(seed: int):
     return lambda t: F.xxhash64(t, F.lit(seed))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def group_classes(classes: DataFrame, percent: int, seeds: int) -> DataFrame:
+    """``classes`` with cluster (its least class), column (its group) and part (what a task holds of the group)."""
+    pairs = similar_pairs(classes, percent, seeds)
+    names = classes.select("class", F.size("tokens").alias("size"))
+    for column, edges in (("cluster", pairs.filter("linked")), ("family", pairs)):
+        roots = components(edges).select(F.col("node").alias("class"), F.col("root").alias(column))
+        names = names.join(roots, "class", "left").withColumn(column, F.coalesce(column, "class"))
+    names = written(names, "families")
+    total = max(1, names.count())
+    for column in ("cluster", "family"):
+        sums = names.groupBy(column).agg(F.count(F.lit(1)).alias(f"{column}_classes"), F.sum("size").alias(f"{column}_tokens"))
+        names = join_small_values(names, sums, column, f"{column}_classes", total)
+    own = pieces(F.col("cluster_classes"), F.col("cluster_tokens"))
+    shared = pieces(F.col("family_classes"), F.col("family_tokens"))
+    group = F.when(own > 1, F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.lit("family"), "family", F.pmod(F.xxhash64("cluster"), shared)))
+    names = names.withColumn("column", group).withColumn("part", F.xxhash64("column", F.pmod(F.xxhash64("class"), own)))
+    return written(classes.join(names.select("class", "cluster", "column", "part"), "class"), "groups")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): node, root (the least node).
 
-    Every round takes the least root among neighbours and then the root's root; long
-    chains halve in each.
+    Every round takes the least root among neighbours and then the root's root, so long
+    chains halve; roots only fall, and the rounds end when none does.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "roots")
-    for _ in range(rounds):
+    while True:
         near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         closer = roots.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = closer.select(F.col("node").alias("at"), F.col("root").alias("jump"))
@@ -351,45 +414,97 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         roots = new.select("node", "root")
         if new.filter("root <> old").isEmpty():
             return roots
-    raise RuntimeError(f"components aren't found after {rounds} rounds")
-
-
-def cross_links(classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """All links between classes of different groups, as edges of groups: a, b."""
-    named = classes.join(groups, "class")
-    rows = named.select("class", "group", "n", F.explode("tokens").alias("token"))
-    matrix = rows.select("token", "group").distinct()
-    in_groups = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("in_groups")).filter("in_groups > 1")
-    threshold = F.ceil(F.col("n") * percent / 100)
-    shared = rows.join(in_groups, "token")
-    order = F.array_sort(F.collect_list(F.struct("in_groups", "token")))
-    left = shared.groupBy("class", "group", "n").agg(order.alias("shared")).filter(F.size("shared") >= threshold)
-    left = written(left, "cross-classes")
+
+
+LINKS = "a long, b long"
+
+
+def links_inside(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between clusters of one part, a, b; and the token union of each part: column, part, tokens."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("class")
+        sets, n = sets_of(pdf)
+        clusters = pdf["cluster"].to_numpy()
+        found = []
+        if (clusters != clusters[0]).any():
+            found = [(int(clusters[i]), int(clusters[j])) for i, j in stars(similar(overlaps(sets, sets), n, n, percent)) if clusters[i] != clusters[j]]
+        rows = [(a, b, None, None, None) for a, b in dict.fromkeys(found)]
+        names = ["a", "b", "column", "part"]
+        return pd.DataFrame([*rows, (None, None, pdf["column"].iloc[0], pdf["part"].iloc[0], np.unique(np.concatenate(sets)))], columns=[*names, "tokens"]).astype(dict.fromkeys(names, "Int64"))
+
+    done = written(groups.groupBy("part").applyInPandas(run, LINKS + ", column long, part long, tokens array<long>"), "unions")
+    return done.filter("tokens is null").select("a", "b"), done.filter("tokens is not null").select("column", "part", "tokens")
+
+
+def links_between(groups: DataFrame, unions: DataFrame, percent: int) -> DataFrame | None:
+    """Links between clusters of different groups, a, b; none where no class has tokens enough of other groups."""
+    matrix = unions.select("column", "part", F.explode("tokens").alias("token"))
+    holders = matrix.groupBy("token").agg(F.min("column").alias("first"), F.max("column").alias("last"), F.count(F.lit(1)).alias("held"))
+    holders = holders.filter("first <> last").select("token", "held")
+    crossing = join_small_values(matrix, holders, "token", "held", max(1, matrix.count())).filter("held is not null")
+    crossing = crossing.groupBy(F.col("column").alias("of"), F.col("part").alias("at")).agg(F.collect_list(F.struct("held", "token")).alias("crossing"))  # of a part's union, which is bounded
+
+    def keep(key, classes, tokens):
+        import pandas as pd
+
+        out = []
+        if len(classes) and len(tokens):
+            pairs = tokens["crossing"].iloc[0]
+            token, held = np.array([p["token"] for p in pairs], np.int64), np.array([p["held"] for p in pairs], np.int64)
+            order = np.argsort(token)
+            token, held = token[order], held[order]
+            for name, n, own, cluster, part in zip(classes["class"], classes["n"], classes["tokens"], classes["cluster"], classes["part"]):
+                own = np.asarray(own, np.int64)
+                at = np.searchsorted(token, own).clip(max=len(token) - 1)
+                at = at[token[at] == own]
+                if len(at) >= needed(n, percent):
+                    out.append((name, n, token[at[np.lexsort((token[at], held[at]))]], cluster, key[0], part))
+        return pd.DataFrame(out, columns=["class", "n", "tokens", "cluster", "column", "part"])
+
+    left = groups.groupBy("column", "part").cogroup(crossing.groupBy("of", "at")).applyInPandas(keep, "class long, n long, tokens array<long>, cluster long, column long, part long")
+    left = written(left, "crossing-classes")
     if left.isEmpty():
-        return left.select(F.col("group").alias("a"), F.col("group").alias("b")).limit(0)
-    # rarest tokens first: a linked pair shares one of the first size - threshold + 1; from the first
-    # token that a pair shares on, each must have as many left as the pair has to share
-    size = F.size("shared")
-    prefix = left.select("class", "group", "n", size.alias("c"), F.posexplode(F.slice("shared", 1, (size - threshold + 1).cast("int"))).alias("at", "s")).select("class", "group", "n", (F.col("c") - F.col("at")).alias("left"), F.col("s.token").alias("token"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    enough = F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    near = enough & (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group"))
-    pairs = x.join(y, near).select(F.col("x.class").alias("x"), F.col("y.class").alias("y"), F.col("x.group").alias("a"), F.col("y.group").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    # the bound: how much of a class the union of a group holds
-    asked = pairs.select(F.col("x").alias("class"), F.col("b").alias("group")).unionByName(pairs.select(F.col("y").alias("class"), F.col("a").alias("group"))).distinct()
-    tokens = left.select("class", "n", F.explode("shared.token").alias("token"))
-    unions = left.select(F.explode("shared.token").alias("token"), "group").distinct()
-    bound = asked.join(tokens, "class").join(unions, ["token", "group"]).groupBy("class", "group", "n").agg(F.count(F.lit(1)).alias("overlap"))
-    opened = bound.filter(F.col("overlap") >= threshold).select("class", "group")
-    pairs = pairs.join(opened.select(F.col("class").alias("x"), F.col("group").alias("b")), ["x", "b"], "left_semi")
-    pairs = pairs.join(opened.select(F.col("class").alias("y"), F.col("group").alias("a")), ["y", "a"], "left_semi")
-    sets = left.select("class", "n", F.col("shared.token").alias("tokens"))
-    one = sets.select(F.col("class").alias("x"), F.col("n").alias("n_x"), F.col("tokens").alias("t_x"))
-    other = sets.select(F.col("class").alias("y"), F.col("n").alias("n_y"), F.col("tokens").alias("t_y"))
-    common = F.size(F.array_intersect("t_x", "t_y"))
-    verified = pairs.join(one, "x").join(other, "y").withColumn("common", common)
-    return verified.filter(F.col("common") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("common")) * percent).select("a", "b").distinct()
+        return None
+    rarest = F.slice("tokens", 1, (F.size("tokens") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    asks = left.select(F.col("column").alias("a"), F.explode(rarest).alias("token")).distinct()
+    holds = left.select(F.col("column").alias("b"), F.explode("tokens").alias("token")).distinct()
+    asked = asks.join(holds, "token").filter("a <> b").select("a", "b").distinct()
+    mutual = asked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count().filter("count = 2")
+    # the group with fewer classes asks
+    sizes = left.groupBy("column").agg(F.count(F.lit(1)).alias("classes"))
+    both = mutual.join(sizes.select(F.col("column").alias("a"), F.col("classes").alias("n_a")), "a").join(sizes.select(F.col("column").alias("b"), F.col("classes").alias("n_b")), "b")
+    fewer = F.col("n_a") <= F.col("n_b")
+    pairs = both.select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("column"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("target"))
+    parts = left.select(F.col("column").alias("target"), F.col("part").alias("asked")).distinct()
+    pairs = written(pairs.join(parts, "target"), "candidate-groups")
+    queries = left.select("class", "n", "tokens", "cluster", "column").join(pairs.select("column", "asked"), "column").select("class", "n", "tokens", "cluster", F.col("asked").alias("part"))
+    # a part that many classes ask for is opened by several tasks
+    load = pairs.join(sizes, "column").groupBy(F.col("asked").alias("part")).agg(F.ceil(F.sum("classes") / (8 * PART_CLASSES)).cast("int").alias("tasks"))
+    queries = queries.join(load, "part").withColumn("task", F.pmod(F.xxhash64("class"), F.col("tasks")))
+    members = left.join(load, "part").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks").cast("long") - 1)))
+
+    def open_group(key, members, queries):
+        import pandas as pd
+
+        found = set()
+        if len(members) and len(queries):
+            sets, n = sets_of(members)
+            union, cluster = np.unique(np.concatenate(sets)), members["cluster"].to_numpy()
+            asked, size = sets_of(queries)
+            bound = np.array([np.isin(s, union).sum() for s in asked]) >= needed(size, percent)
+            open_for = np.flatnonzero(bound)
+            own = queries["cluster"].to_numpy()
+            for a in range(0, len(open_for), PART_CLASSES):
+                some = open_for[a : a + PART_CLASSES]
+                near = similar(overlaps([asked[i] for i in some], sets), size[some], n, percent)
+                found |= {(int(own[some[i]]), int(cluster[j])) for i, j in zip(*np.nonzero(near))}
+        return pd.DataFrame([p for p in found if p[0] != p[1]], columns=["a", "b"])
+
+    members, queries = (df.select(*[F.col(c).alias(c) for c in ("class", "n", "tokens", "cluster", "part", "task")]) for df in (members, queries))
+    return members.groupBy("part", "task").cogroup(queries.groupBy("part", "task")).applyInPandas(open_group, LINKS)
 
 
 def link_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, seeds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,26 +516,33 @@ def link_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, seeds:
     Null and empty texts and texts of white space have no shingles and no links.
     Rows that repeat an id are rows of their own. Null ids are linked as others are,
     but name a component only where it has no other id (then component_id is null).
-    An empty table gives no rows. Other columns are ignored.
+    An empty table gives no rows. Very long texts are one set each, which a task holds
+    whole. Other columns, whatever their names, are ignored.
+
+    Shingles are equal when their 64-bit hashes are, sets when their 63-bit digests are.
     """
     spark: SparkSession = docs.sparkSession
-    width = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = max(partitions(spark), -(-n_bytes // BUCKET_BYTES))
     blocks = rows.mapInArrow(to_blocks(shingle, width), BLOCKS).repartitionById(width, F.col("dest"))
     counted = blocks.mapInArrow(count_tokens(width), BLOCKS).repartitionById(width, F.col("dest"))
     found = written(counted.mapInArrow(gather_classes(percent), CLASSES), "classes")
     members = found.filter(F.col("tokens").isNull()).select("doc_id", "n", "class")
     classes = found.filter(F.col("tokens").isNotNull()).select("class", "n", "tokens")
     groups = group_classes(classes, percent, seeds)
-    edges = written(cross_links(classes, groups, percent), "cross-links")
+    edges, unions = links_inside(groups, percent)
+    across = links_between(groups, unions, percent)
+    edges = edges if across is None else written(edges.unionByName(across).distinct(), "links")
+    clusters = groups.select("class", "cluster")
     if not edges.isEmpty():
         roots = components(edges)
-        groups = groups.join(roots, F.col("group") == F.col("node"), "left").select("class", F.coalesce("root", "group").alias("group"))
-    # the least document of each class, then of each group of classes, and back to the members
+        clusters = clusters.join(roots, F.col("cluster") == F.col("node"), "left").select("class", F.coalesce("root", "cluster").alias("cluster"))
+    # the least document of each class, then of each component of classes, and back to the members
     per_class = members.filter("class >= 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    named = per_class.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
-    per_group = named.groupBy("group").agg(F.min("least").alias("component_id"), F.sum("copies").alias("total"))
-    named = written(named.join(per_group, "group").filter("total > 1").select("class", "copies", "component_id"), "class-components")
+    named = per_class.join(clusters, "class", "left").withColumn("cluster", F.coalesce("cluster", "class"))
+    per_cluster = named.groupBy("cluster").agg(F.min("least").alias("component_id"), F.sum("copies").alias("total"))
+    named = written(named.join(per_cluster, "cluster").filter("total > 1").select("class", "copies", "component_id"), "class-components")
     joined = join_small_values(members, named, "class", "copies", max(1, members.count()))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
