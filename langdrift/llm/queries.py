@@ -45,8 +45,8 @@ def op6_toxicity_chain(spark, sf_dir):
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ChainModel:
-    """The chain insult, contempt, toxic, fitted on the labelled documents."""
-    return toxicity.fit_chain(docs, toxicity.category_labels(docs, labels), [*toxicity.CATEGORY_WORDS, "toxic"])
+    """The chain low_quality, toxic, fitted on the labelled documents."""
+    return toxicity.fit_chain(docs, toxicity.category_labels(labels), toxicity.CATEGORIES)
 
 
 def op7_katz_scores(spark, sf_dir):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: A document is rejected from this probability of the last category on.
@@ -83,15 +83,18 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int, l2: float = 5e-5, steps: int = 200) -> Link:
+def fit_logistic(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int, ridge: float = 0.2, steps: int = 200) -> Link:
     """Logistic regression on sparse binary features (row, col) and dense ``extra`` columns in [0, 1].
 
-    Accelerated gradient steps, scaled for each weight by a bound of its curvature.
+    The mean log-loss plus ``ridge / 2 / rows`` times the squared weights (not the bias)
+    is lowered by accelerated gradient steps, scaled for each weight by a bound of its
+    curvature.
     """
     n, k = len(y), extra.shape[1]
     if not n or not 0 < y.sum() < n:
         share = float(y.mean()) if n else 0.0
         return Link(40.0 if share == 1 else -40.0, np.zeros(n_features), np.zeros(k))
+    l2 = ridge / n
     width = np.bincount(row, minlength=n) + k + 1.0
     curve = np.concatenate([np.bincount(col, weights=width[row], minlength=n_features), extra.T @ width, [width.sum()]]) / (4 * n) + l2
     w = np.zeros(n_features + k + 1)
@@ -108,20 +111,22 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndar
     return Link(float(w[-1]), w[:n_features], w[n_features:-1])
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, features: int = 800, folds: int = 3, least: int = 4, least_z: float = 4.0) -> ChainModel:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, features: int = 2_000, folds: int = 3, least: int = 2, least_z: float = 3.5) -> ChainModel:
     """Fits a classifier chain on labelled documents.
 
     ``labels`` has ``id_col`` and a 0/1 column for each category. The fit uses at most
     ``max_rows`` labelled documents, those with the least hash of their id; that is
     the bound of what reaches the driver. The documents' features are counted in
-    Spark by category; of those that a two-proportion test finds beyond ``least_z``
-    the best ``features`` of each category are kept. Categories are fitted in order: a link's earlier-category inputs are
-    out-of-fold predictions, from models that have not seen the row, as a new
-    document's earlier probabilities are too.
-
-    Rows with a null label are not used; of repeated labels the largest counts. A
-    category without examples of both kinds gets probability 0 or 1. Without labelled
-    documents all probabilities are 0.
+    Spark by category; of those in ``least`` documents that a two-proportion test finds
+    beyond ``least_z``, the best ``features`` of each category take part, and a ridge
+    penalty settles their weights. Categories are fitted in order: a link's
+    earlier-category inputs are out-of-fold predictions, from models that have not seen
+    the row, as a new document's earlier probabilities are too.
+
+    Labels with a null id, or null in a category, are not used; of repeated labels the
+    largest counts; documents that repeat a labelled id count each. Null and empty texts
+    have no features. A category without examples of both kinds gets probability 0 or 1.
+    Without labelled documents all probabilities are 0. Other columns are ignored.
     """
     spark = docs.sparkSession
     chosen = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.max(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
@@ -143,7 +148,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
                 yield made(every, positive)
                 every, positive = Counter(), [Counter() for _ in range(n_categories)]
         features_of_word.cache_clear()
-        yield made(every, positive)
+        if every:  # a task may have no rows
+            yield made(every, positive)
+        give_back()
 
     def made(every, positive):
         return pd.DataFrame({"feature": list(every), "n": list(every.values())} | {f"n{c}": [positive[c][f] for f in every] for c in range(n_categories)})
@@ -165,13 +172,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
                 vocabulary.setdefault(r[0], len(vocabulary))
 
     def encode(frames):
-        for pdf in frames:
+        for pdf in filter(len, frames):
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "present": [sorted({vocabulary[f] for f in features_of_text(t) if f in vocabulary}) for t in pdf["text"]]})
 
     data = train.mapInPandas(encode, "id long, y array<int>, present array<int>").orderBy("id").toPandas()
     y = np.stack(data["y"].to_numpy()).astype(float)
     lengths = data["present"].map(len).to_numpy()
-    row, col = np.repeat(np.arange(len(data)), lengths), np.concatenate([np.zeros(0, int), *data["present"].to_numpy()]).astype(int)
+    row, col = np.repeat(np.arange(len(data)), lengths.astype(int)), np.concatenate([np.zeros(0, int), *data["present"].to_numpy()]).astype(int)
     fold = np.array([hash(int(i)) % folds for i in data["id"]])
     held, links = np.zeros((len(data), 0)), []
     for c in range(n_categories):
@@ -195,6 +202,7 @@ def chain_probabilities(model: ChainModel, spark, text: str | Column = "text") -
         for texts in batches:
             yield pd.Series(list(shared.value.probabilities(texts.tolist())))
         shared.value.forget()
+        give_back()
 
     return F.pandas_udf(probabilities, "array<double>")(text)
 
@@ -210,22 +218,10 @@ def score_toxicity(docs: DataFrame, model: ChainModel, threshold: float = THRESH
     return p.select("doc_id", *columns, (F.col("p")[len(model.categories) - 1] >= threshold).alias("rejected"))
 
 
-#: Words by which a labelled document counts as an example of a narrower category.
-CATEGORY_WORDS = {
-    "insult": ["clown", "idiot", "loser", "moron", "stupid"],
-    "contempt": ["disgusting", "pathetic", "scum", "trash", "worthless"],
-}
-
+#: The chain of the registered query: what the labels have, in this order.
+CATEGORIES = ["low_quality", "toxic"]
 
-def category_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of the chain insult, contempt, toxic from a table with one 0/1 flag ``toxic``.
 
-    The narrower categories are weak labels: a toxic document with one of the
-    category's words. They only guide the chain; what counts is ``toxic``.
-    """
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
-    found = docs.select("doc_id", *[F.arrays_overlap(words, F.array(*map(F.lit, ws))).alias(c) for c, ws in CATEGORY_WORDS.items()])
-    joined = labels.filter("toxic = 1").select("doc_id", "toxic").distinct().join(found, "doc_id")
-    positive = joined.groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in CATEGORY_WORDS])
-    rows = labels.select("doc_id", "toxic").join(positive, "doc_id", "left")
-    return rows.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in CATEGORY_WORDS], "toxic")
+def category_labels(labels: DataFrame) -> DataFrame:
+    """Labels of the chain from a table with the 0/1 flags ``quality`` and ``toxic``: doc_id, low_quality, toxic."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")

@@ -342,7 +342,8 @@ def test_toxicity_chain(spark, empty):
     rows[2] = (2, "", False)
     d = make_docs(spark, [(i, t, None) for i, t, _ in rows])
     labels = spark.createDataFrame([(i, int(x), "y") for i, _, x in rows if i % 2 == 0] + [(4, None, "y"), (0, 1, "y"), (None, 1, "y")], "doc_id long, toxic int, text string")
-    model = toxicity.fit_chain(d, toxicity.category_labels(d, labels.select("doc_id", "toxic")), [*toxicity.CATEGORY_WORDS, "toxic"])
+    insult = F.when(F.col("doc_id").isin([i for i, t, _ in rows if "idiot" in (t or "")]), F.col("toxic")).otherwise(0).alias("insult")
+    model = toxicity.fit_chain(d, labels.select("doc_id", insult, "toxic"), ["insult", "toxic"])
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(d, model).collect()}
     wrong = [i for i, _, x in rows if i % 2 and got[i]["rejected"] != x]
     assert len(got) == 2400 and len(wrong) <= 12, wrong
@@ -354,6 +355,63 @@ def test_toxicity_chain(spark, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def test_chain_equals_one_by_hand(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        bad, low = i % 5 == 0, i % 3 == 0
+        words = rng.choices(["ab", "cde", "fghijk", "lm"], k=3) + ["zonkers"] * (bad and rng.random() < 0.9) + ["meh"] * (low and rng.random() < 0.8)
+        rows.append((i, " ".join(words), int(low), int(bad)))
+    d = make_docs(spark, [(i, t, None) for i, t, _, _ in rows])
+    labels = spark.createDataFrame([(i, low, bad) for i, _, low, bad in rows], "doc_id long, low_quality int, toxic int")
+    model = toxicity.fit_chain(d, labels, ["low_quality", "toxic"], folds=3)
+    assert {"zonkers", "zonk*", "meh"} <= set(model.vocabulary) and "ab" not in model.vocabulary
+    x = np.zeros((240, len(model.vocabulary)))
+    for i, t, _, _ in rows:
+        for w in set(t.split()):
+            for f in {w, *(w[:n] + "*" for n in (3, 4, 5, 6) if len(w) >= n)} & model.vocabulary.keys():
+                x[i, model.vocabulary[f]] = 1
+    y, fold = np.array([r[2:] for r in rows], float), np.arange(240) % 3
+
+    def fitted(x, extra, y):
+        return toxicity.fit_logistic(*np.nonzero(x), extra, y, x.shape[1])
+
+    def odds(link, x, extra):
+        return link.bias + x @ link.weights + extra @ link.chain
+
+    none = np.zeros((240, 0))
+    held = np.zeros((240, 1))
+    for k in range(3):
+        link = fitted(x[fold != k], none[fold != k], y[fold != k, 0])
+        held[fold == k, 0] = toxicity.sigmoid(odds(link, x, none))[fold == k]
+    first, second = fitted(x, none, y[:, 0]), fitted(x, held, y[:, 1])
+    p = toxicity.sigmoid(odds(first, x, none))
+    want = np.column_stack([p, toxicity.sigmoid(odds(second, x, p[:, None]))])
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.score_toxicity(d, model).collect()}
+    assert np.array([got[i] for i in range(240)]) == pytest.approx(want)
+
+
+def test_logistic_regression_is_optimal():
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 6)) < 0.4).astype(float)
+    extra = rng.random((300, 1))
+    y = (rng.random(300) < toxicity.sigmoid(2 * x[:, 0] - x[:, 1] + extra[:, 0] - 1)).astype(float)
+    link = toxicity.fit_logistic(*np.nonzero(x), extra, y, 6, ridge=3.0, steps=2000)
+    z = np.column_stack([x, extra, np.ones(300)])
+    w = np.concatenate([link.weights, link.chain, [link.bias]])
+    gradient = z.T @ (toxicity.sigmoid(z @ w) - y) + np.array([3.0] * 7 + [0.0]) * w
+    assert np.abs(gradient).max() < 1e-3
+
+
+def test_toxicity_with_empty_partitions_and_nulls(spark):
+    rows = [(i, "fine words here" if i % 4 else "zonk words here", i % 4 == 0) for i in range(40)]
+    d = make_docs(spark, [(i, t, None) for i, t, _ in rows]).repartition(200)
+    labels = spark.createDataFrame([(i, None if i == 7 else 0, int(x)) for i, _, x in rows] + [(None, 0, 1), (99, 0, 1)], "doc_id long, low_quality int, toxic int").repartition(100)
+    model = toxicity.fit_chain(d, labels, ["low_quality", "toxic"])
+    got = {r["doc_id"]: r["rejected"] for r in toxicity.score_toxicity(d, model).collect()}
+    assert got == {i: x for i, _, x in rows} and model.rows == 39
+
+
 def test_logistic_regression_separates():
     rng = np.random.default_rng(0)
     x = rng.random((400, 8)) < 0.3
