@@ -9,25 +9,38 @@ from langdrift.llm import common, jaccard, mixing, packing, queries, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't reject; no shuffle of texts."""
+    """Documents that the classifier chain doesn't reject; no shuffle of texts.
+
+    Null and empty texts have no toxic features and stay. Labels of documents that aren't
+    there take no part. Repeated rows are judged each; an empty table stays empty. All
+    columns of ``docs`` are returned, whatever their names.
+    """
     model = queries.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     p = toxicity.chain_probabilities(model, spark, F.col("text"))
-    return docs.withColumn("_p", p).filter(F.col("_p")[len(model.categories) - 1] < toxicity.THRESHOLD).select(*docs.columns)
+    return docs.filter(p[len(model.categories) - 1] < toxicity.THRESHOLD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at a Jaccard similarity of 0.75."""
+    """The document with the smallest id of each group that five-word shingles link at a Jaccard similarity of 0.75.
+
+    Documents without words are linked with nothing and stay, as do rows with a null id.
+    Rows that repeat an id stay or go together.
+    """
     groups = jaccard.link_documents(docs)
     return jaccard.keep_representatives(docs, groups)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the temperature mixture of their sources reads them."""
+    """Documents as often as the temperature mixture of their sources reads them, at least once.
+
+    A null source is one of its own; texts without words count no tokens and are read as
+    their key falls.
+    """
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents packed into sequences of 4096 tokens."""
+    """The documents packed into sequences of 4096 tokens; null and empty texts are their end id alone."""
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 
