@@ -8,19 +8,24 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import finite_vector, partitions, written
+from .common import finite_vector, give_back, partitions, usual_length, written
 
 
 @dataclass
 class ListIndex:
-    """What is fitted on the bounded sample: rotation, list centres, lists to probe, sample for first bounds."""
+    """What is fitted on the bounded sample: rotation, list centres, lists to probe, and the sample list by list for first bounds."""
 
     rotation: np.ndarray
     centres: np.ndarray
     probes: int
     sample: np.ndarray
     sample_ids: np.ndarray
-    sample_lists: np.ndarray
+    sample_starts: np.ndarray
+
+
+def listed_sample(rotation, centres, probes, ids, sample, own) -> ListIndex:
+    order = np.argsort(own, kind="stable")
+    return ListIndex(rotation, centres, probes, sample[order], ids[order], np.searchsorted(own[order], np.arange(len(centres) + 1)))
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -50,28 +55,32 @@ def fit_lists(ids: np.ndarray, sample: np.ndarray, n_rows: int, k: int, recall:
     far[np.arange(len(asked)), asked] = np.inf
     k = min(k, n - 1)
     if k < 1 or n_lists == 1:
-        return ListIndex(rotation, centres, n_lists, sample, ids, own)
+        return listed_sample(rotation, centres, n_lists, ids, sample, own)
     true = np.argpartition(far, k - 1, axis=1)[:, :k]
     order = np.argsort(np.argsort((centres**2).sum(1)[None] - 2 * sample[asked] @ centres.T, axis=1), axis=1)
     ranks = np.take_along_axis(order, own[true], axis=1).ravel()
     need = int(np.quantile(ranks, recall, method="higher")) + 1
-    return ListIndex(rotation, centres, min(n_lists, need + -(-n_lists // 10)), sample, ids, own)
+    return listed_sample(rotation, centres, min(n_lists, need + -(-n_lists // 10)), ids, sample, own)
 
 
 def first_bound(fit: ListIndex, probed: np.ndarray, query_id: int, query: np.ndarray, k: int) -> float:
-    """Squared distance within which ``k`` sample rows of the probed lists lie; infinite where there are fewer.
+    """Squared distance within which ``k`` rows of the probed lists lie; infinite where too few are known.
 
-    The rows are chosen in single precision and measured by differences in double.
+    Measured in double precision on the sample rows of the nearest of the probed lists,
+    as many lists as give ``8 * k`` rows. They are candidates of the scan, so the bound
+    never falls below what it can find.
     """
-    asked = np.zeros(len(fit.centres), bool)
-    asked[probed] = True
-    usable = asked[fit.sample_lists] & (fit.sample_ids != query_id)
-    if usable.sum() < k:
+    rows, have = [], 0
+    for at in probed:
+        low, high = fit.sample_starts[at], fit.sample_starts[at + 1]
+        rows.append(np.arange(low, high)[fit.sample_ids[low:high] != query_id])
+        have += len(rows[-1])
+        if have >= 8 * k:
+            break
+    if have < k:
         return np.inf
-    far = np.einsum("ij,ij->i", fit.sample, fit.sample) - 2 * fit.sample @ query.astype(np.float32)
-    far[~usable] = np.inf
-    near = fit.sample[np.argpartition(far, k - 1)[:k]].astype(np.float64)
-    return float(((near - query) ** 2).sum(1).max())
+    far = ((fit.sample[np.concatenate(rows)].astype(np.float64) - query) ** 2).sum(1)
+    return float(np.partition(far, k - 1)[k - 1])
 
 
 def adaptive_scan(query: np.ndarray, rotated_query: np.ndarray, exact: np.ndarray, blocks: list[np.ndarray], ids: np.ndarray, k: int, bound: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
@@ -126,15 +135,15 @@ def nearest_neighbours(
     Result: query_id, rank (from 1), vec_id, score (Euclidean distance on the
     original vectors in double precision); ties to the smaller vec_id. A query has
     all candidates where there are fewer than ``k``. Vectors that are null, zero,
-    empty, of another length than the longest, or hold null or non-finite
-    components take no part, nor do null ids. Rows that repeat an id are candidates
+    empty, of another length than the most frequent one (the longer of equally
+    frequent), or hold null or non-finite components take no part, nor do null ids. Rows that repeat an id are candidates
     each, for all but that id; a repeated query id is asked once. Empty table:
     no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & finite_vector("v", nonzero=True))
-    n_rows, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_rows, dims = usual_length(rows, "v")
     result = "query_id long, rank int, vec_id long, score double"
     if not n_rows:
         return spark.createDataFrame([], result)
@@ -149,6 +158,7 @@ def nearest_neighbours(
             if len(pdf):
                 pdf["list"] = nearest(np.stack(pdf["v"].to_numpy()).astype(np.float32), shared.value.centres)
                 yield pdf
+        give_back()
 
     listed = written(rows.mapInPandas(assign, "vec_id long, v array<double>, list int"), "ann-lists")
     sizes = np.zeros(len(fitted.centres), np.int64)

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import finite_vector, partitions, written
+from .common import finite_vector, give_back, partitions, usual_length, written
 
-#: Quantised components are kept within this, so that sums of products fit a long.
-LARGEST = 1 << 24
+#: Inner products below this are exact in 64-bit sums with their offsets.
+LARGEST_PRODUCT = 1 << 59
 
 
 def build_slices(values: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -98,24 +98,29 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: fl
 
     Components are quantised to ``floor(scale * x)``. Rows are dealt out by hash into
     blocks of about ``block_rows``, each kept as bit slices (written once); the
-    stated queries meet every block in blocks of ``query_rows``, and each meeting
-    sends back ``k`` rows a query. All is exact.
+    stated queries go to every block in blocks of ``query_rows``, and each meeting
+    sends back ``k`` rows a query. All is exact. Only where there are fewer blocks than
+    partitions are blocks copied, so that all tasks have work.
 
     Result: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id; all
     candidates where there are fewer than ``k``. Vectors that are null, empty, of
-    another length than the longest or hold null or non-finite components take no
-    part, nor do null ids; quantised components beyond 2^24 count as 2^24. Rows that
-    repeat an id are candidates each, for all but that id; a repeated query id is
+    another length than the most frequent one (the longer of equally frequent) or hold
+    null or non-finite components take no part, nor do null ids. Components so large
+    that an inner product could reach 2^59 raise a ValueError, for scores are longs.
+    Rows that repeat an id are candidates each, for all but that id; a repeated query id is
     asked once. Empty table: no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & finite_vector("v", nonzero=False))
-    n_rows, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_rows, dims = usual_length(rows, "v")
     if not n_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    quantised = F.transform("v", lambda x: F.least(F.greatest(F.floor(x * scale), F.lit(-LARGEST)), F.lit(LARGEST)).cast("int"))
-    rows = rows.filter(F.size("v") == dims).select("vec_id", quantised.alias("v"))
+    rows = rows.filter(F.size("v") == dims)
+    largest = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] * scale + 1
+    if not dims * largest**2 < LARGEST_PRODUCT:
+        raise ValueError(f"components up to {largest / scale:g} make inner products that don't fit a long")
+    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
     n_blocks = -(-n_rows // block_rows)
     n_asked = rows.filter(F.col("vec_id") % query_step == 0).count()
     n_query_blocks = max(1, -(-n_asked // query_rows))
@@ -133,14 +138,15 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: fl
     def gather(key, pdf):
         import pandas as pd
 
-        return pd.DataFrame([(key[0], pdf["vec_id"].to_numpy().astype("<i8").tobytes(), np.stack(pdf["v"].to_numpy()).astype("<i4").tobytes())], columns=["query_block", "query_ids", "queries"])
+        return pd.DataFrame([(key[0], pdf["vec_id"].to_numpy().astype("<i8").tobytes(), np.stack(pdf["v"].to_numpy()).astype("<i8").tobytes())], columns=["query_block", "query_ids", "queries"])
 
     asked = rows.filter(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"])
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_query_blocks)).cast("int"))
     asked = asked.groupBy("query_block").applyInPandas(gather, "query_block int, query_ids binary, queries binary")
-    width = min(n_blocks * n_query_blocks, 32 * partitions(spark))
-    to_queries = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).repartition(width, "block", "query_block")
-    to_blocks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(width, "block", "query_block")
+    copies = min(n_query_blocks, -(-4 * partitions(spark) // n_blocks))
+    width = n_blocks * copies
+    index = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(width, "block", "copy")
+    to_blocks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("copy", F.col("query_block") % copies).repartition(width, "block", "copy")
 
     def search(frames):
         import pandas as pd
@@ -154,7 +160,7 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: fl
                 packed = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
                 everything[: len(packed)] = packed
                 everything = everything.view("<u8")
-                for query_id, query in zip(query_ids.tolist(), np.frombuffer(r.queries, "<i4").reshape(len(query_ids), -1).astype(np.int64)):
+                for query_id, query in zip(query_ids.tolist(), np.frombuffer(r.queries, "<i8").reshape(len(query_ids), -1)):
                     candidates = everything.copy()
                     for own in range(*np.searchsorted(ids, [query_id, query_id + 1])):
                         candidates[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
@@ -163,8 +169,9 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: fl
                     out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found], "score": values_at(sums, found) + constant}))
             if out:
                 yield pd.concat(out)
+        give_back()
 
-    pairs = to_queries.join(to_blocks.hint("shuffle_hash"), ["block", "query_block"])
+    pairs = to_blocks.join(index.hint("shuffle_hash"), ["block", "copy"])
     found = pairs.select("ids", "lift", "bits", "slices", "query_ids", "queries").mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -71,6 +71,12 @@ def finite_vector(vector: str | Column, nonzero: bool) -> Column:
     return ok & F.exists(c, lambda x: x != 0) if nonzero else ok
 
 
+def usual_length(rows: DataFrame, vector: str) -> tuple[int, int]:
+    """(rows, length) of the most frequent length of an array column, the longer of equally frequent ones; (0, 0) without rows."""
+    sizes = rows.groupBy(F.size(vector).alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    return (sizes["count"], sizes["length"]) if sizes else (0, 0)
+
+
 #: A key with more than this share of all rows is hot; there can be at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
 

@@ -215,6 +215,26 @@ def test_bit_slices(spark):
     assert bitslice.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_a_stray_long_vector_and_large_components(spark):
+    rows = [(i, [float((i * 7 + j) % 11) - 5 for j in range(4)]) for i in range(60)]
+    rows[3] = (3, [300_000.25, -400_000.5, 2.0, 1e6])
+    rows[20] = (20, [1e6, -0.001, 3.0, -2e5])
+    df = spark.createDataFrame([*rows, (100, [1.0] * 5)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in ann.nearest_neighbours(df, k=10, query_step=20).collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert {q: len(v) for q, v in found.items()} == {0: 10, 20: 10, 40: 10} and all(100 not in v for v in found.values())
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    got = sorted(tuple(r) for r in bitslice.exact_top_k(df, k=5, query_step=20).select("query_id", "rank", "vec_id", "score").collect())
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+    with pytest.raises(ValueError, match="don't fit"):
+        bitslice.exact_top_k(df.unionByName(spark.createDataFrame([(7, [1e8, 0.0, 0.0, 0.0])], df.schema)))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 130), st.integers(1, 9), st.integers(0, 10**6))
 def test_bitmap_sums(dims, n, k, seed):
