@@ -36,8 +36,6 @@ from .token_ids import by_size
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BATCH_CHARACTERS = 3_000_000
-#: Least number of token buckets: what is left of a token in its bucket then fits 7 bytes.
-LEAST_BUCKETS = 256
 #: Text bytes for each partition of the token and class buckets, which tasks hold whole.
 BUCKET_BYTES = 64 << 20
 #: Classes and tokens of a block or part, which a task holds whole.
@@ -109,54 +107,30 @@ def split_by(keys: np.ndarray):
         yield int(keys[order[f]]), order[f : f + k]
 
 
-BLOCKS = "dest int, kind int, bucket int, owners binary, counts binary, tokens binary, marks binary"
+#: A row for partition ``dest``, which passes it on to partition ``then`` where that is set.
+BLOCKS = "dest int, kind int, then int, owners binary, counts binary, tokens binary, marks binary"
 POSTINGS, KNOWN, SHARED, MEMBERS, SIZES = range(5)
 
 
-class Buckets:
-    """Token buckets: equal ranges of 64-bit tokens, ``a_partition`` of them in each of ``width`` partitions."""
-
-    def __init__(self, width: int):
-        self.width = width
-        self.n = width * -(-LEAST_BUCKETS // width)
-
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        return (((tokens >> np.uint64(32)) * np.uint64(self.n)) >> np.uint64(32)).astype(np.int64)
-
-    def start(self, bucket: int) -> np.uint64:
-        """The least token of a bucket."""
-        return np.uint64((-(-(bucket << 32) // self.n)) << 32)
-
-    def pack(self, bucket: int, tokens: np.ndarray) -> tuple[bytes, bytes]:
-        """Tokens of a bucket in 7 bytes each."""
-        rest = tokens - self.start(bucket)
-        return (rest & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (rest >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-    def unpack(self, bucket: int, tokens: bytes, marks: bytes) -> np.ndarray:
-        high = np.zeros((len(marks) // 3, 4), np.uint8)
-        high[:, :3] = np.frombuffer(marks, np.uint8).reshape(-1, 3)
-        return np.frombuffer(tokens, "<u4").astype(np.uint64) + (high.view("<u4").ravel().astype(np.uint64) << np.uint64(32)) + self.start(bucket)
-
-
 class Blocks:
     """Rows of ``BLOCKS``: postings as owners, the number of tokens of each, and the tokens."""
 
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def add(self, dest: int, kind: int, bucket: int = -1, owners=b"", counts=b"", tokens=b"", marks=b"") -> None:
-        self.rows.append((dest, kind, bucket, owners, counts, tokens, marks))
+    def add(self, dest: int, kind: int, then: int = -1, owners=b"", counts=b"", tokens=b"", marks=b"") -> None:
+        self.rows.append((dest, kind, then, owners, counts, tokens, marks))
 
-    def postings(self, dest: int, kind: int, bucket: int, owners: np.ndarray, tokens: bytes, marks: bytes = b"") -> None:
+    def postings(self, dest: int, kind: int, then: int, owners: np.ndarray, tokens: np.ndarray) -> None:
         """``owners`` in order, one for each token."""
         first, n = runs(owners)
-        self.add(dest, kind, bucket, owners[first].astype("<i8").tobytes(), n.astype("<u4").tobytes(), tokens, marks)
+        self.add(dest, kind, then, owners[first].astype("<i8").tobytes(), n.astype("<u4").tobytes(), tokens.astype("<u8").tobytes())
 
     def batch(self):
         import pyarrow as pa
 
         types = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        names = ["dest", "kind", "bucket", "owners", "counts", "tokens", "marks"]
+        names = ["dest", "kind", "then", "owners", "counts", "tokens", "marks"]
         out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows), types)], names)
         self.rows = []
         return out
@@ -171,7 +145,6 @@ def to_blocks(size: int, width: int):
 
     The tokens of a class go out once in each task.
     """
-    buckets = Buckets(width)
 
     def emit(blocks: Blocks, ids: list, texts: list, spread: int, seen: set) -> None:
         sets = shingle_sets(texts, size)
@@ -187,22 +160,22 @@ def to_blocks(size: int, width: int):
         owners = np.repeat(classes[first], sizes[first])
         tokens = np.concatenate([sets[i] for i in first])
         for dest, at in split_by(classes[first] % width):
-            blocks.postings(spread, SIZES, dest, classes[first][at], sizes[first][at].astype("<u8").tobytes())
+            blocks.postings(spread, SIZES, dest, classes[first][at], sizes[first][at])
         # tokens of several classes of this block are shared already: the bucket needs them once
         order = np.lexsort((owners, tokens))
         start, n = runs(tokens[order])
         here = np.zeros(len(tokens), bool)
         here[order] = np.repeat(n > 1, n)
-        bucket = buckets.of(tokens)
+        bucket = (tokens % np.uint64(width)).astype(np.int64)
         alone = np.flatnonzero(~here)
         for b, at in split_by(bucket[alone]):
-            blocks.postings(b % width, POSTINGS, b, owners[alone[at]], *buckets.pack(b, tokens[alone[at]]))
+            blocks.postings(b, POSTINGS, -1, owners[alone[at]], tokens[alone[at]])
         several = order[start[n > 1]]
         for b, at in split_by(bucket[several]):
-            blocks.add(b % width, KNOWN, b, b"", b"", *buckets.pack(b, tokens[several[at]]))
+            blocks.add(b, KNOWN, -1, b"", b"", tokens[several[at]].astype("<u8").tobytes())
         both = np.flatnonzero(here)
         for dest, at in split_by(owners[both] % width):
-            blocks.postings(spread, SHARED, dest, owners[both[at]], tokens[both[at]].astype("<u8").tobytes())
+            blocks.postings(spread, SHARED, dest, owners[both[at]], tokens[both[at]])
 
     def run(batches):
         from pyspark import TaskContext
@@ -221,41 +194,36 @@ def to_blocks(size: int, width: int):
 
 def count_tokens(width: int):
     """Token buckets to class buckets: keeps the postings of tokens that two classes have."""
-    buckets = Buckets(width)
 
     def run(batches):
         out = Blocks()
-        groups: dict[int, list] = {}
+        owners, tokens, known = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kind"] == MEMBERS:
-                    out.add(r["dest"], MEMBERS, -1, r["owners"], r["counts"], r["tokens"], r["marks"])
-                elif r["kind"] in (SIZES, SHARED):
-                    out.add(r["bucket"], r["kind"], -1, r["owners"], r["counts"], r["tokens"])
+                if r["kind"] == POSTINGS:
+                    owners.append(repeated(r["owners"], r["counts"]))
+                    tokens.append(np.frombuffer(r["tokens"], "<u8"))
+                elif r["kind"] == KNOWN:
+                    known.append(np.frombuffer(r["tokens"], "<u8"))
                 else:
-                    groups.setdefault(r["bucket"], []).append((r["kind"], r["owners"], r["counts"], r["tokens"], r["marks"]))
-            if out.rows:
-                yield out.batch()
-        while groups:
-            bucket, own = groups.popitem()
-            none = [np.zeros(0, np.uint64)]
-            once = np.concatenate([buckets.unpack(bucket, *r[3:]) for r in own if r[0] == POSTINGS] + none)
-            seen = np.unique(np.concatenate([buckets.unpack(bucket, *r[3:]) for r in own if r[0] == KNOWN] + none))
-            owner = np.concatenate([repeated(*r[1:3]) for r in own if r[0] == POSTINGS] + [np.zeros(0, np.int64)])
-            del own
-            order = np.lexsort((owner, once))
-            start, n = runs(once[order])
-            # two classes: the first and the last owner of a token differ
-            several = owner[order[start]] != owner[order[start + n - 1]] if len(start) else np.zeros(0, bool)
-            several |= np.isin(once[order[start]], seen)
-            keep = order[np.repeat(several, n)]
-            owner, found = owner[keep], once[keep]
-            by_owner = np.lexsort((found, owner))
-            owner, found = owner[by_owner], found[by_owner]
-            for dest, at in split_by(owner % width):
-                out.postings(dest, SHARED, -1, owner[at], found[at].astype("<u8").tobytes())
+                    out.add(r["dest"] if r["then"] < 0 else r["then"], r["kind"], -1, r["owners"], r["counts"], r["tokens"], r["marks"])
             if out.rows:
                 yield out.batch()
+        owner, once, seen = np.concatenate(owners), np.concatenate(tokens), np.unique(np.concatenate(known))
+        del owners, tokens, known
+        order = np.lexsort((owner, once))
+        start, n = runs(once[order])
+        # two classes: the first and the last owner of a token differ
+        several = owner[order[start]] != owner[order[start + n - 1]] if len(start) else np.zeros(0, bool)
+        several |= np.isin(once[order[start]], seen)
+        keep = order[np.repeat(several, n)]
+        owner, found = owner[keep], once[keep]
+        by_owner = np.lexsort((found, owner))
+        owner, found = owner[by_owner], found[by_owner]
+        for dest, at in split_by(owner % width):
+            out.postings(dest, SHARED, -1, owner[at], found[at])
+        if out.rows:
+            yield out.batch()
         give_back()
 
     return run
@@ -305,18 +273,32 @@ def gather_classes(percent: int):
     return run
 
 
-def overlaps(asked: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
-    """The size of the intersection of each of ``asked`` with each of ``members``."""
+def overlaps(asked: list[np.ndarray], members: list[np.ndarray], at_once: int = 4_000_000) -> np.ndarray:
+    """The size of the intersection of each of ``asked`` with each of ``members``, counted over postings of ``members``."""
     tokens = np.concatenate([*members, np.zeros(0, np.int64)])
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], np.repeat(np.arange(len(members)), [len(m) for m in members])[order]
-    out = np.zeros((len(asked), len(members)), np.int64)
-    for i, own in enumerate(asked):
-        low = np.searchsorted(tokens, own, "left")
-        n = np.searchsorted(tokens, own, "right") - low
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        out[i] = np.bincount(owner[at], minlength=len(members))
-    return out
+    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])[order]
+    start, held = runs(tokens[order])
+    names = tokens[order][start]
+    own, who = np.concatenate([*asked, np.zeros(0, np.int64)]), np.repeat(np.arange(len(asked)), [len(a) for a in asked])
+    at = np.searchsorted(names, own).clip(max=max(0, len(names) - 1))
+    hit = names[at] == own if len(names) else np.zeros(len(own), bool)
+    at, who = at[hit], who[hit]
+    out, total = np.zeros(len(asked) * len(members), np.int64), np.cumsum(held[at])
+    for a, b in by_weight(total, at_once):
+        n = held[at[a:b]]
+        place = np.repeat(start[at[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(who[a:b], n) * len(members) + owner[place], minlength=len(out))
+    return out.reshape(len(asked), len(members))
+
+
+def by_weight(total: np.ndarray, limit: int):
+    """(begin, end) of stretches whose weight is ``limit`` or just above, from the running sums of weights."""
+    at, done = 0, 0
+    while at < len(total):
+        end = min(len(total), int(np.searchsorted(total, done + limit)) + 1)
+        yield at, end
+        at, done = end, int(total[end - 1])
 
 
 def similar(common: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -445,15 +427,14 @@ def links_between(groups: DataFrame, unions: DataFrame, percent: int) -> DataFra
     holders = matrix.groupBy("token").agg(F.min("column").alias("first"), F.max("column").alias("last"), F.count(F.lit(1)).alias("held"))
     holders = holders.filter("first <> last").select("token", "held")
     crossing = join_small_values(matrix, holders, "token", "held", max(1, matrix.count())).filter("held is not null")
-    crossing = crossing.groupBy(F.col("column").alias("of"), F.col("part").alias("at")).agg(F.collect_list(F.struct("held", "token")).alias("crossing"))  # of a part's union, which is bounded
+    crossing = crossing.groupBy(F.col("column").alias("of"), F.col("part").alias("at")).agg(F.collect_list(F.struct("held", "token")).alias("c")).select("of", "at", "c.token", "c.held")  # of a part's union, which is bounded
 
     def keep(key, classes, tokens):
         import pandas as pd
 
         out = []
         if len(classes) and len(tokens):
-            pairs = tokens["crossing"].iloc[0]
-            token, held = np.array([p["token"] for p in pairs], np.int64), np.array([p["held"] for p in pairs], np.int64)
+            token, held = np.asarray(tokens["token"].iloc[0], np.int64), np.asarray(tokens["held"].iloc[0], np.int64)
             order = np.argsort(token)
             token, held = token[order], held[order]
             for name, n, own, cluster, part in zip(classes["class"], classes["n"], classes["tokens"], classes["cluster"], classes["part"]):
