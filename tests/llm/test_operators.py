@@ -442,7 +442,41 @@ def test_logistic_regression_separates():
     assert ((z > 0) == (y > 0)).all()
 
 
-def mixture_by_hand(rows, seed, entropy_share, max_repeats):
+def entropy(weights):
+    return -sum(w * math.log(w) for w in weights if w > 0)
+
+
+def tempered(shares, exponent):
+    powers = [s**exponent if s > 0 else 0.0 for s in shares]
+    return [p / sum(powers) for p in powers]
+
+
+def epochs(shares, exponent):
+    ratio = [w / s for w, s in zip(tempered(shares, exponent), shares)]
+    return [max(1.0, r / min(ratio)) for r in ratio]
+
+
+def bisect(reached, low, high):
+    """The least value in [low, high] from which ``reached`` holds."""
+    if reached(low):
+        return low
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if reached(middle) else (middle, high)
+    return high
+
+
+def exponent_by_hand(tokens, entropy_share, max_repeats):
+    shares = [t / sum(tokens) for t in tokens if t > 0]
+    if len(shares) < 2:
+        return 1.0
+    wanted = (entropy_share or 0.0) * math.log(len(shares))
+    for_entropy = 1.0 - bisect(lambda x: entropy(tempered(shares, 1 - x)) >= wanted, 0.0, 1.0)
+    for_limit = bisect(lambda e: max(epochs(shares, e)) <= max_repeats, 0.0, 1.0) if max_repeats else 0.0
+    return max(for_entropy, for_limit)
+
+
+def mixture_by_hand(rows, seed, entropy_share, max_repeats, budget=None):
     """Draws as (doc_id, block), from sorted lists."""
     tokens = lambda t: len((t or "").encode().split())
     by = collections.defaultdict(list)
@@ -450,11 +484,13 @@ def mixture_by_hand(rows, seed, entropy_share, max_repeats):
         by[s].append((d, tokens(t)))
     n = {s: sum(x for _, x in own) for s, own in by.items()}
     shares = {s: x / sum(n.values()) for s, x in n.items()}
-    e = mixing.solve_exponent(sorted(n.values()), entropy_share, max_repeats)
+    e = exponent_by_hand(sorted(n.values()), entropy_share, max_repeats)
     ratio = {s: p**e / p for s, p in shares.items() if p}
     out = collections.Counter()
     for s, own in by.items():
         times = round(max(1.0, ratio[s] / min(ratio.values())), 9) if n[s] else 1.0
+        if budget and n[s]:
+            times = round(budget * shares[s] ** e / sum(p**e for p in shares.values() if p) / n[s], 9)
         full = int(times)
         rest = math.floor((times - full) * n[s])
         key = lambda d, b: hashlib.md5(f"{seed}|{b}".encode() + (b"" if d is None else f"|{d}".encode())).hexdigest()[:16]
@@ -479,13 +515,34 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
-def test_exponent_meets_its_targets():
+def test_mixing_with_a_budget(spark, docs):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    tokens = sum(len((t or "").encode().split()) for _, t, _ in rows)
+    for budget in (tokens // 3, tokens, 5 * tokens):
+        got = collections.Counter((r["doc_id"], r["mix_block"]) for r in mixing.mix_sources(docs, entropy_share=0.9, max_repeats=None, budget=budget).collect())
+        assert got == mixture_by_hand(rows, 17, 0.9, None, budget)
+    with pytest.raises(ValueError, match="repeats documents more"):
+        mixing.plan_mixture(docs, max_repeats=2.0, budget=3 * tokens)
+    plan = mixing.plan_mixture(docs, entropy_share=1.0, max_repeats=2.0, budget=int(1.5 * tokens)).collect()
+    assert max(r["epochs"] for r in plan if r["tokens"]) == pytest.approx(2.0, abs=1e-6)
+
+
+def test_mixing_of_many_sources_without_broadcast(spark, docs, monkeypatch):
+    want = collections.Counter(map(str, mixing.mix_sources(docs).select("doc_id", "source", "mix_block", "mix_key").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert collections.Counter(map(str, mixing.mix_sources(docs).select("doc_id", "source", "mix_block", "mix_key").collect())) == want
+
+
+def test_exponent_meets_its_targets(spark):
+    shares = lambda tokens: spark.createDataFrame([(t / sum(tokens),) for t in tokens], "share double")
     tokens = [1000, 200, 50, 10]
-    e = mixing.solve_exponent(tokens, 0.95, None)
-    assert mixing.entropy(mixing.tempered([t / 1260 for t in tokens], e)) / math.log(4) == pytest.approx(0.95, abs=1e-6)
-    e = mixing.solve_exponent(tokens, 1.0, 2.0)
-    assert max(mixing.epochs([t / 1260 for t in tokens], e)) == pytest.approx(2.0)
-    assert mixing.solve_exponent([5], 1.0, 2.0) == 1.0
+    p = [t / 1260 for t in tokens]
+    e, total, reached = mixing.solve_exponent(shares(tokens), 0.95, None, None)
+    assert e == pytest.approx(exponent_by_hand(tokens, 0.95, None), abs=1e-12) and total == pytest.approx(sum(x**e for x in p))
+    assert reached == pytest.approx(0.95, abs=1e-9)
+    e, _, reached = mixing.solve_exponent(shares(tokens), 1.0, 2.0, None)
+    assert max(epochs(p, e)) == pytest.approx(2.0) and reached < 0.95  # the limit defeats the entropy, and says so
+    assert mixing.solve_exponent(shares([5]), 1.0, 2.0, None)[0] == 1.0
 
 
 def test_licences(spark, empty):
