@@ -555,3 +555,88 @@ def test_licences(spark, empty):
     held = [("MIT", "this library is released under the terms of the mit license"), ("GPL", "it is licensed under the gnu general public license"), ("BSD", "code is released under the 3-clause bsd license")]
     found = {r["paragraph"]: r["family"] for r in licenses.scan_licences(make_docs(spark, [(1, "\n".join(t for _, t in held), None)]), model).collect()}
     assert [found.get(i) for i in range(3)] == [f for f, _ in held]
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    rng = random.Random(8)
+    words = "the of and to in is was that for it with as on this from there".split() + ["".join(rng.choice("aeinorst") for _ in range(rng.randint(3, 8))) for _ in range(200)]
+    prose = spark.createDataFrame([(" ".join(rng.choices(words, k=30)),) for _ in range(300)], "text string")
+    return licenses.train_licence_model(spark, negatives=prose)
+
+
+def judged_by_hand(model, text):
+    """(family, probability, overlap, probability of any licence) of a paragraph, from the model's weights."""
+    import re
+
+    licence_words = set(model.words)
+
+    def grams(t):
+        w = [x for x in re.split(r"[^\w]+|_", t.lower()) if x]
+        return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1) if licence_words & set(w[i : i + n])}
+
+    own = grams(text)
+    place = {g: i for i, g in enumerate(model.vectorizer.vocabulary)}
+    raw = model.classifier.interceptVector.toArray() + model.classifier.coefficientMatrix.toArray()[:, [place[g] for g in own if g in place]].sum(1)
+    p = np.exp((raw - raw.max()) / model.temperature)
+    p /= p.sum()
+    family = model.families[1 + int(p[1:].argmax())]
+    templates = [{g for g in grams(t) if " " in g} for t in licenses.TEMPLATES.get(family, [])]
+    return family, float(p[1:].max()), max([len(t & own) / len(t) for t in templates if t], default=0.0), 1 - p[0]
+
+
+def test_licences_equal_a_scan_by_hand(spark, licence_model, empty):
+    m = licence_model
+    assert m.classifier.interceptVector.toArray().argmax() == 0 and all(set(g.split()) & set(m.words) for g in m.vectorizer.vocabulary)
+    pool = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.DECOYS + ["it was there for the", "", "  ", "Nothing of the kind.", "licence", "the mit of it", "ＧＰＬ é license"]
+    rng = random.Random(9)
+    texts = [rng.choice(["\n", "\r\n", "\n\n"]).join(rng.choices(pool, k=rng.randint(1, 9))) for _ in range(40)]
+    texts += [None, "", "word " * 30000 + "\nAll rights reserved.", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files,\nto deal in the Software without restriction"]
+    rows = [(i, t, None) for i, t in enumerate(texts)] + [(None, texts[0], None), (0, texts[0], None)]
+    want = collections.Counter()
+    import re
+
+    for i, t, _ in rows:
+        lines = re.split(r"\r?\n", t or "")
+        has = [bool(set(re.split(r"[^\w]+|_", x.lower())) & set(m.words)) for x in lines]
+        at = 0
+        for held, group in itertools.groupby(range(len(lines)), key=lambda k: has[k]):
+            group = list(group)
+            if not held:
+                continue
+            found = [(k, 1, *judged_by_hand(m, lines[k])) for k in group]
+            if len(group) > 1:
+                found.append((group[0], len(group), *judged_by_hand(m, "\n".join(lines[k] for k in group))))
+            found = [f for f in found if f[5] >= m.threshold]
+            for k, n, family, p, overlap, _ in found:
+                single = max([f[4] for f in found if f[1] == 1 and f[2] == family], default=0.0)
+                whole = max([f[4] for f in found if f[1] > 1 and f[2] == family], default=0.0)
+                if (n > 1) == (whole >= 0.6 and whole > single):
+                    want[i, k, n, family, round(p, 6), round(overlap, 6), overlap >= 0.6] += 1
+    got = licenses.scan_licences(make_docs(spark, rows), m).collect()
+    assert collections.Counter((r["doc_id"], r["paragraph"], r["lines"], r["family"], r["probability"], r["overlap"], r["confirmed"]) for r in got) == want
+    assert (len(texts) - 1, 0, 3, "MIT") in {k[:4] for k in want}
+    assert licenses.scan_licences(empty, m).count() == 0
+
+
+#: Wordings that no template has, and lines that are none.
+OTHER_WORDINGS = [
+    ("MIT", "This package is available under the MIT license."), ("MIT", "MIT licensed."), ("MIT", "Code in this repository is MIT-licensed, see LICENSE for details."), ("Apache-2.0", "Made available under the Apache License 2.0."), ("Apache-2.0", "Apache 2.0 licensed"),
+    ("GPL", "The code is distributed under the GNU GPL, version 2."), ("GPL", "Covered by the terms of the GNU General Public License v2"), ("LGPL", "Available under the Lesser General Public License."), ("LGPL", "The library is under the LGPL 2.1."), ("AGPL", "The server is covered by the Affero General Public License."),
+    ("BSD", "Offered under a 3-clause BSD license."), ("BSD", "This code is BSD licensed."), ("ISC", "The ISC license applies to this module."), ("EPL", "Made available under the Eclipse Public License."), ("CC-BY-SA", "Content is under a Creative Commons Attribution-ShareAlike 3.0 license."),
+    ("CC-BY-NC", "Images may be used under CC BY-NC."), ("CC-BY", "Figures are released under a Creative Commons Attribution 3.0 license."), ("MPL-2.0", "Subject to the Mozilla Public License."), ("public-domain", "The author places this text in the public domain."), ("all-rights-reserved", "Copyright 1999 by the publisher, all rights reserved worldwide."),
+]
+OTHER_NONE = [
+    "Her fishing license is valid until June.", "The driver had no license with him.", "The version of events in the paper was wrong.", "Permission was refused by the school.", "The public was free to come in.", "He reserved a table for two.", "A copy of the letter is in the file.",
+    "The artist released a new record.", "Rights of way cross the field.", "The source of the river is in the hills.", "Terms of the lease were not met.", "They distributed food to the people.", "The foundation was laid in spring.", "This program was seen by many.", "The eclipse was seen in the north.",
+]
+
+
+def test_licences_in_other_words(spark, licence_model):
+    texts = [t for _, t in OTHER_WORDINGS] + OTHER_NONE
+    got = {r["doc_id"]: r["family"] for r in licenses.scan_licences(make_docs(spark, [(i, t, None) for i, t in enumerate(texts)]), licence_model).collect()}
+    right = sum(got.get(i) == f for i, (f, _) in enumerate(OTHER_WORDINGS))
+    found = sum(i in got for i in range(len(OTHER_WORDINGS)))
+    false = [texts[i] for i in got if i >= len(OTHER_WORDINGS)]
+    print(f"recall {found}/{len(OTHER_WORDINGS)}, right family {right}, false {false}, missed or wrong {[(f, t, got.get(i)) for i, (f, t) in enumerate(OTHER_WORDINGS) if got.get(i) != f]}")
+    assert found >= 0.8 * len(OTHER_WORDINGS) and right >= 0.7 * len(OTHER_WORDINGS) and len(false) <= 1
