@@ -49,9 +49,10 @@ def t_p_value(t: Column, df: Column) -> Column:
 
     @F.pandas_udf("double")
     def p(ts, dfs):
-        return ts.combine(dfs, t_two_sided)
+        return ts.combine(dfs, lambda t, df: None if math.isnan(df) else t_two_sided(t, df))
 
-    return F.when(t.isNull() | df.isNull(), None).otherwise(p(t.cast("double"), df.cast("double")))
+    known = t.isNotNull() & df.isNotNull()
+    return F.when(known, p(F.when(known, t.cast("double")), F.when(known, df.cast("double"))))
 
 
 def normal_p_value(z: Column) -> Column:

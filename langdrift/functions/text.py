@@ -23,27 +23,27 @@ def _nfkd(texts):
 
 
 def nfkd(text: Column) -> Column:
-    """Compatibility decomposition; only rows with other than ASCII characters leave the JVM's fast path."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkd(text)).otherwise(text)
+    """Compatibility decomposition; only texts with other than ASCII characters go to Python, nulls stand for the others."""
+    return F.coalesce(_nfkd(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def clean_text(text: Column, decompose: bool = True) -> Column:
-    """Lower case, trimmed, numbers as NUMBER, a space after punctuation before a word, single spaces."""
-    t = F.trim(F.lower(text))
-    t = F.regexp_replace(t, r"[0-9]+([.,][0-9]+)*", "NUMBER")
-    t = F.regexp_replace(t, r"[\r\n]", " ")
-    t = F.regexp_replace(t, r"([.,!?:;]+)([A-Za-z0-9_])", "$1 $2")
+    """Lower case, trimmed, numbers as NUMBER, a space after punctuation before a word, decomposed, single spaces."""
+    t = F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(t, r"\p{Nd}+(\.\p{Nd}+)*", "NUMBER")
+    t = F.replace(t, F.lit("\n"), F.lit(" "))
+    t = F.regexp_replace(t, r"([.,!?:;]+)(?=[\p{L}\p{N}_])", "$1 ")
     t = nfkd(t) if decompose else t
     return F.regexp_replace(t, r" +", " ")
 
 
-#: A word with inner or trailing hyphens and apostrophes, or one mark.
-TOKEN = r"[A-Za-z0-9_À-ɏ]+(?:['-][A-Za-z0-9_À-ɏ]+)*-?|[^\sA-Za-z0-9_À-ɏ]"
+#: A word (letters, their marks and digits) with a trailing hyphen, or one other character.
+TOKEN = r"[\p{L}\p{M}\p{N}_]+-?|[^\s\p{L}\p{M}\p{N}_]"
 
 
 def tokenise(text: Column, decompose: bool = True) -> Column:
-    """Tokens of the cleaned text; runs of punctuation count as their first mark."""
-    t = F.regexp_replace(clean_text(text, decompose), r"([!-/:-@\[-`{-~])[!-,./:-@\[-`{-~]+", "$1 ")
+    """Tokens of the cleaned text, in which every run of punctuation, single marks too, is its first mark and a space."""
+    t = F.regexp_replace(clean_text(text, decompose), r"(\p{P})\p{P}*", "$1 ")
     return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
 
 

@@ -156,8 +156,16 @@ def period_keywords(df: DataFrame, specs: dict[str, tuple[str, str]], least_lr:
 
 
 def compare_keywords(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Words in both lists: lr_a, lr_b, lr_diff, rank_a, rank_b, rank_diff (ranks by falling log ratio)."""
-    ranked = lambda k, s: k.select("word", F.col("lr").alias(f"lr_{s}"), F.row_number().over(Window.orderBy(F.desc("lr"), "word")).alias(f"rank_{s}"))  # noqa: E731  lists of keywords are short
+    """Words in both lists: lr_a, lr_b, lr_diff, rank_a, rank_b, rank_diff (ranks by falling log ratio in hundredths, then by word)."""
+
+    def ranked(k: DataFrame, s: str) -> DataFrame:
+        """Ranks inside ranges of ratios and of first letters, after all words of the ranges before."""
+        k = k.select("word", "lr", F.round(-F.col("lr"), 2).alias("_r"), F.substring("word", 1, 2).alias("_w"))
+        sizes = k.groupBy("_r", "_w").agg(F.count(F.lit(1)).alias("_n"))  # hundredths of a ratio and pairs of letters: few, whatever the vocabulary
+        before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r", "_w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        place = F.row_number().over(Window.partitionBy("_r", "_w").orderBy("word"))
+        return k.join(before, ["_r", "_w"]).select("word", F.col("lr").alias(f"lr_{s}"), (F.col("_before") + place).alias(f"rank_{s}"))
+
     j = ranked(a, "a").join(ranked(b, "b"), "word")
     return j.withColumn("lr_diff", F.col("lr_a") - F.col("lr_b")).withColumn("rank_diff", F.col("rank_a") - F.col("rank_b"))
 

@@ -99,19 +99,33 @@ def snapshot_for(texts: DataFrame, starts: DataFrame, previous: bool = False, da
     """The snapshot in force at a text's date, [start, next start), or the one before it.
 
     As-of join: each start's row is an interval to the next start; intervals don't overlap, so a text has at most one.
+    Texts meet the intervals of their month.
     """
-    order = Window.orderBy("window_start")
+    order = Window.orderBy("window_start")  # a row for each snapshot, of which there are at most as many as days
     spans = starts.select("window_no", "window_start").distinct()
     spans = spans.withColumn("_until", F.lead("window_start").over(order)).withColumn("_before", F.lag("window_no").over(order))
+    last = texts.agg(F.max(date)).first()[0]
+    month = lambda c: F.trunc(c, "month")
+    end = F.greatest(F.coalesce(F.date_sub("_until", 1), F.lit(last)), F.col("window_start"))
+    spans = spans.withColumn("_month", F.explode(F.sequence(month("window_start"), month(end), F.expr("interval 1 month"))))
     inside = (F.col(date) >= F.col("window_start")) & (F.col("_until").isNull() | (F.col(date) < F.col("_until")))
-    joined = texts.join(spans, inside)
+    joined = texts.join(spans, (month(date) == F.col("_month")) & inside)
     joined = joined.withColumn("snapshot_no", F.col("_before" if previous else "window_no"))
-    return joined.filter(F.col("snapshot_no").isNotNull()).drop("_until", "_before", "window_no", "window_start")
+    return joined.filter(F.col("snapshot_no").isNotNull()).drop("_until", "_before", "_month", "window_no", "window_start")
 
 
 def events_in_windows(events: DataFrame, spans: DataFrame, date: str = "date") -> DataFrame:
-    """Events strictly inside intervals (beg, end)."""
-    return events.join(spans, (F.col("beg") < F.col(date)) & (F.col(date) < F.col("end")))
+    """Events strictly inside intervals (beg, end) of dates or numbers.
+
+    Intervals are cut at steps of their mean length, so there are about three pieces each,
+    and events meet the pieces of their step.
+    """
+    number = lambda df, c: F.unix_date(c) if dict(df.dtypes)[c] == "date" else F.col(c)
+    low, high, at = number(spans, "beg"), number(spans, "end"), number(events, date)
+    step = spans.agg(F.avg(F.when(high > low, high - low))).first()[0] or 1
+    pieces = spans.filter(high > low).withColumn("_step", F.explode(F.sequence(F.floor(low / step), F.floor(high / step))))
+    joined = events.withColumn("_at", F.floor(at / step)).join(pieces, F.col("_at") == F.col("_step"))
+    return joined.filter((F.col("beg") < F.col(date)) & (F.col(date) < F.col("end"))).drop("_at", "_step")
 
 
 def merge_turns(turns: DataFrame, file: str, position: str, speaker: str, text: str, marker: Column, separator: str = " ") -> DataFrame:

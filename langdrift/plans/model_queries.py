@@ -223,6 +223,17 @@ def ace_chunks_job(spark, d):
     return rounded(jobs.run_ace(token_texts(spark, d), spec), "mean", "std")
 
 
+@query()
+def ace_grid_job(spark, d):
+    """Two research questions, once over chunks and once over truncated texts: a grid of four specifications."""
+    from .queries import stances
+
+    texts = token_texts(spark, d).join(stances(spark, d), "member")
+    common = {"window_size": 2000, "window_step": 2000, "runs": 2, "cap": 20}
+    specs = [jobs.AceSpec(groups=jobs.QUESTIONS[q], labels={"question": q}, **common, **how) for q in ("stance", "lean-stance") for how in ({"chunk": 2}, {"token_limit": 2})]
+    return rounded(jobs.ace_grid(texts, specs), "mean", "std")
+
+
 # I: tests. Runs are order statuses, windows are years.
 
 _MEANS = f"""{CONTRIBUTIONS}, mean AS (SELECT CAST(con AS INTEGER) AS run, year(date) AS window_no, party AS "group", avg(price) AS mean_ce FROM contrib GROUP BY ALL)"""
@@ -264,6 +275,43 @@ def mwu_windows(spark, d):
     return rounded(significance.mann_whitney(rows, ["window_no", "run"]), "u", "z")
 
 
+#: Two-sided 5 per cent points of Student's t with 1 to 25 degrees of freedom, and of the normal distribution.
+T_POINTS = [12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539]
+NORMAL_POINT = 1.959964
+_SIGNIFICANT = f"n > 1 AND abs(t) > list_extract({T_POINTS}, CAST(n - 1 AS INTEGER))"
+
+
+@query(f"""WITH {_MEANS}, j AS (SELECT a.window_no, a.mean_ce * 1.1 - b.mean_ce AS x FROM mean a JOIN mean b ON a.run = b.run AND a.window_no = b.window_no WHERE a."group" = 'AUTOMOBILE' AND b."group" = 'BUILDING'), w AS (SELECT window_no, count(x) AS n, round(avg(x), 4) AS mean, {_T} FROM j GROUP BY 1)
+SELECT w.*, first_date, last_date FROM w JOIN (SELECT year(date) AS window_no, min(date) AS first_date, max(date) AS last_date FROM contrib GROUP BY 1) USING (window_no) WHERE {_SIGNIFICANT}""")
+def windows_that_differ(spark, d):
+    """The first group's means a tenth higher, so that there are windows to find."""
+    means = yearly_means(spark, d)
+    a = means.filter(F.col("group") == _PARTIES[0]).withColumn("mean_ce", F.col("mean_ce") * 1.1)
+    spans = grouped(spark, d).groupBy(F.year("date").alias("window_no")).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    found = significance.significant_windows(a, means.filter(F.col("group") == _PARTIES[1]), level=0.05, spans=spans)
+    return rounded(found.drop("p"), "t").withColumn("mean", F.round("mean", 4))
+
+
+@query(f"""WITH {_MEANS}, m AS (SELECT run, window_no, "group", mean_ce * (1 + window_no % 2 / 10.0) AS mean_ce FROM mean), j AS (SELECT a."group", a.window_no, a.mean_ce - b.mean_ce AS x FROM m a JOIN m b ON a.run = b.run AND a."group" = b."group" AND a.window_no = b.window_no + 1), w AS (SELECT "group", window_no, count(x) AS n, {_T} FROM j GROUP BY ALL)
+SELECT * FROM w WHERE {_SIGNIFICANT}""")
+def windows_that_changed(spark, d):
+    """Means of odd years a tenth higher, so that there are changes to find."""
+    means = yearly_means(spark, d).withColumn("mean_ce", F.col("mean_ce") * (1 + F.col("window_no") % 2 / 10))
+    return rounded(significance.significant_changes(means, level=0.05), "t").select("group", "window_no", "n", "t")
+
+
+@query(f"""WITH {CONTRIBUTIONS}, v AS (SELECT year(date) AS window_no, con % 3 AS run, CASE WHEN party = 'AUTOMOBILE' THEN 'a' ELSE 'b' END AS side, floor(price / 1000) + CASE WHEN party = 'AUTOMOBILE' THEN 60 ELSE 0 END AS ce FROM contrib WHERE party IN ('AUTOMOBILE', 'BUILDING')),
+r AS (SELECT *, count(*) OVER (PARTITION BY window_no, run, ce) AS ties, rank() OVER (PARTITION BY window_no, run ORDER BY ce) AS rk FROM v),
+s AS (SELECT window_no, run, count(*) FILTER (side = 'a') AS n1, count(*) FILTER (side = 'b') AS n2, sum(rk + (ties - 1) / 2.0) FILTER (side = 'a') AS r1, sum(ties * ties - 1) AS t FROM r GROUP BY ALL),
+z AS (SELECT window_no, greatest(abs(r1 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM s WHERE n1 > 0 AND n2 > 0)
+SELECT window_no, round(avg(CASE WHEN z > {NORMAL_POINT} THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS n_runs FROM z GROUP BY 1 HAVING avg(CASE WHEN z > {NORMAL_POINT} THEN 1.0 ELSE 0.0 END) >= 0.8""")
+def mwu_windows_over_runs(spark, d):
+    """The first group's values 60 higher, so that most runs differ."""
+    c = contributions(spark, d).filter(F.col("party").isin(_PARTIES))
+    side = lambda p, more: c.filter(F.col("party") == p).select(F.year("date").alias("window_no"), (F.col("con") % 3).alias("run"), (F.floor(F.col("price") / 1000) + more).cast("double").alias("ce"))
+    return rounded(significance.significant_windows_mwu(side(_PARTIES[0], 60), side(_PARTIES[1], 0)), "share")
+
+
 @query(f"""WITH {_MEANS}, v AS (SELECT "group", window_no, avg(mean_ce) AS value FROM mean GROUP BY ALL), s AS (SELECT *, avg(value) OVER (PARTITION BY "group") AS m, stddev_samp(value) OVER (PARTITION BY "group") AS sd FROM v) SELECT "group", window_no, round(value, 4) AS value FROM s WHERE abs(value - m) > sd""")
 def key_windows(spark, d):
     values = yearly_means(spark, d).groupBy("group", "window_no").agg(F.avg("mean_ce").alias("value"))

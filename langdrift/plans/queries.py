@@ -196,7 +196,7 @@ def select_groups_min_tokens(spark, d):
 # E: text
 
 
-_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(text)), '[0-9]+([.,][0-9]+)*', 'NUMBER', 'g'), '[\r\n]', ' ', 'g'), '([.,!?:;]+)([A-Za-z0-9_])', '\1 \2', 'g'), ' +', ' ', 'g')"""
+_CLEAN = r"""regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '[0-9]+(\.[0-9]+)*', 'NUMBER', 'g'), chr(10), ' '), '([.,!?:;]+)([A-Za-z0-9_])', '\1 \2', 'g'), ' +', ' ', 'g')"""
 _ASCII = r"regexp_full_match(text, '[\x00-\x7F]*')"
 
 
@@ -206,7 +206,7 @@ def clean_text(spark, d):
     return rows.select(F.col("doc_id").alias("uid"), F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
 
 
-_TOKENS = rf"""regexp_extract_all(regexp_replace({_CLEAN}, '([!-/:-@\[-`{{-~])[!-,./:-@\[-`{{-~]+', '\1 ', 'g'), '[A-Za-z0-9_]+(?:[''-][A-Za-z0-9_]+)*-?|[^\s\w]|_')"""
+_TOKENS = rf"""regexp_extract_all(regexp_replace({_CLEAN}, '(\p{{P}})\p{{P}}*', '\1 ', 'g'), '[A-Za-z0-9_]+-?|[^\s\w]')"""
 
 
 @query(f"SELECT doc_id AS uid, len({_TOKENS}) AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens FROM documents WHERE {_ASCII}")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Schemas of the corpus tables.
 SCHEMAS = {
@@ -120,11 +119,14 @@ def write_results(ce: DataFrame, path: str, params: dict | None = None) -> None:
 
 
 def nested_results(ce: DataFrame) -> DataFrame:
-    """run and the JSON view {snap_group: {test_group: {window: {uid: ce}}}} of flat results, a row for each run."""
+    """run and the JSON view {snap_group: {test_group: {window: {uid: ce}}}} of flat results.
+
+    A row holds the texts of one run, pair of groups and window, which sampling bounds;
+    readers merge the objects of a run.
+    """
     texts = ce.groupBy("run", "snap_group", "test_group", "window_start").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("uid").cast("string").alias("k"), F.col("ce").alias("v"))))).alias("m"))
-    for inner, keys in (("window_start", ["run", "snap_group", "test_group"]), ("test_group", ["run", "snap_group"]), ("snap_group", ["run"])):
-        texts = texts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(inner).cast("string").alias("k"), F.col("m").alias("v")))).alias("m"))
-    return texts.select("run", F.to_json("m").alias("json"))
+    nested = F.create_map("snap_group", F.create_map("test_group", F.create_map(F.col("window_start").cast("string"), "m")))
+    return texts.select("run", F.to_json(nested).alias("json"))
 
 
 def read_results(json: DataFrame, column: str = "json") -> DataFrame:
@@ -141,7 +143,3 @@ def write_stats(stats: DataFrame, slice_column: str, path: str, slices: list[str
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).cast("double").alias("v")) for n in names]))
     wide = stats.withColumn("s", pairs).groupBy("s.statistic").pivot(slice_column, slices).agg(F.first("s.v"))
     wide.coalesce(1).write.mode("overwrite").csv(path, header=True)
-
-
-def schema_of(name: str) -> T.StructType:
-    return T.StructType.fromDDL(SCHEMAS[name])

@@ -52,8 +52,9 @@ def local_name(tag) -> str:
 
 
 def text_with_tails(element) -> str:
-    """An element's own text and its children's tails."""
-    return "".join([element.text or "", *(child.tail or "" for child in element)]).strip()
+    """An element's own text and its children's tails, each on one line, with a space between them."""
+    pieces = [element.text, *(child.tail for child in element)]
+    return " ".join(p for p in ((x or "").replace("\n", " ").strip() for x in pieces) if p)
 
 
 def all_text(element) -> str:
