@@ -1,22 +1,30 @@
-"""Katz back-off language model of word bigrams, trained and evaluated over a whole corpus.
+"""Katz back-off language model of word n-grams, trained and evaluated over a whole corpus.
 
-The bigram probability of a word is its Good-Turing discounted count over the count
-of its context when training has the bigram; otherwise it is the context's back-off
-weight times the unigram probability, which in turn backs off to the mass that
-discounting leaves for unknown words. A back-off weight is the mass a context leaves
-over the unigram mass of the words that never followed it, so every distribution
-sums to one over the training words and one unknown word.
+The probability of a word after a context of ``order`` - 1 words is its Good-Turing
+discounted count over the count of the context when training has the n-gram; otherwise it
+is the context's back-off weight times the probability after the context without its
+first word, and so on down to unigrams, which leave what discounting takes to unknown
+words. A back-off weight is the mass a context leaves over the lower-order mass of the
+words that never followed it, so every distribution sums to one over the training words
+and one unknown word.
 
 Tables are kept in blocks, as packed arrays: a shuffled row is a block of texts and a
-bucket of words, not a token.
-
-1. vocabulary: each block of texts asks the word buckets for its distinct words;
-   answers (word number, training count) are written by reading task.
-2. bigrams: the tasks read their texts again, with their answers, and deal out the
-   occurrences by context. A context's bucket counts bigrams, and keeps sums for each
-   document of all that doesn't depend on the discounts, and the table of contexts
-   that have unseen bigrams. Counts of counts give the discounts.
-3. scores: the back-off weights of those contexts, added up by document.
+bucket of n-grams, with the n-grams of a block counted once.
+
+1. vocabulary: each block of texts asks the word buckets for its distinct words; answers
+   (word number, training count) are written by reading task.
+2. orders from 2 to below the last: the tasks read their texts again, with the answers so
+   far, and ask the context buckets for their distinct n-grams. Answers are training
+   counts, and for each context what its back-off weight is made of. Counts of counts
+   give the order's discounts, so the next reading can work out every token's probability.
+3. the last order: n-grams go out with the documents that hold them. A bucket keeps sums
+   for each document of all that doesn't depend on the discounts, and the table of
+   contexts that have unseen n-grams.
+4. scores: sums and back-off weights of those contexts, added up by document.
+
+A context with more than ``hot_share`` of all training tokens is spread over buckets by
+its next word; there are fewer than 1 / hot_share of them in an order, and their sums go
+through the driver. Apart from where their sums are added, all contexts are treated alike.
 """
 
 from __future__ import annotations
@@ -24,21 +32,24 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, open_fs, partitions, written
-from .jaccard import runs, split_by
+from .common import give_back, new_path, open_fs, partitions, written
+from .jaccard import mixed, runs, split_by
 from .token_ids import by_size
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-BLOCK_CHARACTERS = 8_000_000
+BLOCK_CHARACTERS = 4_000_000
+#: Text bytes for each bucket, which a task holds whole.
+BUCKET_BYTES = 12 << 20
 FRAMES = "dest int, part int, block int, kind int, data binary"
 ASK, ANSWER, OCCURRENCES, DOCUMENTS, CONTEXTS, COUNTS, HOT = range(7)
-#: A context with more than this share of all tokens is hot: its bigrams are dealt out by both words.
+#: A context with more than this share of all tokens is hot: its n-grams are dealt out by the next word too.
 HOT_SHARE = 1 / 1000
 
 
@@ -99,14 +110,14 @@ def is_training(doc_id: int | None, folds: int, held: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds != held
 
 
-def blocks_of(batches, folds: int, held: int):
+def blocks_of(batches, folds: int, held: int, characters: int):
     """(number, ids, training flags, words of each text, hashes of all words, lengths) of each block of texts."""
     import pandas as pd
 
     number = 0
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for cut in by_size(texts, BLOCK_CHARACTERS):
+        for cut in by_size(texts, characters):
             words = [(t or "").encode().lower().split() for t in texts[cut]]
             lengths = np.array([len(w) for w in words], np.int64)
             flat = np.array([w for ws in words for w in ws], dtype=object)
@@ -120,19 +131,20 @@ def blocks_of(batches, folds: int, held: int):
 END, START = 0, 1
 
 
-def ask_vocabulary(width: int, folds: int, held: int):
+def ask_vocabulary(width: int, folds: int, held: int, characters: int):
     """Blocks of texts to word buckets: the distinct words, and how often training texts have them."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for number, _, train, hashes, lengths in blocks_of(batches, folds, held):
+        for number, _, train, hashes, lengths in blocks_of(batches, folds, held, characters):
             words, index = np.unique(hashes, return_inverse=True)
             counts = np.bincount(index, weights=np.repeat(train, lengths), minlength=len(words)).astype(np.uint32)
             rows = [(bucket, part, number, ASK, pack(words[at], counts[at])) for bucket, at in split_by((words % np.uint64(width)).astype(np.int64))]
             if rows:
                 yield frames(rows)
+        give_back()
 
     return run
 
@@ -156,9 +168,11 @@ def answer_vocabulary(width: int):
             for part, block, own, _ in found:
                 own = index[at : at + len(own)]
                 at += len(own)
-                yield frames([(bucket, part, block, ANSWER, pack(number[own].astype(np.uint64), total[own].astype(np.uint32)))])
+                check = np.array([zlib.crc32(words[own].tobytes())], np.uint32)
+                yield frames([(bucket, part, block, ANSWER, pack(check, number[own].astype(np.uint64), total[own].astype(np.uint32)))])
             known = total[total > 0]
             yield frames([(bucket, -1, -1, COUNTS, pack(np.concatenate([[len(known), known.sum()], np.bincount(known[known <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)]).astype(np.int64)))])
+        give_back()
 
     return run
 
@@ -184,111 +198,306 @@ class Unigrams:
         return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
-def deal_bigrams(width: int, folds: int, held: int, answers: str, end_count: int, model: Unigrams):
-    """Blocks of texts to context buckets: bigram occurrences; and what needs unigrams alone, by document."""
+@dataclass
+class Order:
+    """A finished order: its number, discounts, where its answers are, and the sums of hot contexts (small counts, taken mass)."""
+
+    n: int
+    discounts: list[float]
+    answers: str
+    hot: dict[int, tuple] = field(default_factory=dict)
+
+    def seen(self, counts: np.ndarray, divisor: np.ndarray) -> np.ndarray:
+        """The discounted probability of n-grams with these training counts; 0 for a count of 0."""
+        d = np.array(self.discounts)
+        return np.where(counts <= DISCOUNTED, d[np.minimum(counts, DISCOUNTED)], 1.0) * counts / np.maximum(divisor, 1)
+
+
+def divisor_of(total: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """A context's count; one more where no small count leaves mass to back off with."""
+    return np.where(small.sum(1) > 0, total, total + 1).astype(np.float64)
+
+
+def backoff_weight(total: np.ndarray, small: np.ndarray, taken: np.ndarray, discount: list[float]) -> np.ndarray:
+    """What contexts leave over the lower-order mass that their seen words don't take; 1 for contexts that training hasn't."""
+    r, divisor = np.arange(1, DISCOUNTED + 1), divisor_of(total, small)
+    mass = (divisor - total + (small * r * (1 - np.array(discount)[1:])).sum(1)) / np.maximum(divisor, 1)
+    return np.where(total > 0, mass / (1 - taken), 1.0)
+
+
+def context_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of contexts given as columns of word numbers, the nearest word first."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mixed(key * np.uint64(31) + c.astype(np.uint64), 1)
+    return np.maximum(key, np.uint64(1))
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+class Grams:
+    """The distinct n-grams of a block, sorted by (bucket, context, word): what is asked, and how answers meet the tokens."""
+
+    def __init__(self, columns: list[np.ndarray], word: np.ndarray, times: np.ndarray, hot_limit: float, width: int):
+        key = context_keys(columns)
+        bucket = ((key + np.where(times > hot_limit, mixed(word, 2), np.uint64(0))) % np.uint64(width)).astype(np.int64)
+        self.order = np.lexsort((word, *columns[::-1], bucket))
+        place = [c[self.order] for c in columns]
+        own, bucket = word[self.order], bucket[self.order]
+        new = changes(bucket, *place, own)
+        self.start = np.flatnonzero(new)
+        self.of_sorted = np.cumsum(new) - 1
+        self.count = np.diff(np.append(self.start, len(own)))
+        self.words, self.bucket = own[self.start], bucket[self.start]
+        at = self.order[self.start]
+        new = changes(self.bucket, *(c[self.start] for c in place))
+        self.context = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        self.columns = [c[self.start][self.first] for c in place]
+        self.at, self.at_context = at, at[self.first]
+        self.keys = key[self.at_context]
+
+    def by_token(self, of_gram: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.order), of_gram.dtype)
+        out[self.order] = of_gram[self.of_sorted]
+        return out
+
+    def buckets(self):
+        """(bucket, slice of n-grams, slice of contexts, n-grams of each context)."""
+        start, n = runs(self.bucket)
+        for a, k in zip(start.tolist(), n.tolist()):
+            c = slice(int(self.context[a]), int(self.context[a + k - 1]) + 1)
+            yield int(self.bucket[a]), slice(a, a + k), c, np.diff(np.append(self.first[c], a + k)).astype(np.uint32)
+
+
+def read_answers(path: str, part: int) -> dict[int, dict[int, bytes]]:
+    """The answers of an order to a reading task: by block and bucket."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as arrow_fs
+
+    found: dict[int, dict] = {}
+    fs, folder = open_fs(f"{path}/part={part}")
+    for info in fs.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True)):
+        if info.base_name.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                for r in pq.ParquetFile(f).read(columns=["dest", "block", "data"]).to_pylist():
+                    found.setdefault(r["block"], {})[r["dest"]] = r["data"]
+    return found
+
+
+def checked(data: bytes, asked: np.ndarray) -> list[np.ndarray]:
+    """An answer's arrays; an error where it answers another question than ``asked``."""
+    check, *found = unpack(data)
+    if check[0] != zlib.crc32(asked.tobytes()):
+        raise RuntimeError("the texts were dealt out otherwise than at the reading before")
+    return found
+
+
+class Tokens:
+    """The tokens of a block with what the finished orders say of them."""
+
+    def __init__(self, hashes, lengths, vocabulary: dict[int, bytes], width: int, end_count: int, unigrams: Unigrams):
+        words, index = np.unique(hashes, return_inverse=True)
+        numbers, counts = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
+        for bucket, at in split_by((words % np.uint64(width)).astype(np.int64)):
+            numbers[at], counts[at] = checked(vocabulary[bucket], words[at])
+        ends = np.cumsum(lengths + 1) - 1
+        n = len(hashes) + len(lengths)
+        self.word, self.count = np.zeros(n, np.uint64), np.full(n, end_count, np.int64)
+        inner = np.ones(n, bool)
+        inner[ends] = False
+        self.word[inner], self.count[inner] = numbers[index], counts[index]
+        self.doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+        self.begin = np.repeat(ends - lengths, lengths + 1)  # the first token of a token's text
+        self.unigram_count, self.end_count = self.count, end_count
+        self.divisor = np.full(n, max(unigrams.total, 1), np.float64)
+        self.p = unigrams.probability(self.count)
+
+    def grams(self, order: int, hot_limit: float, width: int) -> Grams:
+        """The n-grams of the next order; ``times`` is set to how often training has their contexts."""
+        at = np.arange(len(self.word))
+        columns = []
+        for back in range(1, order):
+            before = at - back
+            columns.append(np.where(before >= self.begin, self.word[np.maximum(before, 0)], np.uint64(START)))
+        self.times = np.where(at > self.begin, np.concatenate([[0], self.count[:-1]]), self.end_count)
+        return Grams(columns, self.word, self.times, hot_limit, width)
+
+    def advance(self, order: Order, grams: Grams, answers: dict[int, bytes]) -> None:
+        """Takes in the answers of an order: counts, divisors and probabilities are its own from now on."""
+        counts, small, taken = np.zeros(len(grams.words), np.int64), np.zeros((len(grams.first), DISCOUNTED)), np.zeros(len(grams.first))
+        for bucket, g, c, _ in grams.buckets():
+            r, s, t = checked(answers[bucket], grams.words[g])
+            counts[g], small[c], taken[c] = r, s.reshape(-1, DISCOUNTED), t
+        for i in np.flatnonzero(np.isin(grams.keys, np.array(list(order.hot), np.uint64))) if order.hot else ():
+            small[i], taken[i] = order.hot[int(grams.keys[i])]
+        total = self.times[grams.at_context].astype(np.float64)
+        divisor, weight = divisor_of(total, small), backoff_weight(total, small, taken, order.discounts)
+        seen = order.seen(counts, divisor[grams.context])
+        self.count = grams.by_token(counts)
+        self.divisor = grams.by_token(divisor[grams.context])
+        self.p = np.where(self.count > 0, grams.by_token(seen), grams.by_token(weight[grams.context]) * self.p)
+
+
+def readings(batches, folds: int, held: int, characters: int, width: int, end_count: int, unigrams: Unigrams, limit: float, vocabulary: str, orders: list[Order]):
+    """(part, number, ids, training flags, lengths, tokens, n-grams of the order after ``orders``) of each block."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    known = [read_answers(path, part) for path in (vocabulary, *(o.answers for o in orders))]
+    for number, ids, train, hashes, lengths in blocks_of(batches, folds, held, characters):
+        answers = [k.pop(number, {}) for k in known]
+        tokens = Tokens(hashes, lengths, answers[0], width, end_count, unigrams)
+        for order, own in zip(orders, answers[1:]):
+            tokens.advance(order, tokens.grams(order.n, limit, width), own)
+        yield part, number, ids, train, lengths, tokens, tokens.grams(len(orders) + 2, limit, width)
+
+
+def ask_order(width: int, read):
+    """Blocks of texts to context buckets: the distinct n-grams of an order and their training counts."""
 
     def run(batches):
-        import pyarrow.parquet as pq
-        from pyspark import TaskContext
+        for part, number, _, train, _, tokens, grams in read(batches):
+            counts = np.bincount(grams.of_sorted, weights=train[tokens.doc][grams.order], minlength=len(grams.words)).astype(np.uint32)
+            rows = []
+            for bucket, g, c, n in grams.buckets():
+                context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint32), tokens.divisor[grams.at_context[c]].astype(np.uint32), n]
+                # a context's lower-order divisor is the same for all its words
+                rows.append((bucket, part, number, ASK, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint32), counts[g])))
+            yield frames(rows)
+        give_back()
 
-        part = TaskContext.get().partitionId()
-        found: dict[int, dict] = {}
-        fs, path = open_fs(f"{answers}/part={part}")
-        from pyarrow import fs as arrow_fs
-
-        for info in fs.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True)):
-            if info.base_name.endswith(".parquet"):
-                with fs.open_input_file(info.path) as f:
-                    for r in pq.ParquetFile(f).read(columns=["dest", "block", "data"]).to_pylist():
-                        found.setdefault(r["block"], {})[r["dest"]] = r["data"]
-        for number, ids, train, hashes, lengths in blocks_of(batches, folds, held):
-            words, index = np.unique(hashes, return_inverse=True)
-            numbers, counts = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint32)
-            answer = found.pop(number, {})
-            for bucket, at in split_by((words % np.uint64(width)).astype(np.int64)):
-                numbers[at], counts[at] = unpack(answer[bucket])
-            docs = np.arange(len(ids))
-            # words and the end of each text
-            ends = np.cumsum(lengths + 1) - 1
-            second, count = np.zeros(len(hashes) + len(ids), np.uint64), np.full(len(hashes) + len(ids), end_count, np.uint32)
-            inner = np.ones(len(second), bool)
-            inner[ends] = False
-            second[inner], count[inner] = numbers[index], counts[index]
-            first = np.concatenate([[START], second[:-1]]).astype(np.uint64)
-            first[ends[:-1] + 1] = START
-            doc = np.repeat(docs, lengths + 1)
-            sums = [np.bincount(doc, weights=w, minlength=len(ids)) for w in (model.base(count), np.log10(model.probability(count)), count > 0)]
-            known = np.array([i is not None for i in ids], np.uint8)
+    return run
+
+
+class Bucket:
+    """The n-grams of a bucket, from what blocks send of them: ``order`` - 1 context columns, times, lower divisor, n-grams of each context; word, lower count, training count of each n-gram."""
+
+    def __init__(self, sent: list[list[np.ndarray]], order: int, lower: Order, hot_limit: float):
+        k = order - 1
+        columns = [np.concatenate([np.repeat(s[i], s[k + 2]) for s in sent]) for i in range(k)]
+        times, below = (np.concatenate([np.repeat(s[k + i], s[k + 2]) for s in sent]) for i in (0, 1))
+        word, count, training = (np.concatenate([s[k + 3 + i] for s in sent]) for i in range(3))
+        by = np.lexsort((word, *columns[::-1]))
+        columns, word = [c[by] for c in columns], word[by]
+        new = changes(*columns, word)
+        gram = np.cumsum(new) - 1
+        self.gram = np.empty(len(by), np.int64)  # of each n-gram sent
+        self.gram[by] = gram
+        start = np.flatnonzero(new)
+        self.r = np.bincount(gram, weights=training[by], minlength=len(start)).astype(np.int64)
+        new = changes(*(c[start] for c in columns))
+        self.context = np.cumsum(new) - 1
+        first = start[np.flatnonzero(new)]
+        self.keys = context_keys([c[first] for c in columns])
+        self.total = times[by][first].astype(np.float64)
+        self.hot = self.total > hot_limit
+        self.lower = lower.seen(count[by][start], below[by][start])  # of seen n-grams
+        self.small = np.stack([np.bincount(self.context, weights=self.r == i, minlength=len(first)) for i in range(1, DISCOUNTED + 1)], axis=1)
+        self.taken = np.bincount(self.context, weights=np.where(self.r > 0, self.lower, 0.0), minlength=len(first))
+
+    def sums(self, dest: int) -> list[tuple]:
+        """Rows for the driver: counts of counts, and the sums of hot contexts."""
+        few = self.r[(self.r > 0) & (self.r <= DISCOUNTED + 1)]
+        rows = [(dest, -1, -1, COUNTS, pack(np.bincount(few, minlength=DISCOUNTED + 2).astype(np.int64)))]
+        if self.hot.any():
+            rows.append((dest, -1, -1, HOT, pack(self.keys[self.hot], self.taken[self.hot], self.small[self.hot].ravel())))
+        return rows
+
+
+def gathered(batches, kinds: tuple[int, ...] = ()):
+    """(rows of ``kinds``, the others by bucket as (part, block, data)) of a task."""
+    passed, held = [], {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["kind"] in kinds:
+                passed.append(tuple(r[c] for c in ("dest", "part", "block", "kind", "data")))
+            else:
+                held.setdefault(r["dest"], []).append((r["part"], r["block"], r["data"]))
+    return passed, held
+
+
+def answer_order(order: int, lower: Order, hot_limit: float):
+    """Context buckets to reading tasks: training counts of the n-grams asked, small counts and taken mass of their contexts."""
+
+    def run(batches):
+        _, held = gathered(batches)
+        while held:
+            dest, own = held.popitem()
+            sent = [unpack(data) for _, _, data in own]
+            bucket, at = Bucket(sent, order, lower, hot_limit), 0
+            for (part, block, _), s in zip(own, sent):
+                words, n = s[order + 2], s[order + 1]
+                gram = bucket.gram[at : at + len(words)]
+                at += len(words)
+                context = bucket.context[gram[np.cumsum(n) - n]]
+                check = np.array([zlib.crc32(words.tobytes())], np.uint32)
+                yield frames([(dest, part, block, ANSWER, pack(check, bucket.r[gram].astype(np.uint32), bucket.small[context].astype(np.uint32).ravel(), bucket.taken[context]))])
+            yield frames(bucket.sums(dest))
+        give_back()
+
+    return run
+
+
+def deal_last(width: int, read, unigrams: Unigrams):
+    """Blocks of texts to context buckets: n-grams of the last order with the documents that hold them; and what needs lower orders alone, by document."""
+
+    def run(batches):
+        for part, number, ids, train, lengths, tokens, grams in read(batches):
+            base, known = unigrams.base(tokens.unigram_count), np.array([i is not None for i in ids], np.uint8)
+            sums = [np.bincount(tokens.doc, weights=w, minlength=len(ids)) for w in (base, np.log10(tokens.p), tokens.unigram_count > 0)]
             yield frames([(number % width, part, number, DOCUMENTS, pack(np.array([i or 0 for i in ids], np.int64), known, train.astype(np.uint8), (lengths + 1).astype(np.int64), *sums[:2], sums[2].astype(np.int64)))])
+            flagged = (tokens.doc * 2 + train[tokens.doc]).astype(np.uint32)[grams.order]
+            counts = np.bincount(grams.of_sorted, weights=flagged & 1, minlength=len(grams.words)).astype(np.uint32)
             rows = []
-            flagged = (doc * 2 + train[doc]).astype(np.uint32)
-            times = np.concatenate([[0], count[:-1]]).astype(np.uint32)
-            times[first == START] = end_count
-            hot = times > HOT_SHARE * model.n
-            bucket_of = ((first + np.where(hot, second * np.uint64(31), np.uint64(0))) % np.uint64(width)).astype(np.int64)
-            for bucket, at in split_by(bucket_of):
-                order = at[np.lexsort((second[at], first[at]))]
-                start, n = runs(first[order])
-                rows.append((bucket, part, number, OCCURRENCES, pack(first[order][start], times[order][start], n.astype(np.uint32), second[order], count[order], flagged[order])))
+            for bucket, g, c, n in grams.buckets():
+                context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint32), tokens.divisor[grams.at_context[c]].astype(np.uint32), n]
+                held = slice(int(grams.start[g.start]), int(grams.start[g.stop - 1] + grams.count[g.stop - 1]))
+                rows.append((bucket, part, number, OCCURRENCES, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint32), counts[g], grams.count[g].astype(np.uint32), flagged[held])))
             yield frames(rows)
+        give_back()
 
     return run
 
 
-def count_bigrams(model: Unigrams):
-    """Context buckets: sums by document, contexts that have unseen bigrams, counts of counts."""
+def count_last(order: int, lower: Order, hot_limit: float):
+    """Context buckets: sums by document, contexts that have unseen n-grams, counts of counts."""
 
     def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["kind"] == DOCUMENTS:
-                    yield frames([tuple(r[c] for c in ("dest", "part", "block", "kind", "data"))])
-                else:
-                    held.setdefault(r["dest"], []).append((r["part"], r["block"], r["data"]))
+        passed, held = gathered(batches, (DOCUMENTS,))
+        if passed:
+            yield frames(passed)
+        del passed
         while held:
-            bucket, own = held.popitem()
-            columns, where = [[], [], [], [], []], []
-            for k, (part, block, data) in enumerate(own):
-                context, times, n, *rest = unpack(data)
-                for column, a in zip(columns, (np.repeat(context, n), np.repeat(times, n), *rest)):
-                    column.append(a)
-                where.append((part, block, len(rest[0])))
-            first, times, second, count, flagged = (np.concatenate(c) for c in columns)
-            del columns, own
-            block_no = np.repeat(np.arange(len(where)), [w[2] for w in where])
-            order = np.lexsort((second, first))
-            first, times, second, count, flagged, block_no = first[order], times[order], second[order], count[order], flagged[order], block_no[order]
-            change = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-            bigram = np.concatenate([[0], np.cumsum(change)]) if len(first) else np.zeros(0, np.int64)
-            training = (flagged & 1).astype(bool)
-            r = np.bincount(bigram, weights=training).astype(np.int64)
-            at, _ = runs(bigram)
-            context = np.concatenate([[0], np.cumsum(first[at][1:] != first[at][:-1])])
-            start, _ = runs(context)
-            name, total = first[at][start], times[at][start].astype(np.float64)
-            hot = total > HOT_SHARE * model.n
-            small = np.stack([np.bincount(context, weights=r == k) for k in range(1, DISCOUNTED + 1)], axis=1)
-            taken = np.bincount(context, weights=np.where(r > 0, model.probability(count[at]), 0.0))
-            divisor = np.where((small.sum(1) > 0) & ~hot, total, total + 1)
-            # seen: what doesn't depend on the discounts, and how many have each small count
-            seen = r[bigram] > 0
-            value = np.zeros(len(first))
-            value[seen] = np.log10(r[bigram[seen]]) - np.log10(divisor[context[bigram[seen]]]) - np.log10(model.probability(count[seen]))
-            document = (flagged >> 1).astype(np.int64)
-            for b, rows in split_by(block_no):
-                n = int(document[rows].max()) + 1
-                s, d = seen[rows], document[rows]
-                classes = [np.bincount(d[s & (r[bigram[rows]] == k)], minlength=n).astype(np.uint32) for k in range(1, DISCOUNTED + 1)]
-                # contexts that training has; without one the unigram probability stands
-                u = ~s & (total[context[bigram[rows]]] > 0)
-                which, index = np.unique(context[bigram[rows[u]]], return_inverse=True)
-                by_context = np.argsort(index, kind="stable")
-                packed = pack(np.bincount(d, weights=value[rows], minlength=n), *classes, np.where(hot, name, 0)[which].astype(np.uint64), total[which], divisor[which], taken[which], small[which].astype(np.uint32).ravel(), np.bincount(index, minlength=len(which)).astype(np.uint32), d[u][by_context].astype(np.uint32))
-                yield frames([(bucket, where[b][0], where[b][1], CONTEXTS, packed)])
-            if hot.any():
-                yield frames([(bucket, -1, -1, HOT, pack(name[hot].astype(np.uint64), taken[hot], small[hot].ravel().astype(np.float64)))])
-            yield frames([(bucket, -1, -1, COUNTS, pack(np.bincount(r[(r > 0) & (r <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2).astype(np.int64)))])
+            dest, own = held.popitem()
+            sent = [unpack(data) for _, _, data in own]
+            b, at = Bucket(sent, order, lower, hot_limit), 0
+            divisor = divisor_of(b.total, b.small)
+            value = np.log10(np.maximum(b.r, 1)) - np.where(b.hot, 0.0, np.log10(np.maximum(divisor, 1)))[b.context] - np.log10(np.where(b.r > 0, b.lower, 1.0))
+            for (part, block, _), s in zip(own, sent):
+                times, flagged = s[order + 5], s[order + 6]
+                gram = np.repeat(b.gram[at : at + len(times)], times)
+                at += len(times)
+                doc, r, context = (flagged >> 1).astype(np.int64), b.r[gram], b.context[gram]
+                n, seen = int(doc.max()) + 1, r > 0
+                classes = [np.bincount(doc[r == k], minlength=n).astype(np.uint32) for k in range(1, DISCOUNTED + 1)]
+                packed = [np.bincount(doc[seen], weights=value[gram[seen]], minlength=n), *classes]
+                # contexts that training has; without one the lower order stands
+                for rows in (~seen & (b.total[context] > 0), seen & b.hot[context]):
+                    which, index = np.unique(context[rows], return_inverse=True)
+                    docs = doc[rows][np.argsort(index, kind="stable")]
+                    packed += [np.where(b.hot, b.keys, np.uint64(0))[which], b.total[which], b.taken[which], b.small[which].astype(np.uint32).ravel(), np.bincount(index, minlength=len(which)).astype(np.uint32), docs.astype(np.uint32)]
+                yield frames([(dest, part, block, CONTEXTS, pack(*packed))])
+            yield frames(b.sums(dest))
+        give_back()
 
     return run
 
@@ -301,35 +510,40 @@ def hot_rows(batches):
         for data in batch.column(0).to_pylist():
             name, taken, small = unpack(data)
             values = np.column_stack([taken, small.reshape(-1, DISCOUNTED)])
-            yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(list(values), pa.list_(pa.float64()))], ["name", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(list(values), pa.list_(pa.float64()))], ["name", "value"])
+
+
+def sums_of(tables: DataFrame) -> tuple[list[float], dict[int, tuple]]:
+    """(discounts, hot contexts' small counts and taken mass) of an order, from its buckets' sums."""
+    counts = add_arrays([r["data"] for r in tables.filter(f"kind = {COUNTS}").select("data").collect()], DISCOUNTED + 2)
+    parts = tables.filter(f"kind = {HOT}").select("data").mapInArrow(hot_rows, "name long, value array<double>")
+    sums = parts.groupBy("name").agg(*[F.sum(F.col("value")[i]).alias(f"v{i}") for i in range(DISCOUNTED + 1)]).collect()  # fewer than 1 / HOT_SHARE
+    return discounts(counts), {int(np.int64(r["name"]).astype(np.uint64)): (np.array([r[f"v{i}"] for i in range(1, DISCOUNTED + 1)]), r["v0"]) for r in sums}
 
 
 def add_up(discount: list[float], n_train: int, hot: dict[int, tuple]):
-    """All rows of a block of texts to a score for each of its documents. ``hot``: (taken, small) of hot contexts."""
+    """All rows of a block of texts to a score for each of its documents. ``hot``: (small counts, taken mass) of hot contexts."""
 
     def run(key, table):
         import pyarrow as pa
 
-        d = np.array(discount)
         head, scores = None, []
         for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist()):
             if kind == DOCUMENTS:
                 head = unpack(data)
                 continue
             value, *rest = unpack(data)
-            classes, (name, total, divisor, taken, small, n, docs) = rest[:DISCOUNTED], rest[DISCOUNTED:]
             for k in range(1, DISCOUNTED + 1):
-                value = value + classes[k - 1] * math.log10(d[k])
-            small = small.reshape(-1, DISCOUNTED).astype(np.float64)
-            for i in np.flatnonzero(name):
-                taken[i], small[i] = hot[int(name[i])]
-            r = np.arange(1, DISCOUNTED + 1)
-            mass = (divisor - total + (small * r * (1 - d[1:])).sum(1)) / divisor
-            weight = np.log10(mass / (1 - taken))
-            value = value + np.bincount(docs, weights=np.repeat(weight, n), minlength=len(value))[: len(value)]
+                value = value + rest[k - 1] * math.log10(discount[k])
+            for part, (name, total, taken, small, n, docs) in enumerate((rest[DISCOUNTED : DISCOUNTED + 6], rest[DISCOUNTED + 6 :])):
+                small, taken = small.reshape(-1, DISCOUNTED).astype(np.float64), taken.copy()
+                for i in np.flatnonzero(name):
+                    small[i], taken[i] = hot[int(name[i])]
+                each = np.log10(backoff_weight(total, small, taken, discount)) if part == 0 else -np.log10(divisor_of(total, small))
+                value = value + np.bincount(docs, weights=np.repeat(each, n), minlength=len(value))[: len(value)]
             scores.append(value)
-        ids, known, train, n_tokens, base, unigram, n_known = head
-        total = unigram.copy()
+        ids, known, train, n_tokens, base, lower, n_known = head
+        total = lower.copy()
         for s in scores:
             total[: len(s)] += s
         columns = [pa.array(ids, mask=known == 0), pa.array(train == 0), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(ids), n_train, np.int64)), pa.array(base), pa.array(total)]
@@ -338,49 +552,67 @@ def add_up(discount: list[float], n_train: int, hot: dict[int, tuple]):
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
     """Trains on the documents whose crc32(id as text) mod ``folds`` isn't ``held``, and scores all.
 
     Words are what stands between ASCII white space, A-Z in lower case; each text has
     an end token. Result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
-    (add-half unigrams), score (log10 of the model's probability).
+    (add-half unigrams), score (log10 of the probability under the model of n-grams up to
+    ``order``, 2 at least).
 
-    Contexts with no count up to ``DISCOUNTED`` leave no mass of themselves; they, and
-    hot contexts, count one more, which is theirs to back off with. Null and empty texts are the end token
-    alone. Null ids hash as the empty string and stay null. Repeated rows are scored,
-    and trained on, each. An empty table gives no rows. Other columns are ignored.
+    A context with no count up to ``DISCOUNTED`` leaves no mass of its own; it counts one
+    more, which is its to back off with. Null and empty texts are the end token alone.
+    Very long texts are scored whole. Null ids hash as the empty string and stay null.
+    Repeated rows are scored, and trained on, each. An empty table gives no rows. Other
+    columns are ignored.
 
-    The input is read twice, and both readings must deal it out alike, as scans of
-    files do; a difference stops the job.
+    The input is read ``order`` times, and all readings must deal it out alike, as scans of
+    files do; answers carry a checksum of their question, so a difference stops the job.
     """
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
-    width = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_parts = max(1, rows.rdd.getNumPartitions())
-    asked = rows.mapInArrow(ask_vocabulary(width, folds, held), FRAMES).repartitionById(width, F.col("dest"))
-    answered = asked.mapInArrow(answer_vocabulary(width), FRAMES)
-    path = new_path(spark, "vocabulary")
-    answered.repartitionById(n_parts + 1, F.col("part") + 1).write.partitionBy("part").parquet(path)
-    vocabulary = spark.read.schema(FRAMES).parquet(path)
     checksum = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
-    n_train_docs = rows.select("doc_id").filter(checksum % folds != held).count()
-    v, n, *counts = add_arrays([r["data"] for r in vocabulary.filter(f"part = -1 and kind = {COUNTS}").select("data").collect()], 2 + DISCOUNTED + 2)
+    n_bytes, n_train_docs = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(checksum % folds != held, 1))).first()
+    width = max(partitions(spark), -(-(n_bytes or 0) // BUCKET_BYTES))
+    n_parts = max(1, rows.rdd.getNumPartitions())
+
+    def answered(asked, answer) -> str:
+        path = new_path(spark, "katz-order")
+        asked.repartitionById(width, F.col("dest")).mapInArrow(answer, FRAMES).repartitionById(n_parts + 1, F.col("part") + 1).write.partitionBy("part").parquet(path)
+        return path
+
+    vocabulary = answered(rows.mapInArrow(ask_vocabulary(width, folds, held, block_characters), FRAMES), answer_vocabulary(width))
+    found = spark.read.schema(FRAMES).parquet(vocabulary).filter(f"part = -1 and kind = {COUNTS}").select("data").collect()
+    v, n, *counts = add_arrays([r["data"] for r in found], 2 + DISCOUNTED + 2)
     counts[0] = 0
     if n_train_docs:  # the end token is a word of training
         v, n = v + 1, n + n_train_docs
         if n_train_docs <= DISCOUNTED + 1:
             counts[n_train_docs] += 1
-    model = Unigrams(n, v, counts)
-    dealt = rows.mapInArrow(deal_bigrams(width, folds, held, path, n_train_docs, model), FRAMES).repartitionById(width, F.col("dest"))
-    tables = written(dealt.mapInArrow(count_bigrams(model), FRAMES), "bigrams")
-    counts = add_arrays([r["data"] for r in tables.filter(f"kind = {COUNTS}").select("data").collect()], DISCOUNTED + 2)
-    # fewer than 1 / HOT_SHARE contexts can be hot
-    parts = tables.filter(f"kind = {HOT}").select("data").mapInArrow(hot_rows, "name long, value array<double>")
-    sums = parts.groupBy("name").agg(*[F.sum(F.col("value")[i]).alias(f"v{i}") for i in range(DISCOUNTED + 1)]).collect()
-    hot = {r["name"]: (r["v0"], np.array([r[f"v{i}"] for i in range(1, DISCOUNTED + 1)])) for r in sums}
+    unigrams = Unigrams(n, v, counts)
+    orders: list[Order] = []
+    lower = Order(1, unigrams.discounts, vocabulary)
+
+    def reader():
+        before = list(orders)
+        return lambda batches: readings(batches, folds, held, block_characters, width, n_train_docs, unigrams, hot_share * n, vocabulary, before)
+
+    for k in range(2, order):
+        path = answered(rows.mapInArrow(ask_order(width, reader()), FRAMES), answer_order(k, lower, hot_share * n))
+        lower = Order(k, *_placed(path, sums_of(spark.read.schema(FRAMES).parquet(path).filter("part = -1"))))
+        orders.append(lower)
+    dealt = rows.mapInArrow(deal_last(width, reader(), unigrams), FRAMES).repartitionById(width, F.col("dest"))
+    tables = written(dealt.mapInArrow(count_last(order, lower, hot_share * n), FRAMES), "katz-last")
+    discount, hot = sums_of(tables)
     kept = tables.filter(f"kind in ({DOCUMENTS}, {CONTEXTS})").select("part", "block", "kind", "data")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return kept.groupBy("part", "block").applyInArrow(add_up(discounts(counts), n, hot), schema)
+    return kept.groupBy("part", "block").applyInArrow(add_up(discount, n, hot), schema)
+
+
+def _placed(path: str, sums: tuple) -> tuple:
+    return sums[0], path, sums[1]
 
 
 def add_arrays(packed: list[bytes], size: int) -> list[int]:

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -299,54 +300,76 @@ def test_keep_representatives(spark, docs):
     assert kept.columns == docs.columns
 
 
-def katz_by_hand(rows):
+def good_turing(counts):
+    """Discounts of counts 1 to 5 by Katz's formula; half a count less where it gives none."""
+    of = collections.Counter(counts)
+    out = {}
+    for r in range(1, 6):
+        out[r] = (r - 0.5) / r
+        if of[1] and of[r]:
+            tail = 6 * of[6] / of[1]
+            good = (r + 1) * of[r + 1] / of[r] / r
+            if tail < 1 and 0 < (good - tail) / (1 - tail) < 1:
+                out[r] = (good - tail) / (1 - tail)
+    return out
+
+
+def katz_by_hand(rows, order):
     texts = [(t or "").encode().lower().split() + [None] for _, t in rows]
     train = [zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 1 for d, _ in rows]
-    uni, bi = collections.Counter(), collections.Counter()
+    grams = [collections.Counter() for _ in range(order + 1)]
     for w, x in zip(texts, train):
         if x:
-            uni.update(w)
-            bi.update(zip([0, *w[:-1]], w))
+            for m in range(1, order + 1):
+                padded = [0] * (m - 1) + w
+                grams[m].update(tuple(padded[i : i + m]) for i in range(len(w)))
+    uni = grams[1]
     n, v = sum(uni.values()), len(uni)
-    of = lambda c: [0, *[sum(x == r for x in c.values()) for r in range(1, katz.DISCOUNTED + 2)]]
-    du, db = katz.discounts(of(uni)), katz.discounts(of(bi))
-    cut = lambda d, c: (d[c] if c <= katz.DISCOUNTED else 1) * c
-    unknown = 1 - sum(cut(du, c) for c in uni.values()) / n
-    p1 = lambda w: cut(du, uni[w]) / n if uni[w] else unknown
-    after = collections.defaultdict(list)
-    for (a, b), c in bi.items():
-        after[a].append((b, c))
-
-    def context(a):
-        total = sum(c for _, c in after[a])
-        more = total > katz.HOT_SHARE * n or not any(c <= katz.DISCOUNTED for _, c in after[a])
-        divisor = total + more
-        return divisor, (1 - sum(cut(db, c) for _, c in after[a]) / divisor) / (1 - sum(p1(b) for b, _ in after[a]))
-
-    def p(a, b):
-        if bi[a, b]:
-            return cut(db, bi[a, b]) / context(a)[0]
-        return (context(a)[1] if a in after else 1) * p1(b)
+    d = [None] + [good_turing(grams[m].values()) for m in range(1, order + 1)]
+    cut = lambda m, c: d[m].get(c, 1) * c
+    unknown = 1 - sum(cut(1, c) for c in uni.values()) / n
+    after = [None, None] + [collections.defaultdict(dict) for _ in range(2, order + 1)]
+    for m in range(2, order + 1):
+        for g, c in grams[m].items():
+            after[m][g[:-1]][g[-1]] = c
+
+    @functools.lru_cache(None)
+    def context(m, h):
+        total = sum(after[m][h].values())
+        divisor = total + (not any(c <= 5 for c in after[m][h].values()))
+        left = 1 - sum(cut(m, c) for c in after[m][h].values()) / divisor
+        return divisor, left / (1 - sum(p(m - 1, h[1:], w) for w in after[m][h]))
+
+    def p(m, h, w):
+        if m == 1:
+            return cut(1, uni[(w,)]) / n if uni[(w,)] else unknown
+        if h not in after[m]:
+            return p(m - 1, h[1:], w)
+        if w in after[m][h]:
+            return cut(m, after[m][h][w]) / context(m, h)[0]
+        return context(m, h)[1] * p(m - 1, h[1:], w)
 
     out = []
-    for (d, _), w, x in zip(rows, texts, train):
-        pairs = list(zip([0, *w[:-1]], w))
-        base = sum(math.log10((uni[b] + 0.5) / (n + 0.5 * (v + 1))) for b in w)
-        out.append((d, not x, len(w), sum(uni[b] > 0 for b in w), n, base, sum(math.log10(p(a, b)) for a, b in pairs)))
-    return out, [sum(p(a, b) for b in uni) + p(a, b"never seen") for a in list(after)[:20]]
+    for (i, _), w, x in zip(rows, texts, train):
+        padded = [0] * (order - 1) + w
+        base = sum(math.log10((uni[(b,)] + 0.5) / (n + 0.5 * (v + 1))) for b in w)
+        score = sum(math.log10(p(order, tuple(padded[k : k + order - 1]), w[k])) for k in range(len(w)))
+        out.append((i, not x, len(w), sum(uni[(b,)] > 0 for b in w), n, base, score))
+    sums = [sum(p(m, h, b) for (b,) in uni) + p(m, h, b"never seen") for m in range(2, order + 1) for h in list(after[m])[:15]]
+    return out, sums
 
 
-def test_katz(spark, docs, empty):
-    few = docs.filter("text is null or length(text) < 6000")
-    rows = [(r["doc_id"], r["text"]) for r in few.collect()]
-    want, sums = katz_by_hand(rows)
+@pytest.mark.parametrize("order,hot_share", [(2, 1 / 1000), (3, 1 / 1000), (3, 1 / 20), (4, 1 / 200)])
+def test_katz(spark, docs, empty, order, hot_share):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want, sums = katz_by_hand(rows, order)
     assert sums == pytest.approx([1] * len(sums))
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
-    got = sorted((tuple(r) for r in katz.score_documents(few.coalesce(3)).collect()), key=key)
+    got = sorted((tuple(r) for r in katz.score_documents(docs.coalesce(3), order=order, hot_share=hot_share, block_characters=3000).collect()), key=key)
     want.sort(key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]])
-    assert katz.score_documents(empty).count() == 0
+    assert katz.score_documents(empty, order=order).count() == 0
 
 
 def test_toxicity_chain(spark, empty):
