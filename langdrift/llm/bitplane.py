@@ -181,7 +181,8 @@ def write_token_files(
     spark = docs.sparkSession
     folder = path or new_path(spark, "ids")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # the place in the input splits the range of an id that many rows repeat
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
 
     def write(batches):
         import pyarrow as pa

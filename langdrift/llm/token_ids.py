@@ -8,6 +8,7 @@ the library.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -16,6 +17,15 @@ import numpy as np
 #: Texts of these characters are split here as the tokenizer file's own pattern splits them; of others, words go to the library.
 PLAIN_TEXT = re.compile(r"[ \t\r\n!-~À-ÖØ-öø-ÿ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\r\na-zß-öø-ÿ0-9]+")
+#: The normaliser and pre-tokeniser for which the above holds, as the library writes them.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENISER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Unseen pieces given to the library in one call.
 PIECES_A_CALL = 500
 
@@ -23,15 +33,18 @@ PIECES_A_CALL = 500
 class WordCachedTokenizer:
     """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    Holds for tokenizer files that drop white space, lower-case, and split with
-    the pattern above (``word_bpe_49k.json``); ``pieces`` and ``words`` bound the
-    caches of pieces and of words with other characters, which are emptied when full.
+    The cache serves tokenizer files that normalise and split as above
+    (``word_bpe_49k.json``); with any other file whole texts go to the library.
+    ``pieces`` and ``words`` bound the caches of pieces and of words with other
+    characters, which are emptied when full.
     """
 
     def __init__(self, path: str, pieces: int = 600_000, words: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        found = json.loads(self.tokenizer.to_str())
+        self.by_piece = (found["normalizer"], found["pre_tokenizer"], found["model"]["type"]) == (NORMALISER, PRE_TOKENISER, "BPE")
         self.piece_limit, self.word_limit = pieces, words
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
@@ -61,6 +74,8 @@ class WordCachedTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
+        if not self.by_piece:
+            return [self._encode(t or "") for t in texts]
         split = [PIECE.findall(t.lower()) if PLAIN_TEXT.fullmatch(t) and "<|" not in t else None for t in (t or "" for t in texts)]
         if len(self.pieces) > self.piece_limit:
             self.pieces = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import uuid
@@ -12,18 +13,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small_values, new_path, open_fs, partitions, written
+from .common import HOT_SHARE, join_small_values, new_path, open_fs, partitions, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NEW_LINE = b"\r\n"
 
 
-def record_id(page_id: int | None, fallback: str) -> str:
-    """A record's urn: holds the page's id; random where it has none."""
+def record_id(page_id: int | None, fallback: str, digest: str = "") -> str:
+    """A record's urn: holds the page's id and the begin of the payload's digest (hexadecimal), by which others refer to it; made of ``fallback`` where there is no id."""
     if page_id is None:
         return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, fallback)}>"
-    h = f"{page_id & 0xFFFFFFFFFFFFFFFF:016x}"
-    return f"<urn:uuid:{h[:8]}-{h[8:12]}-8{h[12:15]}-8000-00000000000{h[15]}>"
+    h, d = f"{page_id & 0xFFFFFFFFFFFFFFFF:016x}", digest[:14].ljust(14, "0")
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-8{h[12:15]}-8{d[:3]}-{d[3:]}{h[15]}>"
 
 
 def page_of_record_id(urn: str) -> int:
@@ -39,8 +40,9 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     Headers alone (no payloads) are shuffled by payload digest. Of the records with
     equal payloads of at least ``min_bytes`` bytes the one with the smallest id is
     the response and the others refer to it; smaller payloads are all responses. One
-    header for each distinct (page_id, digest), so repeats of a page's id with the
-    same payload share a header: repeats of the smallest id are all responses.
+    header for each distinct (page_id, digest), with the number of its ``rows``, so repeats
+    of a page's id with the same payload share a header: repeats of the smallest id are
+    all responses.
     Null payloads are empty; a null id is after all others, and never referred to
     (where all ids of a payload are null, all are responses).
     """
@@ -50,11 +52,11 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
     repeated = headers.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), first.alias("first")).filter("copies > 1")
     total = headers.count()
-    one = headers.groupBy("page_id", "digest").agg(F.first("payload_bytes").alias("payload_bytes"))
+    one = headers.groupBy("page_id", "digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.count(F.lit(1)).alias("rows"))
     joined = join_small_values(one, repeated, "digest", "copies", total)
     is_revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return joined.select(
-        "page_id", "digest", "payload_bytes", F.when(is_revisit, "revisit").otherwise("response").alias("record_type"), F.when(is_revisit, F.col("first.page_id")).alias("refers_to"), F.when(is_revisit, F.col("first.url")).alias("refers_url")
+        "page_id", "digest", "rows", "payload_bytes", F.when(is_revisit, "revisit").otherwise("response").alias("record_type"), F.when(is_revisit, F.col("first.page_id")).alias("refers_to"), F.when(is_revisit, F.col("first.url")).alias("refers_url")
     )
 
 
@@ -70,12 +72,15 @@ def clean_header(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", bytes_a_file: int = 32_000_000) -> DataFrame:
+def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str | None = None, bytes_a_file: int = 32_000_000) -> DataFrame:
     """Writes ``pages`` as ``.warc.gz`` archives with fresh headers; returns the files.
 
     A response record has the whole payload below an HTTP header; a revisit record
-    only headers that name the response. The payloads are shuffled once, to meet
-    their header by (page_id, digest); tasks roll files at about ``bytes_a_file``.
+    only headers that name the response. Records are dated ``date``, or when the job
+    begins. A response's id is made of page and payload, a revisit's is its own. The
+    payloads are shuffled once, to meet their header by (page_id, digest); headers of many
+    rows (one id or null id with one payload) are dealt out to several tasks. Tasks roll
+    files at about ``bytes_a_file``.
     Files get their name when whole, and only those of tasks that succeeded are
     returned. Result: file, n_records, n_bytes.
     """
@@ -84,10 +89,17 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     headers = resolve_revisits(pages, id_col, url_col, body_col, min_bytes)
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
     bodies = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha1(F.col("body").cast("binary")))
+    date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     n = partitions(spark)
-    key = F.xxhash64("page_id", "digest")
-    b, h = bodies.withColumn("key", key).repartition(n, "key").alias("b"), headers.withColumn("key", key).repartition(n, "key").hint("shuffle_hash").alias("h")
-    same = (F.col("b.key") == F.col("h.key")) & F.col("b.page_id").eqNullSafe(F.col("h.page_id")) & (F.col("b.digest") == F.col("h.digest"))
+    headers = written(headers.withColumn("key", F.xxhash64("page_id", "digest")), "warc-resolved")
+    limit = max(1.0, (headers.agg(F.sum("rows")).first()[0] or 0) * HOT_SHARE)
+    shares = F.ceil(F.col("rows") / limit).cast("long")
+    hot = F.broadcast(headers.filter(F.col("rows") > limit).groupBy("key").agg(F.max(shares).alias("shares")))  # fewer than 1 / HOT_SHARE
+    bodies = bodies.withColumn("place", F.monotonically_increasing_id()).withColumn("key", F.xxhash64("page_id", "digest")).join(hot, "key", "left")
+    b = bodies.withColumn("share", F.pmod("place", F.coalesce("shares", F.lit(1)))).repartition(n, "key", "share").alias("b")
+    h = headers.join(hot, "key", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1)))
+    h = h.repartition(n, "key", "share").hint("shuffle_hash").alias("h")
+    same = (F.col("b.key") == F.col("h.key")) & (F.col("b.share") == F.col("h.share")) & F.col("b.page_id").eqNullSafe(F.col("h.page_id")) & (F.col("b.digest") == F.col("h.digest"))
     rows = b.join(h, same).select("b.page_id", "b.url", F.when(F.col("record_type") == "response", F.col("b.body")).alias("body"), "b.digest", "payload_bytes", "record_type", "refers_to", "refers_url")
 
     def write(batches):
@@ -111,12 +123,13 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
                     out = fs.open_output_stream(f"{root}/{name}.part", compression=None)
                     info = f"software: langdrift\r\nformat: WARC File Format 1.1\r\nfile: {name}\r\n".encode()
                     out.write(gzip.compress(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: %s\r\nWARC-Date: %s\r\nWARC-Filename: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (record_id(None, f"{folder}/{name}").encode(), date.encode(), name.encode(), len(info), info), mtime=0))
-                urn = record_id(r["page_id"], f"{folder}/{name}#{records}")
+                revisit = r["record_type"] == "revisit"
+                urn = record_id(None if revisit else r["page_id"], f"{folder}/{name}#{records}", r["digest"])
                 url = clean_header(r["url"])
                 fields = [("WARC-Target-URI", url)] if url else []
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % r["payload_bytes"]
-                if r["record_type"] == "revisit":
-                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(r["refers_to"], "")), ("WARC-Refers-To-Date", date)]
+                if revisit:
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(r["refers_to"], "", r["digest"])), ("WARC-Refers-To-Date", date)]
                     if r["refers_url"]:
                         fields.append(("WARC-Refers-To-Target-URI", clean_header(r["refers_url"])))
                 else:
@@ -139,8 +152,11 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     return written(rows.mapInArrow(write, "file string, n_records long, n_bytes long"), "warc-files")
 
 
-def records_of(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a ``.warc.gz`` stream, a gzip member at a time."""
+def records_of(stream, chunk: int = 1 << 15) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a ``.warc.gz`` stream, a gzip member at a time.
+
+    What follows a member in its chunk is copied for the next one, so chunks are small.
+    """
     z, raw, got = zlib.decompressobj(31), b"", []
     while True:
         if not raw and not (raw := stream.read(chunk)):

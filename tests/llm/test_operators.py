@@ -63,6 +63,12 @@ def test_cached_ids_equal_the_tokenizers(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in cached.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizer_files_go_to_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, texts = Tokenizer.from_file(path), ["It's 12 o'clock.  Añó", "", None, "x\ny"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in WordCachedTokenizer(path).encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_planes_round_trip(tmp_path, planes):
     rng = np.random.default_rng(0)
@@ -154,7 +160,15 @@ def test_warc(spark, tmp_path):
     assert warc.warc_round_trip(spark, df.limit(0)).count() == 0
     few = warc.warc_round_trip(spark, df, min_bytes=5).collect()
     assert {r["record_type"] for r in few if r["payload_bytes"] < 5} == {"response"}
+    with_ids = warc.write_archives(df, str(tmp_path / "v")).collect()
+    import gzip
+
+    heads = [h for f in with_ids for h in gzip.open(f["file"]).read().split(b"WARC/1.1\r\n") if b"WARC-Type: re" in h]
+    urns = [h.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for h in heads if b"X-Page-ID" in h]
+    assert len(urns) == 9 and len(set(urns)) == 9
+    assert {h.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] for h in heads if b"WARC-Refers-To: " in h} <= set(urns)
     for n in (0, 1, -1, 2**63 - 1, -(2**63), 123456789012345678):
+        assert warc.page_of_record_id(warc.record_id(n, "", "af" * 20)) == n
         assert warc.page_of_record_id(warc.record_id(n, "")) == n
 
 
