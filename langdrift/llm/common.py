@@ -29,9 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+#: What this driver has written and not yet dropped.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/langdrift/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/langdrift/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def drop_written() -> int:
+    """Deletes the tables, archives and token files that operators of this driver have written; their number.
+
+    Results read from them, so call it when they are stored.
+    """
+    from pyarrow import fs
+
+    n = 0
+    while _written:
+        system, path = open_fs(_written.pop())
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
+            n += 1
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +78,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def open_fs(uri: str):
-    """(file system, path) of ``uri``, opened in a task."""
+    """(file system, path) of ``uri``, opened where it is called."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
@@ -71,6 +92,14 @@ def finite_vector(vector: str | Column, nonzero: bool) -> Column:
     return ok & F.exists(c, lambda x: x != 0) if nonzero else ok
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def usual_length(rows: DataFrame, vector: str) -> tuple[int, int]:
     """(rows, length) of the most frequent length of an array column, the longer of equally frequent ones; (0, 0) without rows."""
     sizes = rows.groupBy(F.size(vector).alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, join_small_values, partitions, written
+from .common import give_back, join_small_values, partitions, unused_name, written
 from .token_ids import by_size
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -530,5 +530,6 @@ def link_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, seeds:
 
 def keep_representatives(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those that are not their component's ``component_id``; rows with a null id stay."""
-    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped.hint("shuffle_hash"), F.col(id_col) == F.col("_dropped"), "left_anti")
+    name = unused_name(docs, "_dropped")
+    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped.hint("shuffle_hash"), F.col(id_col) == F.col(name), "left_anti")
