@@ -11,6 +11,9 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ["corpus_party_at_date", "member_resolution", "conversation_merge", "time_windows", "corpus_stats", "keyness_ll", "group_keywords", "member_split_balanced", "ce_matrix", "kld_matrix", "collocates_mi", "nearest_neighbours", "results_roundtrip"]
 
+NAMES += ["archive_files", "transcript_elements", "archives_to_contributions", "debates_json", "corpus_tables", "division_csv", "key_dates", "member_groups", "terms_topic", "tagged_token_lines", "keyword_files", "stats_csv", "constituency_leave"]
+NAMES += ["assembled_corpus", "members_left_out", "files_in_period", "groups_by_value", "parsed_dates", "debate_file_names", "token_trigrams", "lean_labels", "member_intervals", "windows_that_differ", "clean_text", "tokenise", "quantile_split", "events_in_windows", "snapshot_asof", "keyword_rank_diff"]
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
