@@ -319,6 +319,49 @@ def stars(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def sorted_groups(batches, keys: tuple[str, ...], lists: tuple[str, ...] = ("tokens",)):
+    """Columns of the rows of each key, from Arrow batches that are sorted by it; ``lists`` are columns of arrays.
+
+    Columns other than ``lists`` have no nulls. What a group of a few rows costs is little more than its slices, where a frame for each group costs milliseconds.
+    """
+    held: list[dict] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = {}
+        for name, column in zip(batch.schema.names, batch.columns):
+            if name in lists:
+                flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                found[name] = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            else:
+                found[name] = column.to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(changes(*(found[k] for k in keys)))
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), batch.num_rows]):
+            piece = {name: c[a:b] for name, c in found.items()}
+            if held and any(held[-1][k][0] != piece[k][0] for k in keys):
+                yield joined_pieces(held, lists)
+                held = []
+            held.append(piece)
+    if held:
+        yield joined_pieces(held, lists)
+
+
+def joined_pieces(pieces: list[dict], lists: tuple[str, ...]) -> dict:
+    if len(pieces) == 1:
+        return pieces[0]
+    return {name: [x for p in pieces for x in p[name]] if name in lists else np.concatenate([p[name] for p in pieces]) for name in pieces[0]}
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def sets_of(pdf) -> tuple[list[np.ndarray], np.ndarray]:
     """(token arrays, set sizes) of rows."""
     return [np.asarray(t, np.int64) for t in pdf["tokens"]], pdf["n"].to_numpy()
@@ -345,16 +388,27 @@ def similar_pairs(classes: DataFrame, percent: int, seeds: int) -> DataFrame:
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("class", "deal"), blocks))
     held = classes.join(keyed.select("class", "key", "deal", "part"), "class")
 
-    def link(pdf):
-        import pandas as pd
+    by = ("key", "deal", "part")
+
+    def link(batches):
+        import pyarrow as pa
+
+        found: list[tuple] = []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
 
-        pdf = pdf.sort_values("class")
-        sets, n = sets_of(pdf)
-        names, common = pdf["class"].tolist(), overlaps(sets, sets)
-        found = [(names[i], names[j], k) for k, limit in ((True, percent), (False, FAMILY)) for i, j in stars(similar(common, n, n, limit))]
-        return pd.DataFrame(found, columns=["a", "b", "linked"])
+        for g in sorted_groups(batches, by):
+            names, n, common = g["class"].tolist(), g["n"], overlaps(g["tokens"], g["tokens"])
+            found += [(names[i], names[j], k) for k, limit in ((True, percent), (False, FAMILY)) for i, j in stars(similar(common, n, n, limit))]
+            if len(found) > 20_000:
+                yield made()
+                found = []
+        yield made()
+        give_back()
 
-    return written(held.groupBy("key", "deal", "part").applyInPandas(link, "a long, b long, linked boolean").distinct(), "similar-pairs")
+    dealt = held.select(*by, "class", "n", "tokens").repartition(*by).sortWithinPartitions(*by, "class")
+    return written(dealt.mapInArrow(link, "a long, b long, linked boolean").distinct(), "similar-pairs")
 
 
 def _seeded(seed: int):
@@ -404,20 +458,32 @@ LINKS = "a long, b long"
 def links_inside(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links between clusters of one part, a, b; and the token union of each part: column, part, tokens."""
 
-    def run(pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        pdf = pdf.sort_values("class")
-        sets, n = sets_of(pdf)
-        clusters = pdf["cluster"].to_numpy()
-        found = []
-        if (clusters != clusters[0]).any():
-            found = [(int(clusters[i]), int(clusters[j])) for i, j in stars(similar(overlaps(sets, sets), n, n, percent)) if clusters[i] != clusters[j]]
-        rows = [(a, b, None, None, None) for a, b in dict.fromkeys(found)]
-        names = ["a", "b", "column", "part"]
-        return pd.DataFrame([*rows, (None, None, pdf["column"].iloc[0], pdf["part"].iloc[0], np.unique(np.concatenate(sets)))], columns=[*names, "tokens"]).astype(dict.fromkeys(names, "Int64"))
-
-    done = written(groups.groupBy("part").applyInPandas(run, LINKS + ", column long, part long, tokens array<long>"), "unions")
+        rows: list[tuple] = []
+        size = 0
+
+        def made():
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["a", "b", "column", "part", "tokens"])
+
+        for g in sorted_groups(batches, ("part",)):
+            sets, n, clusters = g["tokens"], g["n"], g["cluster"]
+            if (clusters != clusters[0]).any():
+                found = [(int(clusters[i]), int(clusters[j])) for i, j in stars(similar(overlaps(sets, sets), n, n, percent)) if clusters[i] != clusters[j]]
+                rows += [(a, b, None, None, None) for a, b in dict.fromkeys(found)]
+            rows.append((None, None, int(g["column"][0]), int(g["part"][0]), np.unique(np.concatenate(sets))))
+            size += len(rows[-1][4])
+            if size > PART_TOKENS:
+                yield made()
+                rows, size = [], 0
+        if rows:
+            yield made()
+        give_back()
+
+    dealt = groups.select("part", "column", "cluster", "class", "n", "tokens").repartition("part").sortWithinPartitions("part", "class")
+    done = written(dealt.mapInArrow(run, LINKS + ", column long, part long, tokens array<long>"), "unions")
     return done.filter("tokens is null").select("a", "b"), done.filter("tokens is not null").select("column", "part", "tokens")
 
 
@@ -427,25 +493,33 @@ def links_between(groups: DataFrame, unions: DataFrame, percent: int) -> DataFra
     holders = matrix.groupBy("token").agg(F.min("column").alias("first"), F.max("column").alias("last"), F.count(F.lit(1)).alias("held"))
     holders = holders.filter("first <> last").select("token", "held")
     crossing = join_small_values(matrix, holders, "token", "held", max(1, matrix.count())).filter("held is not null")
-    crossing = crossing.groupBy(F.col("column").alias("of"), F.col("part").alias("at")).agg(F.collect_list(F.struct("held", "token")).alias("c")).select("of", "at", "c.token", "c.held")  # of a part's union, which is bounded
+    crossing = crossing.groupBy("part").agg(F.collect_list(F.struct("held", "token")).alias("c"))  # of a part's union, which is bounded
+    none = F.lit(None).cast("array<long>").alias("held")
+    members = groups.select("part", F.lit(1).alias("side"), "class", "n", "cluster", "column", "tokens", none)
+    both = members.unionByName(crossing.select("part", F.lit(0).alias("side"), *[F.lit(0).cast("long").alias(c) for c in ("class", "n", "cluster", "column")], F.col("c.token").alias("tokens"), F.col("c.held").cast("array<long>").alias("held")))
 
-    def keep(key, classes, tokens):
-        import pandas as pd
+    def keep(batches):
+        import pyarrow as pa
 
-        out = []
-        if len(classes) and len(tokens):
-            token, held = np.asarray(tokens["token"].iloc[0], np.int64), np.asarray(tokens["held"].iloc[0], np.int64)
-            order = np.argsort(token)
-            token, held = token[order], held[order]
-            for name, n, own, cluster, part in zip(classes["class"], classes["n"], classes["tokens"], classes["cluster"], classes["part"]):
-                own = np.asarray(own, np.int64)
+        names = ["class", "n", "tokens", "cluster", "column", "part"]
+        types = dict.fromkeys(names, pa.int64()) | {"tokens": pa.list_(pa.int64())}
+        for g in sorted_groups(batches, ("part",), ("tokens", "held")):
+            if g["side"][0]:
+                continue  # no token of the part is in another group
+            order = np.argsort(g["tokens"][0])
+            token, held = g["tokens"][0][order], g["held"][0][order]
+            out = []
+            for i in range(1, len(g["side"])):
+                own = g["tokens"][i]
                 at = np.searchsorted(token, own).clip(max=len(token) - 1)
                 at = at[token[at] == own]
-                if len(at) >= needed(n, percent):
-                    out.append((name, n, token[at[np.lexsort((token[at], held[at]))]], cluster, key[0], part))
-        return pd.DataFrame(out, columns=["class", "n", "tokens", "cluster", "column", "part"])
+                if len(at) >= needed(int(g["n"][i]), percent):
+                    out.append({c: int(g[c][i]) for c in names if c != "tokens"} | {"tokens": token[at[np.lexsort((token[at], held[at]))]]})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in types.items()], names)
+        give_back()
 
-    left = groups.groupBy("column", "part").cogroup(crossing.groupBy("of", "at")).applyInPandas(keep, "class long, n long, tokens array<long>, cluster long, column long, part long")
+    left = both.repartition("part").sortWithinPartitions("part", "side", "class").mapInArrow(keep, "class long, n long, tokens array<long>, cluster long, column long, part long")
     left = written(left, "crossing-classes")
     if left.isEmpty():
         return None

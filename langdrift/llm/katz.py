@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, new_path, open_fs, partitions, written
-from .jaccard import mixed, runs, split_by
+from .jaccard import changes, mixed, runs, split_by
 from .token_ids import by_size
 
 #: Counts up to this are discounted.
@@ -233,16 +233,6 @@ def context_keys(columns: list[np.ndarray]) -> np.ndarray:
     return np.maximum(key, np.uint64(1))
 
 
-def changes(*columns: np.ndarray) -> np.ndarray:
-    """Where any of sorted columns differs from the row before."""
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = False
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return new
-
-
 class Grams:
     """The distinct n-grams of a block, sorted by (bucket, context, word): what is asked, and how answers meet the tokens."""
 
