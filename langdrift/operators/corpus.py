@@ -87,20 +87,22 @@ def resolve_members(rows: DataFrame, members: DataFrame, member: str = "member",
 
 
 def match_fuzzy(left: DataFrame, right: DataFrame, key: str, result: str, name: str | None = None, least: int = 85, least_name: int = 50, least_alone: int = 95) -> DataFrame:
-    """``left`` with ``result`` of the row of ``right`` whose ``key`` is equal or else most similar; unmatched rows are dropped.
+    """``left`` with ``result`` of the row of ``right`` whose ``key`` is equal or else most similar, in lower case; unmatched rows are dropped.
 
-    A similar key must exceed ``least`` with a similar name, or ``least_alone`` where
+    Of rows of ``right`` with one key the least result counts. A similar key must exceed ``least`` with a similar name, or ``least_alone`` where
     there is no name to compare. Only rows without an equal key are compared, each
     distinct key with all keys of ``right`` that can be similar enough (``similar_keys``).
     """
-    r = right.select(F.col(key).alias("_key"), F.col(result), *([F.col(name).alias("_name")] if name else [])).dropDuplicates(["_key"])
-    joined = left.join(r.select("_key", result), F.col(key) == F.col("_key"), "left")
-    equal = joined.filter(F.col("_key").isNotNull()).drop("_key")
-    rest = left.join(r, F.col(key) == F.col("_key"), "left_anti").withColumn("_row", F.xxhash64(*left.columns))
-    pairs = similar_keys(rest.select(F.col(key).alias("_own")), r.select("_key"), min(least, least_alone) if name else least)
-    close = rest.join(pairs, F.col(key) == F.col("_own")).drop("_own").join(r, "_key")
+    r = right.select(F.lower(key).alias("_key"), F.col(result), *([F.col(name).alias("_name")] if name else []))
+    r = first_by(r, ["_key"], F.col(result), *(["_name"] if name else []))
+    rows = left.withColumn("_own", F.lower(key))
+    joined = rows.join(r.select("_key", result), F.col("_own") == F.col("_key"), "left")
+    equal = joined.filter(F.col("_key").isNotNull()).select(*left.columns, result)
+    rest = rows.join(r, F.col("_own") == F.col("_key"), "left_anti").withColumn("_row", F.monotonically_increasing_id())
+    pairs = similar_keys(rest.select("_own"), r.select("_key"), min(least, least_alone) if name else least)
+    close = rest.join(pairs, "_own").join(r, "_key")
     if name:
-        close = close.withColumn("_n", similarity(F.col(name), F.col("_name"))).filter(((F.col("_s") > least) & (F.col("_n") > least_name)) | (F.col("_s") > least_alone))
+        close = close.withColumn("_n", similarity(F.lower(name), F.lower("_name"))).filter(((F.col("_s") > least) & (F.col("_n") > least_name)) | (F.col("_s") > least_alone))
     return equal.unionByName(first_by(close, ["_row"], F.desc("_s"), F.col("_key")).select(*left.columns, result))
 
 
