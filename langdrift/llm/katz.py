@@ -39,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, new_path, open_fs, partitions, written
-from .jaccard import changes, mixed, runs, split_by
+from .jaccard import MULTIPLIER, changes, mixed, runs, split_by
 from .token_ids import by_size
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 BLOCK_CHARACTERS = 4_000_000
 #: Text bytes for each bucket, which a task holds whole.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 16 << 20
 FRAMES = "dest int, part int, block int, kind int, data binary"
 ASK, ANSWER, OCCURRENCES, DOCUMENTS, CONTEXTS, COUNTS, HOT = range(7)
 #: A context with more than this share of all tokens is hot: its n-grams are dealt out by the next word too.
@@ -54,11 +54,14 @@ HOT_SHARE = 1 / 1000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, compressed."""
+    """Arrays as byte planes, compressed; unsigned numbers in as few bytes as all fit."""
     import zstandard
 
     out = []
     for a in arrays:
+        if a.dtype.kind == "u" and a.itemsize > 1:
+            most = int(a.max()) if len(a) else 0
+            a = a.astype(np.min_scalar_type(most), copy=False)
         a = np.ascontiguousarray(a)
         out.append(struct.pack("<4sq", a.dtype.str.encode().ljust(4), len(a)))
         out.append(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if len(a) else b"")
@@ -169,7 +172,7 @@ def answer_vocabulary(width: int):
                 own = index[at : at + len(own)]
                 at += len(own)
                 check = np.array([zlib.crc32(words[own].tobytes())], np.uint32)
-                yield frames([(bucket, part, block, ANSWER, pack(check, number[own].astype(np.uint64), total[own].astype(np.uint32)))])
+                yield frames([(bucket, part, block, ANSWER, pack(check, number[own].astype(np.uint64), total[own].astype(np.uint64)))])
             known = total[total > 0]
             yield frames([(bucket, -1, -1, COUNTS, pack(np.concatenate([[len(known), known.sum()], np.bincount(known[known <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)]).astype(np.int64)))])
         give_back()
@@ -229,35 +232,44 @@ def context_keys(columns: list[np.ndarray]) -> np.ndarray:
     """A 64-bit name of contexts given as columns of word numbers, the nearest word first."""
     key = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
-        key = mixed(key * np.uint64(31) + c.astype(np.uint64), 1)
+        key = (key ^ (c + np.uint64(1))) * MULTIPLIER
+        key ^= key >> np.uint64(32)
     return np.maximum(key, np.uint64(1))
 
 
 class Grams:
-    """The distinct n-grams of a block, sorted by (bucket, context, word): what is asked, and how answers meet the tokens."""
+    """The distinct n-grams of a block, by (bucket, context, word): what is asked, and how answers meet the tokens."""
 
-    def __init__(self, columns: list[np.ndarray], word: np.ndarray, times: np.ndarray, hot_limit: float, width: int):
+    def __init__(self, columns: list[np.ndarray], word: np.ndarray, context: np.ndarray, local: np.ndarray, times: np.ndarray, hot_limit: float, width: int):
+        """``context`` and ``local`` number the contexts and words inside the block; the columns are the contexts' words in the whole corpus."""
         key = context_keys(columns)
-        bucket = ((key + np.where(times > hot_limit, mixed(word, 2), np.uint64(0))) % np.uint64(width)).astype(np.int64)
-        self.order = np.lexsort((word, *columns[::-1], bucket))
-        place = [c[self.order] for c in columns]
-        own, bucket = word[self.order], bucket[self.order]
-        new = changes(bucket, *place, own)
+        bucket = (key % np.uint64(width)).astype(np.int64)
+        hot = np.flatnonzero(times > hot_limit)
+        bucket[hot] = ((key[hot] + mixed(word[hot], 2)) % np.uint64(width)).astype(np.int64)
+        n_contexts, n_words = int(context.max()) + 1, int(local.max()) + 1
+        if width * n_contexts * n_words * len(word) < 1 << 63:  # the place goes along in the key: sorting is faster than sorting places
+            self.order = np.sort(((bucket * n_contexts + context) * n_words + local) * len(word) + np.arange(len(word))) % len(word)
+        elif width * n_contexts * n_words < 1 << 63:
+            self.order = np.argsort((bucket * n_contexts + context) * n_words + local)
+        else:
+            self.order = np.lexsort((local, context, bucket))
+        bucket, context = bucket[self.order], context[self.order]
+        new = changes(bucket, context, local[self.order])
         self.start = np.flatnonzero(new)
         self.of_sorted = np.cumsum(new) - 1
-        self.count = np.diff(np.append(self.start, len(own)))
-        self.words, self.bucket = own[self.start], bucket[self.start]
-        at = self.order[self.start]
-        new = changes(self.bucket, *(c[self.start] for c in place))
+        self.count = np.diff(np.append(self.start, len(bucket)))
+        self.at = self.order[self.start]  # a token of each n-gram
+        self.words, self.bucket = word[self.at], bucket[self.start]
+        new = changes(self.bucket, context[self.start])
         self.context = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
-        self.columns = [c[self.start][self.first] for c in place]
-        self.at, self.at_context = at, at[self.first]
-        self.keys = key[self.at_context]
+        self.at_context = self.at[self.first]
+        self.columns, self.keys = [c[self.at_context] for c in columns], key[self.at_context]
 
-    def by_token(self, of_gram: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.order), of_gram.dtype)
-        out[self.order] = of_gram[self.of_sorted]
+    def of_token(self) -> np.ndarray:
+        """The n-gram that ends at each token."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = self.of_sorted
         return out
 
     def buckets(self):
@@ -305,21 +317,34 @@ class Tokens:
         inner = np.ones(n, bool)
         inner[ends] = False
         self.word[inner], self.count[inner] = numbers[index], counts[index]
+        # words and the last order's n-grams, numbered inside the block; words in the order of their numbers, the end first
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(numbers)] = np.arange(1, len(words) + 1)
+        self.local = np.zeros(n, np.int64)
+        self.local[inner] = rank[index]
+        self.gram = self.local
         self.doc = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.begin = np.repeat(ends - lengths, lengths + 1)  # the first token of a token's text
+        self.begins = ends - lengths  # the first token of each text
         self.unigram_count, self.end_count = self.count, end_count
         self.divisor = np.full(n, max(unigrams.total, 1), np.float64)
         self.p = unigrams.probability(self.count)
 
     def grams(self, order: int, hot_limit: float, width: int) -> Grams:
         """The n-grams of the next order; ``times`` is set to how often training has their contexts."""
-        at = np.arange(len(self.word))
-        columns = []
-        for back in range(1, order):
-            before = at - back
-            columns.append(np.where(before >= self.begin, self.word[np.maximum(before, 0)], np.uint64(START)))
-        self.times = np.where(at > self.begin, np.concatenate([[0], self.count[:-1]]), self.end_count)
-        return Grams(columns, self.word, self.times, hot_limit, width)
+        columns = [self._before(self.word, START)]
+        for _ in range(order - 2):
+            columns.append(self._before(columns[-1], START))
+        self.times = self._before(self.count, self.end_count)
+        # by the nearest word first, which packs best
+        context = self._before(self.gram + 1, 0) + self._before(self.local, 0) * (int(self.gram.max()) + 2)
+        return Grams(columns, self.word, context, self.local, self.times, hot_limit, width)
+
+    def _before(self, values: np.ndarray, first: int) -> np.ndarray:
+        """What ``values`` say of the token before; ``first`` for a text's first token."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.begins] = first
+        return out
 
     def advance(self, order: Order, grams: Grams, answers: dict[int, bytes]) -> None:
         """Takes in the answers of an order: counts, divisors and probabilities are its own from now on."""
@@ -332,9 +357,11 @@ class Tokens:
         total = self.times[grams.at_context].astype(np.float64)
         divisor, weight = divisor_of(total, small), backoff_weight(total, small, taken, order.discounts)
         seen = order.seen(counts, divisor[grams.context])
-        self.count = grams.by_token(counts)
-        self.divisor = grams.by_token(divisor[grams.context])
-        self.p = np.where(self.count > 0, grams.by_token(seen), grams.by_token(weight[grams.context]) * self.p)
+        self.gram = grams.of_token()
+        self.count = counts[self.gram]
+        context = grams.context[self.gram]
+        self.divisor = divisor[context]
+        self.p = np.where(self.count > 0, seen[self.gram], weight[context] * self.p)
 
 
 def readings(batches, folds: int, held: int, characters: int, width: int, end_count: int, unigrams: Unigrams, limit: float, vocabulary: str, orders: list[Order]):
@@ -359,9 +386,9 @@ def ask_order(width: int, read):
             counts = np.bincount(grams.of_sorted, weights=train[tokens.doc][grams.order], minlength=len(grams.words)).astype(np.uint32)
             rows = []
             for bucket, g, c, n in grams.buckets():
-                context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint32), tokens.divisor[grams.at_context[c]].astype(np.uint32), n]
+                context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint64), tokens.divisor[grams.at_context[c]].astype(np.uint64), n]
                 # a context's lower-order divisor is the same for all its words
-                rows.append((bucket, part, number, ASK, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint32), counts[g])))
+                rows.append((bucket, part, number, ASK, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint64), counts[g])))
             yield frames(rows)
         give_back()
 
@@ -369,28 +396,29 @@ def ask_order(width: int, read):
 
 
 class Bucket:
-    """The n-grams of a bucket, from what blocks send of them: ``order`` - 1 context columns, times, lower divisor, n-grams of each context; word, lower count, training count of each n-gram."""
+    """The n-grams of a bucket, from what blocks send of them: ``order`` - 1 context columns, times, lower divisor, n-grams of each context; word, lower count, training count of each n-gram.
+
+    Contexts are equal when their 64-bit names are.
+    """
 
     def __init__(self, sent: list[list[np.ndarray]], order: int, lower: Order, hot_limit: float):
         k = order - 1
-        columns = [np.concatenate([np.repeat(s[i], s[k + 2]) for s in sent]) for i in range(k)]
-        times, below = (np.concatenate([np.repeat(s[k + i], s[k + 2]) for s in sent]) for i in (0, 1))
+        # runs of one context: columns, times, lower divisor, length
+        runs_ = [np.concatenate([s[i] for s in sent]) for i in range(k + 3)]
         word, count, training = (np.concatenate([s[k + 3 + i] for s in sent]) for i in range(3))
-        by = np.lexsort((word, *columns[::-1]))
-        columns, word = [c[by] for c in columns], word[by]
-        new = changes(*columns, word)
-        gram = np.cumsum(new) - 1
+        self.keys, first, of_run = np.unique(context_keys(runs_[:k]), return_index=True, return_inverse=True)
+        context = np.repeat(of_run, runs_[k + 2])
+        n_words = int(word.max()) + 1
+        by = np.argsort(context * n_words + word.astype(np.int64)) if len(self.keys) * n_words < 1 << 63 else np.lexsort((word, context))
+        new = changes(context[by], word[by])
         self.gram = np.empty(len(by), np.int64)  # of each n-gram sent
-        self.gram[by] = gram
-        start = np.flatnonzero(new)
-        self.r = np.bincount(gram, weights=training[by], minlength=len(start)).astype(np.int64)
-        new = changes(*(c[start] for c in columns))
-        self.context = np.cumsum(new) - 1
-        first = start[np.flatnonzero(new)]
-        self.keys = context_keys([c[first] for c in columns])
-        self.total = times[by][first].astype(np.float64)
+        self.gram[by] = np.cumsum(new) - 1
+        start = by[new]
+        self.r = np.bincount(self.gram, weights=training, minlength=len(start)).astype(np.int64)
+        self.context = context[start]
+        self.total = runs_[k][first].astype(np.float64)
         self.hot = self.total > hot_limit
-        self.lower = lower.seen(count[by][start], below[by][start])  # of seen n-grams
+        self.lower = lower.seen(count[start], runs_[k + 1][first][self.context])  # of seen n-grams
         self.small = np.stack([np.bincount(self.context, weights=self.r == i, minlength=len(first)) for i in range(1, DISCOUNTED + 1)], axis=1)
         self.taken = np.bincount(self.context, weights=np.where(self.r > 0, self.lower, 0.0), minlength=len(first))
 
@@ -429,8 +457,8 @@ def answer_order(order: int, lower: Order, hot_limit: float):
                 gram = bucket.gram[at : at + len(words)]
                 at += len(words)
                 context = bucket.context[gram[np.cumsum(n) - n]]
-                check = np.array([zlib.crc32(words.tobytes())], np.uint32)
-                yield frames([(dest, part, block, ANSWER, pack(check, bucket.r[gram].astype(np.uint32), bucket.small[context].astype(np.uint32).ravel(), bucket.taken[context]))])
+                check = np.array([zlib.crc32(words.astype(np.uint64).tobytes())], np.uint32)
+                yield frames([(dest, part, block, ANSWER, pack(check, bucket.r[gram].astype(np.uint64), bucket.small[context].ravel().astype(np.uint64), bucket.taken[context]))])
             yield frames(bucket.sums(dest))
         give_back()
 
@@ -446,12 +474,11 @@ def deal_last(width: int, read, unigrams: Unigrams):
             sums = [np.bincount(tokens.doc, weights=w, minlength=len(ids)) for w in (base, np.log10(tokens.p), tokens.unigram_count > 0)]
             yield frames([(number % width, part, number, DOCUMENTS, pack(np.array([i or 0 for i in ids], np.int64), known, train.astype(np.uint8), (lengths + 1).astype(np.int64), *sums[:2], sums[2].astype(np.int64)))])
             flagged = (tokens.doc * 2 + train[tokens.doc]).astype(np.uint32)[grams.order]
-            counts = np.bincount(grams.of_sorted, weights=flagged & 1, minlength=len(grams.words)).astype(np.uint32)
             rows = []
             for bucket, g, c, n in grams.buckets():
-                context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint32), tokens.divisor[grams.at_context[c]].astype(np.uint32), n]
+                context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint64), tokens.divisor[grams.at_context[c]].astype(np.uint64), n]
                 held = slice(int(grams.start[g.start]), int(grams.start[g.stop - 1] + grams.count[g.stop - 1]))
-                rows.append((bucket, part, number, OCCURRENCES, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint32), counts[g], grams.count[g].astype(np.uint32), flagged[held])))
+                rows.append((bucket, part, number, OCCURRENCES, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint64), grams.count[g].astype(np.uint32), flagged[held])))
             yield frames(rows)
         give_back()
 
@@ -469,22 +496,27 @@ def count_last(order: int, lower: Order, hot_limit: float):
         while held:
             dest, own = held.popitem()
             sent = [unpack(data) for _, _, data in own]
+            for s in sent:  # n-grams with the documents that hold them: the training ones count
+                *_, times, flagged = s
+                s[-2:] = [np.add.reduceat((flagged & 1).astype(np.uint32), np.cumsum(times, dtype=np.int64) - times), times, flagged]
             b, at = Bucket(sent, order, lower, hot_limit), 0
             divisor = divisor_of(b.total, b.small)
             value = np.log10(np.maximum(b.r, 1)) - np.where(b.hot, 0.0, np.log10(np.maximum(divisor, 1)))[b.context] - np.log10(np.where(b.r > 0, b.lower, 1.0))
             for (part, block, _), s in zip(own, sent):
-                times, flagged = s[order + 5], s[order + 6]
+                times, flagged = s[order + 5 :]
                 gram = np.repeat(b.gram[at : at + len(times)], times)
                 at += len(times)
                 doc, r, context = (flagged >> 1).astype(np.int64), b.r[gram], b.context[gram]
                 n, seen = int(doc.max()) + 1, r > 0
-                classes = [np.bincount(doc[r == k], minlength=n).astype(np.uint32) for k in range(1, DISCOUNTED + 1)]
-                packed = [np.bincount(doc[seen], weights=value[gram[seen]], minlength=n), *classes]
+                few = np.flatnonzero(seen & (r <= DISCOUNTED))
+                classes = np.bincount((r[few] - 1) * n + doc[few], minlength=DISCOUNTED * n).astype(np.uint32)
+                packed = [np.bincount(doc, weights=np.where(seen, value[gram], 0.0), minlength=n), classes]
                 # contexts that training has; without one the lower order stands
-                for rows in (~seen & (b.total[context] > 0), seen & b.hot[context]):
-                    which, index = np.unique(context[rows], return_inverse=True)
-                    docs = doc[rows][np.argsort(index, kind="stable")]
-                    packed += [np.where(b.hot, b.keys, np.uint64(0))[which], b.total[which], b.taken[which], b.small[which].astype(np.uint32).ravel(), np.bincount(index, minlength=len(which)).astype(np.uint32), docs.astype(np.uint32)]
+                for rows in (np.flatnonzero(~seen & (b.total[context] > 0)), np.flatnonzero(seen & b.hot[context]) if b.hot.any() else few[:0]):
+                    rows = rows[np.argsort(context[rows])]
+                    at_run, times = runs(context[rows])
+                    which = context[rows][at_run]
+                    packed += [np.where(b.hot[which], b.keys[which], np.uint64(0)), b.total[which], b.taken[which], b.small[which].ravel().astype(np.uint64), times.astype(np.uint32), doc[rows].astype(np.uint32)]
                 yield frames([(dest, part, block, CONTEXTS, pack(*packed))])
             yield frames(b.sums(dest))
         give_back()
@@ -522,10 +554,9 @@ def add_up(discount: list[float], n_train: int, hot: dict[int, tuple]):
             if kind == DOCUMENTS:
                 head = unpack(data)
                 continue
-            value, *rest = unpack(data)
-            for k in range(1, DISCOUNTED + 1):
-                value = value + rest[k - 1] * math.log10(discount[k])
-            for part, (name, total, taken, small, n, docs) in enumerate((rest[DISCOUNTED : DISCOUNTED + 6], rest[DISCOUNTED + 6 :])):
+            value, classes, *rest = unpack(data)
+            value = value + np.log10(np.array(discount)[1:]) @ classes.reshape(DISCOUNTED, len(value))
+            for part, (name, total, taken, small, n, docs) in enumerate((rest[:6], rest[6:])):
                 small, taken = small.reshape(-1, DISCOUNTED).astype(np.float64), taken.copy()
                 for i in np.flatnonzero(name):
                     small[i], taken[i] = hot[int(name[i])]
