@@ -64,7 +64,7 @@ def pack(*arrays: np.ndarray) -> bytes:
             a = a.astype(np.min_scalar_type(most), copy=False)
         a = np.ascontiguousarray(a)
         out.append(struct.pack("<4sq", a.dtype.str.encode().ljust(4), len(a)))
-        out.append(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if len(a) else b"")
+        out += [a.view(np.uint8)[i :: a.dtype.itemsize].tobytes() for i in range(a.dtype.itemsize)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -82,6 +82,25 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a position of each, the value's number at each position), as ``np.unique`` gives them.
+
+    The place takes the low bits' place in the sorted numbers, for sorting values is far
+    faster than sorting places; where high bits alone don't tell values apart, ``np.unique`` does it.
+    """
+    n = len(hashes)
+    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    packed = np.sort((hashes & ~low) | np.arange(n, dtype=np.uint64))
+    at = (packed & low).astype(np.int64)
+    values = hashes[at]
+    new = changes(values)
+    if (changes(packed & ~low) != new).any():
+        return np.unique(hashes, return_index=True, return_inverse=True)
+    inverse = np.empty(n, np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return values[new], at[new], inverse
+
+
 def frames(rows: list[tuple]):
     import pyarrow as pa
 
@@ -142,7 +161,7 @@ def ask_vocabulary(width: int, folds: int, held: int, characters: int):
 
         part = TaskContext.get().partitionId()
         for number, _, train, hashes, lengths in blocks_of(batches, folds, held, characters):
-            words, index = np.unique(hashes, return_inverse=True)
+            words, _, index = distinct(hashes)
             counts = np.bincount(index, weights=np.repeat(train, lengths), minlength=len(words)).astype(np.uint32)
             rows = [(bucket, part, number, ASK, pack(words[at], counts[at])) for bucket, at in split_by((words % np.uint64(width)).astype(np.int64))]
             if rows:
@@ -162,7 +181,7 @@ def answer_vocabulary(width: int):
                 words, counts = unpack(r["data"])
                 asked.setdefault(r["dest"], []).append((r["part"], r["block"], words, counts))
         for bucket, found in asked.items():
-            words, index = np.unique(np.concatenate([f[2] for f in found]), return_inverse=True)
+            words, _, index = distinct(np.concatenate([f[2] for f in found]).astype(np.uint64))
             total = np.bincount(index, weights=np.concatenate([f[3] for f in found]), minlength=len(words)).astype(np.int64)
             # frequent words get small numbers, which pack well; 0 and 1 are taken
             rank = np.empty(len(words), np.int64)
@@ -307,7 +326,7 @@ class Tokens:
     """The tokens of a block with what the finished orders say of them."""
 
     def __init__(self, hashes, lengths, vocabulary: dict[int, bytes], width: int, end_count: int, unigrams: Unigrams):
-        words, index = np.unique(hashes, return_inverse=True)
+        words, _, index = distinct(hashes)
         numbers, counts = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
         for bucket, at in split_by((words % np.uint64(width)).astype(np.int64)):
             numbers[at], counts[at] = checked(vocabulary[bucket], words[at])
@@ -335,9 +354,7 @@ class Tokens:
         for _ in range(order - 2):
             columns.append(self._before(columns[-1], START))
         self.times = self._before(self.count, self.end_count)
-        # by the nearest word first, which packs best
-        context = self._before(self.gram + 1, 0) + self._before(self.local, 0) * (int(self.gram.max()) + 2)
-        return Grams(columns, self.word, context, self.local, self.times, hot_limit, width)
+        return Grams(columns, self.word, self._before(self.gram + 1, 0), self.local, self.times, hot_limit, width)
 
     def _before(self, values: np.ndarray, first: int) -> np.ndarray:
         """What ``values`` say of the token before; ``first`` for a text's first token."""
@@ -357,11 +374,16 @@ class Tokens:
         total = self.times[grams.at_context].astype(np.float64)
         divisor, weight = divisor_of(total, small), backoff_weight(total, small, taken, order.discounts)
         seen = order.seen(counts, divisor[grams.context])
-        self.gram = grams.of_token()
-        self.count = counts[self.gram]
-        context = grams.context[self.gram]
+        gram = grams.of_token()
+        self.count = counts[gram]
+        context = grams.context[gram]
         self.divisor = divisor[context]
-        self.p = np.where(self.count > 0, seen[self.gram], weight[context] * self.p)
+        self.p = np.where(self.count > 0, seen[gram], weight[context] * self.p)
+        # numbered by the last word first: contexts of one nearest word then stand together, which packs best
+        n = len(counts)
+        rank = np.empty(n, np.int64)
+        rank[np.sort(self.local[grams.at] * n + np.arange(n)) % n] = np.arange(n)
+        self.gram = rank[gram]
 
 
 def readings(batches, folds: int, held: int, characters: int, width: int, end_count: int, unigrams: Unigrams, limit: float, vocabulary: str, orders: list[Order]):
@@ -398,7 +420,7 @@ def ask_order(width: int, read):
 class Bucket:
     """The n-grams of a bucket, from what blocks send of them: ``order`` - 1 context columns, times, lower divisor, n-grams of each context; word, lower count, training count of each n-gram.
 
-    Contexts are equal when their 64-bit names are.
+    Contexts and n-grams are equal when their 64-bit names are.
     """
 
     def __init__(self, sent: list[list[np.ndarray]], order: int, lower: Order, hot_limit: float):
@@ -406,14 +428,10 @@ class Bucket:
         # runs of one context: columns, times, lower divisor, length
         runs_ = [np.concatenate([s[i] for s in sent]) for i in range(k + 3)]
         word, count, training = (np.concatenate([s[k + 3 + i] for s in sent]) for i in range(3))
-        self.keys, first, of_run = np.unique(context_keys(runs_[:k]), return_index=True, return_inverse=True)
+        names = context_keys(runs_[:k])
+        self.keys, first, of_run = distinct(names)
         context = np.repeat(of_run, runs_[k + 2])
-        n_words = int(word.max()) + 1
-        by = np.argsort(context * n_words + word.astype(np.int64)) if len(self.keys) * n_words < 1 << 63 else np.lexsort((word, context))
-        new = changes(context[by], word[by])
-        self.gram = np.empty(len(by), np.int64)  # of each n-gram sent
-        self.gram[by] = np.cumsum(new) - 1
-        start = by[new]
+        _, start, self.gram = distinct(context_keys([np.repeat(names, runs_[k + 2]), word]))  # the number of each n-gram sent
         self.r = np.bincount(self.gram, weights=training, minlength=len(start)).astype(np.int64)
         self.context = context[start]
         self.total = runs_[k][first].astype(np.float64)
