@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(shared or _own_dir[0]).rstrip('/')}/langdrift/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, so that what follows reads it instead of making it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_files(rows: DataFrame, folder: str) -> int:
     """Writes each row (name, a path below ``folder``; content, text or binary) as a file of its own; their number.
 
