@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitplane, bitslice, jaccard, katz, licenses, mixing, packing, toxicity, warc
+from . import ann, bitplane, bitslice, filter_audit, jaccard, katz, licenses, mixing, packing, slack, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,17 @@ def op10_bitplane_ids(spark, sf_dir):
     return bitplane.bitplane_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path(), planes="byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_warc_revisits, op3_licence_scan, op4_jaccard_join, op5_best_fit_packing, op6_toxicity_chain, op7_katz_scores, op8_bit_sliced_top_k, op9_temperature_mixing, op10_bitplane_ids)}
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit_filters(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op12_minimum_slack(spark, sf_dir):
+    import public_tokenizers
+
+    return slack.pack_windows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_warc_revisits, op3_licence_scan, op4_jaccard_join, op5_best_fit_packing, op6_toxicity_chain, op7_katz_scores, op8_bit_sliced_top_k, op9_temperature_mixing, op10_bitplane_ids, op11_filter_audit, op12_minimum_slack)}
 
 ORACLE_SQL = {
     "op2_warc_revisits": """
@@ -137,4 +147,38 @@ WITH RECURSIVE t AS (
   SELECT doc_id, source, weight, unnest(range(0, whole + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END)) AS block FROM c
 )
 SELECT doc_id, source, round(weight, 6) AS weight, CAST(block AS INTEGER) AS block, substr(md5(concat_ws('|', '17', CAST(block AS VARCHAR), CAST(doc_id AS VARCHAR))), 1, 16) AS order_key FROM draws""",
+    "op11_filter_audit": r"""
+WITH l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1
+), d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL
+), f AS (
+  SELECT i, substr('ABCDE', i + 1, 1) AS letter FROM range(5) t(i)
+), o AS (
+  SELECT a.letter || b.letter || x.letter || y.letter || z.letter AS filter_order FROM f a, f b, f x, f y, f z
+  WHERE a.i NOT IN (b.i, x.i, y.i, z.i) AND b.i NOT IN (x.i, y.i, z.i) AND x.i NOT IN (y.i, z.i) AND y.i <> z.i
+), s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, (SELECT 1 << f.i FROM f WHERE letter = substr(filter_order, step, 1)) AS own,
+    coalesce((SELECT sum(1 << f.i) FROM f WHERE strpos(substr(filter_order, 1, step - 1), letter) > 0), 0)::INTEGER AS before
+  FROM o, range(1, 6) t(step)
+), r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER ((mask & (before | own)) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER ((mask & own) <> 0 AND (mask & before) = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER ((mask & own) <> 0 AND (mask & before) = 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }

@@ -91,6 +91,108 @@ def cached_tokenizer(path: str) -> WordCachedTokenizer:
     return WordCachedTokenizer(path)
 
 
+#: Texts of these characters, with single spaces between words, are split at the spaces; others go to the library whole.
+BYTE_PLAIN = "^[\\t\\n\\r -~À-ÖØ-öø-ÿ]*$"
+BYTE_ODD = "  | [\\t\\n\\r]| $|<\\|"
+#: The file's own pre-tokeniser, and its pattern for the characters above.
+BYTE_PRE_TOKENISER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t\n\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible bytes for themselves, the others from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in visible else next(others) for b in range(256)}
+
+
+class ByteCachedTokenizer:
+    """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``, for byte-level BPE files.
+
+    A space before a visible character always begins a piece and no piece depends on what
+    stands beyond its ends, so plain texts are cut at their spaces. Arrow finds the distinct
+    words of many texts; each is looked up once in a bounded cache of the Python worker, and
+    only unseen ones go to the library's BPE model. With files that normalise or split in
+    another way, and for other texts, whole texts go to the library.
+    """
+
+    def __init__(self, path: str, words: int = 1_000_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        found = json.loads(self.tokenizer.to_str())
+        self.by_word = (found["normalizer"], found["pre_tokenizer"], found["model"]["type"]) == (None, BYTE_PRE_TOKENISER, "BPE")
+        self.model, self.letters, self.limit = self.tokenizer.model, byte_letters(), words
+        self.space = chr(self.letters[32])
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the cache: word to number, and each number's ids in one array."""
+        self.words: dict[str, int] = {}
+        self.flat, self.begins = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words after a space, or after NUL, which marks a text's first word."""
+        tokenize, ids, ends = self.model.tokenize, [], []
+        for word in new:
+            if word.isascii() and word.isalpha():
+                ids += [t.id for t in tokenize(self.space + word)]
+            else:
+                for piece in BYTE_PIECE.findall(word[1:] if word.startswith("\0") else " " + word):
+                    ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            ends.append(len(ids))
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.array(ends, np.int64)])
+        self.flat = np.concatenate([self.flat, np.array(ids, "<u4")])
+
+    def _plain(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        empty = pa.scalar("", pa.large_string())
+        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), texts, empty), " ")
+        coded = cut.values.dictionary_encode()
+        asked = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.words) > self.limit:
+            self._forget()
+        known = self.words
+        if new := [w for w in asked if w not in known]:
+            self._learn(new)
+        number = np.fromiter(map(known.__getitem__, asked), np.int64, len(asked))[coded.indices.to_numpy(zero_copy_only=False)]
+        begins = self.begins[number]
+        each = self.begins[number + 1] - begins
+        ends = np.cumsum(each)
+        at = np.repeat(begins - (ends - each), each)
+        at += np.arange(len(at))
+        return self.flat[at], np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of an Arrow array of texts: those of text i are ``ids[offsets[i] : offsets[i + 1]]``; null is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = pc.and_not(pc.match_substring_regex(texts, BYTE_PLAIN), pc.match_substring_regex(texts, BYTE_ODD)).to_numpy(zero_copy_only=False).astype(bool)
+        plain &= self.by_word
+        if plain.all() and len(texts):
+            return self._plain(texts)
+        ids, offsets = self._plain(texts.filter(pa.array(plain))) if plain.any() else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        place, parts = 0, []
+        for text, is_plain in zip(texts.to_pylist(), plain.tolist()):
+            parts.append(ids[offsets[place] : offsets[place + 1]] if is_plain else self._encode(text))
+            place += is_plain
+        return np.concatenate(parts or [ids]), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+
+
+@lru_cache(maxsize=2)
+def cached_byte_tokenizer(path: str) -> ByteCachedTokenizer:
+    """One tokenizer a Python worker."""
+    return ByteCachedTokenizer(path)
+
+
 def by_size(texts: list, limit: int = 500_000):
     """Slices of ``texts`` with about ``limit`` characters each."""
     at, n = 0, 0
