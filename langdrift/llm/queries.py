@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitplane, bitslice, filter_audit, jaccard, katz, licenses, mixing, packing, slack, toxicity, warc
+from . import ann, bitplane, bitslice, filter_audit, hard_negatives, jaccard, katz, licenses, mixing, packing, slack, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,12 @@ def op12_minimum_slack(spark, sf_dir):
     return slack.pack_windows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_warc_revisits, op3_licence_scan, op4_jaccard_join, op5_best_fit_packing, op6_toxicity_chain, op7_katz_scores, op8_bit_sliced_top_k, op9_temperature_mixing, op10_bitplane_ids, op11_filter_audit, op12_minimum_slack)}
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_warc_revisits, op3_licence_scan, op4_jaccard_join, op5_best_fit_packing, op6_toxicity_chain, op7_katz_scores, op8_bit_sliced_top_k, op9_temperature_mixing, op10_bitplane_ids, op11_filter_audit, op12_minimum_slack, op13_hard_negatives)}
 
 ORACLE_SQL = {
     "op2_warc_revisits": """
@@ -181,4 +186,18 @@ WITH l AS (
   FROM c, s GROUP BY ALL
 )
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+    "op13_hard_negatives": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n QUALIFY rank <= 5""",
 }
