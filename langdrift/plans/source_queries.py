@@ -23,16 +23,21 @@ def orders(spark, d) -> DataFrame:
 
 
 def transcript_xml(o: DataFrame) -> Column:
-    """The elements of one order: every fifth has a heading and a topic, every seventeenth is a question."""
+    """The elements of one order: every fifth has a heading and a topic, every seventeenth is a question.
+
+    Every other heading is one of oral answers, every seventh is of business without debate; some name a department.
+    """
     k, c = F.col("k").cast("string"), F.col("c").cast("string")
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     when = lambda n, x: F.when(F.col("k") % n == 0, x).otherwise("")
     member = text('<Member ContinuationText="m', c, '" PimsId="', c, '" xid="x', c, '">m', c, ":</Member>")
     said = text('<hs_Para UID="', k, '">', member, " says <b>", F.col("s"), "</b>\n  aloud.</hs_Para>")
     asked = text('<Question><hs_Para UID="', k, '">', member, "</hs_Para><QuestionText>Why ", k, "?</QuestionText></Question>")
-    heading = when(5, text("<hs_2DebBill>", F.col("p"), "</hs_2DebBill><hs_8Topic>", F.col("s"), "</hs_8Topic>"))
-    more = text(when(3, text('<hs_Para UID="', k, 'b">And more.</hs_Para>')), when(7, text('<hs_brev>"Quoted ', k, '"</hs_brev>')), when(11, "<hs_brev>not quoted</hs_brev><!-- note -->"))
-    return text(heading, F.when(F.col("k") % 17 == 0, asked).otherwise(said), more)
+    tag = F.when(F.col("k") % 35 == 0, "hs_2BusinessWODebate").when(F.col("k") % 10 == 0, "hs_3OralAnswers").otherwise("hs_2DebBill")
+    heading = when(5, text("<", tag, ">", F.col("p"), "</", tag, "><hs_8Topic>", F.col("s"), "</hs_8Topic>"))
+    office = when(25, text("<hs_6bDepartment><DepartmentName>Office\n", F.col("s"), "</DepartmentName></hs_6bDepartment>"))
+    more = text(when(3, text('<hs_Para UID="', k, 'b">And more.</hs_Para>')), when(7, text('<hs_brev>"Quoted\n', k, '"</hs_brev>')), when(11, "<hs_brev>not quoted</hs_brev><!-- note -->"), when(13, "<hs_brev>“Quoted” said he.</hs_brev>"))
+    return text(heading, office, F.when(F.col("k") % 17 == 0, asked).otherwise(said), more)
 
 
 def write_transcripts(spark, d) -> str:
@@ -77,19 +82,33 @@ def archive_files(spark, d):
     return transcripts.read_archives(spark, write_transcripts(spark, d)).select("archive", "folder_date", "file")
 
 
-@query(f"""WITH {_PLACED}, e AS (SELECT n, unnest(CASE WHEN k % 5 = 0 THEN ['hs_2DebBill', 'hs_8Topic'] ELSE [] END || [CASE WHEN k % 17 = 0 THEN 'Question' ELSE 'hs_Para' END] || CASE WHEN k % 3 = 0 THEN ['hs_Para'] ELSE [] END
-|| CASE WHEN k % 7 = 0 THEN ['hs_brev'] ELSE [] END || CASE WHEN k % 11 = 0 THEN ['hs_brev'] ELSE [] END) AS tag FROM placed) SELECT 'CHAN' || n || '.xml' AS file, tag, count(*) AS n FROM e GROUP BY ALL""")
+@query(f"""WITH {_PLACED}, e AS (SELECT n, unnest(CASE WHEN k % 5 = 0 THEN [CASE WHEN k % 35 = 0 THEN 'hs_2BusinessWODebate' WHEN k % 10 = 0 THEN 'hs_3OralAnswers' ELSE 'hs_2DebBill' END, 'hs_8Topic'] ELSE [] END || CASE WHEN k % 25 = 0 THEN ['hs_6bDepartment'] ELSE [] END || [CASE WHEN k % 17 = 0 THEN 'Question' ELSE 'hs_Para' END] || CASE WHEN k % 3 = 0 THEN ['hs_Para'] ELSE [] END
+|| CASE WHEN k % 7 = 0 THEN ['hs_brev'] ELSE [] END || CASE WHEN k % 11 = 0 THEN ['hs_brev'] ELSE [] END || CASE WHEN k % 13 = 0 THEN ['hs_brev'] ELSE [] END) AS tag FROM placed) SELECT 'CHAN' || n || '.xml' AS file, tag, count(*) AS n FROM e GROUP BY ALL""")
 def transcript_elements(spark, d):
     found = transcripts.parse_transcripts(transcripts.read_archives(spark, write_transcripts(spark, d)))
     return found.groupBy("file", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_PLACED}, h AS (SELECT *, last_value(CASE WHEN k % 5 = 0 THEN p END IGNORE NULLS) OVER w AS section, last_value(CASE WHEN k % 5 = 0 THEN s END IGNORE NULLS) OVER w AS topic FROM placed WINDOW w AS (PARTITION BY n ORDER BY k))
-SELECT 'CHAN' || n || '.xml' AS file, CAST(k AS VARCHAR) AS uid, c AS member_id, 'x' || c AS member_xid, section, topic, CASE WHEN k % 17 = 0 THEN 'question' ELSE 'contribution' END AS type,
-  CASE WHEN k % 17 = 0 THEN 'Why ' || k || '?' ELSE 'says aloud.' END || CASE WHEN k % 3 = 0 THEN ' And more.' ELSE '' END || CASE WHEN k % 7 = 0 THEN ' "Quoted ' || k || '"' ELSE '' END AS text FROM h""")
+# What the order with key k says: ev has its elements in document order, with the state that they leave behind.
+_STATE = f"""{_PLACED}, ev AS (SELECT n, k, c, s, p, unnest(CASE WHEN k % 5 = 0 THEN ['heading', 'topic'] ELSE [] END || CASE WHEN k % 25 = 0 THEN ['department'] ELSE [] END || [CASE WHEN k % 17 = 0 THEN 'question' ELSE 'speech' END] || CASE WHEN k % 3 = 0 THEN ['more'] ELSE [] END
+  || CASE WHEN k % 7 = 0 THEN ['quote'] ELSE [] END || CASE WHEN k % 13 = 0 THEN ['said'] ELSE [] END) AS e FROM placed),
+no AS (SELECT *, k * 8 + CASE e WHEN 'heading' THEN 0 WHEN 'topic' THEN 1 WHEN 'department' THEN 2 WHEN 'question' THEN 3 WHEN 'speech' THEN 3 WHEN 'more' THEN 4 WHEN 'quote' THEN 5 ELSE 6 END AS pos,
+  CASE WHEN k % 35 = 0 THEN 'hs_2BusinessWODebate' WHEN k % 10 = 0 THEN 'hs_3OralAnswers' ELSE 'hs_2DebBill' END AS tag FROM ev),
+st AS (SELECT *, max(CASE WHEN e = 'heading' THEN pos END) OVER w AS head, max(CASE WHEN e IN ('heading', 'question', 'speech') THEN pos END) OVER w AS begun,
+  last_value(CASE WHEN e = 'heading' THEN tag END IGNORE NULLS) OVER w AS section_tag, last_value(CASE WHEN e = 'heading' THEN p END IGNORE NULLS) OVER w AS section, max(CASE WHEN e = 'topic' THEN pos END) OVER w AS topic_at, last_value(CASE WHEN e = 'topic' THEN s END IGNORE NULLS) OVER w AS topic,
+  max(CASE WHEN e = 'department' THEN pos END) OVER w AS department_at, last_value(CASE WHEN e = 'department' THEN 'Office ' || s END IGNORE NULLS) OVER w AS department, max(CASE WHEN e = 'question' THEN pos END) OVER w AS asked_at, last_value(CASE WHEN e = 'question' THEN k END IGNORE NULLS) OVER w AS asked
+  FROM no WINDOW w AS (PARTITION BY n ORDER BY pos)),
+tx AS (SELECT *, CASE e WHEN 'question' THEN 'Why ' || k || '?' WHEN 'speech' THEN ' says aloud.' WHEN 'more' THEN 'And more.' WHEN 'quote' THEN '"Quoted ' || k || '"' WHEN 'said' THEN '“Quoted” said he.' END AS t FROM st WHERE coalesce(section_tag, '') <> 'hs_2BusinessWODebate')"""
+
+
+@query(f"""WITH {_STATE}, op AS (SELECT n, pos, k, c, e, section, section_tag, CASE WHEN e = 'question' AND topic_at > coalesce(head, -1) THEN topic END AS topic, CASE WHEN e = 'question' AND department_at > coalesce(head, -1) THEN department END AS department,
+  CASE WHEN e = 'speech' AND section_tag = 'hs_3OralAnswers' AND asked_at > coalesce(head, -1) THEN CAST(asked AS VARCHAR) END AS question FROM tx WHERE e IN ('question', 'speech')),
+more AS (SELECT n, begun, string_agg(t, ' ' ORDER BY pos) AS added FROM tx WHERE e IN ('more', 'quote', 'said') GROUP BY ALL)
+SELECT 'CHAN' || op.n || '.xml' AS file, CAST(k AS VARCHAR) AS uid, c AS member_id, 'x' || c AS member_xid, section, section_tag, department, topic, question, CASE WHEN e = 'question' THEN 'question' ELSE 'contribution' END AS type,
+  CASE WHEN e = 'question' THEN 'Why ' || k || '?' ELSE ' says aloud.' || coalesce(' ' || added, '') END AS text FROM op LEFT JOIN more ON more.n = op.n AND more.begun = op.pos""")
 def archives_to_contributions(spark, d):
     found = transcripts.assemble_contributions(transcripts.parse_transcripts(transcripts.read_archives(spark, write_transcripts(spark, d))))
-    return found.select("file", "uid", "member_id", "member_xid", "section", "topic", "type", "text")
+    return found.select("file", "uid", "member_id", "member_xid", "section", "section_tag", "department", "topic", "question", "type", "text")
 
 
 # A3 to A13

@@ -51,50 +51,74 @@ def local_name(tag) -> str:
     return tag.rpartition("}")[2] if isinstance(tag, str) else ""
 
 
+def on_one_line(text: str | None) -> str:
+    return (text or "").replace("\n", " ").strip()
+
+
+def own_line(element) -> str | None:
+    """An element's own text on one line; null where it has none."""
+    return None if element is None or element.text is None else on_one_line(element.text)
+
+
 def text_with_tails(element) -> str:
-    """An element's own text and its children's tails, each on one line, with a space between them."""
-    pieces = [element.text, *(child.tail for child in element)]
-    return " ".join(p for p in ((x or "").replace("\n", " ").strip() for x in pieces) if p)
+    """An element's own text and each of its children's tails on one line, with a space before every tail."""
+    return " ".join([on_one_line(element.text), *(on_one_line(child.tail) for child in element if child.tail is not None)])
 
 
 def all_text(element) -> str:
-    return "".join(element.itertext()).strip()
+    """All text below an element, and after it, on one line."""
+    return on_one_line("".join(element.itertext()) + (element.tail or ""))
 
 
 def number(text: str | None) -> int | None:
     return int(text) if text and text.strip().lstrip("-").isdigit() else None
 
 
+def child_named(element, name: str):
+    return next((x for x in element if local_name(x.tag) == name), None)
+
+
+def below_named(element, name: str):
+    return next((x for x in element.iter() if local_name(x.tag) == name), None)
+
+
 def elements_of(content: bytes) -> Iterator[dict]:
-    """The elements of a transcript's debate bodies in document order; comments and broken files give none."""
+    """The elements of the bodies of a transcript's first debate in document order; comments and broken files give none.
+
+    What an element says depends on its tag: headings all their text, quotes, topics and
+    headings of oral answers their own (null if there is none), paragraphs their own and what
+    follows their children. A question's uid and member are those of its paragraph.
+    """
     try:
-        root = ElementTree.fromstring(content)
+        root = ElementTree.fromstring(content, ElementTree.XMLParser(target=ElementTree.TreeBuilder(insert_comments=True, insert_pis=True)))
     except ElementTree.ParseError:
         return
+    debate = next((x for x in root.iter() if local_name(x.tag) == "System" and x.get("type") == "Debate"), ())
     pos = 0
-    for system in root.iter():
-        if local_name(system.tag) != "System" or system.get("type") != "Debate":
-            continue
-        for fragment in (x for x in system.iter() if local_name(x.tag) == "Fragment"):
-            sitting = next((x for x in fragment.iter() if local_name(x.tag) == "Sitting"), None)
-            body = next((x for x in fragment.iter() if local_name(x.tag) == "Body"), ())
-            for e in body:
-                tag = local_name(e.tag)
-                if not tag:
-                    continue
-                member = next((x for x in e.iter() if local_name(x.tag) == "Member"), None)
-                row = {"fragment_date": sitting.get("short-date") if sitting is not None else None, "pos": pos, "tag": tag, "uid": e.get("UID")}
-                row["text"] = all_text(e) if tag.startswith("hs_2") else text_with_tails(e)
-                if tag == "hs_6bDepartment":
-                    row["text"] = next((all_text(x) for x in e.iter() if local_name(x.tag) == "DepartmentName"), "")
-                if tag == "Question":
-                    para = next((x for x in e.iter() if local_name(x.tag) == "hs_Para"), None)
-                    row["uid"] = para.get("UID") if para is not None else row["uid"]
-                    row["question_text"] = next((all_text(x) for x in e.iter() if local_name(x.tag) == "QuestionText"), None)
-                if member is not None:
-                    row |= {"member_name": member.get("ContinuationText"), "member_id": number(member.get("PimsId")), "member_mnis": number(member.get("MnisId")), "member_xid": member.get("xid"), "contribution_type": member.get("ContributionType")}
-                yield row
-                pos += 1
+    for fragment in (x for x in debate if local_name(x.tag) == "Fragment"):
+        header, body = child_named(fragment, "Header"), child_named(fragment, "Body")
+        sitting = child_named(header, "Sitting") if header is not None else None
+        for e in body if body is not None else ():
+            tag = local_name(e.tag)
+            if not tag:
+                continue
+            speech = child_named(e, "hs_Para") if tag == "Question" else e
+            member = below_named(speech, "Member") if speech is not None else None
+            row = {"fragment_date": sitting.get("short-date") if sitting is not None else None, "pos": pos, "tag": tag, "uid": speech.get("UID") if speech is not None else None}
+            if tag.startswith("hs_2"):
+                row["text"] = all_text(e)
+            elif tag.startswith("hs_8") or tag in ("hs_3OralAnswers", "hs_brev"):
+                row["text"] = own_line(e)
+            elif tag == "hs_6bDepartment":
+                row["text"] = own_line(below_named(e, "DepartmentName"))
+            else:
+                row["text"] = text_with_tails(speech) if speech is not None else None
+            if tag == "Question" and (asked := below_named(e, "QuestionText")) is not None:
+                row["question_text"] = text_with_tails(asked)
+            if member is not None and "ContinuationText" in member.keys():
+                row |= {"member_name": member.get("ContinuationText"), "member_id": number(member.get("PimsId")), "member_mnis": number(member.get("MnisId")), "member_xid": member.get("xid"), "contribution_type": member.get("ContributionType")}
+            yield row
+            pos += 1
 
 
 def parse_transcripts(files: DataFrame) -> DataFrame:
@@ -115,31 +139,49 @@ def parse_transcripts(files: DataFrame) -> DataFrame:
     return files.select("archive", "file", "content").mapInArrow(parse, ELEMENTS)
 
 
-def assemble_contributions(elements: DataFrame) -> DataFrame:
-    """Contributions of element rows: state is carried forward by windows within a file, and reset at section headings.
+#: A quoted block: from its start a quotation mark, text and another quotation mark; more may follow.
+QUOTE = "^[“'\"].+[”'\"]"
+
 
-    A paragraph with a member opens a contribution; paragraphs without, and quoted
-    blocks, are added to the open one. Result: file, uid, member columns, type,
-    section, section_tag, department, topic, question, date, text; text of one
-    character or less, and rows without a member, are left out.
+def assemble_contributions(elements: DataFrame) -> DataFrame:
+    """Contributions of element rows, by running state within a file.
+
+    A section heading (one for oral answers only if it has a text) resets everything. A
+    paragraph with a member opens a contribution, to which paragraphs without one and quoted
+    blocks are added; a question is a contribution of its own, and closes the open one: what
+    follows has nothing to be added to until somebody speaks. Topic and department are
+    carried forward and stand with questions; a paragraph names the last question of its
+    section if that is one of oral answers. Business without debate is left out, as are
+    rows without a member, texts of one character or less and, of rows that repeat a uid in a
+    file, all but the first.
+
+    Result: archive, file, uid, member columns, type, section, section_tag, department, topic,
+    question (its uid), date, text (of several parts with spaces between them).
     """
     order = Window.partitionBy("archive", "file").orderBy("pos")
-    heading = F.col("tag").startswith("hs_2") | (F.col("tag") == "hs_3OralAnswers")
+    heading = F.col("tag").rlike(r"^hs_2\w+$") | ((F.col("tag") == "hs_3OralAnswers") & F.col("text").isNotNull())
     rows = elements.withColumn("_section", F.sum(heading.cast("int")).over(order))
     inside = Window.partitionBy("archive", "file", "_section").orderBy("pos")
     carry = lambda when, what: F.last(F.when(when, F.col(what)), ignorenulls=True).over(inside)
     rows = rows.withColumn("section", carry(heading, "text")).withColumn("section_tag", carry(heading, "tag"))
-    rows = rows.withColumn("department", carry(F.col("tag") == "hs_6bDepartment", "text")).withColumn("topic", carry(F.col("tag").startswith("hs_8"), "text"))
-    rows = rows.withColumn("question", carry(F.col("tag") == "Question", "uid"))
-    quote = (F.col("tag") == "hs_brev") & F.col("text").rlike("^[\"“'‘].*[\"”'’]$")
-    spoken = (F.col("tag") == "hs_Para") | quote | (F.col("tag") == "Question")
-    opens = ((F.col("tag") == "hs_Para") & (F.col("member_name").isNotNull() | F.col("member_id").isNotNull())) | (F.col("tag") == "Question")
-    rows = rows.filter(spoken).withColumn("_island", F.sum(opens.cast("int")).over(inside)).filter("_island > 0")
-    said = F.coalesce("question_text", "text")
+    left_out = F.coalesce(F.col("section_tag") == "hs_2BusinessWODebate", F.lit(False))
+    asks = (F.col("tag") == "Question") & F.col("uid").isNotNull()
+    rows = rows.withColumn("department", carry(F.col("tag") == "hs_6bDepartment", "text")).withColumn("topic", carry(F.col("tag").rlike(r"^hs_8\w+$"), "text"))
+    rows = rows.withColumn("question", carry(asks, "uid"))
+    speaks = (F.col("tag") == "hs_Para") & F.col("member_name").isNotNull()
+    added = ((F.col("tag") == "hs_Para") & F.col("member_name").isNull()) | ((F.col("tag") == "hs_brev") & F.col("text").rlike(QUOTE))
+    rows = rows.filter(~left_out & (asks | speaks | added)).withColumn("_begins", asks | speaks)
+    rows = rows.withColumn("_island", F.sum(F.col("_begins").cast("int")).over(inside))
+    # islands that a question begins hold the question alone
+    rows = rows.withColumn("_asked", F.max(asks.cast("int")).over(Window.partitionBy("archive", "file", "_section", "_island"))).filter((F.col("_island") > 0) & ((F.col("_asked") == 0) | asks))
+    said = F.when(asks, F.coalesce("question_text", "text")).otherwise(F.col("text"))
     first = lambda c: F.min_by(c, "pos").alias(c)
     keep = ["uid", "member_name", "member_id", "member_mnis", "member_xid", "contribution_type", "section", "section_tag", "department", "topic", "question", "tag", "fragment_date"]
-    merged = rows.groupBy("archive", "file", "_section", "_island").agg(*map(first, keep), F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))).alias("_parts"))
-    text = F.trim(F.array_join(F.transform("_parts", lambda p: p["t"]), " "))
-    done = merged.withColumn("text", text).withColumn("type", F.when(F.col("tag") == "Question", "question").otherwise("contribution")).withColumnRenamed("fragment_date", "date")
-    has_member = F.col("member_id").isNotNull() | F.col("member_name").isNotNull()
-    return done.filter((F.length("text") > 1) & has_member).drop("_section", "_island", "_parts", "tag")
+    merged = rows.groupBy("archive", "file", "_section", "_island").agg(F.min("pos").alias("_pos"), *map(first, keep), F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))).alias("_parts"))
+    asked = F.col("tag") == "Question"
+    done = merged.withColumn("text", F.array_join(F.transform("_parts", lambda p: p["t"]), " ")).withColumn("type", F.when(asked, "question").otherwise("contribution")).withColumnRenamed("fragment_date", "date")
+    done = done.withColumn("question", F.when(~asked & (F.col("section_tag") == "hs_3OralAnswers"), F.col("question")))
+    done = done.withColumn("topic", F.when(asked, F.col("topic"))).withColumn("department", F.when(asked, F.col("department")))
+    done = done.filter((F.length("text") > 1) & F.col("member_name").isNotNull())
+    repeats = Window.partitionBy("archive", "file", "uid").orderBy("_pos")
+    return done.withColumn("_n", F.row_number().over(repeats)).filter("_n = 1").drop("_section", "_island", "_parts", "tag", "_pos", "_n")

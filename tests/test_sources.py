@@ -37,10 +37,60 @@ def test_nested_archives_to_contributions(spark, tmp_path):
     assert sorted((r["archive"], r["folder_date"], r["file"]) for r in files.collect()) == [("day", dt.date(2019, 1, 2), "CHAN12.xml"), ("day", dt.date(2019, 1, 2), "CHAN3.xml")]
     found = {r["uid"]: r for r in transcripts.assemble_contributions(transcripts.parse_transcripts(files)).collect()}
     assert set(found) == {"1", "3", "4"}
-    assert found["1"]["text"] == 'I rise. And I stay. "Quoted."'
-    assert (found["1"]["section"], found["1"]["topic"], found["1"]["member_id"], found["3"]["member_xid"]) == ("Trade", "Steel", 5, None)
+    assert found["1"]["text"] == ' I rise. And I stay. "Quoted."'
+    assert (found["1"]["section"], found["1"]["topic"], found["1"]["member_id"], found["3"]["member_xid"]) == ("Trade", None, 5, None)
     assert (found["4"]["section"], found["4"]["department"], found["4"]["type"]) == ("Health", "NHS", "question")
-    assert found["4"]["text"] == "Why so? Loose words"
+    assert found["4"]["text"] == "Why so?"
+
+
+def contributions_of(spark, bodies, after=""):
+    """Contributions of a file with a fragment for each body, by uid."""
+    fragments = "".join(f'<Fragment><Header><Sitting short-date="2019-01-0{i + 1}"/></Header><Body>{b}</Body></Fragment>' for i, b in enumerate(bodies))
+    xml = f'<r xmlns="u"><System type="Debate">{fragments}</System>{after}</r>'
+    files = spark.createDataFrame([("a", "CHAN1.xml", xml.encode())], "archive string, file string, content binary")
+    return {r["uid"]: r for r in transcripts.assemble_contributions(transcripts.parse_transcripts(files)).collect()}
+
+
+def says(uid, name, text, **more):
+    extra = "".join(f' {k}="{v}"' for k, v in more.items())
+    return f'<hs_Para UID="{uid}"><Member ContinuationText="{name}" PimsId="5"{extra}/>{text}</hs_Para>'
+
+
+def asks(uid, text, inner=""):
+    return f'<Question><hs_Para UID="{uid}"><Member ContinuationText="Cy" PimsId="7"/>{inner}</hs_Para>{text}</Question>'
+
+
+def test_nothing_is_added_to_a_question(spark):
+    found = contributions_of(spark, [says(1, "A", "One.") + asks(2, "<QuestionText>Why <i>so</i>\n then?</QuestionText>") + '<hs_Para UID="3">Lost.</hs_Para><hs_brev>"Lost"</hs_brev>' + says(4, "B", "Two.") + '<hs_Para UID="5">Kept.</hs_Para>'])
+    assert {k: r["text"] for k, r in found.items()} == {"1": " One.", "2": "Why then?", "4": " Two. Kept."}
+
+
+def test_questions_without_their_own_text_say_their_paragraph(spark):
+    found = contributions_of(spark, [asks(1, "", "If so?") + "<Question><QuestionText>No paragraph?</QuestionText></Question>"])
+    assert {k: r["text"] for k, r in found.items()} == {"1": " If so?"}
+
+
+def test_what_is_carried_and_where_it_stands(spark):
+    opening = "<hs_6bDepartment><DepartmentName>Trade\nand Industry</DepartmentName></hs_6bDepartment><hs_8Topic>Steel\nprices</hs_8Topic>"
+    body = f"<hs_3OralAnswers>Oral\nAnswers</hs_3OralAnswers>{opening}" + asks(1, "<QuestionText>Why?</QuestionText>") + says(2, "A", "So.") + "<hs_3OralAnswers><b>x</b></hs_3OralAnswers>" + says(3, "A", "Still.")
+    body += "<hs_2DebBill>A <i>Bill</i>\n here</hs_2DebBill>" + says(4, "A", "Then.") + asks(5, "<QuestionText>How?</QuestionText>") + says(6, "B", "Thus.")
+    found = contributions_of(spark, [body])
+    assert {k: (r["section"], r["department"], r["topic"], r["question"]) for k, r in found.items()} == {
+        "1": ("Oral Answers", "Trade and Industry", "Steel prices", None), "2": ("Oral Answers", None, None, "1"), "3": ("Oral Answers", None, None, "1"),
+        "4": ("A Bill  here", None, None, None), "5": ("A Bill  here", None, None, None), "6": ("A Bill  here", None, None, None),
+    }
+
+
+def test_quotes_begin_with_a_mark_and_hold_another(spark):
+    quotes = ['"Whole"', "“Quoted text” said he.", "Said he “no”", '"open', "'single\nline'", '""']
+    found = contributions_of(spark, [says(1, "A", "He said") + "".join(f"<hs_brev>{q}</hs_brev>" for q in quotes) + "<hs_brev><i>inner</i></hs_brev>"])
+    assert found["1"]["text"] == " He said \"Whole\" “Quoted text” said he. 'single line'"
+
+
+def test_speech_goes_on_in_the_next_fragment_and_only_the_first_debate_is_read(spark):
+    other = f'<System type="Debate"><Fragment><Header/><Body>{says(9, "Z", "Other.")}</Body></Fragment></System>'
+    found = contributions_of(spark, ["<hs_2DebBill>S</hs_2DebBill>" + says(1, "A", "One."), '<hs_Para UID="2">More.</hs_Para>' + says(1, "B", "Again.") + says(3, "C", "") + '<hs_2BusinessWODebate>B</hs_2BusinessWODebate>' + says(4, "D", "Unheard.")], other)
+    assert {k: (r["text"], r["date"], r["section"], r["member_xid"]) for k, r in found.items()} == {"1": (" One. More.", "2019-01-01", "S", None)}
 
 
 def test_debates(spark, tmp_path):
