@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import common_subsequence, similarity
+from ..functions.tails import similarity
 from ..functions.text import lean
 
 
@@ -87,72 +86,86 @@ def resolve_members(rows: DataFrame, members: DataFrame, member: str = "member",
 
 
 def match_fuzzy(left: DataFrame, right: DataFrame, key: str, result: str, name: str | None = None, least: int = 85, least_name: int = 50, least_alone: int = 95) -> DataFrame:
-    """``left`` with ``result`` of the row of ``right`` whose ``key`` is equal or else most similar, in lower case; unmatched rows are dropped.
-
-    Of rows of ``right`` with one key the least result counts. A similar key must exceed ``least`` with a similar name, or ``least_alone`` where
-    there is no name to compare. Only rows without an equal key are compared, each
-    distinct key with all keys of ``right`` that can be similar enough (``similar_keys``).
+    """``left`` with ``result`` of the row of ``right`` with the same ``key``, or else of the one with the most similar key, if that is good enough; others are dropped.
+
+    Equal keys need nothing more. Otherwise the most similar key (in lower case; the first in
+    alphabetical order of equally similar ones) is found first, and then judged: without
+    ``name`` it must exceed ``least``. With it, an empty or null name asks for more than
+    ``least_alone``, any other for more than ``least`` and names (in lower case) that exceed
+    ``least_name``. Of rows of ``right`` with one key the least result and its name count. Rows
+    that repeat stay; null keys match nothing. The keys are compared by ``similar_keys``.
     """
-    r = right.select(F.lower(key).alias("_key"), F.col(result), *([F.col(name).alias("_name")] if name else []))
-    r = first_by(r, ["_key"], F.col(result), *(["_name"] if name else []))
-    rows = left.withColumn("_own", F.lower(key))
-    joined = rows.join(r.select("_key", result), F.col("_own") == F.col("_key"), "left")
+    right = right.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(result), *([F.col(name).alias("_name")] if name else []))
+    order = [F.col(result), *([F.col("_name")] if name else [])]
+    same = first_by(right, ["_key"], *order).select("_key", result)
+    joined = left.join(same, F.col(key) == F.col("_key"), "left")
     equal = joined.filter(F.col("_key").isNotNull()).select(*left.columns, result)
-    rest = rows.join(r, F.col("_own") == F.col("_key"), "left_anti").withColumn("_row", F.monotonically_increasing_id())
-    pairs = similar_keys(rest.select("_own"), r.select("_key"), min(least, least_alone) if name else least)
-    close = rest.join(pairs, "_own").join(r, "_key")
+    rest = left.join(same.select("_key"), F.col(key) == F.col("_key"), "left_anti").withColumn("_own", F.lower(key))
+    folded = first_by(right.withColumn("_key", F.lower("_key")), ["_key"], *order)
+    pairs = similar_keys(rest.select("_own"), folded.select("_key"), min(least, least_alone) if name else least)
+    best = first_by(pairs, ["_own"], F.desc("_s"), F.col("_key"))
+    close = rest.join(best, "_own").join(folded, "_key")
     if name:
-        close = close.withColumn("_n", similarity(F.lower(name), F.lower("_name"))).filter(((F.col("_s") > least) & (F.col("_n") > least_name)) | (F.col("_s") > least_alone))
-    return equal.unionByName(first_by(close, ["_row"], F.desc("_s"), F.col("_key")).select(*left.columns, result))
+        alone = F.coalesce(F.col(name), F.lit("")) == ""
+        close = close.withColumn("_n", similarity(F.lower(name), F.lower("_name"))).filter((alone & (F.col("_s") > least_alone)) | (~alone & (F.col("_s") > least) & (F.col("_n") > least_name)))
+    return equal.unionByName(close.select(*left.columns, result))
 
 
-def similar_keys(own: DataFrame, keys: DataFrame, least: int, block: int = 4096) -> DataFrame:
-    """_own, _key, _s of all pairs of ``_own`` and ``_key`` whose similarity exceeds ``least`` (50 or more).
+def least_common(own: Column, other: Column, least: int) -> Column:
+    """Pairs of neighbouring characters that two texts of these lengths have in common at least, if their similarity exceeds ``least``.
 
-    Similar keys have lengths within a ratio, so they fall into equal or neighbouring
-    length classes. Blocks of about ``block`` keys of such classes meet in a task, where
-    two bounds that no similar pair misses come before the comparison: a common
-    subsequence isn't longer than the characters that both have, and one of length L
-    keeps at least L - 1 pairs of neighbours but for one for each character left over.
-    The bounds are matrix work that grows with the product of both sides.
+    Such texts have a common subsequence of some length L; of its L - 1 neighbours each
+    character that isn't in it parts at most one.
+    """
+    need = F.ceil((least + 0.5) / 200 * (own + other) - 1e-6)
+    return 3 * need - 1 - own - other
+
+
+def key_prefixes(keys: DataFrame, c: str, least: int, frequent: DataFrame) -> DataFrame:
+    """c, _size, _gram: the rarest numbered bigrams of each key, so many that a similar key has one of them among its own.
+
+    A text with n bigrams, of which a similar one has at least m, shares one of its n - m + 1
+    rarest: any order does that all keys are sorted in.
     """
     share = (least + 0.5) / 200
-    ratio = math.log(1 / share - 1) + 1e-9
-    klass = lambda c: F.floor(F.log(F.length(c)) / ratio).cast("int")
-    own, keys = (df.filter(F.length(c) > 0).select(c).distinct().withColumn("_class", klass(F.col(c))) for df, c in ((own, "_own"), (keys, "_key")))
-    a, b = (max(1, -(-df.count() // block)) for df in (own, keys))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = own.withColumn("_class", F.explode(F.array(*[F.col("_class") + i for i in (-1, 0, 1)]))).withColumn("_a", F.pmod(F.xxhash64("_own"), F.lit(a)).cast("int")).withColumn("_b", every(b))
-    keys = keys.withColumn("_b", F.pmod(F.xxhash64("_key"), F.lit(b)).cast("int")).withColumn("_a", every(a))
-
-    def compare(mine, theirs):
-        import numpy as np
-        import pandas as pd
-
-        def shape(texts):
-            single, double = np.zeros((len(texts), 64), np.uint16), np.zeros((len(texts), 256), np.uint16)
-            for i, t in enumerate(texts):
-                codes = np.fromiter(map(ord, t), np.int64, len(t))
-                np.add.at(single[i], codes % 64, 1)
-                np.add.at(double[i], (codes[:-1] * 31 + codes[1:]) % 256, 1)
-            return np.array([len(t) for t in texts], np.int64), single, double
-
-        out, others = [], theirs["_key"].tolist()
-        if len(mine) and others:
-            sizes, singles, doubles = shape(others)
-            for text, size, single, double in zip(mine["_own"].tolist(), *shape(mine["_own"].tolist())):
-                need = np.ceil(share * (size + sizes) - 1e-6)
-                at = np.flatnonzero(np.minimum(size, sizes) >= need)
-                at = at[np.minimum(singles[at], single).sum(1) >= need[at]]
-                at = at[np.minimum(doubles[at], double).sum(1) >= 3 * need[at] - size - sizes[at] - 1]
-                for i in at.tolist():
-                    s = round(200 * common_subsequence(text, others[i]) / (size + len(others[i])))
-                    if s > least:
-                        out.append((text, others[i], s))
-        return pd.DataFrame(out, columns=["_own", "_key", "_s"])
-
-    by = ["_class", "_a", "_b"]
-    return own.groupBy(*by).cogroup(keys.groupBy(*by)).applyInPandas(compare, "_own string, _key string, _s int")
+    size = F.col("_size")
+    others = F.sequence(F.ceil(size * share / (1 - share) - 1e-6).cast("int"), F.floor(size * (1 - share) / share + 1e-6).cast("int"))
+    least_of_all = F.array_min(F.transform(others, lambda n: least_common(size, n, least)))
+    pieces = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))
+    numbered = F.transform("_pieces", lambda x, i: F.concat(x, F.size(F.filter(F.slice("_pieces", 1, i + 1), lambda y: y == x)).cast("string")))
+    rows = keys.withColumn("_size", F.length(c)).filter("_size > 1").withColumn("_pieces", pieces).withColumn("_take", size - least_of_all)
+    rows = rows.select(c, "_size", "_take", F.explode(numbered).alias("_gram")).join(F.broadcast(frequent), "_gram", "left")
+    grams = rows.groupBy(c, "_size", "_take").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g")))).alias("_grams"))
+    return grams.select(c, "_size", F.explode(F.slice("_grams", 1, F.greatest(F.least(F.col("_take"), F.size("_grams")), F.lit(0)).cast("int"))).alias("_g")).select(c, "_size", F.col("_g.g").alias("_gram"))
+
+
+#: So many bigrams are counted for the order from rare to frequent; all others stand before them.
+FREQUENT = 10_000
+
+
+def candidate_keys(own: DataFrame, keys: DataFrame, least: int) -> DataFrame:
+    """_own, _key of the pairs that ``similar_keys`` compares: a rare bigram in common, and lengths that allow it."""
+    counted = own.select(F.col("_own").alias("k")).union(keys.select(F.col("_key").alias("k"))).filter(F.length("k") > 1)
+    grams = counted.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("k") - 1), lambda i: F.substring(F.col("k"), i, F.lit(2)))).alias("_gram"))
+    frequent = grams.groupBy(F.concat("_gram", F.lit("1")).alias("_gram")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_gram").limit(FREQUENT)
+    mine = key_prefixes(own, "_own", least, frequent).withColumnRenamed("_size", "_a")
+    theirs = key_prefixes(keys, "_key", least, frequent).withColumnRenamed("_size", "_b")
+    need = F.ceil((least + 0.5) / 200 * (F.col("_a") + F.col("_b")) - 1e-6)
+    return mine.join(theirs, "_gram").filter(F.least("_a", "_b") >= need).select("_own", "_key").distinct()
+
+
+def similar_keys(own: DataFrame, keys: DataFrame, least: int) -> DataFrame:
+    """_own, _key, _s of all pairs of ``_own`` and ``_key`` whose similarity exceeds ``least`` (80 or more); nulls and empty texts have none.
+
+    An inverted index over the keys' rarest bigrams gives the pairs to compare; no similar pair
+    is missed (see ``key_prefixes``). The longest common subsequence decides.
+    """
+    if least < 80:
+        raise ValueError("keys are compared by common bigrams, which similar ones need not have below 80")
+    own, keys = (df.select(c).filter(F.length(c) > 0).distinct() for df, c in ((own, "_own"), (keys, "_key")))
+    same = own.join(keys, F.col("_own") == F.col("_key")).withColumn("_s", F.lit(100))
+    found = candidate_keys(own, keys, least).filter("_own <> _key").withColumn("_s", similarity(F.col("_own"), F.col("_key")))
+    return same.unionByName(found.filter(F.col("_s") > least))
 
 
 def merge_stances(*sources: DataFrame, member: str = "member") -> DataFrame:

@@ -87,13 +87,40 @@ def stance_full_merge(spark, d):
     return corpus.merge_stances(a, b, e)
 
 
-@query()
+_SUBSEQUENCE = """len(a) - bit_count(list_reduce(list_prepend(CAST((1::HUGEINT << len(a)) - 1 AS HUGEINT), list_transform(string_split(b, ''), lambda c: list_sum(list_transform(range(len(a)), lambda i: CASE WHEN a[i + 1] = c THEN 1::HUGEINT << i::INTEGER ELSE 0 END))::HUGEINT)), lambda r, m: ((r + (r & m)) | (r - (r & m))) & ((1::HUGEINT << len(a)) - 1)))"""
+
+
+def _similar_sql(pairs: str) -> str:
+    return f"(SELECT a, b, round_even(200.0 * ({_SUBSEQUENCE}) / (len(a) + len(b)), 0) AS s FROM {pairs})"
+
+
+_SPELT = """k AS (SELECT p_name AS name, min(p_partkey) AS found, arg_min(p_type, p_partkey) AS kind FROM part GROUP BY 1),
+v AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, 'a', 'e') WHEN p_partkey % 3 = 0 THEN 'Q' || substr(p_name, 2) ELSE p_name END AS name, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE p_type END AS kind FROM part)"""
+_BEST = f"""p AS (SELECT DISTINCT lower(v.name) AS a, lower(k.name) AS b FROM (SELECT * FROM v WHERE name NOT IN (SELECT name FROM k)) v, k), best AS (SELECT * FROM {_similar_sql("p")} QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) = 1)"""
+
+
+def spelt_parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Part names with a letter changed, the first one among them, and the names that they came from; the type stands for a person's name."""
+    p = table(spark, d, "part")
+    key = F.col("p_partkey")
+    name = F.when(key % 2 == 0, F.replace("p_name", F.lit("a"), F.lit("e"))).when(key % 3 == 0, F.concat(F.lit("Q"), F.substring("p_name", 2, 1000))).otherwise(F.col("p_name"))
+    spelt = p.select("p_partkey", name.alias("name"), F.when(key % 5 == 0, "").when(key % 5 > 1, F.col("p_type")).alias("kind"))
+    return spelt, p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("found"), F.min_by("p_type", "p_partkey").alias("kind"))
+
+
+@query(f"""WITH {_SPELT}, {_BEST} SELECT p_partkey, v.name, found FROM v JOIN k ON v.name = k.name UNION ALL SELECT p_partkey, v.name, found FROM v JOIN best ON lower(v.name) = a JOIN k ON lower(k.name) = b WHERE v.name NOT IN (SELECT name FROM k) AND s > 85""")
 def fuzzy_match(spark, d):
-    """Part names with a letter changed, the first one among them, find the name they came from."""
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    spelt = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("p_name", "a", "e")).when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Q"), F.substring("p_name", 2, 1000))).otherwise(F.col("p_name")).alias("name"))
-    right = p.groupBy("p_name").agg(F.min("p_partkey").alias("found")).withColumnRenamed("p_name", "name")
-    return corpus.match_fuzzy(spelt, right, "name", "found")
+    spelt, right = spelt_parts(spark, d)
+    return corpus.match_fuzzy(spelt.drop("kind"), right, "name", "found")
+
+
+@query(f"""WITH {_SPELT}, {_BEST}, n AS (SELECT DISTINCT lower(v.kind) AS a, lower(k.kind) AS b FROM v, k WHERE v.kind <> ''), names AS {_similar_sql("n")}
+SELECT p_partkey, v.name, v.kind, found FROM v JOIN k ON v.name = k.name UNION ALL
+SELECT p_partkey, v.name, v.kind, found FROM v JOIN best ON lower(v.name) = best.a JOIN k ON lower(k.name) = best.b LEFT JOIN names ON names.a = lower(v.kind) AND names.b = lower(k.kind)
+WHERE v.name NOT IN (SELECT name FROM k) AND CASE WHEN coalesce(v.kind, '') = '' THEN best.s > 95 ELSE best.s > 85 AND names.s > 50 END""")
+def fuzzy_match_named(spark, d):
+    """Similar keys are judged by a second name too; without one they must be more similar."""
+    return corpus.match_fuzzy(*spelt_parts(spark, d), "name", "found", "kind")
 
 
 @query("""SELECT o_orderkey AS uid, o_custkey AS member, CASE WHEN o_orderkey % 3 <> 0 THEN 'old' ELSE 'new' END AS version FROM orders""")
