@@ -18,8 +18,6 @@ COPY = 1 << LAST
 #: A passing candidate or a settled count: bucket, text, doc_id, part, mask, n, good, toxic.
 CANDIDATES = "bucket long, text string, doc_id long, part string, mask int, n long, good long, toxic long"
 COUNTERS = "part string, mask int, n long, good long, toxic long"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def own_mask(text: Column, words: Column) -> Column:
@@ -119,14 +117,17 @@ def update_minima(key, frames, state):
     yield pd.DataFrame(out, columns=names)
 
 
-def stream_counters(spark: SparkSession, path: str, labels: DataFrame, micro_batches: int = 4, texts_a_bucket: int = 32, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+def stream_counters(spark: SparkSession, path: str, labels: DataFrame, micro_batches: int = 4, texts_a_bucket: int = 1000, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """Counters part, mask, n, good, toxic of the Parquet files at ``path``, as signed rows of every micro-batch.
 
     All files are read as available-now micro-batches, about ``micro_batches`` of them, each a
     restart point. Texts are hashed and forgotten where they are read; a small row of each
     is joined with its label, and goes to the state of its text: text digests in buckets of
-    about ``texts_a_bucket``, kept by RocksDB outside of the heap and in the checkpoint
-    folder. The sum of the rows up to a batch are the counters at its end.
+    about ``texts_a_bucket``, for a call of Python has its price, some 100 bytes a text. The
+    session's state store keeps them and their checkpoints: Spark's default holds its share in
+    each executor's heap, ``spark.sql.streaming.stateStore.providerClass`` can name RocksDB,
+    which needs none, but 4 MB of disk for each partition. The sum of the rows up to a batch are
+    the counters at its end.
     """
     files = spark.read.parquet(path)
     schema, n_rows, names = files.schema, files.count(), files.inputFiles()
@@ -155,12 +156,7 @@ def stream_counters(spark: SparkSession, path: str, labels: DataFrame, micro_bat
         sums = [F.sum(c).alias(c) for c in ("n", "good", "toxic")]
         batch.groupBy("part", "mask").agg(*sums).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        query = deltas.writeStream.outputMode("update").foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(PROVIDER, before)
+    query = deltas.writeStream.outputMode("update").foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(f"{COUNTERS}, batch int").parquet(out)
 
