@@ -111,57 +111,64 @@ def match_fuzzy(left: DataFrame, right: DataFrame, key: str, result: str, name:
     return equal.unionByName(close.select(*left.columns, result))
 
 
-def least_common(own: Column, other: Column, least: int) -> Column:
-    """Pairs of neighbouring characters that two texts of these lengths have in common at least, if their similarity exceeds ``least``.
+def least_common(own: Column, other: Column, least: int, q: int) -> Column:
+    """Pieces of ``q`` neighbouring characters that two texts of these lengths have in common at least, if their similarity exceeds ``least``.
 
-    Such texts have a common subsequence of some length L; of its L - 1 neighbours each
-    character that isn't in it parts at most one.
+    Such texts have a common subsequence of some length L; of its L - q + 1 pieces each
+    character that isn't in it parts at most q - 1.
     """
     need = F.ceil((least + 0.5) / 200 * (own + other) - 1e-6)
-    return 3 * need - 1 - own - other
+    return (2 * q - 1) * need - (q - 1) * (own + other + 1)
 
 
-def key_prefixes(keys: DataFrame, c: str, least: int, frequent: DataFrame) -> DataFrame:
-    """c, _size, _gram: the rarest numbered bigrams of each key, so many that a similar key has one of them among its own.
+def piece_length(own: Column, other: Column, least: int) -> Column:
+    """3 where similar texts of these lengths must have pieces of three characters in common, else 2."""
+    return F.when(least_common(own, other, least, 3) > 0, 3).otherwise(2)
 
-    A text with n bigrams, of which a similar one has at least m, shares one of its n - m + 1
-    rarest: any order does that all keys are sorted in.
+
+def key_prefixes(keys: DataFrame, c: str, least: int, frequent: DataFrame, q: int) -> DataFrame:
+    """c, _size, _gram: the rarest numbered pieces of ``q`` characters of each key, so many that a similar key has one of them among its own.
+
+    A text with n pieces, of which a similar one has at least m, shares one of its n - m + 1
+    rarest: any order does that all keys are sorted in. Only for lengths that ``q`` serves.
     """
-    share = (least + 0.5) / 200
-    size = F.col("_size")
+    share, size = (least + 0.5) / 200, F.col("_size")
     others = F.sequence(F.ceil(size * share / (1 - share) - 1e-6).cast("int"), F.floor(size * (1 - share) / share + 1e-6).cast("int"))
-    least_of_all = F.array_min(F.transform(others, lambda n: least_common(size, n, least)))
-    pieces = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))
+    served = F.filter(others, lambda n: piece_length(size, n, least) == q)
+    least_of_all = F.array_min(F.transform(served, lambda n: least_common(size, n, least, q)))
+    pieces = F.transform(F.sequence(F.lit(1), size - (q - 1)), lambda i: F.substring(F.col(c), i, F.lit(q)))
     numbered = F.transform("_pieces", lambda x, i: F.concat(x, F.size(F.filter(F.slice("_pieces", 1, i + 1), lambda y: y == x)).cast("string")))
-    rows = keys.withColumn("_size", F.length(c)).filter("_size > 1").withColumn("_pieces", pieces).withColumn("_take", size - least_of_all)
+    rows = keys.withColumn("_size", F.length(c)).filter(F.col("_size") >= q).withColumn("_take", size - (q - 1) - least_of_all + 1).filter("_take > 0").withColumn("_pieces", pieces)
     rows = rows.select(c, "_size", "_take", F.explode(numbered).alias("_gram")).join(F.broadcast(frequent), "_gram", "left")
     grams = rows.groupBy(c, "_size", "_take").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g")))).alias("_grams"))
-    return grams.select(c, "_size", F.explode(F.slice("_grams", 1, F.greatest(F.least(F.col("_take"), F.size("_grams")), F.lit(0)).cast("int"))).alias("_g")).select(c, "_size", F.col("_g.g").alias("_gram"))
+    return grams.select(c, "_size", F.lit(q).alias("_q"), F.explode(F.slice("_grams", 1, F.least(F.col("_take"), F.size("_grams")).cast("int"))).alias("_g")).select(c, "_size", "_q", F.col("_g.g").alias("_gram"))
 
 
-#: So many bigrams are counted for the order from rare to frequent; all others stand before them.
+#: So many pieces are counted for the order from rare to frequent; all others stand before them.
 FREQUENT = 10_000
 
 
 def candidate_keys(own: DataFrame, keys: DataFrame, least: int) -> DataFrame:
-    """_own, _key of the pairs that ``similar_keys`` compares: a rare bigram in common, and lengths that allow it."""
-    counted = own.select(F.col("_own").alias("k")).union(keys.select(F.col("_key").alias("k"))).filter(F.length("k") > 1)
-    grams = counted.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("k") - 1), lambda i: F.substring(F.col("k"), i, F.lit(2)))).alias("_gram"))
+    """_own, _key of the pairs that ``similar_keys`` compares: a rare piece in common, and lengths that allow it."""
+    counted = own.select(F.col("_own").alias("k")).union(keys.select(F.col("_key").alias("k")))
+    pieces = lambda q: F.when(F.length("k") >= q, F.transform(F.sequence(F.lit(1), F.length("k") - (q - 1)), lambda i: F.substring(F.col("k"), i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    grams = counted.select(F.explode(F.concat(pieces(2), pieces(3))).alias("_gram"))
     frequent = grams.groupBy(F.concat("_gram", F.lit("1")).alias("_gram")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_gram").limit(FREQUENT)
-    mine = key_prefixes(own, "_own", least, frequent).withColumnRenamed("_size", "_a")
-    theirs = key_prefixes(keys, "_key", least, frequent).withColumnRenamed("_size", "_b")
-    need = F.ceil((least + 0.5) / 200 * (F.col("_a") + F.col("_b")) - 1e-6)
-    return mine.join(theirs, "_gram").filter(F.least("_a", "_b") >= need).select("_own", "_key").distinct()
+    both = lambda df, c: key_prefixes(df, c, least, frequent, 2).union(key_prefixes(df, c, least, frequent, 3))
+    mine, theirs = both(own, "_own").withColumnRenamed("_size", "_a"), both(keys, "_key").withColumnRenamed("_size", "_b")
+    a, b = F.col("_a"), F.col("_b")
+    fitting = (F.least(a, b) >= F.ceil((least + 0.5) / 200 * (a + b) - 1e-6)) & (F.col("_q") == piece_length(a, b, least))
+    return mine.join(theirs, ["_gram", "_q"]).filter(fitting).select("_own", "_key").distinct()
 
 
 def similar_keys(own: DataFrame, keys: DataFrame, least: int) -> DataFrame:
     """_own, _key, _s of all pairs of ``_own`` and ``_key`` whose similarity exceeds ``least`` (80 or more); nulls and empty texts have none.
 
-    An inverted index over the keys' rarest bigrams gives the pairs to compare; no similar pair
+    An inverted index over the keys' rarest pieces of three (short keys: two) characters gives the pairs to compare; no similar pair
     is missed (see ``key_prefixes``). The longest common subsequence decides.
     """
     if least < 80:
-        raise ValueError("keys are compared by common bigrams, which similar ones need not have below 80")
+        raise ValueError("keys are compared by common pieces, which similar ones need not have below 80")
     own, keys = (df.select(c).filter(F.length(c) > 0).distinct() for df, c in ((own, "_own"), (keys, "_key")))
     same = own.join(keys, F.col("_own") == F.col("_key")).withColumn("_s", F.lit(100))
     found = candidate_keys(own, keys, least).filter("_own <> _key").withColumn("_s", similarity(F.col("_own"), F.col("_key")))

@@ -186,6 +186,58 @@ def test_fuzzy_names_match_as_by_comparing_all(spark):
     assert (0, 150) in want
 
 
+def best_and_judged(left, right):
+    """Rows of (id, key, name) with the code of (key, code, name), by comparing all keys: the most similar first, then the rule."""
+    ratio = lambda a, b: round(200 * tails.common_subsequence(a, b) / (len(a) + len(b))) if a and b else 0
+    by_key = {}
+    for k, code, n in right:
+        by_key[k] = min(by_key.get(k, (code, n)), (code, n))
+    out = []
+    for i, k, n in left:
+        if k in by_key:
+            out.append((i, by_key[k][0]))
+            continue
+        score, key = min(((-ratio(k.lower(), o.lower()), o) for o in by_key), default=(0, None))
+        code, other = by_key[key]
+        if (-score > 95) if not n else (-score > 85 and ratio(n.lower(), other.lower()) > 50):
+            out.append((i, code))
+    return sorted(out)
+
+
+def test_the_most_similar_key_is_judged_by_name(spark):
+    left = [(1, "Weston super Mare and Villages", "John Smith"), (2, "Weston super Mare and Villages", ""), (3, "Weston super Mare and Villages", None), (4, "North Somersat", "Ann Lee"), (5, "North Somersat", "Bo Lund"), (6, "North Somerset", "Nobody"), (7, "north somerset", "")]
+    right = [("Weston super Mare and Village", 1, "Zoe Quux"), ("North Somerset", 2, "Bo Lunde"), ("North Somersets", 3, "Ann Lee")]
+    frames = spark.createDataFrame(left, "id long, place string, name string"), spark.createDataFrame(right, "place string, code long, name string")
+    found = rows(corpus.match_fuzzy(*frames, "place", "code", "name"), "id", "code")
+    assert found == [(2, 1), (3, 1), (5, 2), (6, 2), (7, 2)] == best_and_judged(left, right)
+
+
+def test_names_judge_as_by_comparing_all(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdeé") for _ in range(n))
+    right = [(f"{word(rng.randint(2, 12))} {word(rng.randint(1, 12))}", i, word(6)) for i in range(120)]
+    left = []
+    for i in range(250):
+        k, _, n = rng.choice(right)
+        at = rng.randrange(len(k))
+        left.append((i, k[:at] + rng.choice(["", "x", "a", "B"]) + k[at + rng.choice([0, 1]) :], rng.choice(["", n, n[:4] + "zz", word(6)])))
+    frames = spark.createDataFrame(left, "id long, place string, name string"), spark.createDataFrame(right, "place string, code long, name string")
+    want = best_and_judged(left, right)
+    assert rows(corpus.match_fuzzy(*frames, "place", "code", "name"), "id", "code") == want and 30 < len(want) < 250
+
+
+def test_few_keys_are_compared(spark):
+    """Keys of many letters share few rare pieces: far fewer pairs are compared than there are."""
+    rng = random.Random(5)
+    names = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3)) for _ in range(1200)]
+    for n in (300, 1200):
+        keys = spark.createDataFrame([(x,) for x in names[:n]], "_key string")
+        own = keys.selectExpr("replace(_key, 'a', 'o') as _own")
+        compared = corpus.candidate_keys(own, keys, 85).count()
+        assert n <= compared < n + 0.02 * n * n
+        assert corpus.similar_keys(own, keys, 85).filter("_s > 85").count() >= 0.9 * n
+
+
 def cleaned_by_hand(t):
     t = re.sub(r"\d+(\.\d+)*", "NUMBER", t.lower().strip()).replace("\n", " ")
     t = re.sub(r"([.,!?:;]+)(?=\w)", r"\1 ", t)
