@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import finite_vector, give_back, partitions, usual_length, written
 
-#: Inner products below this are exact in 64-bit sums with their offsets.
-LARGEST_PRODUCT = 1 << 59
+#: Components below this can be shifted to unsigned ones, and scores below twice that are longs.
+LARGEST_COMPONENT = 1 << 62
 
 
 def build_slices(values: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -40,7 +40,7 @@ def add_slices(slices: np.ndarray, query: np.ndarray, offset: int) -> tuple[list
     dims, bits, words = slices.shape
     size, negative = np.abs(query), query < 0
     full = (1 << bits) - 1
-    constant = int((-query[~negative] * offset).sum() + (size[negative] * (offset - full)).sum())
+    constant = sum(-q * offset for q in query[~negative].tolist()) + sum(q * (offset - full) for q in size[negative].tolist())
     flip = np.where(negative, ~np.uint64(0), np.uint64(0))
     top = int(size.max()).bit_length() if len(size) else 0
     members = [np.flatnonzero((size >> j) & 1) for j in range(top)]
@@ -88,9 +88,14 @@ def top_rows(sums: list[np.ndarray], candidates: np.ndarray, k: int) -> np.ndarr
 
 
 def values_at(sums: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """The sums of single rows, read from the slices."""
+    """The sums of single rows, read from the slices, modulo 2^64."""
     word, bit = rows // 64, (rows % 64).astype(np.uint64)
-    return sum((((s[word] >> bit) & np.uint64(1)).astype(np.int64) << i for i, s in enumerate(sums)), np.zeros(len(rows), np.int64))
+    return sum((((s[word] >> bit) & np.uint64(1)).astype(np.int64) << i for i, s in enumerate(sums[:64])), np.zeros(len(rows), np.int64))
+
+
+def exact_value(sums: list[np.ndarray], row: int) -> int:
+    """The sum of a row, however many bits it has."""
+    return sum((int(s[row // 64]) >> row % 64 & 1) << i for i, s in enumerate(sums))
 
 
 def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, query_rows: int = 256) -> DataFrame:
@@ -118,8 +123,8 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: fl
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = rows.filter(F.size("v") == dims)
     largest = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] * scale + 1
-    if not dims * largest**2 < LARGEST_PRODUCT:
-        raise ValueError(f"components up to {largest / scale:g} make inner products that don't fit a long")
+    if not largest < LARGEST_COMPONENT:
+        raise ValueError(f"a component of {largest / scale:g} is too large")
     rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
     n_blocks = -(-n_rows // block_rows)
     n_asked = rows.filter(F.col("vec_id") % query_step == 0).count()
@@ -166,7 +171,10 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: fl
                         candidates[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
                     sums, constant = add_slices(slices, query, int(r.lift))
                     found = top_rows(sums, candidates, k)
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found], "score": values_at(sums, found) + constant}))
+                    wrapped = np.int64((constant + (1 << 63)) % (1 << 64) - (1 << 63))
+                    if (len(sums) > 62 or abs(constant) >> 62) and any(not -(1 << 63) <= exact_value(sums, f) + constant < 1 << 63 for f in found.tolist()):
+                        raise ValueError(f"a score of query {query_id} does not fit a long")
+                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found], "score": values_at(sums, found) + wrapped}))
             if out:
                 yield pd.concat(out)
         give_back()

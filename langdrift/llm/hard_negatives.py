@@ -54,12 +54,11 @@ def residue_products(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return centred(total, p)
 
 
-def signed_scores(a: np.ndarray, b: np.ndarray, primes: list[int], check: bool = False) -> np.ndarray:
+def signed_scores(a: np.ndarray, b: np.ndarray, primes: list[int]) -> np.ndarray:
     """The exact inner products of the rows of two integer matrices, from their residues modulo ``primes``.
 
     Mixed-radix digits, each between -(p - 1) / 2 and (p - 1) / 2, so the sum is the signed
-    score itself and only has to fit a long where it is added up. ``check``: raise a ValueError
-    if one does not.
+    score itself and only has to fit a long where it is added up; it is right modulo 2^64.
     """
     digits: list[np.ndarray] = []
     total, radix = np.zeros((len(a), len(b)), np.int64), 1
@@ -74,11 +73,15 @@ def signed_scores(a: np.ndarray, b: np.ndarray, primes: list[int], check: bool =
         signed = (radix + LONG) % (2 * LONG) - LONG
         total += digit * np.int64(signed)
         radix *= p
-    if check and len(a) and len(b) and np.abs(a.astype(np.float64) @ b.T.astype(np.float64)).max() >= LONG * (1 - 1e-9):
-        raise ValueError("a score does not fit a long")
     return total
 
 
+def refuse_beyond_longs(a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> None:
+    """A ValueError if one of the ``asked`` inner products (a mask) is no long."""
+    if (np.abs(a.astype(np.float64) @ b.T.astype(np.float64))[asked] >= LONG * (1 - 1e-9)).any():
+        raise ValueError("a score does not fit a long")
+
+
 def first_by_score(scores: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Of the positions ``at`` (ascending) those of the ``k`` highest scores, ties to the lower position."""
     own = scores[at]
@@ -168,7 +171,9 @@ def mine_hard_negatives(
                 for r in pdf.itertuples():
                     ids, labels, own, own_labels = (np.frombuffer(x, "<i8") for x in (r.ids, r.labels, r.anchor_ids, r.anchor_labels))
                     a, b = (np.frombuffer(x, width).reshape(n, dims).astype(np.int64) for x, n in ((r.anchor_matrix, len(own)), (r.matrix, len(ids))))
-                    scores = signed_scores(a, b, primes, check)
+                    if check:
+                        refuse_beyond_longs(a, b, own[:, None] != ids)
+                    scores = signed_scores(a, b, primes)
                     for i in range(len(own)):
                         out += search(r, int(own[i]), scores[i], labels == own_labels[i], ids)
                 if out:

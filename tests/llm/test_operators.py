@@ -246,8 +246,19 @@ def test_a_stray_long_vector_and_large_components(spark):
         best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == want
-    with pytest.raises(ValueError, match="don't fit"):
-        bitslice.exact_top_k(df.unionByName(spark.createDataFrame([(7, [1e8, 0.0, 0.0, 0.0])], df.schema)))
+    large = [(7, [2e6, 0.0, 0.0, 0.0]), (40, [0.5, 3e9, 0.0, 1.0]), (41, [1e10, -2e4, 1.0, 3.0]), (42, [0.0, 2e5, 0.0, 0.0])]  # no score is beyond a long
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in [*((i, v) for i, v in rows if i not in (3, 7, 20, 40, 41, 42)), *large]}
+    df = spark.createDataFrame([*((i, v) for i, v in rows if i not in (3, 7, 20, 40, 41, 42)), *large], df.schema)
+    got = sorted(tuple(r) for r in bitslice.exact_top_k(df, k=5, query_step=20).select("query_id", "rank", "vec_id", "score").collect())
+    want = []
+    for q in (0, 40):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+    with pytest.raises(Exception, match="fit a long"):
+        bitslice.exact_top_k(spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 2e8]), (2, [3.0, 4.0])], df.schema)).collect()
+    with pytest.raises(ValueError, match="too large"):
+        bitslice.exact_top_k(spark.createDataFrame([(0, [1e300, 1.0])], df.schema))
 
 
 @settings(max_examples=60, deadline=None)
