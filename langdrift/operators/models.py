@@ -94,7 +94,9 @@ def kl_divergence(q: DataFrame, p: DataFrame, keys: list[str], smoothing: float
     first = contexts.select(*own, "w", *(F.lit(0).cast(t).alias(c) for c, t in (("n", "long"), ("s", "double"), ("ln", "double"), ("sln", "double"))), "ctx")
     parts = second.select(*own, "w", "n", "s", "ln", "sln", "ctx").union(first).groupBy(*own, "w").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ln", "sln", "ctx")])
     words = parts.groupBy(*keys, "w").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("side", "group"), F.struct("n", "s", "ln", "sln", "ctx")))).alias("_parts"))
-    both = seen.filter("side = 'q'").select(*keys, F.col("group").alias("q"), "w1", "w2", F.col("s").alias("sq")).join(seen.filter("side = 'p'").select(*keys, F.col("group").alias("p"), "w1", "w2", F.col("s").alias("sp")), [*keys, "w1", "w2"])
+    have = seen.groupBy(*keys, "w1", "w2").agg(F.collect_list(F.struct("side", "group", "s")).alias("_have"))
+    having = lambda side: F.filter("_have", lambda m: m["side"] == side)
+    both = have.select(*keys, "w2", F.inline(F.flatten(F.transform(having("q"), lambda a: F.transform(having("p"), lambda b: F.struct(a["group"].alias("q"), b["group"].alias("p"), a["s"].alias("sq"), b["s"].alias("sp")))))))
     both = both.groupBy(*keys, F.col("w2").alias("w"), "q", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("sp").alias("s"), F.sum(F.ln("sq")).alias("ln"), F.sum(F.col("sp") * F.ln("sq")).alias("sln"))
     both = both.groupBy(*keys, "w").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("q", "p"), F.struct("n", "s", "ln", "sln")))).alias("_both"))
     sizes = model.groupBy(*own).agg(F.sum("n").alias("total")).groupBy(*keys).agg(F.collect_list(F.struct("side", "group", "total")).alias("_models"))
