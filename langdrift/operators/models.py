@@ -21,6 +21,21 @@ def train_bigrams(texts: DataFrame, keys: list[str], tokens: str = "tokens") ->
     return text_bigrams(texts, keys, tokens)
 
 
+def train_over_runs(texts: DataFrame, mask: str, runs: int, keys: list[str], tokens: str = "tokens") -> DataFrame:
+    """Models of many runs in one pass: run, keys, w1, w2, n. Bit ``r`` of ``mask`` says whether run ``r`` has the text.
+
+    Bigrams are counted for all runs side by side, and a row for each run comes after counting.
+    """
+    rows = occurrences(texts.filter(F.col(mask) != 0), [*keys, mask], tokens)
+    counts = rows.groupBy(*keys, "w1", "w2").agg(F.array(*[F.sum(F.shiftrightunsigned(mask, r).bitwiseAND(F.lit(1))) for r in range(runs)]).alias("_n"))
+    return counts.select(F.posexplode("_n").alias("run", "n"), *keys, "w1", "w2").filter("n > 0").select("run", *keys, "w1", "w2", "n")
+
+
+def expand_runs(texts: DataFrame, mask: str, runs: int) -> DataFrame:
+    """A row for each run whose bit is set in ``mask``."""
+    return texts.withColumn("run", F.explode(F.array_compact(F.array(*[F.when(F.shiftrightunsigned(mask, r).bitwiseAND(F.lit(1)) == 1, F.lit(r)) for r in range(runs)]))))
+
+
 def context_counts(model: DataFrame, keys: list[str]) -> DataFrame:
     """keys, w, ctx: how often a word is a bigram's first."""
     return model.groupBy(*keys, F.col("w1").alias("w")).agg(F.sum("n").alias("ctx"))
@@ -127,32 +142,49 @@ def ce_matrix(sampled: DataFrame, smoothing: float = 1.0, text: str = "uid", shi
     ``sampled``: run, window_no, group, role, uid, tokens. ``shift``: test texts of window i + shift on the
     snapshot of window i. Result: run, window_no, snap_group, test_group, uid, ce.
     """
+    model = train_bigrams(sampled.filter("role = 'snapshot'"), ["run", "window_no", "group"], tokens)
+    return compare_texts(model, sampled.filter("role = 'test'"), smoothing, text, shift, same_group, tokens)
+
+
+def compare_texts(model: DataFrame, tests: DataFrame, smoothing: float = 1.0, text: str = "uid", shift: int = 0, same_group: bool = False, tokens: str = "tokens") -> DataFrame:
+    """``ce_matrix`` from models (run, window_no, group, w1, w2, n) and test texts (run, window_no, group, uid, tokens)."""
     keys = ["run", "window_no"]
-    model = train_bigrams(sampled.filter("role = 'snapshot'"), [*keys, "group"], tokens)
-    tests = sampled.filter("role = 'test'").withColumn("window_no", F.col("window_no") - shift).withColumnRenamed("group", "test_group")
+    tests = tests.withColumn("window_no", F.col("window_no") - shift).withColumnRenamed("group", "test_group")
     found = cross_entropy(occurrences(tests, [*keys, "test_group", text], tokens), model, keys, ["test_group", text], smoothing)
     found = found.filter("snap_group = test_group") if same_group else found
     return found.select(*keys, "snap_group", "test_group", text, "ce")
 
 
+def next_window(found: DataFrame) -> DataFrame:
+    """A comparison with the window before as that of the window itself, of one group."""
+    return found.withColumn("window_no", F.col("window_no") + 1).withColumnRenamed("snap_group", "group").drop("test_group")
+
+
 def ce_fluctuation(sampled: DataFrame, smoothing: float = 1.0, **options) -> DataFrame:
     """The snapshot of window i on test texts of window i + 1 of the same group; window_no is i + 1's."""
-    found = ce_matrix(sampled, smoothing, shift=1, same_group=True, **options)
-    return found.withColumn("window_no", F.col("window_no") + 1).withColumnRenamed("snap_group", "group").drop("test_group")
+    return next_window(ce_matrix(sampled, smoothing, shift=1, same_group=True, **options))
 
 
 def kld_matrix(sampled: DataFrame, smoothing: float = 1.0, roles: tuple[str, str] = ("snapshot", "test"), tokens: str = "tokens") -> DataFrame:
     """Divergence of each test model from each snapshot model per run and window: run, window_no, snap_group, test_group, kld."""
     q, p = (train_bigrams(sampled.filter(F.col("role") == r), ["run", "window_no", "group"], tokens) for r in roles)
+    return compare_models(q, p, smoothing)
+
+
+def compare_models(q: DataFrame, p: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """``kld_matrix`` from models (run, window_no, group, w1, w2, n)."""
     return kl_divergence(q, p, ["run", "window_no"], smoothing).withColumnsRenamed({"q_group": "snap_group", "p_group": "test_group"})
 
 
 def kld_fluctuation(sampled: DataFrame, smoothing: float = 1.0, role: str = "test", tokens: str = "tokens") -> DataFrame:
     """Divergence of a window's model from the snapshot of the window before, per run and group."""
-    keys = ["run", "window_no", "group"]
-    q = train_bigrams(sampled.filter("role = 'snapshot'"), keys, tokens).withColumn("window_no", F.col("window_no") + 1)
-    p = train_bigrams(sampled.filter(F.col("role") == role), keys, tokens)
-    q, p = (df.withColumnRenamed("group", "_own").withColumn("group", F.lit("")) for df in (q, p))
+    q, p = (train_bigrams(sampled.filter(F.col("role") == r), ["run", "window_no", "group"], tokens) for r in ("snapshot", role))
+    return compare_with_window_before(q, p, smoothing)
+
+
+def compare_with_window_before(q: DataFrame, p: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """``kld_fluctuation`` from models (run, window_no, group, w1, w2, n)."""
+    q, p = (df.withColumnRenamed("group", "_own").withColumn("group", F.lit("")) for df in (q.withColumn("window_no", F.col("window_no") + 1), p))
     found = kl_divergence(q, p, ["run", "window_no", "_own"], smoothing)
     return found.select("run", "window_no", F.col("_own").alias("group"), "kld")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..sources import tables as files
 from ..sources.files import scratch
 from . import jobs
 from .bindings import CONTRIBUTIONS, TOKENS, contributions, table, token_texts, windows_sql
-from .queries import SIZE, STEP, query, rounded, windowed
+from .queries import SIZE, STANCES, STEP, query, rounded, stances, windowed
 
 # H: sampling
 
@@ -108,17 +110,24 @@ def ce_fluctuation(spark, d):
 
 
 def _kld_sql(q: str, p: str, keys: str) -> str:
-    return f"""uni AS (SELECT {keys}, w1, w2 FROM {q} UNION SELECT {keys}, w1, w2 FROM {p}), {_score_sql("uni", q, keys, "sq")}, {_score_sql("uni", p, keys, "sp")}
-SELECT {keys}, round(sum(p.score * ln(p.score / q.score)) / sum(p.score) + ln(sum(q.score) / sum(p.score)), 6) AS kld FROM sp p JOIN sq q USING ({keys}, w1, w2) GROUP BY ALL"""
+    return f"""uni AS (SELECT {keys}, w1, w2 FROM {q} UNION SELECT {keys}, w1, w2 FROM {p}), {_score_sql("uni", q, keys, "sq")}, {_score_sql("uni", p, keys, "sp")}"""
+
+
+def _kld_select(keys: str, digits: int = 6) -> str:
+    return f"SELECT {keys}, round(sum(p.score * ln(p.score / q.score)) / sum(p.score) + ln(sum(q.score) / sum(p.score)), {digits}) AS kld FROM sp p JOIN sq q USING ({keys}, w1, w2) GROUP BY ALL"
+
 
+_KLD_PAIRS = f"""{_SNAP}, ts AS (SELECT run, window_no, "group" AS test_group, w1, w2, count(*) AS n FROM sam WHERE role = 'test' GROUP BY ALL),
+mq AS (SELECT snap.*, g.test_group FROM snap JOIN (SELECT DISTINCT run, window_no, test_group FROM ts) g USING (run, window_no)), mp AS (SELECT ts.*, g.snap_group FROM ts JOIN (SELECT DISTINCT run, window_no, snap_group FROM snap) g USING (run, window_no)), {_kld_sql("mq", "mp", "run, window_no, snap_group, test_group")}"""
+_KLD_BEFORE = f"""mq AS (SELECT run, window_no + 1 AS window_no, "group" AS grp, w1, w2, count(*) AS n FROM sam WHERE role = 'snapshot' GROUP BY ALL), mp AS (SELECT run, window_no, "group" AS grp, w1, w2, count(*) AS n FROM sam WHERE role = 'test' GROUP BY ALL), {_kld_sql("mq", "mp", "run, window_no, grp")}"""
 
-@query(f"""WITH {_SAMPLED}, {_SNAP}, ts AS (SELECT run, window_no, "group" AS test_group, w1, w2, count(*) AS n FROM sam WHERE role = 'test' GROUP BY ALL),
-mq AS (SELECT snap.*, g.test_group FROM snap JOIN (SELECT DISTINCT run, window_no, test_group FROM ts) g USING (run, window_no)), mp AS (SELECT ts.*, g.snap_group FROM ts JOIN (SELECT DISTINCT run, window_no, snap_group FROM snap) g USING (run, window_no)), {_kld_sql("mq", "mp", "run, window_no, snap_group, test_group")}""", also="kld_matrix_all")
+
+@query(f"""WITH {_SAMPLED}, {_KLD_PAIRS} {_kld_select("run, window_no, snap_group, test_group")}""", also="kld_matrix_all")
 def kld_matrix(spark, d):
     return rounded(models.kld_matrix(sampled(spark, d)), "kld")
 
 
-@query(f"""WITH {_SAMPLED}, mq AS (SELECT run, window_no + 1 AS window_no, "group" AS grp, w1, w2, count(*) AS n FROM sam WHERE role = 'snapshot' GROUP BY ALL), mp AS (SELECT run, window_no, "group" AS grp, w1, w2, count(*) AS n FROM sam WHERE role = 'test' GROUP BY ALL), {_kld_sql("mq", "mp", "run, window_no, grp")}""", also="kld_fluctuation_all")
+@query(f"""WITH {_SAMPLED}, {_KLD_BEFORE} {_kld_select("run, window_no, grp")}""", also="kld_fluctuation_all")
 def kld_fluctuation(spark, d):
     return rounded(models.kld_fluctuation(sampled(spark, d)), "kld").withColumnRenamed("group", "grp")
 
@@ -155,22 +164,93 @@ def sample_meta(spark, d):
     return sampling.sample_meta(sampled(spark, d))
 
 
-@query()
+# Whole jobs. The SQL of a specification: texts in groups, windows, splits, caps, models, means across runs.
+
+
+def _job_sql(spec: jobs.AceSpec, texts: str = "jobtexts") -> str:
+    n = len(spec.groups)
+    names, tests = ", ".join(f"'{g}'" for g in spec.groups), ", ".join(f"coalesce({p}, false)" for p in spec.groups.values())
+    labelled = f"""SELECT uid, member, date, tokens, unnest(list_filter(list_transform(range(1, {n + 1}), lambda i: CASE WHEN [{tests}][i] THEN [{names}][i] END), lambda x: x IS NOT NULL)) AS "group" FROM {{}}"""
+    if spec.chunk:
+        cut = f"""ch0 AS (SELECT t.* EXCLUDE (tokens, uid), uid, i, tokens[i * {spec.chunk} + 1 : i * {spec.chunk} + {spec.chunk}] AS tokens FROM {texts} t, range((SELECT max(len(tokens)) FROM {texts})) r(i) WHERE len(tokens) > {spec.chunk} AND i < ceil((len(tokens) - {spec.chunk}) / {spec.chunk})),
+  ch AS (SELECT * EXCLUDE (uid, i), uid * (SELECT max(i) + 1 FROM ch0) + i AS uid FROM ch0), jt AS ({labelled.format("ch")})"""
+    else:
+        limit = f" WHERE len(tokens) >= {spec.token_limit}" if spec.token_limit else ""
+        kept = f"tokens[1 : {spec.token_limit}]" if spec.token_limit else "tokens"
+        cut = f"""ch AS (SELECT * EXCLUDE (tokens), {kept} AS tokens FROM {texts}{limit}), jt AS ({labelled.format("ch")})"""
+    cap = f" WHERE n <= {spec.cap}" if spec.cap else ""
+    keyed = f"""row_number() OVER (PARTITION BY run, window_no, "group", role, member ORDER BY md5(concat_ws('|', '{spec.seed}', CAST(run AS VARCHAR), CAST(window_no AS VARCHAR), "group", role, CAST(member AS VARCHAR), CAST(uid AS VARCHAR))), uid) AS n"""
+    least = """, sz AS (SELECT run, role, min(n) AS least FROM (SELECT run, "group", role, count(*) AS n FROM role0 GROUP BY ALL) GROUP BY ALL), role AS (SELECT role0.* FROM role0 JOIN sz USING (run, role) WHERE place <= least)""" if spec.balance else ", role AS (SELECT * FROM role0)"
+    reference = f""" UNION ALL SELECT run, window_no, '{spec.reference}', role, r.member, uid, tokens FROM (SELECT DISTINCT ON (uid, window_no) uid, window_no, member, tokens FROM jr ORDER BY uid, window_no, "group") r JOIN (SELECT run, member, min(role) AS role FROM role GROUP BY ALL) USING (member)""" if spec.reference else ""
+    sampled = f"""{cut}, jd AS (SELECT DISTINCT uid, date FROM jt), {windows_sql("jd", spec.window_size, spec.window_step)}, jr AS (SELECT jt.*, window_no FROM jt JOIN placed USING (uid)), mem AS (SELECT DISTINCT "group", member FROM jr),
+  rk AS (SELECT run, "group", member, row_number() OVER (PARTITION BY run, "group" ORDER BY md5(concat_ws('|', '{spec.seed}', CAST(run AS VARCHAR), "group", CAST(member AS VARCHAR))), member) AS r, floor((count(*) OVER (PARTITION BY run, "group") + 1) * {spec.share}::DOUBLE) AS cut FROM mem, range({spec.runs}) t(run)),
+  role0 AS (SELECT CAST(run AS INTEGER) AS run, "group", member, CASE WHEN r <= cut THEN 'snapshot' ELSE 'test' END AS role, CASE WHEN r <= cut THEN r ELSE r - cut END AS place FROM rk){least},
+  sa AS (SELECT * FROM (SELECT *, {keyed} FROM (SELECT run, window_no, jr."group", role, jr.member, uid, tokens FROM jr JOIN role ON role."group" = jr."group" AND role.member = jr.member{reference})){cap}),
+  sb AS (SELECT run, window_no, "group", uid, role, unnest(list_zip(list_prepend(chr(2), tokens), list_append(tokens, chr(2)))) AS b FROM sa), sam AS (SELECT run, window_no, "group", uid, role, b[1] AS w1, b[2] AS w2 FROM sb)"""
+    mean = "round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS std, count(*) AS n_runs"
+    if spec.method in ("ce", "ce_fluct"):
+        ce = _ce_sql(int(spec.method == "ce_fluct")).replace(f"WITH {_SAMPLED}", sampled)
+        if spec.method == "ce":
+            return f"{ce}, m AS (SELECT run, window_no, snap_group, test_group, avg(ce) AS m FROM ce GROUP BY ALL) SELECT window_no, snap_group, test_group, {mean} FROM m GROUP BY ALL"
+        return f"""{ce}, m AS (SELECT run, window_no, snap_group AS "group", avg(ce) AS m FROM ce WHERE snap_group = test_group GROUP BY ALL) SELECT window_no, "group", {mean} FROM m GROUP BY ALL"""
+    if spec.method == "kld":
+        return f"""{sampled}, {_KLD_PAIRS}, k AS ({_kld_select("run, window_no, snap_group, test_group", 12)}) SELECT window_no, snap_group, test_group, {mean.replace("(m)", "(kld)")} FROM k GROUP BY ALL"""
+    return f"""{sampled}, {_KLD_BEFORE}, k AS ({_kld_select("run, window_no, grp", 12)}) SELECT window_no, grp AS "group", {mean.replace("(m)", "(kld)")} FROM k GROUP BY ALL"""
+
+
+#: The texts of the job queries: two parties have the names that the questions ask for.
+_JOB_TEXTS = """jobtexts AS (SELECT texts.* EXCLUDE (party), CASE party WHEN 'AUTOMOBILE' THEN 'Conservative' WHEN 'BUILDING' THEN 'Labour' ELSE party END AS party, ref_stance, constituency_leave FROM texts JOIN s USING (member))"""
+
+
+def job_texts(spark, d) -> DataFrame:
+    named = F.when(F.col("party") == "AUTOMOBILE", "Conservative").when(F.col("party") == "BUILDING", "Labour").otherwise(F.col("party"))
+    return token_texts(spark, d).join(stances(spark, d), "member").withColumn("party", named)
+
+
+def _grid_sql(specs: list[jobs.AceSpec]) -> str:
+    literal = lambda v: "NULL" if v is None else ("true" if v else "false") if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    parts = []
+    for spec in specs:
+        more = [f"'{v}' AS {k}" for k, v in spec.labels.items()] + [f"{literal(v)} AS param_{k}" for k, v in asdict(spec).items() if k not in ("groups", "labels")]
+        parts.append(f"SELECT *, {', '.join(more)} FROM (WITH {_job_sql(spec)})")
+    return f"WITH {TOKENS}, {STANCES}, {_JOB_TEXTS} " + " UNION ALL BY NAME ".join(parts)
+
+
+_JOB = {"window_size": 2000, "window_step": 2000, "runs": 2, "cap": 20}
+_CHUNKS = jobs.AceSpec(groups={"autos": "party = 'AUTOMOBILE'", "buildings": "party = 'BUILDING'"}, balance=True, chunk=2, **_JOB)
+
+
+@query(f"WITH {TOKENS}, {_job_sql(_CHUNKS, 'texts')}")
 def ace_chunks_job(spark, d):
     """The whole job over chunks: groups, windows, repeated balanced splits, cross-entropy, means."""
-    spec = jobs.AceSpec(groups={"autos": "party = 'AUTOMOBILE'", "buildings": "party = 'BUILDING'"}, window_size=2000, window_step=2000, runs=2, cap=20, balance=True, chunk=2)
-    return rounded(jobs.run_ace(token_texts(spark, d), spec), "mean", "std")
+    return rounded(jobs.run_ace(token_texts(spark, d), _CHUNKS), "mean", "std")
 
 
-@query()
+_GRID = [jobs.AceSpec(groups=jobs.QUESTIONS["stance"], labels={"question": "stance"}, reference="Reference", **_JOB, **how) for how in ({"chunk": 2}, {"token_limit": 2})]
+
+
+@query(_grid_sql(_GRID))
 def ace_grid_job(spark, d):
-    """A research question, once over chunks and once over truncated texts: a grid of two specifications."""
-    from .queries import stances
+    """Chunked against truncated texts, with the reference group: a grid of two specifications."""
+    return rounded(jobs.ace_grid(job_texts(spark, d), _GRID), "mean", "std")
+
+
+_QUESTIONS = [jobs.AceSpec(groups=groups, labels={"question": name}, window_size=4000, window_step=2000, runs=2, cap=20, seed=3) for name, groups in jobs.QUESTIONS.items()]
+
+
+@query(_grid_sql(_QUESTIONS))
+def ace_questions_job(spark, d):
+    """Every research question over overlapping windows."""
+    return rounded(jobs.ace_grid(job_texts(spark, d), _QUESTIONS), "mean", "std")
+
+
+_METHODS = [jobs.AceSpec(groups=jobs.QUESTIONS["party"], labels={"question": "party"}, method=m, balance=True, seed=5, **_JOB) for m in ("ce", "ce_fluct", "kld", "kld_fluct")]
+
 
-    texts = token_texts(spark, d).join(stances(spark, d), "member")
-    common = {"window_size": 2000, "window_step": 2000, "runs": 2, "cap": 20}
-    specs = [jobs.AceSpec(groups=jobs.QUESTIONS["stance"], labels={"question": "stance"}, **common, **how) for how in ({"chunk": 2}, {"token_limit": 2})]
-    return rounded(jobs.ace_grid(texts, specs), "mean", "std")
+@query(_grid_sql(_METHODS))
+def ace_methods_job(spark, d):
+    """One question by cross-entropy and divergence, of groups from each other and of windows from the window before."""
+    return rounded(jobs.ace_grid(job_texts(spark, d), _METHODS), "mean", "std")
 
 
 # I: tests. Runs are order statuses, windows are years.
