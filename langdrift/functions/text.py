@@ -90,16 +90,18 @@ def topic_flag(text: Column, section: Column, mention_terms: list[str], section_
     return modes.get(mode.lower(), mentions | sections)
 
 
-TITLE = r"^(?:(?:mr|mrs|ms|miss|dr|sir|dame|lord|lady|baroness|the|rt|hon|right|honourable|professor|prof)\.? )+"
+#: The titles, of which a name may lose one.
+TITLES = r"^(?:[mM]rs?|[mM]s|[dD]ame|[sS]ir|[bB]aron(?:ess)?|[lL]ord|[lL]ady|[dD]r) "
 
 
 def display_name(name: Column) -> Column:
-    """A name without titles."""
-    return F.trim(F.regexp_replace(F.trim(name), "(?i)" + TITLE, ""))
+    """A name without the title it begins with; a second one, or one that isn't listed, stays."""
+    return F.regexp_replace(name, TITLES, "")
 
 
 def is_single_word(name: Column) -> Column:
-    return ~F.trim(name).contains(" ")
+    """Whether a name doesn't begin with two words, as where a title was all that stood before a surname."""
+    return ~name.rlike(r"^\S+ \S")
 
 
 def clean_vote(vote: Column) -> Column:

@@ -78,29 +78,41 @@ def score_bigrams(asked: DataFrame, model: DataFrame, keys: list[str], smoothing
     return j.select(*keys, "w1", "w2", scores.alias("_scores"))
 
 
+def in_one_group(model: DataFrame) -> DataFrame:
+    """A model without groups as that of one group."""
+    return model if "group" in model.columns else model.withColumn("group", F.lit(""))
+
+
 def cross_entropy(tests: DataFrame, model: DataFrame, keys: list[str], text: list[str], smoothing: float = 1.0) -> DataFrame:
     """Minus the mean log2 score of each text's bigrams under every group's model: keys, text, snap_group, ce.
 
-    ``tests``: keys, text, w1, w2, a row for each occurrence; ``model``: keys, group, w1, w2, n.
+    ``tests``: keys, text, w1, w2, and n if a row stands for n occurrences; ``model``: keys, group,
+    w1, w2, n. Without groups there is no snap_group.
     """
-    scored = tests.select(*keys, *text, "w1", "w2").join(score_bigrams(tests, model, keys, smoothing), [*keys, "w1", "w2"])
-    sums = scored.groupBy(*keys, *text).agg(F.collect_list("_scores").alias("_all"), F.count(F.lit(1)).alias("_n")).join(group_sizes(model, keys), keys)
-    total = lambda i: F.aggregate("_all", F.lit(0.0), lambda s, x: s + x[i])
-    each = F.transform("_groups", lambda g, i: F.struct(g["group"].alias("snap_group"), (-total(i) / F.col("_n")).alias("ce")))
-    return sums.select(*keys, *text, F.inline(each))
+    grouped, model = "group" in model.columns, in_one_group(model)
+    weight = F.col("n") if "n" in tests.columns else F.lit(1)
+    tests = tests.select(*keys, *text, "w1", "w2", weight.alias("_n"))
+    scored = tests.join(score_bigrams(tests, model, keys, smoothing), [*keys, "w1", "w2"])
+    sums = scored.groupBy(*keys, *text).agg(F.collect_list(F.struct("_n", "_scores")).alias("_all")).join(group_sizes(model, keys), keys)
+    total = lambda i: F.aggregate("_all", F.lit(0.0), lambda s, x: s + x["_n"] * x["_scores"][i])
+    number = F.aggregate("_all", F.lit(0).cast("long"), lambda s, x: s + x["_n"])
+    each = F.transform("_groups", lambda g, i: F.struct(g["group"].alias("snap_group"), (-total(i) / number).alias("ce")))
+    found = sums.select(*keys, *text, F.inline(each))
+    return found if grouped else found.drop("snap_group")
 
 
 def kl_divergence(q: DataFrame, p: DataFrame, keys: list[str], smoothing: float = 1.0) -> DataFrame:
     """KL(P || Q) of every pair of groups with the same keys: keys, q_group, p_group, kld.
 
     Over the union of both models' bigrams, scores normalised, natural logarithm. ``q``, ``p``:
-    keys, group, w1, w2, n. With normalised scores the divergence is
+    keys, group, w1, w2, n; without groups there are none in the result. With normalised scores the divergence is
     sum(p ln(p / q)) / sum(p) + ln(sum(q) / sum(p)), and all three sums close over second words: a
     bigram that one model lacks scores there by its second word only. So each model's seen
     bigrams are summed by second word, as if the other had none of them; bigrams that both
     have, summed by second word too, correct that. Pairs of groups meet once a word, never once a bigram.
     """
-    mark = lambda df, side: df.select(*keys, F.lit(side).alias("side"), "group", "w1", "w2", "n")
+    grouped = "group" in q.columns
+    mark = lambda df, side: in_one_group(df).select(*keys, F.lit(side).alias("side"), "group", "w1", "w2", "n")
     model, own = mark(q, "q").unionByName(mark(p, "p")), [*keys, "side", "group"]
     contexts = context_counts(model, own)
     seen = model.join(contexts.withColumnRenamed("w", "w1"), [*own, "w1"]).select(*own, "w1", "w2", seen_score(F.col("n"), F.col("ctx"), smoothing).alias("s"))
@@ -128,7 +140,7 @@ def kl_divergence(q: DataFrame, p: DataFrame, keys: list[str], smoothing: float
     # bigrams of P that Q lacks or has, then bigrams of Q that P lacks
     cross = c("p.sln") - (c("p.s") - c("b.s")) * ln_q - c("b.sln") + F.col("bp") * ((c("q.n") - c("b.n")) * ln_p - (c("q.ln") - c("b.ln")))
     sums = rows.groupBy(*keys, "q_group", "p_group").agg(F.sum(sum_q).alias("_sq"), F.sum(sum_p).alias("_sp"), F.sum(cross).alias("_s"))
-    return sums.select(*keys, "q_group", "p_group", (F.col("_s") / F.col("_sp") + F.ln(F.col("_sq") / F.col("_sp"))).alias("kld"))
+    return sums.select(*keys, *(["q_group", "p_group"] if grouped else []), (F.col("_s") / F.col("_sp") + F.ln(F.col("_sq") / F.col("_sp"))).alias("kld"))
 
 
 def occurrences(texts: DataFrame, keep: list[str], tokens: str = "tokens") -> DataFrame:
@@ -184,15 +196,14 @@ def kld_fluctuation(sampled: DataFrame, smoothing: float = 1.0, role: str = "tes
 
 def compare_with_window_before(q: DataFrame, p: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """``kld_fluctuation`` from models (run, window_no, group, w1, w2, n)."""
-    q, p = (df.withColumnRenamed("group", "_own").withColumn("group", F.lit("")) for df in (q.withColumn("window_no", F.col("window_no") + 1), p))
-    found = kl_divergence(q, p, ["run", "window_no", "_own"], smoothing)
-    return found.select("run", "window_no", F.col("_own").alias("group"), "kld")
+    q, p = (df.withColumnRenamed("group", "_own") for df in (q.withColumn("window_no", F.col("window_no") + 1), p))
+    return kl_divergence(q, p, ["run", "window_no", "_own"], smoothing).withColumnRenamed("_own", "group")
 
 
 def snapshot_cross_entropy(tests: DataFrame, snapshots: DataFrame, smoothing: float = 1.0, text: str = "uid", tokens: str = "tokens") -> DataFrame:
     """Cross-entropy of dated texts under the snapshot named in ``snapshot_no`` (see ``windows.snapshot_for``)."""
-    model = train_bigrams(snapshots, ["window_no"], tokens).withColumnRenamed("window_no", "snapshot_no").withColumn("group", F.lit(""))
-    return cross_entropy(occurrences(tests, ["snapshot_no", text], tokens), model, ["snapshot_no"], [text], smoothing).drop("snap_group")
+    model = train_bigrams(snapshots, ["window_no"], tokens).withColumnRenamed("window_no", "snapshot_no")
+    return cross_entropy(occurrences(tests, ["snapshot_no", text], tokens), model, ["snapshot_no"], [text], smoothing)
 
 
 def run_means(ce: DataFrame, by: list[str] = ("snap_group", "test_group")) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import grouped_quantiles
+
 
 def window_numbers(position: Column, size: int, step: int, total: Column) -> Column:
     """The windows that hold a position: start at multiples of ``step``, below ``total - size``."""
@@ -27,21 +29,37 @@ def time_windows(df: DataFrame, size: int, step: int, date: str = "date") -> Dat
     return wide.withColumn("window_start", start).withColumn("window_end", F.date_add(start, size - 1)).drop("_first", "_last")
 
 
-def row_positions(df: DataFrame, date: str = "date", uid: str = "uid", parts: int = 16) -> DataFrame:
-    """``position``: place in the order (date, uid), from 0, and ``_total``.
+def row_positions(df: DataFrame, date: str = "date", uid: str = "uid", part_rows: int = 100_000) -> DataFrame:
+    """``position``: place in the order (date, uid), from 0, and ``_total``; rows that repeat a date and uid come in any order.
 
-    Rows are numbered within (day, range of uid); what stands before such a part comes from
-    a running sum of part sizes, a row for each part. No task sorts all rows.
+    Days with at most ``part_rows`` rows are parts of the order as they are; those with more are
+    cut at ids that are taken from the data (approximate percentiles of the day's different
+    ids), however they cluster. Rows are numbered inside a part, and what stands before it is a
+    running sum over days and over a day's parts; no task sorts more than a part, unless so
+    many rows repeat one id. Rows without a date or uid have no place and are left out.
     """
-    span = F.broadcast(df.agg(F.min(uid).alias("_low"), F.max(uid).alias("_high")))
-    part = F.floor((F.col(uid) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * parts).cast("int")
-    rows = df.crossJoin(span).withColumn("_part", part).drop("_low", "_high")
-    sizes = rows.groupBy(date, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(date, "_part")
-    before = sizes.select(F.col(date).alias("_d"), F.col("_part").alias("_p"), (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
-    within = F.row_number().over(Window.partitionBy(date, "_part").orderBy(uid)) - 1
-    joined = rows.join(before, (F.col(date) == F.col("_d")) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn("position", F.col("_before") + within).drop("_d", "_p", "_part", "_before")
+    rows = df.filter(F.col(date).isNotNull() & F.col(uid).isNotNull())
+    days = rows.groupBy(F.col(date).alias("_d")).agg(F.count(F.lit(1)).alias("_rows"))
+    # a row a day: as many as the calendar has
+    order = Window.orderBy("_d")
+    days = days.withColumn("_upto", F.sum("_rows").over(order)).withColumn("_total", F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    large = days.filter(F.col("_rows") > part_rows).select("_d", "_rows")
+    most = large.agg(F.max("_rows")).first()[0] or 0
+    pieces = max(1, -(-2 * most // part_rows))
+    days = days.withColumn("_cuts", F.array().cast(f"array<{dict(df.dtypes)[uid]}>"))
+    if pieces > 1:
+        ids = rows.select(F.col(date).alias("_d"), F.col(uid).alias("_u")).join(F.broadcast(large.select("_d")), "_d")  # no more days than the calendar has
+        shares = [i / pieces for i in range(1, pieces)]
+        cuts = ids.groupBy("_d").agg(F.percentile_approx("_u", F.lit(shares), max(10_000, 20 * pieces)).alias("_found"))
+        days = days.join(cuts, "_d", "left").withColumn("_cuts", F.coalesce(F.array_sort(F.array_distinct("_found")), "_cuts")).drop("_found")
+    placed = rows.join(F.broadcast(days.select("_d", (F.col("_upto") - F.col("_rows")).alias("_day_before"), "_total", "_cuts")), F.col(date) == F.col("_d"))
+    placed = placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(uid)))).drop("_cuts", "_d")
+    sizes = placed.groupBy(F.col(date).alias("_d"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.groupBy("_d").agg(F.collect_list(F.struct("_p", "_n")).alias("_sizes"))  # as many as a day has parts
+    before = F.aggregate(F.filter("_sizes", lambda s: s["_p"] < F.col("_part")), F.lit(0).cast("long"), lambda n, s: n + s["_n"])
+    numbered = placed.withColumn("_within", F.row_number().over(Window.partitionBy(date, "_part").orderBy(uid)) - 1)
+    joined = numbered.join(sizes, F.col(date) == F.col("_d"))
+    return joined.withColumn("position", F.col("_day_before") + before + F.col("_within")).drop("_d", "_part", "_sizes", "_day_before", "_within")
 
 
 def contribution_windows(df: DataFrame, size: int, step: int, date: str = "date", uid: str = "uid") -> DataFrame:
@@ -70,7 +88,8 @@ def window_sizes(windowed: DataFrame, by: list[str]) -> DataFrame:
 
 def median_per_member(windowed: DataFrame, member: str = "member") -> DataFrame:
     """The median number of rows a member has in each window."""
-    return windowed.groupBy("window_no", member).agg(F.count(F.lit(1)).alias("_n")).groupBy("window_no").agg(F.median("_n").alias("median_rows"))
+    per_member = windowed.groupBy("window_no", member).agg(F.count(F.lit(1)).alias("_n"))
+    return grouped_quantiles(per_member, ["window_no"], "_n", [0.5]).select("window_no", F.col("value").alias("median_rows"))
 
 
 def cumulative(df: DataFrame, by: list[str], words: Column, date: str = "date") -> DataFrame:

@@ -252,9 +252,10 @@ def tokenise(spark, d):
     return rows.select("uid", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
-@query("""SELECT s_suppkey AS member, s_name AS name, position(' ' IN s_name) = 0 AS single FROM supplier""")
+@query("""SELECT member, name, position(' ' IN name) = 0 AS single FROM (SELECT s_suppkey AS member, CASE s_suppkey % 5 WHEN 1 THEN 'Dr. ' WHEN 2 THEN 'Lady ' WHEN 4 THEN 'Rt Hon ' ELSE '' END || s_name AS name FROM supplier)""")
 def display_name(spark, d):
-    s = table(spark, d, "supplier").withColumn("n", F.concat(F.element_at(F.array(F.lit("Mr "), F.lit("Dr. "), F.lit("Rt Hon Sir "), F.lit("")), (F.col("s_suppkey") % 4 + 1).cast("int")), F.col("s_name")))
+    titles = F.array(*map(F.lit, ("Mr ", "Dr. ", "Baroness Lady ", "", "Rt Hon ")))
+    s = table(spark, d, "supplier").withColumn("n", F.concat(F.element_at(titles, (F.col("s_suppkey") % 5 + 1).cast("int")), F.col("s_name")))
     return s.select(F.col("s_suppkey").alias("member"), T.display_name(F.col("n")).alias("name"), T.is_single_word(T.display_name(F.col("n"))).alias("single"))
 
 

@@ -4,12 +4,9 @@ import datetime as dt
 import hashlib
 import math
 import random
-import re
-import unicodedata
 
 import numpy as np
 import pytest
-import regex
 from pyspark.sql import functions as F
 
 from langdrift.functions import tails, text
@@ -238,36 +235,58 @@ def test_few_keys_are_compared(spark):
         assert corpus.similar_keys(own, keys, 85).filter("_s > 85").count() >= 0.9 * n
 
 
-def cleaned_by_hand(t):
-    t = re.sub(r"\d+(\.\d+)*", "NUMBER", t.lower().strip()).replace("\n", " ")
-    t = re.sub(r"([.,!?:;]+)(?=\w)", r"\1 ", t)
-    return re.sub(" +", " ", unicodedata.normalize("NFKD", t))
-
-
-def tokens_by_hand(t):
-    out = []
-    for piece in regex.sub(r"(\p{P})\p{P}*", r"\1 ", cleaned_by_hand(t)).split():
-        for word, other in regex.findall(r"([\p{L}\p{M}\p{N}_]+-?)|(.)", piece):
-            out.append(word or other)
-    return out
+#: Texts, their cleaned form and their tokens, with decomposed letters written as escapes.
+CLEANED = [
+    ("plain, text!! 1,234.5", "plain, text!! NUMBER, NUMBER", "plain , text ! NUMBER , NUMBER"),
+    ("L'\u00e9t\u00e9 \u00e0 N\u00eemes; c\u2019est l'\u0153uvre\u2026", "l'e\u0301te\u0301 a\u0300 ni\u0302mes; c\u2019est l'\u0153uvre...", "l ' e\u0301te\u0301 a\u0300 ni\u0302mes ; c \u2019 est l ' \u0153uvre ."),
+    ("Gr\u00f6\u00dfe: 12 \u00b5m  \ufb01ne \uff46\uff55\uff4c\uff4c", "gro\u0308\u00dfe: NUMBER \u03bcm fine full", "gro\u0308\u00dfe : NUMBER \u03bcm fine full"),
+    ("\u00bfD\u00f3nde est\u00e1\nel A\u00f1o?", "\u00bfdo\u0301nde esta\u0301 el an\u0303o?", "\u00bf do\u0301nde esta\u0301 el an\u0303o ?"),
+    ("\u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8", "\u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8", "\u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8"),
+    ("", "", ""),
+    (None, None, None),
+    ("re-read it's 3.14.15 (so)... _a_b x\r\ny", "re-read it's NUMBER (so)... _a_b x\r y", "re- read it ' s NUMBER ( so ) _ a_ b x y"),
+]
 
 
 def test_all_documents_are_cleaned_and_tokenised(spark, tmp_path):
-    texts_ = {8: "re-read it's 3.14.15 (so)... _a_b x\r\ny", 1: "plain, text!! 1,234.5", 2: "L'été à Nîmes; c’est l'œuvre…", 3: "Größe: 12 µm  ﬁne ｆｕｌｌ", 4: "¿Dónde está\nel Año?", 5: "日本語 テキスト", 6: "", 7: None}
-    spark.createDataFrame(list(texts_.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CLEANED)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
-    want = sorted((i, md5(t if t is None else cleaned_by_hand(t))) for i, t in texts_.items())
-    assert rows(QUERIES["clean_text_all"](spark, str(tmp_path)), "uid", "cleaned") == want
-    want = sorted((i, None if t is None else len(tokens_by_hand(t)), md5(t if t is None else " ".join(tokens_by_hand(t)))) for i, t in texts_.items())
-    assert rows(QUERIES["tokenise_all"](spark, str(tmp_path)), "uid", "n_tokens", "tokens") == want
+    assert rows(QUERIES["clean_text"](spark, str(tmp_path)), "uid", "cleaned") == [(i, md5(c)) for i, (_, c, _) in enumerate(CLEANED)]
+    want = [(i, None if t is None else len(t.split()), md5(t)) for i, (_, _, t) in enumerate(CLEANED)]
+    assert rows(QUERIES["tokenise"](spark, str(tmp_path)), "uid", "n_tokens", "tokens") == want
+
+
+def test_quantiles_of_groups(spark):
+    rng = random.Random(8)
+    data = [("a", float(rng.randint(0, 5))) for _ in range(301)] + [("b", rng.choice([-1e300, 1e300, 0.0, 5e-324])) for _ in range(40)] + [(None, rng.gauss(0, 1) ** 9) for _ in range(1000)] + [("one", 2.5), ("none", None), ("none", float("nan")), ("a", None)]
+    found = statistics.grouped_quantiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v", [0.5, 0.0, 0.9], ranges=4)
+    want = {}
+    for g in ("a", "b", None, "one"):
+        values = sorted(v for k, v in data if k == g and v is not None)
+        for q in (0.5, 0.0, 0.9):
+            at = q * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            want[g, q] = low + (high - low) * (at - math.floor(at))
+    assert {(r["g"], r["quantile"]): r["value"] for r in found.collect()} == pytest.approx(want)
+    assert statistics.exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == []
+
+
+def test_positions_of_one_large_day_with_clustered_ids(spark):
+    ids = [i if i < 900 else 10**12 + 7 * i for i in range(1000)] + [-5]
+    data = [(dt.date(2020, 1, 2), i) for i in ids] + [(dt.date(2020, 1, 1), 10**15), (dt.date(2020, 1, 3), 1), (None, 5), (dt.date(2020, 1, 2), None)]
+    df = spark.createDataFrame(data, "date date, uid long").repartition(3)
+    order = {r: k for k, r in enumerate(sorted(r for r in data if None not in r))}
+    placed = windows.row_positions(df, part_rows=100)
+    assert {(r["date"], r["uid"]): r["position"] for r in placed.collect()} == order and placed.filter("_total <> 1003").isEmpty()
 
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Hello,World!! It's 1,234.5\nno- ﬁne ",), (None,), ("",)], "t string")
     found = [r[0] for r in df.select(text.tokenise(F.col("t"))).collect()]
     assert found[0] == ["hello", ",", "world", "!", "it", "'", "s", "NUMBER", ",", "NUMBER", "no-", "fine"] and found[1] is None and found[2] == []
-    names = spark.createDataFrame([("Sir Ed Miles",), ("Rt Hon Dr. Ann Lee",), ("Cher",)], "n string")
-    assert [r[0] for r in names.select(text.display_name(F.col("n"))).collect()] == ["Ed Miles", "Ann Lee", "Cher"]
+    names = spark.createDataFrame([("Sir Ed Miles",), ("Rt Hon Dr. Ann Lee",), ("Lord Sir Cher",), ("baroness Pickle",), ("Mrs. Dole",), (None,)], "n string")
+    assert [r[0] for r in names.select(text.display_name(F.col("n"))).collect()] == ["Ed Miles", "Rt Hon Dr. Ann Lee", "Sir Cher", "Pickle", "Mrs. Dole", None]
+    assert [r[0] for r in names.select(text.is_single_word(text.display_name(F.col("n")))).collect()] == [False, False, False, True, False, None]
     votes = spark.createDataFrame([("Teller - Ayes",), ("Teller - Noes",), ("",)], "v string")
     assert [r[0] for r in votes.select(text.clean_vote(F.col("v"))).collect()] == ["aye", "no", "did-not-vote"]
     assert df.select(text.ngrams(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 2)).first()[0] == ["a b", "b c"]
