@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_content_token
+from .counts import in_blocks, token_counts
+from .windows import PlacedRows
 
 
-def collocates(df: DataFrame, nodes: list[str], span: int = 5, by: list[str] = (), tokens: str = "tokens") -> DataFrame:
+def collocates(df: DataFrame | PlacedRows, nodes: list[str], span: int = 5, by: list[str] = (), tokens: str = "tokens") -> DataFrame:
     """node, by, word, n: words up to ``span`` tokens left or right of a node word; overlapping spans count twice.
 
     All nodes in one scan; texts without any are left out before they are exploded.
     """
+    if isinstance(df, PlacedRows):
+        keys = in_blocks(by)
+        return df.sums(collocates(df.blocks(), nodes, span, [*keys, "_block", "_windows"], tokens), ["node", *keys, "word"], ["n"]).select("node", *by, "word", "n")
     wanted = F.array(*map(F.lit, nodes))
     rows = df.filter(F.arrays_overlap(F.col(tokens), wanted)).select(*by, F.col(tokens).alias("_t"), F.posexplode(tokens).alias("_i", "node")).filter(F.col("node").isin(nodes))
     left = F.slice("_t", F.greatest(F.col("_i") - span + 1, F.lit(1)), F.least(F.col("_i"), F.lit(span)))
@@ -33,10 +38,10 @@ def coll_lr(n_both: Column, n_node: Column, n_word: Column, total: Column) -> Co
 MEASURES = {"mi": mi, "lr": coll_lr}
 
 
-def score_collocates(df: DataFrame, nodes: list[str], span: int = 5, by: list[str] = (), measure="mi", tokens: str = "tokens") -> DataFrame:
+def score_collocates(df: DataFrame | PlacedRows, nodes: list[str], span: int = 5, by: list[str] = (), measure="mi", tokens: str = "tokens") -> DataFrame:
     """Collocates with counts n, n_node, n_word, total and their score."""
     found = collocates(df, nodes, span, by, tokens)
-    counts = df.select(*by, F.explode(tokens).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n_word"))
+    counts = token_counts(df, list(by), tokens).withColumnRenamed("n", "n_word")
     totals = counts.groupBy(*by).agg(F.sum("n_word").alias("total"))
     node = counts.filter(F.col("word").isin(nodes)).select(*by, F.col("word").alias("node"), F.col("n_word").alias("n_node"))
     j = found.join(counts, [*by, "word"]).join(node, [*by, "node"])
@@ -45,7 +50,7 @@ def score_collocates(df: DataFrame, nodes: list[str], span: int = 5, by: list[st
     return j.withColumn("score", score(*[F.col(c) for c in ("n", "n_node", "n_word", "total")]))
 
 
-def collocates_over_time(windowed: DataFrame, nodes: list[str], span: int = 5, by: list[str] = ("group", "window_no"), measure="mi", least_count: int = 5, least_score: float = 3.0, tokens: str = "tokens", content_only: bool = True) -> DataFrame:
+def collocates_over_time(windowed: DataFrame | PlacedRows, nodes: list[str], span: int = 5, by: list[str] = ("group", "window_no"), measure="mi", least_count: int = 5, least_score: float = 3.0, tokens: str = "tokens", content_only: bool = True) -> DataFrame:
     """Collocates per window: count above ``least_count``, score above ``least_score``, content tokens; value is the count."""
     s = score_collocates(windowed, nodes, span, list(by), measure, tokens).filter((F.col("n") > least_count) & (F.col("score") > least_score))
     if content_only:

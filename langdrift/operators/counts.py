@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FUNCTION_WORDS, ngrams
+from .windows import PlacedRows
 
 
-def token_counts(df: DataFrame, by: list[str] = (), tokens: str = "tokens") -> DataFrame:
+def in_blocks(by: list[str]) -> list[str]:
+    """Keys of windows as those of blocks."""
+    return [c for c in by if c != "window_no"]
+
+
+def token_counts(df: DataFrame | PlacedRows, by: list[str] = (), tokens: str = "tokens") -> DataFrame:
     """by, word, n. Partial sums keep the shuffle at vocabulary size."""
+    if isinstance(df, PlacedRows):
+        keys = in_blocks(by)
+        return df.sums(token_counts(df.blocks(), [*keys, "_block", "_windows"], tokens), [*keys, "word"], ["n"]).select(*by, "word", "n")
     return df.select(*by, F.explode(tokens).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -28,12 +37,20 @@ def ll_of(c1: Column, n1: Column, c2: Column, n2: Column) -> Column:
     return 2 * (part(c1, n1) + part(c2, n2))
 
 
-def paired_counts(df: DataFrame, target: Column, by: list[str] = (), tokens: str = "tokens", reference: Column | None = None) -> DataFrame:
+def paired_counts(df: DataFrame | PlacedRows, target: Column, by: list[str] = (), tokens: str = "tokens", reference: Column | None = None) -> DataFrame:
     """by, word, c1, c2, n1, n2: counts in rows of the target and in the reference (all other rows), in one pass."""
+    if isinstance(df, PlacedRows):
+        keys = in_blocks(by)
+        counts = df.sums(counts_of_pairs(df.blocks(), target, [*keys, "_block", "_windows"], tokens, reference), [*keys, "word"], ["c1", "c2"]).select(*by, "word", "c1", "c2")
+    else:
+        counts = counts_of_pairs(df, target, list(by), tokens, reference)
+    return with_totals(counts, by)
+
+
+def counts_of_pairs(df: DataFrame, target: Column, by: list[str], tokens: str, reference: Column | None) -> DataFrame:
     other = ~target if reference is None else reference
     words = df.select(*by, F.coalesce(target, F.lit(False)).alias("_t"), F.coalesce(other, F.lit(False)).alias("_r"), F.explode(tokens).alias("word")).filter("_t or _r")
-    counts = words.groupBy(*by, "word").agg(F.sum(F.col("_t").cast("long")).alias("c1"), F.sum(F.col("_r").cast("long")).alias("c2"))
-    return with_totals(counts, by)
+    return words.groupBy(*by, "word").agg(F.sum(F.col("_t").cast("long")).alias("c1"), F.sum(F.col("_r").cast("long")).alias("c2"))
 
 
 def with_totals(counts: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -89,19 +106,9 @@ def word_frequencies(windowed: DataFrame, vocabulary: DataFrame, by: list[str] =
 
 
 def block_counts(df: DataFrame, size: int, step: int, by: list[str], position: str = "position", tokens: str = "tokens", total: str = "_total") -> DataFrame:
-    """Counts per overlapping row window without repeating tokens: counted once a step, then summed over size / step blocks.
-
-    ``df`` has the global row ``position`` and ``_total``; ``size`` is a multiple of ``step``.
-    """
-    if size % step:
-        raise ValueError("the window size must be a multiple of the step")
-    n_windows = F.ceil((F.col(total) - size) / step)
-    blocks = df.withColumn("_block", F.floor(F.col(position) / step)).withColumn("_windows", n_windows)
-    counts = blocks.select(*by, "_block", "_windows", F.explode(tokens).alias("word")).groupBy(*by, "_block", "_windows", "word").agg(F.count(F.lit(1)).alias("n"))
-    first = F.greatest(F.col("_block") - (size // step - 1), F.lit(0))
-    last = F.least(F.col("_block"), F.col("_windows") - 1)
-    wide = counts.filter(first <= last).withColumn("window_no", F.explode(F.sequence(first, last)))
-    return wide.groupBy(*by, "window_no", "word").agg(F.sum("n").alias("n"))
+    """Counts per overlapping window of rows with their global ``position``: by, window_no, word, n."""
+    rows = df.withColumn("position", F.col(position)).withColumn("_total", F.col(total))
+    return token_counts(PlacedRows(rows, size, step), [*by, "window_no"], tokens)
 
 
 def window_keywords(windowed: DataFrame, flag: str = "in_subset", by: list[str] = ("group", "window_no"), least_lr: float = 1.0, least_count: int = 10, tokens: str = "tokens") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +77,53 @@ def contribution_windows(df: DataFrame, size: int, step: int, date: str = "date"
     return rows.drop("position").join(starts, "window_no")
 
 
+@dataclass(frozen=True)
+class PlacedRows:
+    """Rows with their place (``position`` of ``_total``: rows or days) and the overlapping windows over them.
+
+    What takes windowed rows and counts in them (``counts.token_counts``, ``paired_counts``,
+    ``collocates``) takes these instead: everything is counted once, not once a window.
+    """
+
+    rows: DataFrame
+    size: int
+    step: int
+
+    def blocks(self) -> DataFrame:
+        """Rows with their block of the common divisor of size and step, and the number of windows."""
+        return self.rows.withColumn("_block", F.floor(F.col("position") / math.gcd(self.size, self.step))).withColumn("_windows", F.greatest(F.ceil((F.col("_total") - self.size) / self.step), F.lit(0)))
+
+    def sums(self, counts: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+        """Counts of blocks (by, _block, _windows, values) as counts of windows: by, window_no, values; no rows of zeros.
+
+        A block's count enters at the first window that has it and leaves after the last: two
+        changes, however much windows overlap. Running sums of the changes are the windows' counts,
+        and stay the same up to the next change.
+        """
+        unit = math.gcd(self.size, self.step)
+        wide, stride = self.size // unit, self.step // unit
+        first = F.greatest(F.ceil((F.col("_block") - wide + 1) / stride), F.lit(0))
+        change = lambda at, sign: F.struct(at.cast("long").alias("window_no"), *[(F.col(v) * sign).alias(v) for v in values])
+        changes = counts.select(*by, "_windows", F.inline(F.array(change(first, 1), change(F.floor(F.col("_block") / stride) + 1, -1)))).filter("window_no < _windows")
+        order = Window.partitionBy(*by).orderBy("window_no")
+        running = changes.select(*by, "_windows", "window_no", F.lead("window_no").over(order).alias("_next"), *[F.sum(v).over(order.rangeBetween(Window.unboundedPreceding, 0)).alias(v) for v in values])
+        some = reduce(lambda a, b: a | b, (F.col(v) != 0 for v in values))
+        runs = running.filter(F.coalesce(F.col("_next") > F.col("window_no"), F.lit(True)) & some)
+        return runs.withColumn("window_no", F.explode(F.sequence("window_no", F.coalesce("_next", "_windows") - 1))).select(*by, "window_no", *values)
+
+
+def placed_rows(df: DataFrame, size: int, step: int, date: str = "date", uid: str = "uid") -> PlacedRows:
+    """``contribution_windows`` without a row for each window."""
+    return PlacedRows(row_positions(df, date, uid), size, step)
+
+
+def placed_days(df: DataFrame, size: int, step: int, date: str = "date") -> PlacedRows:
+    """``time_windows`` without a row for each window."""
+    span = df.agg(F.min(date).alias("_first"), F.max(date).alias("_last"))  # one row
+    rows = df.crossJoin(F.broadcast(span)).withColumn("position", F.datediff(date, "_first")).withColumn("_total", F.datediff("_last", "_first"))
+    return PlacedRows(rows.drop("_first", "_last"), size, step)
+
+
 def window_spans(windowed: DataFrame, date: str = "date") -> DataFrame:
     return windowed.groupBy("window_no").agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count(F.lit(1)).alias("n_rows"))
 

@@ -380,6 +380,23 @@ def top_collocates(spark, d):
     return collocates.top_collocates(over_time(spark, d).withColumn("score", F.round("score", 9))).select("node", "group", "window_no", "word", "rank")
 
 
+_IN_WINDOWS = _OVER.replace(f"""{TOKENS}, ix AS (SELECT uid, year(date) AS window_no, party,""", f"""{TOKENS}, {windows_sql("texts", SIZE, STEP)}, ix AS (SELECT uid, window_no, party,""").replace("FROM texts), co AS", "FROM placed), co AS").replace("ON a.uid = b.uid AND a.i <> b.i", "ON a.uid = b.uid AND a.window_no = b.window_no AND a.i <> b.i")
+
+
+@query(f"""WITH {_IN_WINDOWS} SELECT node, "group", window_no, word, value, round(score, 6) AS score FROM ot""")
+def collocates_in_windows(spark, d):
+    """Collocates in overlapping windows of rows, counted once."""
+    return rounded(collocates.collocates_over_time(windowed(spark, d), NODES, least_count=1, least_score=0.5), "score")
+
+
+@query(f"""WITH {TOKENS}, sp AS (SELECT min(date) AS first, max(date) - min(date) AS days FROM texts), wi AS (SELECT CAST(i AS BIGINT) AS window_no FROM range((SELECT CAST(greatest(ceil((days - 365) / 90), 0) AS BIGINT) FROM sp)) t(i))
+SELECT party AS "group", window_no, word, count(*) AS n FROM (SELECT party, window_no, unnest(tokens) AS word FROM texts, sp JOIN wi ON date - first >= window_no * 90 AND date - first < window_no * 90 + 365) GROUP BY ALL""")
+def day_window_counts(spark, d):
+    """Words in years that begin every 90 days, counted once."""
+    placed = windows.placed_days(token_texts(spark, d).withColumn("group", F.col("party")), 365, 90)
+    return counts.token_counts(placed, ["group", "window_no"])
+
+
 _VECTORS = f"""{TOKENS}, {windows_sql("texts", SIZE, STEP)}, ww AS (SELECT party AS "group", window_no, unnest(tokens) AS word FROM placed), vec AS (SELECT "group", window_no, word, count(*) AS value FROM ww GROUP BY ALL HAVING count(*) > 4), size AS (SELECT "group", count(DISTINCT word) AS size FROM vec GROUP BY 1),
 cells AS (SELECT coalesce(a."group", b."group") AS "group", coalesce(a.window_no, b.window_no) AS window_no, coalesce(a.word, b.word) AS word, coalesce(a.value, 0) AS a, coalesce(b.value, 0) AS b FROM (SELECT "group", window_no + 1 AS window_no, word, value FROM vec) a FULL JOIN vec b ON a."group" = b."group" AND a.window_no = b.window_no AND a.word = b.word),
 c AS (SELECT cells.*, size FROM cells JOIN size ON size."group" = cells."group" WHERE (cells."group", window_no) IN (SELECT ("group", window_no) FROM vec) AND (cells."group", window_no - 1) IN (SELECT ("group", window_no) FROM vec))"""

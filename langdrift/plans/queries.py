@@ -457,8 +457,8 @@ def keyword_vocabulary(spark, d):
     return rounded(counts.keyword_vocabulary(urgent(spark, d), least_lr=0.05), "lr", "ll")
 
 
-def windowed(spark, d) -> DataFrame:
-    return windows.contribution_windows(urgent(spark, d), SIZE, STEP)
+def windowed(spark, d) -> windows.PlacedRows:
+    return windows.placed_rows(urgent(spark, d), SIZE, STEP)
 
 
 _WINDOWED = f"""{TOKENS}, {windows_sql("texts", SIZE, STEP)}, ww AS (SELECT window_no, party, section, unnest(tokens) AS word FROM placed)"""
@@ -527,7 +527,7 @@ def bow_features(spark, d):
 k AS (SELECT *, sum(c1) OVER (PARTITION BY "group", word) AS w, sum(c1) OVER (PARTITION BY "group", cluster) AS n1, sum(c1) OVER (PARTITION BY "group") AS g FROM c), z AS (SELECT *, w - c1 AS c2, g - n1 AS n2 FROM k)
 SELECT "group", cluster, word, c1, CAST(c2 AS BIGINT) AS c2, round({_LR}, 6) AS lr FROM z WHERE n2 > 0 AND c1 > 20 AND w > 20 AND {_LR} > 0.1""")
 def cluster_keywords(spark, d):
-    rows = counts.token_counts(windowed(spark, d).withColumn("cluster", F.floor(F.col("window_no") / 3)), ["group", "cluster"])
+    rows = counts.token_counts(windowed(spark, d), ["group", "window_no"]).groupBy("group", F.floor(F.col("window_no") / 3).alias("cluster"), "word").agg(F.sum("n").alias("n"))
     return rounded(counts.cluster_keywords(rows, 20, 20, 0.1), "lr")
 
 

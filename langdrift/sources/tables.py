@@ -31,9 +31,31 @@ def read_corpus(spark: SparkSession, path: str, names: list[str] = tuple(SCHEMAS
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
-def read_database(spark: SparkSession, url: str, names: list[str] = tuple(SCHEMAS), **options) -> dict[str, DataFrame]:
-    """The tables of an existing database over JDBC (its driver must be on the class path)."""
-    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}
+#: The columns by which the corpus tables of a database are read in parts; all others are read whole.
+DATABASE_KEYS = {"contributions": "uid"}
+
+
+def read_database(spark: SparkSession, url: str, names: list[str] = tuple(SCHEMAS), keys: dict[str, str] = DATABASE_KEYS, partitions: int = 32, predicates: dict[str, list[str]] | None = None, **options) -> dict[str, DataFrame]:
+    """The tables of an existing database over JDBC (its driver must be on the class path).
+
+    A table in ``keys`` is read by ``partitions`` connections, each with a range of its key (a
+    number, date or timestamp) between the least and the greatest that the database has; null
+    keys are in the first. Where keys cluster, ``predicates`` of a table can name its parts
+    instead: conditions of which every row meets exactly one.
+    """
+    read = lambda what, **more: spark.read.format("jdbc").options(url=url, dbtable=what, **options, **more)
+
+    def one(name: str) -> DataFrame:
+        if name in (predicates or {}):
+            return spark.read.jdbc(url, name, predicates=predicates[name], properties=options)
+        if name not in keys:
+            return read(name).load()
+        low, high = read(f"(SELECT MIN({keys[name]}) AS low, MAX({keys[name]}) AS high FROM {name}) bounds").load().first()
+        if low is None or low == high:
+            return read(name).load()
+        return read(name, partitionColumn=keys[name], lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions)).load()
+
+    return {n: one(n) for n in names}
 
 
 def read_debates(spark: SparkSession, path: str) -> DataFrame:

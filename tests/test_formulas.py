@@ -92,6 +92,18 @@ def test_overlapping_windows_count_once_a_block(spark):
     assert rows(fast, "window_no", "word", "n") == rows(slow, "window_no", "word", "n")
 
 
+@pytest.mark.parametrize("size, step", [(6, 2), (7, 3), (4, 5), (5, 1), (3, 3), (22, 4), (23, 1)])
+def test_counts_of_windows_equal_counts_in_windows(spark, size, step):
+    rng = random.Random(size * 10 + step)
+    data = [(i, dt.date(2020, 1, 1) + dt.timedelta(days=rng.choice([0, 1, 1, 2, 9, 14, 25])), rng.choice("gh"), rng.random() < 0.5, [rng.choice("abc") for _ in range(rng.randrange(5))]) for i in range(23)]
+    df = spark.createDataFrame(data, "uid long, date date, group string, in_subset boolean, tokens array<string>")
+    by = ["group", "window_no"]
+    for wide, placed in ((windows.contribution_windows(df, size, step), windows.placed_rows(df, size, step)), (windows.time_windows(df, size, step), windows.placed_days(df, size, step))):
+        assert rows(counts.token_counts(placed, by), *by, "word", "n") == rows(counts.token_counts(wide, by), *by, "word", "n")
+        assert rows(counts.paired_counts(placed, F.col("in_subset"), by), *by, "word", "c1", "c2", "n1", "n2") == rows(counts.paired_counts(wide, F.col("in_subset"), by), *by, "word", "c1", "c2", "n1", "n2")
+        assert rows(collocates.collocates(placed, ["a"], 2, by), *by, "word", "n") == rows(collocates.collocates(wide, ["a"], 2, by), *by, "word", "n")
+
+
 def vector(spark, *cells):
     return spark.createDataFrame([("g", w, x, float(v)) for w, x, v in cells], "group string, window_no int, word string, value double")
 

@@ -139,3 +139,21 @@ def test_round_trips(spark, tmp_path):
     contributions = spark.createDataFrame([(1, dt.date(2020, 1, 1)), (2, dt.date(2020, 2, 1))], "uid long, date date")
     tables.write_corpus({"contributions": contributions}, str(tmp_path / "corpus"))
     assert tables.read_corpus(spark, str(tmp_path / "corpus"), ["contributions"])["contributions"].filter(F.col("month") == "2020-02").count() == 1
+
+
+def test_database_in_parts(spark):
+    url = "jdbc:derby:memory:corpus;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    contributions = spark.createDataFrame([(i if i % 50 else None, i % 7, f"text {i}") for i in range(1, 400)], "UID long, MEMBER long, BODY string")
+    members = spark.createDataFrame([(i, f"m{i}") for i in range(7)], "PIMS_ID long, NAME string")
+    for name, df in (("contributions", contributions), ("members", members)):
+        df.coalesce(1).write.jdbc(url, name, properties=options)
+    found = tables.read_database(spark, url, ["contributions", "members"], partitions=5, **options)
+    assert found["contributions"].rdd.getNumPartitions() == 5 and found["members"].rdd.getNumPartitions() == 1
+    for name, df in (("contributions", contributions), ("members", members)):
+        assert sorted(map(str, found[name].collect())) == sorted(map(str, df.collect()))
+    parts = tables.read_database(spark, url, ["contributions"], predicates={"contributions": ["MEMBER < 3", "MEMBER >= 3"]}, **options)["contributions"]
+    assert parts.rdd.getNumPartitions() == 2 and sorted(map(str, parts.collect())) == sorted(map(str, contributions.collect()))
+    empty = spark.createDataFrame([], contributions.schema)
+    empty.write.jdbc(url, "nothing", properties=options)
+    assert tables.read_database(spark, url, ["nothing"], {"nothing": "UID"}, **options)["nothing"].isEmpty()
