@@ -1,9 +1,8 @@
 """Token ids of whole texts with a tokenizer file of the ``tokenizers`` library.
 
-Texts repeat their words, and neither the normaliser nor the pre-tokeniser of a
-word-level BPE looks beyond the pieces it splits a text into, so ids are looked up
-piece by piece in a bounded cache of the Python worker and only unseen pieces go to
-the library.
+Texts repeat their words, and neither the normaliser nor the pre-tokeniser of the BPE files
+here looks beyond the words of a plain text, so ids are looked up word by word in a bounded
+cache of the Python worker and only unseen words go to the library.
 """
 
 from __future__ import annotations
@@ -14,8 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Texts of these characters are split here as the tokenizer file's own pattern splits them; of others, words go to the library.
-PLAIN_TEXT = re.compile(r"[ \t\r\n!-~À-ÖØ-öø-ÿ]*")
+#: Plain texts are split here as the tokenizer file's own pattern splits them; of others, words go to the library.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\r\na-zß-öø-ÿ0-9]+")
 #: The normaliser and pre-tokeniser for which the above holds, as the library writes them.
 NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -26,77 +24,9 @@ PRE_TOKENISER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: Unseen pieces given to the library in one call.
-PIECES_A_CALL = 500
-
-
-class WordCachedTokenizer:
-    """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
-
-    The cache serves tokenizer files that normalise and split as above
-    (``word_bpe_49k.json``); with any other file whole texts go to the library.
-    ``pieces`` and ``words`` bound the caches of pieces and of words with other
-    characters, which are emptied when full.
-    """
-
-    def __init__(self, path: str, pieces: int = 600_000, words: int = 100_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        found = json.loads(self.tokenizer.to_str())
-        self.by_piece = (found["normalizer"], found["pre_tokenizer"], found["model"]["type"]) == (NORMALISER, PRE_TOKENISER, "BPE")
-        self.piece_limit, self.word_limit = pieces, words
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), PIECES_A_CALL):
-            part = new[at : at + PIECES_A_CALL]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            word = np.array(found.word_ids, np.int64)
-            ends = np.searchsorted(word, np.arange(len(part)), "right") * 4
-            if len(word) and word[-1] == len(part) - 1:
-                raw, begins = np.array(found.ids, "<u4").tobytes(), [0, *ends[:-1].tolist()]
-                self.pieces.update(zip(part, [raw[a:b] for a, b in zip(begins, ends.tolist())]))
-            else:
-                self.pieces.update((x, self._encode(x)) for x in part)
-
-    def _by_words(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(self.words) > self.word_limit:
-            self.words = {"": b""}
-        for w in set(words) - self.words.keys():
-            self.words[w] = self._encode(w)
-        return b"".join(map(self.words.__getitem__, words))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
-        if not self.by_piece:
-            return [self._encode(t or "") for t in texts]
-        split = [PIECE.findall(t.lower()) if PLAIN_TEXT.fullmatch(t) and "<|" not in t else None for t in (t or "" for t in texts)]
-        if len(self.pieces) > self.piece_limit:
-            self.pieces = {}
-        if new := set().union(*filter(None, split)) - self.pieces.keys():
-            self._learn(list(new))
-        get = self.pieces.__getitem__
-        return [self._by_words(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split)]
-
-
-@lru_cache(maxsize=2)
-def cached_tokenizer(path: str) -> WordCachedTokenizer:
-    """One tokenizer a Python worker."""
-    return WordCachedTokenizer(path)
-
-
-#: Texts of these characters, with single spaces between words, are split at the spaces; others go to the library whole.
-BYTE_PLAIN = "^[\\t\\n\\r -~À-ÖØ-öø-ÿ]*$"
-BYTE_ODD = "  | [\\t\\n\\r]| $|<\\|"
-#: The file's own pre-tokeniser, and its pattern for the characters above.
-BYTE_PRE_TOKENISER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t\n\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+#: Texts of these characters, as Arrow's pattern.
+WORD_PLAIN = "^[ \\t\\r\\n!-~À-ÖØ-öø-ÿ]*$"
+WORD_ODD = "<\\|"
 
 
 def byte_letters() -> dict[int, int]:
@@ -106,59 +36,59 @@ def byte_letters() -> dict[int, int]:
     return {b: b if b in visible else next(others) for b in range(256)}
 
 
-class ByteCachedTokenizer:
-    """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``, for byte-level BPE files.
+class CachedWords:
+    """Ids of texts by looking their words up: what stands between two spaces, whose ids don't depend on the rest.
 
-    A space before a visible character always begins a piece and no piece depends on what
-    stands beyond its ends, so plain texts are cut at their spaces. Arrow finds the distinct
-    words of many texts; each is looked up once in a bounded cache of the Python worker, and
-    only unseen ones go to the library's BPE model. With files that normalise or split in
-    another way, and for other texts, whole texts go to the library.
+    Arrow finds the distinct words of many texts; each is looked up once in a bounded cache of
+    the Python worker, and only unseen ones go to the library's BPE model, piece by piece
+    (``pieces_of``). The cache is emptied when it holds more than ``words``.
     """
 
-    def __init__(self, path: str, words: int = 1_000_000):
+    #: Put before a text, so that its first word is told from others.
+    first = ""
+
+    def __init__(self, path: str, words: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        found = json.loads(self.tokenizer.to_str())
-        self.by_word = (found["normalizer"], found["pre_tokenizer"], found["model"]["type"]) == (None, BYTE_PRE_TOKENISER, "BPE")
+        self.file = json.loads(self.tokenizer.to_str())
         self.model, self.letters, self.limit = self.tokenizer.model, byte_letters(), words
-        self.space = chr(self.letters[32])
         self._forget()
 
+    def pieces_of(self, word: str) -> list[str]:
+        raise NotImplementedError
+
     def _forget(self) -> None:
         """Empties the cache: word to number, and each number's ids in one array."""
-        self.words: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.flat, self.begins = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def _encode(self, text: str) -> np.ndarray:
+    def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of words after a space, or after NUL, which marks a text's first word."""
-        tokenize, ids, ends = self.model.tokenize, [], []
+        tokenize, letters, ids, ends = self.model.tokenize, self.letters, [], []
         for word in new:
-            if word.isascii() and word.isalpha():
-                ids += [t.id for t in tokenize(self.space + word)]
-            else:
-                for piece in BYTE_PIECE.findall(word[1:] if word.startswith("\0") else " " + word):
-                    ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            for piece in self.pieces_of(word):
+                ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
             ends.append(len(ids))
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.begins = np.concatenate([self.begins, self.begins[-1] + np.array(ends, np.int64)])
         self.flat = np.concatenate([self.flat, np.array(ids, "<u4")])
 
-    def _plain(self, texts) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of an Arrow array of large strings without nulls."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        empty = pa.scalar("", pa.large_string())
-        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), texts, empty), " ")
+        if self.first:
+            texts = pc.binary_join_element_wise(pa.scalar(self.first, pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        cut = pc.split_pattern(texts, " ")
         coded = cut.values.dictionary_encode()
         asked = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.words) > self.limit:
+        if len(self.known) > self.limit:
             self._forget()
-        known = self.words
+        known = self.known
         if new := [w for w in asked if w not in known]:
             self._learn(new)
         number = np.fromiter(map(known.__getitem__, asked), np.int64, len(asked))[coded.indices.to_numpy(zero_copy_only=False)]
@@ -169,6 +99,83 @@ class ByteCachedTokenizer:
         at += np.arange(len(at))
         return self.flat[at], np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
 
+
+class WordCachedTokenizer(CachedWords):
+    """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
+
+    The cache serves tokenizer files that normalise and split as above
+    (``word_bpe_49k.json``); with any other file whole texts go to the library. Texts with
+    other characters go there word by word, through a cache of their own.
+    """
+
+    def __init__(self, path: str, pieces: int = 1_000_000, words: int = 100_000):
+        super().__init__(path, pieces)
+        self.by_piece = (self.file["normalizer"], self.file["pre_tokenizer"], self.file["model"]["type"]) == (NORMALISER, PRE_TOKENISER, "BPE")
+        self.word_limit = words
+        self.words: dict[str, bytes] = {"": b""}
+
+    def pieces_of(self, word: str) -> list[str]:
+        word = word.lower()
+        return [word] if word.isascii() and word.isalpha() else PIECE.findall(word)
+
+    def _by_words(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        if len(self.words) > self.word_limit:
+            self.words = {"": b""}
+        for w in set(words) - self.words.keys():
+            self.words[w] = self._library(w).tobytes()
+        return b"".join(map(self.words.__getitem__, words))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.by_piece:
+            return [self._library(t or "").tobytes() for t in texts]
+        array = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        plain = pc.and_not(pc.match_substring_regex(array, WORD_PLAIN), pc.match_substring_regex(array, WORD_ODD))
+        found = iter(())
+        if pc.any(plain).as_py():
+            ids, offsets = self.look_up(array.filter(plain))
+            raw, ends = ids.tobytes(), (offsets * 4).tolist()
+            found = (raw[a:b] for a, b in zip(ends, ends[1:]))
+        return [next(found) if is_plain else self._by_words(t) for t, is_plain in zip(texts, plain.to_pylist())]
+
+
+@lru_cache(maxsize=2)
+def cached_tokenizer(path: str) -> WordCachedTokenizer:
+    """One tokenizer a Python worker."""
+    return WordCachedTokenizer(path)
+
+
+#: Texts of these characters, with single spaces between words, are split at the spaces; others go to the library whole.
+BYTE_PLAIN = "^[\\t\\n\\r -~À-ÖØ-öø-ÿ]*$"
+BYTE_ODD = "  | [\\t\\n\\r]| $|<\\|"
+#: The file's own pre-tokeniser, and its pattern for the characters above.
+BYTE_PRE_TOKENISER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t\n\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+
+
+class ByteCachedTokenizer(CachedWords):
+    """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``, for byte-level BPE files.
+
+    A space before a visible character always begins a piece and no piece depends on what
+    stands beyond its ends, so plain texts are cut at their spaces. With files that
+    normalise or split in another way, and for other texts, whole texts go to the library.
+    """
+
+    first = "\0"
+
+    def __init__(self, path: str, words: int = 1_000_000):
+        super().__init__(path, words)
+        self.by_word = (self.file["normalizer"], self.file["pre_tokenizer"], self.file["model"]["type"]) == (None, BYTE_PRE_TOKENISER, "BPE")
+
+    def pieces_of(self, word: str) -> list[str]:
+        if word.isascii() and word.isalpha():
+            return [f" {word}"]
+        return BYTE_PIECE.findall(word[1:] if word.startswith(self.first) else f" {word}")
+
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of an Arrow array of texts: those of text i are ``ids[offsets[i] : offsets[i + 1]]``; null is empty."""
         import pyarrow as pa
@@ -178,11 +185,11 @@ class ByteCachedTokenizer:
         plain = pc.and_not(pc.match_substring_regex(texts, BYTE_PLAIN), pc.match_substring_regex(texts, BYTE_ODD)).to_numpy(zero_copy_only=False).astype(bool)
         plain &= self.by_word
         if plain.all() and len(texts):
-            return self._plain(texts)
-        ids, offsets = self._plain(texts.filter(pa.array(plain))) if plain.any() else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+            return self.look_up(texts)
+        ids, offsets = self.look_up(texts.filter(pa.array(plain))) if plain.any() else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
         place, parts = 0, []
         for text, is_plain in zip(texts.to_pylist(), plain.tolist()):
-            parts.append(ids[offsets[place] : offsets[place + 1]] if is_plain else self._encode(text))
+            parts.append(ids[offsets[place] : offsets[place + 1]] if is_plain else self._library(text))
             place += is_plain
         return np.concatenate(parts or [ids]), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
 
@@ -193,7 +200,7 @@ def cached_byte_tokenizer(path: str) -> ByteCachedTokenizer:
     return ByteCachedTokenizer(path)
 
 
-def by_size(texts: list, limit: int = 500_000):
+def by_size(texts: list, limit: int = 8_000_000):
     """Slices of ``texts`` with about ``limit`` characters each."""
     at, n = 0, 0
     for i, t in enumerate(texts):
