@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -13,9 +15,17 @@ from pyspark.sql import functions as F
 
 FILE_NAME = re.compile(r"CHAN\d+\.xml")
 FILES = "archive string, folder_date date, file string, content binary"
+#: A member of an archive: where its packed bytes are, or these bytes.
+MEMBERS = "archive string, folder_date date, path string, file string, method int, at long, size long, packed binary"
+STORED, DEFLATED = zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED
 
 
-def xml_members(data: bytes, depth: int = 4) -> Iterator[tuple[str, bytes]]:
+def wanted(name: str) -> bool:
+    """Transcript files, and archives that may hold some."""
+    return name.lower().endswith(".zip") or FILE_NAME.fullmatch(name) is not None
+
+
+def xml_members(data: bytes, depth: int = 3) -> Iterator[tuple[str, bytes]]:
     """(name, content) of the transcript files in a zip and the zips inside it, one at a time."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
@@ -26,22 +36,92 @@ def xml_members(data: bytes, depth: int = 4) -> Iterator[tuple[str, bytes]]:
                 yield name, z.read(info)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript files in zip archives: archive (its name), folder_date (a date in the path or null), file, content."""
+def directory(archive) -> Iterator[tuple[str, int, int, int]]:
+    """(name, method, place of the packed bytes, their number) of the wanted members of an open zip, from its directory and their headers alone."""
+    with zipfile.ZipFile(archive) as z:
+        for info in z.infolist():
+            name = info.filename.rpartition("/")[2]
+            if not info.is_dir() and wanted(name):
+                if info.flag_bits & 1 or info.compress_type not in (STORED, DEFLATED):
+                    raise ValueError(f"{info.filename} is encrypted or packed by a method other than deflate")
+                archive.seek(info.header_offset + 26)
+                name_size, extra_size = struct.unpack("<HH", archive.read(4))
+                yield name, info.compress_type, info.header_offset + 30 + name_size + extra_size, info.compress_size
+
+
+def readable_by_range(path: str) -> bool:
+    """Whether tasks can open files of ``path`` themselves, and so read parts of them."""
+    from pyarrow import fs
+
+    try:
+        system, inside = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        return system.get_file_info(inside).type != fs.FileType.NotFound
+    except (ValueError, OSError, NotImplementedError):
+        return False
+
+
+def open_file(path: str):
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+    file = system.open_input_file(inside)
+    # in tiny archives zipfile seeks before the start, for which it expects another error than Arrow's files raise
+    return io.BytesIO(file.read()) if file.size() < 1024 else file
+
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """The wanted members of all zip archives below ``path``, from their directories.
+
+    Where tasks can open the files, nothing but directories is read, and a member is a place
+    in a file; in other stores Spark's reader brings each archive (2 GB at most) and members
+    are cut out of it, still packed.
+    """
+    by_range = readable_by_range(path)
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     date = F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})", 1)
-    rows = zips.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("archive"), F.to_date(F.try_to_timestamp(F.nullif(date, F.lit("")), F.lit("yyyy-MM-dd"))).alias("folder_date"), "content")
+    rows = zips.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("archive"), F.to_date(F.try_to_timestamp(F.nullif(date, F.lit("")), F.lit("yyyy-MM-dd"))).alias("folder_date"), "path", *([] if by_range else ["content"]))
 
-    def unzip(batches):
+    def listed(batches):
         import pyarrow as pa
 
-        types = pa.schema([("archive", pa.string()), ("folder_date", pa.date32()), ("file", pa.string()), ("content", pa.binary())])
+        types = pa.schema([("archive", pa.string()), ("folder_date", pa.date32()), ("path", pa.string()), ("file", pa.string()), ("method", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("packed", pa.binary())])
         for batch in batches:
             for r in batch.to_pylist():
-                for name, content in xml_members(r["content"]):
-                    yield pa.RecordBatch.from_pylist([{"archive": r["archive"], "folder_date": r["folder_date"], "file": name, "content": content}], types)
+                with open_file(r["path"]) if by_range else io.BytesIO(r["content"]) as archive:
+                    for name, method, at, size in directory(archive):
+                        packed = None if by_range else r["content"][at : at + size]
+                        yield pa.RecordBatch.from_pylist([{"archive": r["archive"], "folder_date": r["folder_date"], "path": r["path"], "file": name, "method": method, "at": at, "size": size, "packed": packed}], types)
+
+    return rows.mapInArrow(listed, MEMBERS)
 
-    return rows.mapInArrow(unzip, FILES)
+
+def read_archives(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Transcript files in zip archives and the archives inside them: archive (its name), folder_date (a date in the path or null), file, content.
+
+    Members are dealt out to ``partitions`` tasks (the session's shuffle partitions), whichever
+    archive they are in; each task fetches its own, one at a time. An archive inside an
+    archive is one member.
+    """
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = archive_members(spark, path).repartition(n, "path", "at")
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        types = pa.schema([("archive", pa.string()), ("folder_date", pa.date32()), ("file", pa.string()), ("content", pa.binary())])
+        for batch in batches:
+            for r in batch.to_pylist():
+                packed = r["packed"]
+                if packed is None:
+                    with open_file(r["path"]) as archive:
+                        archive.seek(r["at"])
+                        packed = archive.read(r["size"])
+                content = zlib.decompress(packed, -zlib.MAX_WBITS) if r["method"] == DEFLATED else packed
+                inside = xml_members(content) if r["file"].lower().endswith(".zip") else [(r["file"], content)]
+                for name, data in inside:
+                    yield pa.RecordBatch.from_pylist([{"archive": r["archive"], "folder_date": r["folder_date"], "file": name, "content": data}], types)
+
+    return members.mapInArrow(unpack, FILES)
 
 
 ELEMENTS = "archive string, file string, fragment_date string, pos int, tag string, uid string, text string, member_name string, member_id long, member_mnis long, member_xid string, contribution_type string, question_text string"

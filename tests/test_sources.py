@@ -157,3 +157,35 @@ def test_database_in_parts(spark):
     empty = spark.createDataFrame([], contributions.schema)
     empty.write.jdbc(url, "nothing", properties=options)
     assert tables.read_database(spark, url, ["nothing"], {"nothing": "UID"}, **options)["nothing"].isEmpty()
+
+
+def many_members(folder, n):
+    inner = zipped(**{f"CHAN{1000 + i}__xml": XML for i in range(5)})
+    with zipfile.ZipFile(folder / "many.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(n):
+            z.writestr(f"some/folder/CHAN{i}.xml", XML + " " * i, zipfile.ZIP_STORED if i % 3 == 0 else zipfile.ZIP_DEFLATED)
+        z.writestr("inner.zip", inner)
+        z.writestr("other.txt", "x" * 100_000)
+
+
+def test_members_of_one_archive_are_spread(spark, tmp_path):
+    many_members(tmp_path, 40)
+    (tmp_path / "empty.zip").write_bytes(zipped())
+    found = transcripts.read_archives(spark, str(tmp_path), partitions=8)
+    got = {r["file"]: bytes(r["content"]) for r in found.collect()}
+    assert got == {f"CHAN{i}.xml": (XML + " " * i).encode() for i in range(40)} | {f"CHAN{1000 + i}.xml": XML.encode() for i in range(5)}
+    assert found.select(F.spark_partition_id()).distinct().count() > 4
+    assert transcripts.archive_members(spark, str(tmp_path)).filter("packed is not null or size > 5000").isEmpty()
+
+
+def test_archives_in_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    many_members(tmp_path, 6)
+    monkeypatch.setattr(transcripts, "readable_by_range", lambda path: False)
+    found = transcripts.read_archives(spark, str(tmp_path), partitions=3)
+    assert sorted(r["file"] for r in found.collect()) == sorted([f"CHAN{i}.xml" for i in range(6)] + [f"CHAN{1000 + i}.xml" for i in range(5)])
+    assert transcripts.archive_members(spark, str(tmp_path)).filter("packed is null").isEmpty()
+
+
+def test_which_stores_tasks_can_open(tmp_path):
+    assert transcripts.readable_by_range(str(tmp_path)) and transcripts.readable_by_range(f"file://{tmp_path}")
+    assert not transcripts.readable_by_range("viewfs://store/in") and not transcripts.readable_by_range(str(tmp_path / "nowhere"))
