@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from langdrift.functions import tails, text
-from langdrift.operators import clusters, collocates, corpus, counts, models, sampling, significance, statistics, windows
+from langdrift.operators import clusters, collocates, corpus, counts, models, sampling, significance, statistics, vectors, windows
 from langdrift.plans.queries import QUERIES
 
 
@@ -104,6 +104,30 @@ def test_counts_of_windows_equal_counts_in_windows(spark, size, step):
         assert rows(collocates.collocates(placed, ["a"], 2, by), *by, "word", "n") == rows(collocates.collocates(wide, ["a"], 2, by), *by, "word", "n")
 
 
+@pytest.mark.parametrize("cosine", [False, True])
+def test_neighbours_by_falling_norm(spark, cosine):
+    rng = np.random.default_rng(5)
+    words = [(s, i, (rng.integers(-3, 4, 4) * rng.choice([0.01, 0.1, 1, 20])).tolist()) for s in "ab" for i in range(160)] + [("a", 900, [0.0] * 4)]
+    odd = [("a", 901, None), ("a", 902, [1.0, None, 1.0, 1.0]), ("b", 903, [float("nan")] * 4), ("b", 904, [5.0] * 3), ("a", 905, [])]
+    df = spark.createDataFrame(words + odd, "slice string, word long, vector array<double>").repartition(3)
+    asked = df.filter("word % 20 = 0").withColumnRenamed("word", "query")
+    found = vectors.neighbours(df, asked, 5, cosine, keys=["slice"], word_block=16, query_block=3).collect()
+    want = []
+    for s, q, v in [w for w in words if w[1] % 20 == 0]:
+        scores = []
+        for o, w, x in words:
+            a, b = np.array(v), np.array(x)
+            if cosine:
+                if not a.any() or not b.any():
+                    continue
+                a, b = a / np.sqrt((a * a).sum()), b / np.sqrt((b * b).sum())
+            if o == s and w != q and a @ b > 1e-12:
+                scores.append((-round(float(a @ b), 9), w))
+        want += [(s, q, -x) for x, _ in sorted(scores)[:5]]
+    got = sorted((r["slice"], r["query"], round(r["score"], 9)) for r in found if r["score"] > 1e-12)
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)])
+
+
 def vector(spark, *cells):
     return spark.createDataFrame([("g", w, x, float(v)) for w, x, v in cells], "group string, window_no int, word string, value double")
 
