@@ -521,6 +521,13 @@ def word2vec_groups_all(spark, d):
     return party_vectors(spark, d).select("party", "word", "n", F.size("vector").alias("dims"))
 
 
+@query(f"WITH {_VOCABULARY} SELECT party, word, n, 16 AS dims FROM vo")
+def count_vectors_groups(spark, d):
+    """Vectors of every party's words by co-occurrence counts, all parties in one pass."""
+    found = vectors.train_count_vectors(token_texts(spark, d), "party", size=16, min_count=2)
+    return found.select("party", "word", "n", F.size("vector").alias("dims"))
+
+
 # L: clusters
 
 

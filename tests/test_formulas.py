@@ -128,6 +128,51 @@ def test_neighbours_by_falling_norm(spark, cosine):
     assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)])
 
 
+def count_texts(rng, pair):
+    """Texts in which the two words of ``pair`` stand in the same contexts, and other words in theirs."""
+    topics = [[f"t{k}w{j}" for j in range(6)] for k in range(5)]
+    out = []
+    for i in range(400):
+        own = rng.choices(topics[i % 5], k=8)
+        if i % 5 == 0:
+            own[rng.randrange(8)] = pair[i // 5 % 2]
+        out.append(own)
+    return out
+
+
+def test_count_vectors_find_planted_synonyms_in_each_slice(spark):
+    rng = random.Random(3)
+    planted = {"x": ("rise", "growth"), "y": ("rise", "fall")}
+    data = [(s, t) for s, pair in planted.items() for t in count_texts(rng, pair)] + [(None, ["rise"] * 9), ("z", ["lone", "lone", None]), ("z", None)]
+    df = spark.createDataFrame(data, "slice string, tokens array<string>")
+    found = {(r["slice"], r["word"]): (r["n"], np.array(r["vector"])) for r in vectors.train_count_vectors(df, "slice", size=6, min_count=2, extra=4, bucket=10).collect()}
+    want = {}
+    for s, t in data:
+        for w in t or []:
+            if s and w:
+                want[s, w] = want.get((s, w), 0) + 1
+    assert {k: n for k, (n, _) in found.items()} == {k: n for k, n in want.items() if n >= 2}
+    for s, (a, b) in planted.items():
+        unit = {w: v / np.linalg.norm(v) for (o, w), (_, v) in found.items() if o == s and v.any()}
+        best = sorted(unit, key=lambda w: -float(unit[a] @ unit[w]))
+        assert b in best[1:3] and all(w.startswith("t0") or w in (a, b) for w in best[:7])
+
+
+def test_count_vectors_factor_the_matrix(spark):
+    """With as many dimensions as words, vectors give the matrix of absolute eigenvalues."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([("s", rng.choices("abcdefg", weights=[9, 5, 4, 3, 2, 2, 1], k=7)) for _ in range(60)], "slice string, tokens array<string>")
+    vocabulary = counts.token_counts(df, ["slice"])
+    m = np.zeros((7, 7))
+    for r in vectors.shifted_pmi(df, "slice", vocabulary, span=2).collect():
+        m["abcdefg".index(r["w"]), "abcdefg".index(r["c"])] = r["m"]
+    assert np.allclose(m, m.T) and m.any()
+    found = {r["word"]: r["vector"] for r in vectors.train_count_vectors(df, "slice", size=7, span=2, min_count=1, extra=0).collect()}
+    x = np.array([found[w] for w in "abcdefg"])
+    values, basis = np.linalg.eigh(m)
+    assert np.allclose(x @ x.T, basis @ np.diag(np.abs(values)) @ basis.T, atol=1e-6)
+
+
 def vector(spark, *cells):
     return spark.createDataFrame([("g", w, x, float(v)) for w, x, v in cells], "group string, window_no int, word string, value double")
 
