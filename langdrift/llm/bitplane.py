@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, open_fs, partitions, written
+from .common import give_back, new_path, open_fs, partitions, written
 from .token_ids import by_size, cached_tokenizer
 
 MAGIC = b"IDPLANE1"
@@ -213,6 +213,7 @@ def write_token_files(
         if made:
             names = ["file", "part", "file_no", "part_start", "n_docs", "n_ids", "n_bytes"]
             yield pa.RecordBatch.from_pylist([dict(zip(names, m)) for m in made])
+        give_back()
 
     schema = "file string, part long, file_no long, part_start long, n_docs long, n_ids long, n_bytes long"
     return written(rows.mapInArrow(write, schema), "id-files")

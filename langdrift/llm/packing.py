@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 from .token_ids import by_size, cached_tokenizer
 
 END_ID = 1
@@ -138,6 +138,7 @@ def pack_documents(
                     yield made([r for b in closed for r in held.pop(b)], False)
         if held:
             yield made([r for own in held.values() for r in own], True)
+        give_back()
 
     schema = PIECES + ", ids binary" * with_ids
     level = written(rows.mapInArrow(pack, schema), "packed")

@@ -108,7 +108,7 @@ class WordCachedTokenizer(CachedWords):
     other characters go there word by word, through a cache of their own.
     """
 
-    def __init__(self, path: str, pieces: int = 1_000_000, words: int = 100_000):
+    def __init__(self, path: str, pieces: int = 500_000, words: int = 100_000):
         super().__init__(path, pieces)
         self.by_piece = (self.file["normalizer"], self.file["pre_tokenizer"], self.file["model"]["type"]) == (NORMALISER, PRE_TOKENISER, "BPE")
         self.word_limit = words
