@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+#: What this driver's operators have written and not yet dropped.
+_written: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -20,7 +22,20 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own_dir.append(tempfile.mkdtemp(prefix="langdrift-"))
-    return f"{(shared or _own_dir[0]).rstrip('/')}/langdrift/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{(shared or _own_dir[0]).rstrip('/')}/langdrift/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes what operators have written into the shared folder, through Spark's own file systems; the number of folders.
+
+    Results are read from them, so call it when they are stored.
+    """
+    jvm, n = spark._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ NAMES = ["corpus_party_at_date", "member_resolution", "conversation_merge", "tim
 
 NAMES += ["archive_files", "transcript_elements", "archives_to_contributions", "debates_json", "corpus_tables", "division_csv", "key_dates", "member_groups", "terms_topic", "tagged_token_lines", "keyword_files", "stats_csv", "constituency_leave"]
 NAMES += ["assembled_corpus", "members_left_out", "files_in_period", "groups_by_value", "parsed_dates", "debate_file_names", "token_trigrams", "lean_labels", "member_intervals", "windows_that_differ", "clean_text", "tokenise", "quantile_split", "events_in_windows", "snapshot_asof", "keyword_rank_diff"]
+NAMES += ["fuzzy_match", "fuzzy_match_named", "display_name", "bigram_model", "ce_fluctuation", "kld_fluctuation", "snapshot_cross_entropy", "ace_mean_std", "ace_chunks_job", "ace_grid_job", "ace_questions_job", "ace_methods_job", "median_per_member", "window_keywords", "collocates_in_windows", "day_window_counts", "fluct_ac1", "neighbour_overlap", "word2vec_groups_all", "count_vectors_groups", "tagged_tokens"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 

@@ -5,9 +5,11 @@ import io
 import json
 import zipfile
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from langdrift.sources import tables, transcripts
+from langdrift.sources import files, tables, transcripts
 
 XML = """<r xmlns="u"><System type="Debate"><Fragment><Header><Sitting short-date="2019-01-02"/></Header><Body>
 <hs_2DebBill>Trade</hs_2DebBill><hs_8Topic>Steel</hs_8Topic>
@@ -189,3 +191,13 @@ def test_archives_in_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch)
 def test_which_stores_tasks_can_open(tmp_path):
     assert transcripts.readable_by_range(str(tmp_path)) and transcripts.readable_by_range(f"file://{tmp_path}")
     assert not transcripts.readable_by_range("viewfs://store/in") and not transcripts.readable_by_range(str(tmp_path / "nowhere"))
+
+
+def test_what_operators_wrote_can_be_dropped(spark):
+    found = files.stored(spark.range(3), "some")
+    assert found.count() == 3
+    path = files._written[-1]
+    assert files.drop_written(spark) > 0 and not files._written
+    with_path = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+    with pytest.raises(AnalysisException):
+        with_path.load(path)
