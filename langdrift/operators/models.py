@@ -79,8 +79,8 @@ def score_bigrams(asked: DataFrame, model: DataFrame, keys: list[str], smoothing
 
 
 def in_one_group(model: DataFrame) -> DataFrame:
-    """A model without groups as that of one group."""
-    return model if "group" in model.columns else model.withColumn("group", F.lit(""))
+    """A model without groups as that of one group; rows of a null group are left out."""
+    return model.filter(F.col("group").isNotNull()) if "group" in model.columns else model.withColumn("group", F.lit(""))
 
 
 def cross_entropy(tests: DataFrame, model: DataFrame, keys: list[str], text: list[str], smoothing: float = 1.0) -> DataFrame:

@@ -77,6 +77,13 @@ def test_divergence_of_a_model_from_itself_is_zero(spark):
     assert models.kl_divergence(model, other, ["window_no"]).first()["kld"] > 0
 
 
+def test_rows_of_no_group_have_no_model(spark):
+    data = [(0, 1, g, role, i, t) for i, (g, role, t) in enumerate([("a", "snapshot", "xyx"), (None, "snapshot", "zz"), ("a", "test", "xy"), (None, "test", "zx"), ("b", "test", "yx")])]
+    sampled = spark.createDataFrame([(*r[:5], list(r[5])) for r in data], "run int, window_no int, group string, role string, uid long, tokens array<string>")
+    assert rows(models.ce_matrix(sampled).filter("test_group is not null"), "snap_group", "test_group", "uid") == [("a", "a", 2), ("a", "b", 4)]
+    assert rows(models.kld_matrix(sampled), "snap_group", "test_group") == [("a", "a"), ("a", "b")]
+
+
 def test_log_ratio_and_likelihood(spark):
     df = spark.createDataFrame([(True, ["x"] * 3 + ["y"] * 7), (False, ["x"] + ["y"] * 9)], "t boolean, tokens array<string>")
     found = {r["word"]: r for r in counts.keyness(df, F.col("t")).collect()}
