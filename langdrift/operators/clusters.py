@@ -3,64 +3,108 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def merge_neighbours(matrix: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """``merge_by_products`` of windows' vectors."""
+    return merge_by_products(matrix @ matrix.T)
+
+
+def merge_by_products(products: np.ndarray) -> list[tuple[int, int, float, int]]:
     """Linkage rows (a, b, height, size): repeatedly merges the adjacent clusters whose mean vectors have the highest cosine.
 
+    ``products``: inner products of the windows' vectors, of which a merged cluster's are sums.
     Cluster i < n is window i; row r makes cluster n + r.
     """
-    n = len(matrix)
-    ids, sums, sizes, out = list(range(n)), [matrix[i].astype(float) for i in range(n)], [1] * n, []
+    n, g = len(products), np.array(products, float)
+    ids, rows, sizes, out = list(range(n)), list(range(n)), [1] * n, []
 
-    def distance(a, b):
-        size = np.linalg.norm(a) * np.linalg.norm(b)
-        return 1 - float(a @ b) / size if size else 1.0
+    def gap(i):
+        a, b = rows[i], rows[i + 1]
+        size = np.sqrt(g[a, a]) * np.sqrt(g[b, b])
+        return 1 - g[a, b] / size if size else 1.0
 
-    gaps = [distance(sums[i], sums[i + 1]) for i in range(n - 1)]
+    gaps = [gap(i) for i in range(n - 1)]
     while len(ids) > 1:
         i = int(np.argmin(gaps))
-        out.append((ids[i], ids[i + 1], max(gaps[i], 0.0), sizes[i] + sizes[i + 1]))
-        ids[i : i + 2], sums[i : i + 2], sizes[i : i + 2] = [n + len(out) - 1], [sums[i] + sums[i + 1]], [sizes[i] + sizes[i + 1]]
+        out.append((ids[i], ids[i + 1], max(float(gaps[i]), 0.0), sizes[i] + sizes[i + 1]))
+        a, b = rows[i], rows[i + 1]
+        g[a] += g[b]
+        g[:, a] += g[:, b]
+        ids[i : i + 2], rows[i : i + 2], sizes[i : i + 2] = [n + len(out) - 1], [a], [sizes[i] + sizes[i + 1]]
         del gaps[i]
         if i < len(gaps):
-            gaps[i] = distance(sums[i], sums[i + 1])
+            gaps[i] = gap(i)
         if i:
-            gaps[i - 1] = distance(sums[i - 1], sums[i])
+            gaps[i - 1] = gap(i - 1)
     return out
 
 
-def _matrices(features: DataFrame, by: str) -> DataFrame:
-    """One row a window: by, window_no, words, values."""
-    return features.groupBy(by, "window_no").agg(F.array_sort(F.collect_list(F.struct("word", F.col("value").cast("double").alias("value")))).alias("cells"))
+#: So many words of a group meet in one task.
+WORDS = 4096
+
+
+def inner_products(features: DataFrame, by: str = "group") -> DataFrame:
+    """by, window_no, place (in the order of windows, from 0), products: of each window's vector with those of all windows of its group.
 
+    ``features``: by, window_no, word, value; repeated cells are summed. Words are dealt into buckets, so no
+    task holds a group's vectors; what a bucket gives to a window's products is summed where the
+    window is.
+    """
+    cells = features.filter(F.col(by).isNotNull()).groupBy(by, "window_no", "word").agg(F.sum(F.col("value").cast("double")).alias("value"))
+    types = dict(cells.dtypes)
+    order = Window.partitionBy(by).orderBy("window_no")
+    windows = cells.select(by, "window_no").distinct().withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by)).cast("int"))
+    words = cells.groupBy(by).agg(F.ceil(F.count_distinct("word") / WORDS).alias("_buckets"))
+    dealt = cells.join(windows, [by, "window_no"]).join(words, by).withColumn("bucket", F.pmod(F.xxhash64("word"), F.col("_buckets")))
+
+    def part(key, pdf):
+        import pandas as pd
 
-def _dense(pdf) -> tuple[list[int], np.ndarray]:
-    pdf = pdf.sort_values("window_no")
-    place: dict = {}
-    rows = [[(place.setdefault(c["word"], len(place)), c["value"]) for c in cells] for cells in pdf["cells"]]
-    matrix = np.zeros((len(rows), len(place)))
-    for i, cells in enumerate(rows):
-        for j, v in cells:
-            matrix[i, j] = v
-    return pdf["window_no"].tolist(), matrix
+        codes, known = pd.factorize(pdf["word"])
+        matrix = np.zeros((int(pdf["n"].iloc[0]), len(known)))
+        matrix[pdf["place"].to_numpy(), codes] = pdf["value"].to_numpy()
+        have = np.flatnonzero(matrix.any(axis=1))
+        return pd.DataFrame({by: key[0], "place": have, "products": list((matrix @ matrix.T)[have])})
+
+    parts = dealt.groupBy(by, "bucket").applyInPandas(part, f"`{by}` {types[by]}, place int, products array<double>")
+
+    def add(frames):
+        import pandas as pd
+
+        sums: dict = {}
+        for pdf in frames:
+            for key, products in zip(zip(pdf[by], pdf["place"].tolist()), pdf["products"]):
+                sums[key] = sums[key] + products if key in sums else np.array(products)
+        if sums:
+            yield pd.DataFrame([(*k, list(v)) for k, v in sums.items()], columns=[by, "place", "products"])
+
+    summed = parts.repartition(F.col(by), F.col("place")).mapInPandas(add, parts.schema)
+    zeros = F.array_repeat(F.lit(0.0), F.col("n"))
+    found = windows.join(summed.withColumnRenamed("place", "_place"), (F.col("place") == F.col("_place")) & (windows[by] == summed[by]), "left")
+    return found.select(windows[by], "window_no", "place", F.coalesce("products", zeros).alias("products"))
+
+
+def _square(pdf) -> tuple[list, np.ndarray]:
+    pdf = pdf.sort_values("place")
+    return pdf["window_no"].tolist(), np.stack(pdf["products"].to_numpy())
 
 
 def vnc(features: DataFrame, by: str = "group") -> DataFrame:
     """The linkage of each group's windows: by, step, a, b, height, size. ``features``: by, window_no, word, value.
 
-    A group brings one row a window to its task.
+    A group brings the inner products of its windows to a task, whatever its words.
     """
 
     def run(key, pdf):
         import pandas as pd
 
-        rows = merge_neighbours(_dense(pdf)[1])
+        rows = merge_by_products(_square(pdf)[1])
         return pd.DataFrame([(key[0], i, *r) for i, r in enumerate(rows)], columns=[by, "step", "a", "b", "height", "size"])
 
-    return _matrices(features, by).groupBy(by).applyInPandas(run, f"`{by}` {dict(features.dtypes)[by]}, step int, a int, b int, height double, size int")
+    return inner_products(features, by).groupBy(by).applyInPandas(run, f"`{by}` {dict(features.dtypes)[by]}, step int, a int, b int, height double, size int")
 
 
 def cut(links: list[tuple], n: int, threshold: float) -> list[int]:
@@ -85,26 +129,31 @@ def vnc_clusters(features: DataFrame, threshold: float, by: str = "group") -> Da
     def run(key, pdf):
         import pandas as pd
 
-        windows, matrix = _dense(pdf)
-        return pd.DataFrame({by: key[0], "window_no": windows, "cluster": cut(merge_neighbours(matrix), len(windows), threshold)})
+        windows, products = _square(pdf)
+        return pd.DataFrame({by: key[0], "window_no": windows, "cluster": cut(merge_by_products(products), len(windows), threshold)})
 
     types = dict(features.dtypes)
-    return _matrices(features, by).groupBy(by).applyInPandas(run, f"`{by}` {types[by]}, window_no {types['window_no']}, cluster int")
+    return inner_products(features, by).groupBy(by).applyInPandas(run, f"`{by}` {types[by]}, window_no {types['window_no']}, cluster int")
 
 
 def cophenetic_correlation(matrix: np.ndarray) -> float:
+    """``correlation_by_products`` of windows' vectors."""
+    return correlation_by_products(matrix @ matrix.T)
+
+
+def correlation_by_products(products: np.ndarray) -> float:
     """Correlation of the tree's merge heights with the windows' Euclidean distances; nan below three windows."""
-    n = len(matrix)
+    n = len(products)
     if n < 3:
         return float("nan")
     members, heights = {i: [i] for i in range(n)}, np.zeros((n, n))
-    for r, (a, b, height, _) in enumerate(merge_neighbours(matrix)):
-        for i in members[a]:
-            for j in members[b]:
-                heights[i, j] = heights[j, i] = height
+    for r, (a, b, height, _) in enumerate(merge_by_products(products)):
+        heights[np.ix_(members[a], members[b])] = height
+        heights[np.ix_(members[b], members[a])] = height
         members[n + r] = members.pop(a) + members.pop(b)
     x, y = np.triu_indices(n, 1)
-    far = np.linalg.norm(matrix[x] - matrix[y], axis=1)
+    own = np.diag(products)
+    far = np.sqrt(np.maximum(own[x] + own[y] - 2 * products[x, y], 0))
     return float(np.corrcoef(heights[x, y], far)[0, 1])
 
 
@@ -114,6 +163,6 @@ def cophenetic(features: DataFrame, by: str = "group") -> DataFrame:
     def run(key, pdf):
         import pandas as pd
 
-        return pd.DataFrame({by: [key[0]], "correlation": [cophenetic_correlation(_dense(pdf)[1])]})
+        return pd.DataFrame({by: [key[0]], "correlation": [correlation_by_products(_square(pdf)[1])]})
 
-    return _matrices(features, by).groupBy(by).applyInPandas(run, f"`{by}` {dict(features.dtypes)[by]}, correlation double")
+    return inner_products(features, by).groupBy(by).applyInPandas(run, f"`{by}` {dict(features.dtypes)[by]}, correlation double")

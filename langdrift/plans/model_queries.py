@@ -14,7 +14,7 @@ from ..sources import tables as files
 from ..sources.files import scratch
 from . import jobs
 from .bindings import CONTRIBUTIONS, TOKENS, contributions, table, token_texts, windows_sql
-from .queries import SIZE, STANCES, STEP, query, rounded, stances, windowed
+from .queries import ORACLE_SQL, SIZE, STANCES, STEP, query, rounded, stances, windowed
 
 # H: sampling
 
@@ -535,6 +535,21 @@ def cluster_features(spark, d) -> DataFrame:
     return counts.bow_features(windowed(spark, d), top=40)
 
 
+def _products_sql() -> str:
+    features = ORACLE_SQL["bow_features"].replace("round(n / total, 6)", "n / total")
+    return f"""WITH f AS ({features}), w AS (SELECT DISTINCT "group", window_no FROM f), p AS (SELECT a."group", a.window_no, b.window_no AS other, sum(a.value * b.value) AS p FROM f a JOIN f b ON a."group" = b."group" AND a.word = b.word GROUP BY ALL)
+SELECT a."group", a.window_no, b.window_no AS other, round(coalesce(p, 0), 6) AS product FROM w a JOIN w b ON a."group" = b."group" LEFT JOIN p ON p."group" = a."group" AND p.window_no = a.window_no AND p.other = b.window_no"""
+
+
+@query(_products_sql())
+def window_products(spark, d):
+    """Inner products of windows' vectors, from which trees, clusters and correlations are made."""
+    found = clusters.inner_products(cluster_features(spark, d))
+    names = found.select("group", F.col("window_no").alias("other"), F.col("place").alias("i"))
+    cells = found.select("group", "window_no", F.posexplode("products").alias("i", "product"))
+    return rounded(cells.join(names, ["group", "i"]).drop("i"), "product")
+
+
 @query()
 def vnc_tree(spark, d):
     return rounded(clusters.vnc(cluster_features(spark, d)), "height")

@@ -239,6 +239,26 @@ def test_neighbour_clustering_finds_the_break():
     assert clusters.cophenetic_correlation(m) > 0.9
 
 
+def test_trees_from_products_summed_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "WORDS", 7)
+    rng = np.random.default_rng(2)
+    data, matrices = [], {"g": rng.random((9, 40)) * (rng.random((9, 40)) < 0.4), "h": rng.random((3, 5)), "one": rng.random((1, 2))}
+    matrices["g"][4] = 0  # a window whose values are all 0
+    for g, m in matrices.items():
+        data += [(g, 10 * i, f"w{j}", float(v)) for i, row in enumerate(m) for j, v in enumerate(row)]
+    data += [(None, 0, "w0", 1.0)]
+    features = spark.createDataFrame(data, "group string, window_no int, word string, value double")
+    assert clusters.inner_products(features).filter("group = 'g'").count() == 9
+    for g, m in matrices.items():
+        got = [tuple(r)[2:] for r in sorted(clusters.vnc(features).filter(F.col("group") == g).collect(), key=lambda r: r["step"])]
+        want = clusters.merge_neighbours(m)
+        assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+        found = {r["window_no"]: r["cluster"] for r in clusters.vnc_clusters(features, 0.5).filter(F.col("group") == g).collect()}
+        assert [found[w] for w in sorted(found)] == clusters.cut(want, len(m), 0.5)
+    correlations = {r["group"]: r["correlation"] for r in clusters.cophenetic(features).collect()}
+    assert correlations["g"] == pytest.approx(clusters.cophenetic_correlation(matrices["g"])) and correlations["one"] is None
+
+
 def test_party_on_a_change_over_day(spark):
     d = dt.date
     rows_ = spark.createDataFrame([(1, 9, d(2020, 1, 5)), (2, 9, d(2020, 1, 10)), (3, 9, d(2019, 1, 1))], "uid long, member long, date date")
