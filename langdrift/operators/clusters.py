@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
 
 def merge_neighbours(matrix: np.ndarray) -> list[tuple[int, int, float, int]]:
     """``merge_by_products`` of windows' vectors."""
@@ -53,7 +55,7 @@ def inner_products(features: DataFrame, by: str = "group") -> DataFrame:
     task holds a group's vectors; what a bucket gives to a window's products is summed where the
     window is.
     """
-    cells = features.filter(F.col(by).isNotNull()).groupBy(by, "window_no", "word").agg(F.sum(F.col("value").cast("double")).alias("value"))
+    cells = stored(features.filter(F.col(by).isNotNull()).groupBy(by, "window_no", "word").agg(F.sum(F.col("value").cast("double")).alias("value")), "cluster-cells")
     types = dict(cells.dtypes)
     order = Window.partitionBy(by).orderBy("window_no")
     windows = cells.select(by, "window_no").distinct().withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by)).cast("int"))
