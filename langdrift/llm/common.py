@@ -72,6 +72,16 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(run):
+    """A task's function over batches that gives memory back when it ends: only then are its own variables gone."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -29,6 +29,7 @@ through the driver. Apart from where their sums are added, all contexts are trea
 
 from __future__ import annotations
 
+import itertools
 import math
 import struct
 import zlib
@@ -38,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, new_path, open_fs, partitions, written
+from .common import giving_back, new_path, open_fs, partitions, written
 from .jaccard import MULTIPLIER, changes, mixed, runs, split_by
 from .token_ids import by_size
 
@@ -46,7 +47,7 @@ from .token_ids import by_size
 DISCOUNTED = 5
 BLOCK_CHARACTERS = 4_000_000
 #: Text bytes for each bucket, which a task holds whole.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 FRAMES = "dest int, part int, block int, kind int, data binary"
 ASK, ANSWER, OCCURRENCES, DOCUMENTS, CONTEXTS, COUNTS, HOT = range(7)
 #: A context with more than this share of all tokens is hot: its n-grams are dealt out by the next word too.
@@ -132,21 +133,25 @@ def is_training(doc_id: int | None, folds: int, held: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds != held
 
 
-def blocks_of(batches, folds: int, held: int, characters: int):
-    """(number, ids, training flags, words of each text, hashes of all words, lengths) of each block of texts."""
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, number of words of each text)."""
     import pandas as pd
 
+    words = [(t or "").encode().lower().split() for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    flat = np.array([w for ws in words for w in ws], dtype=object)
+    hashes = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
+    return np.maximum(hashes, np.uint64(2)), lengths  # 0 and 1 are the end and the start of a text
+
+
+def blocks_of(batches, folds: int, held: int, characters: int):
+    """(number, ids, training flags, hashes of all words, lengths) of each block of texts. No words are held between blocks."""
     number = 0
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for cut in by_size(texts, characters):
-            words = [(t or "").encode().lower().split() for t in texts[cut]]
-            lengths = np.array([len(w) for w in words], np.int64)
-            flat = np.array([w for ws in words for w in ws], dtype=object)
-            hashes = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
-            # 0 and 1 are the end and the start of a text
             train = np.array([is_training(i, folds, held) for i in ids[cut]], bool)
-            yield number, ids[cut], train, np.maximum(hashes, np.uint64(2)), lengths
+            yield number, ids[cut], train, *hashed(texts[cut])
             number += 1
 
 
@@ -166,9 +171,8 @@ def ask_vocabulary(width: int, folds: int, held: int, characters: int):
             rows = [(bucket, part, number, ASK, pack(words[at], counts[at])) for bucket, at in split_by((words % np.uint64(width)).astype(np.int64))]
             if rows:
                 yield frames(rows)
-        give_back()
 
-    return run
+    return giving_back(run)
 
 
 def answer_vocabulary(width: int):
@@ -194,9 +198,8 @@ def answer_vocabulary(width: int):
                 yield frames([(bucket, part, block, ANSWER, pack(check, number[own].astype(np.uint64), total[own].astype(np.uint64)))])
             known = total[total > 0]
             yield frames([(bucket, -1, -1, COUNTS, pack(np.concatenate([[len(known), known.sum()], np.bincount(known[known <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)]).astype(np.int64)))])
-        give_back()
 
-    return run
+    return giving_back(run)
 
 
 class Unigrams:
@@ -392,29 +395,33 @@ def readings(batches, folds: int, held: int, characters: int, width: int, end_co
 
     part = TaskContext.get().partitionId()
     known = [read_answers(path, part) for path in (vocabulary, *(o.answers for o in orders))]
-    for number, ids, train, hashes, lengths in blocks_of(batches, folds, held, characters):
+
+    def block(number, ids, train, hashes, lengths):
         answers = [k.pop(number, {}) for k in known]
         tokens = Tokens(hashes, lengths, answers[0], width, end_count, unigrams)
         for order, own in zip(orders, answers[1:]):
             tokens.advance(order, tokens.grams(order.n, limit, width), own)
-        yield part, number, ids, train, lengths, tokens, tokens.grams(len(orders) + 2, limit, width)
+        return part, number, ids, train, lengths, tokens, tokens.grams(len(orders) + 2, limit, width)
+
+    return (block(*own) for own in blocks_of(batches, folds, held, characters))
 
 
 def ask_order(width: int, read):
     """Blocks of texts to context buckets: the distinct n-grams of an order and their training counts."""
 
+    def ask(part, number, _ids, train, _lengths, tokens, grams):
+        counts = np.bincount(grams.of_sorted, weights=train[tokens.doc][grams.order], minlength=len(grams.words)).astype(np.uint32)
+        rows = []
+        for bucket, g, c, n in grams.buckets():
+            context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint64), tokens.divisor[grams.at_context[c]].astype(np.uint64), n]
+            # a context's lower-order divisor is the same for all its words
+            rows.append((bucket, part, number, ASK, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint64), counts[g])))
+        return frames(rows)
+
     def run(batches):
-        for part, number, _, train, _, tokens, grams in read(batches):
-            counts = np.bincount(grams.of_sorted, weights=train[tokens.doc][grams.order], minlength=len(grams.words)).astype(np.uint32)
-            rows = []
-            for bucket, g, c, n in grams.buckets():
-                context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint64), tokens.divisor[grams.at_context[c]].astype(np.uint64), n]
-                # a context's lower-order divisor is the same for all its words
-                rows.append((bucket, part, number, ASK, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint64), counts[g])))
-            yield frames(rows)
-        give_back()
+        yield from itertools.starmap(ask, read(batches))
 
-    return run
+    return giving_back(run)
 
 
 class Bucket:
@@ -429,15 +436,16 @@ class Bucket:
         runs_ = [np.concatenate([s[i] for s in sent]) for i in range(k + 3)]
         word, count, training = (np.concatenate([s[k + 3 + i] for s in sent]) for i in range(3))
         names = context_keys(runs_[:k])
-        self.keys, first, of_run = distinct(names)
-        context = np.repeat(of_run, runs_[k + 2])
         _, start, self.gram = distinct(context_keys([np.repeat(names, runs_[k + 2]), word]))  # the number of each n-gram sent
         self.r = np.bincount(self.gram, weights=training, minlength=len(start)).astype(np.int64)
-        self.context = context[start]
+        self.keys, first, of_run = distinct(names)
+        self.context = np.repeat(of_run, runs_[k + 2])[start]
         self.total = runs_[k][first].astype(np.float64)
         self.hot = self.total > hot_limit
         self.lower = lower.seen(count[start], runs_[k + 1][first][self.context])  # of seen n-grams
-        self.small = np.stack([np.bincount(self.context, weights=self.r == i, minlength=len(first)) for i in range(1, DISCOUNTED + 1)], axis=1)
+        self.small = np.empty((len(first), DISCOUNTED))
+        for i in range(DISCOUNTED):
+            self.small[:, i] = np.bincount(self.context, weights=self.r == i + 1, minlength=len(first))
         self.taken = np.bincount(self.context, weights=np.where(self.r > 0, self.lower, 0.0), minlength=len(first))
 
     def sums(self, dest: int) -> list[tuple]:
@@ -464,82 +472,85 @@ def gathered(batches, kinds: tuple[int, ...] = ()):
 def answer_order(order: int, lower: Order, hot_limit: float):
     """Context buckets to reading tasks: training counts of the n-grams asked, small counts and taken mass of their contexts."""
 
+    def answer(dest, own):
+        sent = [unpack(data) for _, _, data in own]
+        bucket, at = Bucket(sent, order, lower, hot_limit), 0
+        for (part, block, _), s in zip(own, sent):
+            words, n = s[order + 2], s[order + 1]
+            gram = bucket.gram[at : at + len(words)]
+            at += len(words)
+            context = bucket.context[gram[np.cumsum(n) - n]]
+            check = np.array([zlib.crc32(words.astype(np.uint64).tobytes())], np.uint32)
+            yield frames([(dest, part, block, ANSWER, pack(check, bucket.r[gram].astype(np.uint64), bucket.small[context].ravel().astype(np.uint64), bucket.taken[context]))])
+        yield frames(bucket.sums(dest))
+
     def run(batches):
         _, held = gathered(batches)
         while held:
-            dest, own = held.popitem()
-            sent = [unpack(data) for _, _, data in own]
-            bucket, at = Bucket(sent, order, lower, hot_limit), 0
-            for (part, block, _), s in zip(own, sent):
-                words, n = s[order + 2], s[order + 1]
-                gram = bucket.gram[at : at + len(words)]
-                at += len(words)
-                context = bucket.context[gram[np.cumsum(n) - n]]
-                check = np.array([zlib.crc32(words.astype(np.uint64).tobytes())], np.uint32)
-                yield frames([(dest, part, block, ANSWER, pack(check, bucket.r[gram].astype(np.uint64), bucket.small[context].ravel().astype(np.uint64), bucket.taken[context]))])
-            yield frames(bucket.sums(dest))
-        give_back()
+            yield from answer(*held.popitem())
 
-    return run
+    return giving_back(run)
 
 
 def deal_last(width: int, read, unigrams: Unigrams):
     """Blocks of texts to context buckets: n-grams of the last order with the documents that hold them; and what needs lower orders alone, by document."""
 
+    def deal(part, number, ids, train, lengths, tokens, grams):
+        base, known = unigrams.base(tokens.unigram_count), np.array([i is not None for i in ids], np.uint8)
+        sums = [np.bincount(tokens.doc, weights=w, minlength=len(ids)) for w in (base, np.log10(tokens.p), tokens.unigram_count > 0)]
+        rows = [(number % width, part, number, DOCUMENTS, pack(np.array([i or 0 for i in ids], np.int64), known, train.astype(np.uint8), (lengths + 1).astype(np.int64), *sums[:2], sums[2].astype(np.int64)))]
+        flagged = (tokens.doc * 2 + train[tokens.doc]).astype(np.uint32)[grams.order]
+        for bucket, g, c, n in grams.buckets():
+            context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint64), tokens.divisor[grams.at_context[c]].astype(np.uint64), n]
+            held = slice(int(grams.start[g.start]), int(grams.start[g.stop - 1] + grams.count[g.stop - 1]))
+            rows.append((bucket, part, number, OCCURRENCES, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint64), grams.count[g].astype(np.uint32), flagged[held])))
+        return frames(rows)
+
     def run(batches):
-        for part, number, ids, train, lengths, tokens, grams in read(batches):
-            base, known = unigrams.base(tokens.unigram_count), np.array([i is not None for i in ids], np.uint8)
-            sums = [np.bincount(tokens.doc, weights=w, minlength=len(ids)) for w in (base, np.log10(tokens.p), tokens.unigram_count > 0)]
-            yield frames([(number % width, part, number, DOCUMENTS, pack(np.array([i or 0 for i in ids], np.int64), known, train.astype(np.uint8), (lengths + 1).astype(np.int64), *sums[:2], sums[2].astype(np.int64)))])
-            flagged = (tokens.doc * 2 + train[tokens.doc]).astype(np.uint32)[grams.order]
-            rows = []
-            for bucket, g, c, n in grams.buckets():
-                context = [*(x[c] for x in grams.columns), tokens.times[grams.at_context[c]].astype(np.uint64), tokens.divisor[grams.at_context[c]].astype(np.uint64), n]
-                held = slice(int(grams.start[g.start]), int(grams.start[g.stop - 1] + grams.count[g.stop - 1]))
-                rows.append((bucket, part, number, OCCURRENCES, pack(*context, grams.words[g], tokens.count[grams.at[g]].astype(np.uint64), grams.count[g].astype(np.uint32), flagged[held])))
-            yield frames(rows)
-        give_back()
+        yield from itertools.starmap(deal, read(batches))
 
-    return run
+    return giving_back(run)
 
 
 def count_last(order: int, lower: Order, hot_limit: float):
     """Context buckets: sums by document, contexts that have unseen n-grams, counts of counts."""
 
+    def count(dest, own):
+        sent = [unpack(data) for _, _, data in own]
+        own[:] = [(part, block) for part, block, _ in own]
+        for s in sent:  # n-grams with the documents that hold them: the training ones count
+            *_, times, flagged = s
+            s[-2:] = [np.add.reduceat((flagged & 1).astype(np.uint32), np.cumsum(times, dtype=np.int64) - times), times, flagged]
+        b, at = Bucket(sent, order, lower, hot_limit), 0
+        sent = [s[order + 5 :] for s in sent]
+        divisor = divisor_of(b.total, b.small)
+        value = np.log10(np.maximum(b.r, 1)) - np.where(b.hot, 0.0, np.log10(np.maximum(divisor, 1)))[b.context] - np.log10(np.where(b.r > 0, b.lower, 1.0))
+        for (part, block), (times, flagged) in zip(own, sent):
+            gram = np.repeat(b.gram[at : at + len(times)], times)
+            at += len(times)
+            doc, r, context = (flagged >> 1).astype(np.int64), b.r[gram], b.context[gram]
+            n, seen = int(doc.max()) + 1, r > 0
+            few = np.flatnonzero(seen & (r <= DISCOUNTED))
+            classes = np.bincount((r[few] - 1) * n + doc[few], minlength=DISCOUNTED * n).astype(np.uint32)
+            packed = [np.bincount(doc, weights=np.where(seen, value[gram], 0.0), minlength=n), classes]
+            # contexts that training has; without one the lower order stands
+            for rows in (np.flatnonzero(~seen & (b.total[context] > 0)), np.flatnonzero(seen & b.hot[context]) if b.hot.any() else few[:0]):
+                rows = rows[np.argsort(context[rows])]
+                at_run, times = runs(context[rows])
+                which = context[rows][at_run]
+                packed += [np.where(b.hot[which], b.keys[which], np.uint64(0)), b.total[which], b.taken[which], b.small[which].ravel().astype(np.uint64), times.astype(np.uint32), doc[rows].astype(np.uint32)]
+            yield frames([(dest, part, block, CONTEXTS, pack(*packed))])
+        yield frames(b.sums(dest))
+
     def run(batches):
         passed, held = gathered(batches, (DOCUMENTS,))
         if passed:
             yield frames(passed)
         del passed
         while held:
-            dest, own = held.popitem()
-            sent = [unpack(data) for _, _, data in own]
-            for s in sent:  # n-grams with the documents that hold them: the training ones count
-                *_, times, flagged = s
-                s[-2:] = [np.add.reduceat((flagged & 1).astype(np.uint32), np.cumsum(times, dtype=np.int64) - times), times, flagged]
-            b, at = Bucket(sent, order, lower, hot_limit), 0
-            divisor = divisor_of(b.total, b.small)
-            value = np.log10(np.maximum(b.r, 1)) - np.where(b.hot, 0.0, np.log10(np.maximum(divisor, 1)))[b.context] - np.log10(np.where(b.r > 0, b.lower, 1.0))
-            for (part, block, _), s in zip(own, sent):
-                times, flagged = s[order + 5 :]
-                gram = np.repeat(b.gram[at : at + len(times)], times)
-                at += len(times)
-                doc, r, context = (flagged >> 1).astype(np.int64), b.r[gram], b.context[gram]
-                n, seen = int(doc.max()) + 1, r > 0
-                few = np.flatnonzero(seen & (r <= DISCOUNTED))
-                classes = np.bincount((r[few] - 1) * n + doc[few], minlength=DISCOUNTED * n).astype(np.uint32)
-                packed = [np.bincount(doc, weights=np.where(seen, value[gram], 0.0), minlength=n), classes]
-                # contexts that training has; without one the lower order stands
-                for rows in (np.flatnonzero(~seen & (b.total[context] > 0)), np.flatnonzero(seen & b.hot[context]) if b.hot.any() else few[:0]):
-                    rows = rows[np.argsort(context[rows])]
-                    at_run, times = runs(context[rows])
-                    which = context[rows][at_run]
-                    packed += [np.where(b.hot[which], b.keys[which], np.uint64(0)), b.total[which], b.taken[which], b.small[which].ravel().astype(np.uint64), times.astype(np.uint32), doc[rows].astype(np.uint32)]
-                yield frames([(dest, part, block, CONTEXTS, pack(*packed))])
-            yield frames(b.sums(dest))
-        give_back()
+            yield from count(*held.popitem())
 
-    return run
+    return giving_back(run)
 
 
 def hot_rows(batches):
