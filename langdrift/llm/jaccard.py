@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, join_small_values, partitions, unused_name, written
+from .common import giving_back, join_small_values, partitions, unused_name, written
 from .token_ids import by_size
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -187,9 +187,8 @@ def to_blocks(size: int, width: int):
                 number += 1
                 emit(blocks, ids[cut], texts[cut], number % width, seen)
                 yield blocks.batch()
-        give_back()
 
-    return run
+    return giving_back(run)
 
 
 def count_tokens(width: int):
@@ -224,9 +223,8 @@ def count_tokens(width: int):
             out.postings(dest, SHARED, -1, owner[at], found[at])
         if out.rows:
             yield out.batch()
-        give_back()
 
-    return run
+    return giving_back(run)
 
 
 CLASSES = "class long, n long, tokens array<bigint>, doc_id long"
@@ -268,9 +266,8 @@ def gather_classes(percent: int):
                 part = rows[a : a + 2000]
                 columns = [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.list_(pa.int64())), pa.nulls(len(part), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
-        give_back()
 
-    return run
+    return giving_back(run)
 
 
 def overlaps(asked: list[np.ndarray], members: list[np.ndarray], at_once: int = 4_000_000) -> np.ndarray:
@@ -405,10 +402,9 @@ def similar_pairs(classes: DataFrame, percent: int, seeds: int) -> DataFrame:
                 yield made()
                 found = []
         yield made()
-        give_back()
 
     dealt = held.select(*by, "class", "n", "tokens").repartition(*by).sortWithinPartitions(*by, "class")
-    return written(dealt.mapInArrow(link, "a long, b long, linked boolean").distinct(), "similar-pairs")
+    return written(dealt.mapInArrow(giving_back(link), "a long, b long, linked boolean").distinct(), "similar-pairs")
 
 
 def _seeded(seed: int):
@@ -480,10 +476,9 @@ def links_inside(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
                 rows, size = [], 0
         if rows:
             yield made()
-        give_back()
 
     dealt = groups.select("part", "column", "cluster", "class", "n", "tokens").repartition("part").sortWithinPartitions("part", "class")
-    done = written(dealt.mapInArrow(run, LINKS + ", column long, part long, tokens array<long>"), "unions")
+    done = written(dealt.mapInArrow(giving_back(run), LINKS + ", column long, part long, tokens array<long>"), "unions")
     return done.filter("tokens is null").select("a", "b"), done.filter("tokens is not null").select("column", "part", "tokens")
 
 
@@ -517,9 +512,8 @@ def links_between(groups: DataFrame, unions: DataFrame, percent: int) -> DataFra
                     out.append({c: int(g[c][i]) for c in names if c != "tokens"} | {"tokens": token[at[np.lexsort((token[at], held[at]))]]})
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in types.items()], names)
-        give_back()
 
-    left = both.repartition("part").sortWithinPartitions("part", "side", "class").mapInArrow(keep, "class long, n long, tokens array<long>, cluster long, column long, part long")
+    left = both.repartition("part").sortWithinPartitions("part", "side", "class").mapInArrow(giving_back(keep), "class long, n long, tokens array<long>, cluster long, column long, part long")
     left = written(left, "crossing-classes")
     if left.isEmpty():
         return None

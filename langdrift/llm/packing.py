@@ -7,10 +7,12 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, written
+from .common import giving_back, written
 from .token_ids import by_size, cached_tokenizer
 
 END_ID = 1
+#: Characters that a task encodes at once: looking words up takes about 20 bytes for each.
+BATCH_CHARACTERS = 2_000_000
 
 
 class BoundedBestFit:
@@ -125,7 +127,7 @@ def pack_documents(
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for cut in by_size(texts):
+            for cut in by_size(texts, BATCH_CHARACTERS):
                 for doc, found in zip(ids[cut], encode(texts[cut])):
                     found += end
                     for piece, at in enumerate(range(0, len(found), size)):
@@ -138,10 +140,9 @@ def pack_documents(
                     yield made([r for b in closed for r in held.pop(b)], False)
         if held:
             yield made([r for own in held.values() for r in own], True)
-        give_back()
 
     schema = PIECES + ", ids binary" * with_ids
-    level = written(rows.mapInArrow(pack, schema), "packed")
+    level = written(rows.mapInArrow(giving_back(pack), schema), "packed")
     done = [level.filter(~F.col("carried")).withColumn("level", F.lit(0))]
     number = 0
     while True:

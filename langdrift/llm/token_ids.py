@@ -51,7 +51,8 @@ class CachedWords:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.file = json.loads(self.tokenizer.to_str())
+        file = json.loads(self.tokenizer.to_str())
+        self.kind = (file["normalizer"], file["pre_tokenizer"], file["model"]["type"])  # vocabulary and merges are the library's to hold
         self.model, self.letters, self.limit = self.tokenizer.model, byte_letters(), words
         self._forget()
 
@@ -110,7 +111,7 @@ class WordCachedTokenizer(CachedWords):
 
     def __init__(self, path: str, pieces: int = 500_000, words: int = 100_000):
         super().__init__(path, pieces)
-        self.by_piece = (self.file["normalizer"], self.file["pre_tokenizer"], self.file["model"]["type"]) == (NORMALISER, PRE_TOKENISER, "BPE")
+        self.by_piece = self.kind == (NORMALISER, PRE_TOKENISER, "BPE")
         self.word_limit = words
         self.words: dict[str, bytes] = {"": b""}
 
@@ -169,7 +170,7 @@ class ByteCachedTokenizer(CachedWords):
 
     def __init__(self, path: str, words: int = 1_000_000):
         super().__init__(path, words)
-        self.by_word = (self.file["normalizer"], self.file["pre_tokenizer"], self.file["model"]["type"]) == (None, BYTE_PRE_TOKENISER, "BPE")
+        self.by_word = self.kind == (None, BYTE_PRE_TOKENISER, "BPE")
 
     def pieces_of(self, word: str) -> list[str]:
         if word.isascii() and word.isalpha():

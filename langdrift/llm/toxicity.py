@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, written
+from .common import giving_back, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: A document is rejected from this probability of the last category on.
@@ -58,6 +58,7 @@ class ChainModel:
     def forget(self) -> None:
         """Empties what a task kept of words."""
         self._words.clear()
+        features_of_word.cache_clear()
 
     def probabilities(self, texts) -> np.ndarray:
         """Probabilities of each text in each category; every link sees the earlier ones' probabilities."""
@@ -150,13 +151,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         features_of_word.cache_clear()
         if every:  # a task may have no rows
             yield made(every, positive)
-        give_back()
 
     def made(every, positive):
         return pd.DataFrame({"feature": list(every), "n": list(every.values())} | {f"n{c}": [positive[c][f] for f in every] for c in range(n_categories)})
 
     sums = ["n", *(f"n{c}" for c in range(n_categories))]
-    counts = train.mapInPandas(count, "feature string, " + ", ".join(f"{s} long" for s in sums)).groupBy("feature").agg(*[F.sum(s).alias(s) for s in sums]).filter(F.col("n") >= least)
+    counts = train.mapInPandas(giving_back(count), "feature string, " + ", ".join(f"{s} long" for s in sums)).groupBy("feature").agg(*[F.sum(s).alias(s) for s in sums]).filter(F.col("n") >= least)
     totals = train.agg(F.count(F.lit(1)), *[F.sum(F.col("y")[c]) for c in range(n_categories)]).first()
     n_all = totals[0]
     if not n_all:
@@ -175,7 +175,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         for pdf in filter(len, frames):
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "present": [sorted({vocabulary[f] for f in features_of_text(t) if f in vocabulary}) for t in pdf["text"]]})
 
-    data = train.mapInPandas(encode, "id long, y array<int>, present array<int>").orderBy("id").toPandas()
+    data = train.mapInPandas(giving_back(encode), "id long, y array<int>, present array<int>").orderBy("id").toPandas()
     y = np.stack(data["y"].to_numpy()).astype(float)
     lengths = data["present"].map(len).to_numpy()
     row, col = np.repeat(np.arange(len(data)), lengths.astype(int)), np.concatenate([np.zeros(0, int), *data["present"].to_numpy()]).astype(int)
@@ -198,11 +198,13 @@ def chain_probabilities(model: ChainModel, spark, text: str | Column = "text") -
     """A column: array with the probability of each category for whole texts. Null and empty texts have no features."""
     shared = spark.sparkContext.broadcast(model)
 
-    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches):
         for texts in batches:
             yield pd.Series(list(shared.value.probabilities(texts.tolist())))
         shared.value.forget()
-        give_back()
+
+    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from giving_back(score)(batches)
 
     return F.pandas_udf(probabilities, "array<double>")(text)
 

@@ -76,3 +76,30 @@ def test_memory_is_given_back_when_a_tasks_variables_are_gone(monkeypatch):
             yield len(big)
 
     assert list(common.giving_back(run)([3, 4])) == [3, 4] and at_end == [0]
+
+
+def test_packing_encodes_little_at_once(spark, monkeypatch):
+    from langdrift.llm import packing, queries, token_ids
+
+    most = []
+    monkeypatch.setattr(packing, "giving_back", lambda run: most.append(run) or run)
+    docs = spark.createDataFrame([(i, "word " * 500) for i in range(4)], "doc_id long, text string").coalesce(1)
+    packed = packing.pack_documents(docs, queries.tokenizer_path())
+    assert sorted((r["doc_id"], r["length"]) for r in packed.collect()) == [(i, 501) for i in range(4)] and len(most) == 1
+
+    class Encoder:
+        def encode(self, texts):
+            most.append(sum(map(len, texts)))
+            return [b"\0" * 4 for _ in texts]
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(packing, "cached_tokenizer", lambda path: Encoder())
+    monkeypatch.setattr(TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(100)), "text": pa.array(["x" * 100_000] * 100)})
+    run, most[:] = most[0], []
+    assert sum(b.num_rows for b in run([batch])) == 100
+    assert len(most) > 1 and sum(most) == 10_000_000 and max(most) <= 2_100_000
+    # of a tokenizer file nothing large is kept beside the library's own
+    assert not [k for k, v in vars(token_ids.cached_tokenizer(queries.tokenizer_path())).items() if isinstance(v, dict) and "model" in v]
