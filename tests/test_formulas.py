@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from langdrift.functions import tails, text
 from langdrift.operators import clusters, collocates, corpus, counts, models, sampling, significance, statistics, vectors, windows
+from langdrift.plans import jobs
 from langdrift.plans.queries import QUERIES
 
 
@@ -423,3 +424,18 @@ def test_group_comparison_where_one_group_has_no_words(spark):
     ac1 = lambda agreed, pi: (agreed - 2 * pi * (1 - pi)) / (1 - 2 * pi * (1 - pi))
     assert found == pytest.approx({0: ac1(2 / 3, 1 / 2), 1: ac1(2 / 3, 1 / 6), 2: ac1(2 / 3, 1 / 6)})
     assert {r["window_no"]: r["value"] for r in collocates.group_comparison(a, b, "cosine").collect()}[1] is None
+
+
+def test_grids_share_samples_and_keep_plans_apart(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(i, i % 7, dt.date(2020, 1, 1) + dt.timedelta(days=i), "gh"[i % 7 % 2], [rng.choice("abc") for _ in range(3)]) for i in range(60)]
+    texts_ = spark.createDataFrame(data, "uid long, member long, date date, party string, tokens array<string>")
+    drawn, sample = [], jobs.sample
+    monkeypatch.setattr(jobs, "sample", lambda *a: drawn.append(1) or sample(*a))
+    specs = [jobs.AceSpec(groups={"g": "party = 'g'", "h": "party = 'h'"}, window_size=20, window_step=20, runs=2, method=m, seed=s) for m, s in (("ce", 1), ("ce_fluct", 1), ("kld", 1), ("ce", 2))]
+    found = jobs.ace_grid(texts_, specs)
+    assert len(drawn) == 2 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    columns = ["window_no", "snap_group", "test_group", "n_runs", "mean"]
+    for spec in (specs[0], specs[2], specs[3]):
+        own = found.filter((F.col("param_method") == spec.method) & (F.col("param_seed") == spec.seed)).withColumn("mean", F.round("mean", 9))
+        assert rows(own, *columns) == rows(jobs.run_ace(texts_, spec).withColumn("mean", F.round("mean", 9)), *columns) != []
