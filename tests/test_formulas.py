@@ -439,3 +439,28 @@ def test_grids_share_samples_and_keep_plans_apart(spark, monkeypatch):
     for spec in (specs[0], specs[2], specs[3]):
         own = found.filter((F.col("param_method") == spec.method) & (F.col("param_seed") == spec.seed)).withColumn("mean", F.round("mean", 9))
         assert rows(own, *columns) == rows(jobs.run_ace(texts_, spec).withColumn("mean", F.round("mean", 9)), *columns) != []
+
+
+def test_trees_of_many_windows_come_from_their_vectors(spark, monkeypatch):
+    """No task gets all products of a group's windows where these are more than its cells."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(clusters, "BLOCK", 7)
+    monkeypatch.setattr(clusters, "COLUMNS", 2)
+    m = rng.random((40, 6)) * (rng.random((40, 6)) < 0.6)
+    m[11] = 0
+    m[:, 0] += np.arange(40) // 10
+    features = spark.createDataFrame([("g", 10 * i, f"w{j}", float(v)) for i, row in enumerate(m) for j, v in enumerate(row) if v or i == 11], "group string, window_no int, word string, value double")
+    want = clusters.merge_neighbours(m)
+    monkeypatch.setattr(clusters, "merge_by_products", None)
+    got = [tuple(r)[2:] for r in sorted(clusters.vnc(features).collect(), key=lambda r: r["step"])]
+    assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    assert [r["cluster"] for r in sorted(clusters.vnc_clusters(features, 0.5).collect())] == clusters.cut(want, 40, 0.5)
+    far = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    members, heights = {i: [i] for i in range(40)}, np.zeros((40, 40))
+    for r, (a, b, height, _) in enumerate(want):
+        heights[np.ix_(members[a], members[b])] = height
+        members[40 + r] = members.pop(a) + members.pop(b)
+    x, y = np.triu_indices(40, 1)
+    assert clusters.cophenetic(features).first()["correlation"] == pytest.approx(np.corrcoef(heights[x, y], far[x, y])[0, 1])
+    products = {(r["window_no"], o): p for r in clusters.pair_products(features).collect() for o, p in zip(r["others"], r["products"])}
+    assert len(products) == 1600 and all(products[10 * i, 10 * j] == pytest.approx(float(m[i] @ m[j])) for i in range(40) for j in range(40))
