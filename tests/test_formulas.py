@@ -464,3 +464,19 @@ def test_trees_of_many_windows_come_from_their_vectors(spark, monkeypatch):
     assert clusters.cophenetic(features).first()["correlation"] == pytest.approx(np.corrcoef(heights[x, y], far[x, y])[0, 1])
     products = {(r["window_no"], o): p for r in clusters.pair_products(features).collect() for o, p in zip(r["others"], r["products"])}
     assert len(products) == 1600 and all(products[10 * i, 10 * j] == pytest.approx(float(m[i] @ m[j])) for i in range(40) for j in range(40))
+
+
+def test_equal_vectors_are_equally_near_and_least_scores_bind(monkeypatch):
+    """Copies of a vector come in order of their words, wherever they stand in a block."""
+    monkeypatch.setattr(vectors, "WORD_PIECE", 50)
+    monkeypatch.setattr(vectors, "QUERY_PIECE", 7)
+    rng = np.random.default_rng(8)
+    words = rng.normal(size=(12, 33))[rng.integers(0, 12, 301)]
+    queries = np.concatenate([words[:20], 1e6 * rng.normal(size=(5, 33))])
+    own = np.arange(25), np.arange(1, 26) * (np.arange(25) < 20)
+    exact = sum(queries[:, None, i] * words[None, :, i] for i in range(33))
+    exact[np.arange(20), np.arange(20)] = -np.inf
+    least = np.where(np.arange(25) % 3 == 0, np.sort(exact, 1)[:, -5], -np.inf)
+    row, word, score = vectors.best_products(queries, words, own, 9, least)
+    want = [(i, j) for i in range(25) for j in sorted(range(301), key=lambda j: (-exact[i, j], j))[:9] if exact[i, j] >= least[i]]
+    assert list(zip(row.tolist(), word.tolist())) == want and (score == exact[row, word]).all()
